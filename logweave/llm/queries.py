@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_store
+from . import exact_dedup, mixing, packing, token_store
 from .common import table
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_files(spark, table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_token_files, op8_exact_dedup, op9_best_fit_packing)
+    f.__name__: f for f in (op3_mix_sources, op6_token_files, op8_exact_dedup, op9_best_fit_packing)
 }
 
-ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.EXACT_SQL}
+ORACLES: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL, "op8_exact_dedup": exact_dedup.EXACT_SQL}
