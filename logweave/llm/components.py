@@ -1,0 +1,36 @@
+"""Connected components of links between ids, by hooking and shortcutting on tables in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """``id, component`` (the smallest id reachable) of every id that some link of ``a, b`` names.
+
+    Each round every root takes the smallest root it is linked with as parent, chains are shortcut, and links between
+    ids of one root go. The number of rounds grows with the logarithm of a component's diameter; every round is written
+    to the shared folder, so that no plan holds more than one of them.
+    """
+    edges = common.stage(links.select("a", "b").filter("a <> b").distinct(), "links")
+    labels = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = both.groupBy("a").agg(F.min("b").alias("b"))
+        parents = parents.select(F.col("a").alias("root"), F.least("a", "b").alias("parent"))
+        up = parents.select(F.col("root").alias("parent"), F.col("parent").alias("grand"))
+        parents = parents.join(up, "parent").select("root", F.col("grand").alias("parent"))
+        parents = common.stage(parents, "parents")
+        up = parents.select(F.col("root").alias("parent"), F.col("parent").alias("grand"))
+        parents = parents.join(up, "parent").select("root", F.col("grand").alias("parent"))
+        labels = labels.join(parents, labels["component"] == parents["root"], "left")
+        labels = labels.select("id", F.coalesce("parent", "component").alias("component"))
+        labels = common.stage(labels, "labels")
+        a = parents.select(F.col("root").alias("a"), F.col("parent").alias("pa"))
+        b = parents.select(F.col("root").alias("b"), F.col("parent").alias("pb"))
+        edges = edges.join(a, "a").join(b, "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+        edges = common.stage(edges, "links")
+    return labels
