@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, jaccard_join, mixing, packing, quality, token_store
+from . import exact_dedup, html_text, jaccard_join, mixing, packing, quality, substring_dedup, token_store
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_files(spark, table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_jaccard_join, op3_mix_sources, op4_html_extraction, op6_token_files, op8_exact_dedup, op9_best_fit_packing, op10_quality_rules)
+    f.__name__: f for f in (op2_jaccard_join, op3_mix_sources, op4_html_extraction, op5_substring_dedup, op6_token_files, op8_exact_dedup, op9_best_fit_packing, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL, "op8_exact_dedup": exact_dedup.EXACT_SQL}
