@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, jaccard_join, mixing, packing, quality, substring_dedup, token_store
+from . import exact_dedup, html_text, jaccard_join, license_scan, mixing, packing, quality, substring_dedup, token_store
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_jaccard_join, op3_mix_sources, op4_html_extraction, op5_substring_dedup, op6_token_files, op8_exact_dedup, op9_best_fit_packing, op10_quality_rules)
+    f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_mix_sources, op4_html_extraction, op5_substring_dedup, op6_token_files, op8_exact_dedup, op9_best_fit_packing, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL, "op8_exact_dedup": exact_dedup.EXACT_SQL}
