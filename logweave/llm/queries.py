@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, jaccard_join, license_scan, mixing, packing, quality, substring_dedup, token_store
+from . import exact_dedup, html_text, jaccard_join, license_scan, lm_score, mixing, packing, quality, substring_dedup, token_store
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_files(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_mix_sources, op4_html_extraction, op5_substring_dedup, op6_token_files, op8_exact_dedup, op9_best_fit_packing, op10_quality_rules)
+    f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_mix_sources, op4_html_extraction, op5_substring_dedup, op6_token_files, op7_lm_scoring, op8_exact_dedup, op9_best_fit_packing, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL, "op8_exact_dedup": exact_dedup.EXACT_SQL}
