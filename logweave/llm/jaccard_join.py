@@ -255,6 +255,12 @@ def _open_lists(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(lists, "token").withColumn("main", F.col("component") == F.col("top")).drop("top")
 
 
+def copy_ids(members: DataFrame) -> DataFrame:
+    """Ids all of whose rows are copies of what another id stands for."""
+    ids = members.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce(F.col("rep") != F.col("doc_id"), F.lit(False))).alias("copy"))
+    return ids.filter("copy AND id IS NOT NULL").select("id")
+
+
 def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
     spark = docs.sparkSession
@@ -265,8 +271,7 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
     salted = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     members = common.stage(salted.join(classes, ["d1", "d2", "salt"], "left").select("doc_id", "n", "rep"), "members")
 
-    copies = members.filter("rep <> doc_id").select(F.col("doc_id").alias("id")).distinct()
-    reps = _picked(docs, copies, "left_anti").filter("doc_id IS NOT NULL")
+    reps = _picked(docs, copy_ids(members), "left_anti").filter("doc_id IS NOT NULL")
 
     counts = _prefix_tokens(reps, k, percent).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
     counts = common.stage(counts, "hot")

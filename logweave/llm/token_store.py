@@ -208,7 +208,8 @@ def read_store(manifest: DataFrame) -> DataFrame:
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     starts = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
-    rows = manifest.repartition(F.col("shard")).select("shard", "path").mapInArrow(read, ROWS)
+    # a task for each shard: the manifest itself is small enough to be put into one otherwise
+    rows = manifest.repartition(max(manifest.count(), 1), "shard").select("shard", "path").mapInArrow(read, ROWS)
     joined = common.lookup_join(rows, starts, ["shard"], F.col("doc_id"))
     return joined.select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
 

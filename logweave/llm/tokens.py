@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 #: Entries of a worker's cache before it starts anew (about 150 bytes each).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 
 _RUNS = re.compile(r"\s\s")
 _CHUNKS = re.compile(r"\s*\S+|\s+")
@@ -21,6 +22,12 @@ _CHUNKS = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\0\x1c-\x1f]")
 #: Stands before a chunk that has no blank put in front.
 _TAG = "\0"
+#: A plain word: what leads it (a mark for none, a line end, or nothing for a blank), Latin letters, stops and commas.
+_PLAIN_WORD = re.compile("([\\0\\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: Byte-level vocabularies write each byte as a character: printable ones as they are, others from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_BLANK, _NEWLINE = _BYTE_CHARS[32], _BYTE_CHARS[10]
 #: A special token of both vocabularies.
 SEPARATOR = "<|endoftext|>"
 
@@ -34,6 +41,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark, self.mark_id = SEPARATOR, self.tokenizer.token_to_id(SEPARATOR)
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        #: Case is folded and white space dropped, or both are part of tokens.
+        self.folds = self.tokenizer.normalizer is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
@@ -47,16 +57,20 @@ class Encoder:
         return [b"".join([known[c] for c in chunks]) for chunks in cut]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks many at once, parted by a special token, which no token crosses."""
-        alone = [c for c in chunks if "<|" in c or len(c) > 4096]
+        """Encode chunks: plain words by the vocabulary's model, the others many at once, parted by a special token."""
+        others, alone = [], []
+        for c in chunks:
+            if found := _PLAIN_WORD.fullmatch(c):
+                self.known[c] = self._word(*found.groups())
+            elif "<|" in c or len(c) > 4096:
+                alone.append(c)
+            else:
+                others.append(c)
         for c in alone:
             ids = self.tokenizer.encode(_plain(c), add_special_tokens=False).ids
             self.known[c] = np.array(ids, "<u4").tobytes()
-        if alone:
-            alone_set = set(alone)
-            chunks = [c for c in chunks if c not in alone_set]
-        for i in range(0, len(chunks), 20_000):
-            part = chunks[i : i + 20_000]
+        for i in range(0, len(others), 20_000):
+            part = others[i : i + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(map(_plain, part))], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             raw, start = ids.tobytes(), 0
@@ -64,6 +78,30 @@ class Encoder:
                 self.known[c] = raw[4 * start : 4 * end]
                 start = end + 1
 
+    def _word(self, lead: str, word: str, tail: str) -> bytes:
+        """Ids of a word of Latin letters with full stops and commas after it.
+
+        In both vocabularies the word (with the blank before it, if blanks count) and its tail are what the text is
+        split into before the model, and folding case or composing such letters depends on nothing around them.
+        """
+        if self.folds:
+            word, before = word.lower(), b""
+        else:
+            before = self._model(lead.replace("\n", _NEWLINE)) if lead == "\n" else b""
+            word = ("" if lead else _BLANK) + word
+        if not word.isascii():
+            word = word[: word[0] == _BLANK] + word.removeprefix(_BLANK).encode().decode("latin-1").translate(_BYTE_CHARS)
+        return before + self._model(word) + (self._model(tail) if tail else b"")
+
+    def _model(self, word: str) -> bytes:
+        found = self.tails.get(word)
+        if found is None:
+            ids = [x.id for x in self.tokenizer.model.tokenize(word)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) <= 2:
+                self.tails[word] = found
+        return found
+
 
 def _chunks(text: str) -> list[str]:
     if not text:
