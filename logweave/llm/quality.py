@@ -94,7 +94,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         F.when(twice, covered).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size("__l").cast("long").alias("n_lines"),
     )
-    return rows.withColumn("__q", counts).drop("__w", "__l", "__t", "__s")
+    # a generator of one row: the optimizer would else copy these expressions into everything that uses them
+    return rows.select(*docs.columns, F.explode(F.array(counts)).alias("__q"))
 
 
 def _failed(n_words: Column, n_repeat: Column) -> Column:
@@ -117,25 +118,29 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(P) for j in range(i + 1)]
 
 
-def _with_distance(cells: DataFrame, out: str, drop: bool = True) -> DataFrame:
-    """Squared Mahalanobis distance of x0.. from centre m0.. under covariance c<i><j>, by Cholesky's factors l<i><j>."""
-    rows = cells
+def _with_factors(rows: DataFrame) -> DataFrame:
+    """Cholesky factors l<i><j> of the covariance c<i><j>."""
     for i, j in _pairs():  # row by row, each entry needs those before it
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         rows = rows.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
+    return rows
+
+
+def _with_distance(rows: DataFrame, out: str) -> DataFrame:
+    """Squared Mahalanobis distance of x0.. from centre m0.. by the factors."""
     for i in range(P):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
         rows = rows.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
     rows = rows.withColumn(out, sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0")))
-    return rows.drop(*[f"z{i}" for i in range(P)], *[f"l{i}{j}" for i, j in _pairs()]) if drop else rows
+    return rows.drop(*[f"z{i}" for i in range(P)])
 
 
 def estimates(cells: DataFrame) -> DataFrame:
-    """One row per group ``lang, source`` (of the pools: ``pool`` 1 or 2) with m0.. and c00..; ``cells`` has the counts n.
+    """One row per group ``lang, source`` (of the pools: ``pool`` 1 or 2) with m0.. and l00..; ``cells`` has the counts n.
 
     Windows partitioned by the group's key keep a group's cells in place over all rounds, so that the rounds need no
     exchange of their own.
@@ -161,7 +166,7 @@ def estimates(cells: DataFrame) -> DataFrame:
     for i, j in _pairs():
         rows = rows.withColumn(f"c{i}{j}", F.lit(floors[i] if i == j else 0.0))
     for _ in range(ROUNDS):
-        rows = _with_distance(rows, "d2")
+        rows = _with_distance(_with_factors(rows), "d2").drop(*[f"l{i}{j}" for i, j in _pairs()])
         before = F.sum("n").over(group.orderBy("d2", *vector)) - F.col("n")
         rows = rows.withColumn("w", F.when(before < F.lit(COVERAGE) * F.sum("n").over(group), F.col("n")).otherwise(0))
         total = F.sum("w").over(group)
@@ -175,7 +180,9 @@ def estimates(cells: DataFrame) -> DataFrame:
             }
         )
     keep = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in _pairs()]
-    found = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in keep])
+    found = _with_factors(rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in keep]))
+    keep = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i, j in _pairs()]
+    found = found.select(*keys, *keep)
     found = common.stage(found, "estimates")
     named = common.lookup_join(
         per.withColumn("g_lang", F.when(F.col("pool") < 2, F.col("lang"))).withColumn("g_source", F.when(F.col("pool") == 0, F.col("source"))),
