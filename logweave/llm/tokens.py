@@ -9,27 +9,35 @@ from __future__ import annotations
 
 import os
 import re
-import struct
-
-import numpy as np
+from array import array
 
 #: Entries of a worker's cache before it starts anew (about 150 bytes each).
 CACHE_ENTRIES = 1_000_000
 
-_RUNS = re.compile(r"\s\s")
+_RUNS = re.compile(r"\s\s\s")
 _CHUNKS = re.compile(r"\s*\S+|\s+")
 #: White space to Python but not to the tokenizers' patterns: such texts are encoded as one chunk.
 _ODD = re.compile("[\0\x1c-\x1f]")
 #: Stands before a chunk that has no blank put in front.
 _TAG = "\0"
-#: A plain word: what leads it (a mark for none, a line end, or nothing for a blank), Latin letters, stops and commas.
-_PLAIN_WORD = re.compile("([\\0\\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: A plain word: what leads it (a mark for none, a line end, or nothing for a blank), Latin letters, and ASCII signs
+#: but for the apostrophe (of contractions) and the less-than sign (of special tokens).
+_PLAIN_WORD = re.compile("([\\0\\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\\[-`{-~]*)")
 #: Byte-level vocabularies write each byte as a character: printable ones as they are, others from U+0100 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _BLANK, _NEWLINE = _BYTE_CHARS[32], _BYTE_CHARS[10]
-#: A special token of both vocabularies.
-SEPARATOR = "<|endoftext|>"
+
+
+class _Known(dict):
+    """Ids of chunks; those not met yet are learnt."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = ids = self.encoder.learn(chunk)
+        return ids
 
 
 class Encoder:
@@ -39,80 +47,72 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark, self.mark_id = SEPARATOR, self.tokenizer.token_to_id(SEPARATOR)
-        self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.known = _Known(self)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.signs: dict[str, array] = {}
         #: Case is folded and white space dropped, or both are part of tokens.
         self.folds = self.tokenizer.normalizer is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        cut = [_chunks(x) for x in texts]
-        missing = {c for chunks in cut for c in chunks} - self.known.keys()
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
+        if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-            missing = {c for chunks in cut for c in chunks}
-        self._learn(list(missing))
-        known = self.known
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks: plain words by the vocabulary's model, the others many at once, parted by a special token."""
-        others, alone = [], []
-        for c in chunks:
-            if found := _PLAIN_WORD.fullmatch(c):
-                self.known[c] = self._word(*found.groups())
-            elif "<|" in c or len(c) > 4096:
-                alone.append(c)
-            else:
-                others.append(c)
-        for c in alone:
-            ids = self.tokenizer.encode(_plain(c), add_special_tokens=False).ids
-            self.known[c] = np.array(ids, "<u4").tobytes()
-        for i in range(0, len(others), 20_000):
-            part = others[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(map(_plain, part))], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            raw, start = ids.tobytes(), 0
-            for c, end in zip(part, ends.tolist(), strict=True):
-                self.known[c] = raw[4 * start : 4 * end]
-                start = end + 1
-
-    def _word(self, lead: str, word: str, tail: str) -> bytes:
-        """Ids of a word of Latin letters with full stops and commas after it.
-
-        In both vocabularies the word (with the blank before it, if blanks count) and its tail are what the text is
+        find, out = self.known.__getitem__, []
+        for text in texts:
+            out.append(b"".join(map(find, _folded_chunks(text) if self.folds else _chunks(text))))
+        return out
+
+    def learn(self, chunk: str) -> bytes:
+        """Ids of a chunk: of plain words by the vocabulary's model, of others by the whole tokenizer.
+
+        In both vocabularies a plain word (with the blank before it, if blanks count) and its tail are what the text is
         split into before the model, and folding case or composing such letters depends on nothing around them.
         """
-        if self.folds:
-            word, before = word.lower(), b""
-        else:
-            before = self._model(lead.replace("\n", _NEWLINE)) if lead == "\n" else b""
-            word = ("" if lead else _BLANK) + word
+        found = _PLAIN_WORD.fullmatch(chunk)
+        if not found:
+            return array("I", self.tokenizer.encode(_plain(chunk), add_special_tokens=False).ids).tobytes()
+        lead, word, tail = found.groups()
         if not word.isascii():
-            word = word[: word[0] == _BLANK] + word.removeprefix(_BLANK).encode().decode("latin-1").translate(_BYTE_CHARS)
-        return before + self._model(word) + (self._model(tail) if tail else b"")
-
-    def _model(self, word: str) -> bytes:
-        found = self.tails.get(word)
+            word = (word.lower() if self.folds else word).encode().decode("latin-1").translate(_BYTE_CHARS)
+        elif self.folds:
+            word = word.lower()
+        ids = array("I", [x.id for x in self.tokenize(word if lead or self.folds else _BLANK + word)])
+        if tail:
+            ids += self.sign(tail)
+        if lead == "\n" and not self.folds:
+            ids = self.sign(_NEWLINE) + ids
+        return ids.tobytes()
+
+    def sign(self, chars: str) -> array:
+        found = self.signs.get(chars)
         if found is None:
-            ids = [x.id for x in self.tokenizer.model.tokenize(word)]
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) <= 2:
-                self.tails[word] = found
+            found = array("I", [x.id for x in self.tokenize(chars)])
+            if len(self.signs) < 100_000:
+                self.signs[chars] = found
         return found
 
 
+def _folded_chunks(text: str) -> list[str]:
+    """Chunks where case is folded and white space dropped: any blank or line end may part them."""
+    if "<|" in text or "\0" in text:
+        return [_TAG + text]
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    else:
+        text = text.lower()  # of these letters, folded one by one in any case
+    return text.replace("\n", " ").split(" ")
+
+
 def _chunks(text: str) -> list[str]:
     if not text:
         return []
-    if _ODD.search(text):
-        return [_TAG + text]
-    if _RUNS.search(text):
-        return [_TAG + x for x in _CHUNKS.findall(text)]
-    # single spaces only: cut before each blank and line end; blanks are put back by _plain
+    if "\0" in text or "<|" in text or _RUNS.search(text) or text[-2:].isspace():
+        return [_TAG + text] if "<|" in text or _ODD.search(text) else [_TAG + x for x in _CHUNKS.findall(text)]
+    # cut before each blank and line end, which of runs of two leaves each its own; _plain puts the blanks back
     first, *rest = text.replace("\n", " \n").split(" ")
-    return [_TAG + first, *rest]
+    return [_TAG + first, *rest] if first else rest
 
 
 def _plain(chunk: str) -> str:
