@@ -2,16 +2,18 @@
 
 Documents with equal shingle sets are one class; one document stands for it. Two sets of n shingles whose Jaccard
 similarity reaches t share l tokens among their first n - ceil(t n) + l in any common order, for each l. The order here:
-shingles that many documents have among their first ones come last ("hot", by number), the rest by hash. A document
-whose first tokens are hot nevertheless has costly candidates; its prefix is lengthened by a step per doubling of the
-estimated number of them (the sum of its hot tokens' counts), and a pair of such documents must share as many tokens as
-the shorter of the two prefixes stands for before it is verified on the full sets.
-
-Lists of up to SMALL_LIST documents with a common prefix token give their pairs. A longer list is first compared with one
-of its documents (the same in most lists of a group of near copies), twice; what falls into one component by that needs
-no further comparison, as only components are asked for. All pairs of the list that still lie in different components
-are then counted and verified. So groups of thousands of near copies cost a few comparisons a document, and no link
-between components is lost: every pair that the prefixes admit is either verified or already connected.
+shingles that many documents have come last ("hot", by number), the rest by hash. Hot tokens are counted over all prefixes
+by hash, then over the whole sets of the documents whose prefixes are hot. A document whose first tokens are hot in this
+order too has costly candidates: its prefix is lengthened by a step per doubling of their estimated number (the sum of
+its hot tokens' counts), and a pair of such documents must share as many tokens as the shorter of the two prefixes stands
+for before it is verified on the full sets. Such a document has all its other tokens in its prefix, so a partner that
+shares none of them shares hot tokens only: documents with fewer hot tokens than a link needs leave theirs out.
+
+Lists of up to SMALL_LIST documents with a common prefix token give their pairs. A longer list is first compared with its
+document of the most hot tokens (the centre of a group of near copies), twice; what falls into one component by that
+needs no further comparison, as only components are asked for. All pairs of the list that still lie in different
+components are then counted and verified. So groups of thousands of near copies cost a few comparisons a document, and no
+link between components is lost: every pair that the prefixes admit is either verified or already connected.
 
 Defined results: null, empty or blank text has no shingles and is its own component; fewer than five words count as one
 shingle; rows that share a ``doc_id`` are one node of the links; a null id takes part with its text's class only if that
@@ -26,21 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
 from .packing import text_slices
-from .shingles import mix, shingle_sets
+from .shingles import shingle_sets
 
 WORDS = 5
 #: Similarity, in hundredths.
 PERCENT = 75
-#: More documents than this with a token among their first make it hot.
-HOT = 24
+#: More documents than this with a token make it hot.
+HOT = 5
+#: Documents with a larger share of hot tokens in their prefixes by hash (a 1 in so many) tell of hot tokens in all they have.
+SUSPECT = 4
 #: Hot tokens that are sent to the executors; beyond it the limit for being hot is doubled (any choice is right).
-HOT_TOKENS = 200_000
+HOT_TOKENS = 500_000
 #: Lists of up to this many documents give all their pairs at once.
 SMALL_LIST = 4
 STAR_ROUNDS = 2
@@ -83,66 +87,94 @@ def _prefix_tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "token long")
 
 
+def _marks(hot: tuple[np.ndarray, np.ndarray], s: np.ndarray) -> np.ndarray:
+    """Counts of the hot tokens in a set, 0 for others."""
+    tokens, counts = hot
+    if not len(tokens):
+        return np.zeros(len(s), np.int64)
+    at = np.searchsorted(tokens, s)
+    at[at == len(tokens)] = 0
+    return np.where(tokens[at] == s, counts[at], 0)
+
+
+def _suspect_tokens(docs: DataFrame, hot, k: int, percent: int) -> DataFrame:
+    """The tokens beyond the prefixes of documents whose prefixes are hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in text_slices(batch):
+                parts = []
+                for s in shingle_sets(texts, k):
+                    plain = len(s) - needed(len(s), percent) + 1
+                    if len(s) and SUSPECT * np.count_nonzero(_marks(hot.value, s[:plain])) >= plain:
+                        parts.append(s[plain:])
+                if parts:
+                    yield _arrow("token", np.concatenate(parts).view(np.int64))
+
+    return docs.mapInArrow(run, "token long")
+
+
+INDEX = "token long, doc_id long, n int, matches int, hot int, is_hot boolean"
+
+
 def _index(docs: DataFrame, hot, k: int, percent: int) -> DataFrame:
-    """``token, doc_id, n, matches`` of every document's lengthened prefix."""
+    """Tokens of every document's lengthened prefix; ``hot``: the document's hot tokens in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_tokens, hot_counts = hot.value
         for batch in batches:
             for ids, texts in text_slices(batch):
-                tokens, sizes, wants, owners = [], [], [], []
+                tokens, marks, docs_ = [], [], []
                 for doc_id, s in zip(ids, shingle_sets(texts, k), strict=True):
                     n = len(s)
                     if not n or doc_id is None:
                         continue
                     plain, matches = n - needed(n, percent) + 1, 1
-                    if len(hot_tokens):
-                        at = np.searchsorted(hot_tokens, s)
-                        at[at == len(hot_tokens)] = 0
-                        count = np.where(hot_tokens[at] == s, hot_counts[at], 0)
-                        s = s[np.lexsort((s, count))]
-                        cost = int(np.sort(count)[:plain].sum())
-                        if cost:
-                            matches = min(1 + int(math.log2(1 + cost / HOT)), MAX_MATCHES, needed(n, percent))
-                    part = s[: plain + matches - 1]
-                    tokens.append(part)
-                    sizes.append(n)
-                    wants.append(matches)
-                    owners.append(doc_id)
+                    count = _marks(hot.value, s)
+                    n_hot = int(np.count_nonzero(count))
+                    if n_hot:
+                        order = np.lexsort((s, count))
+                        s, count = s[order], count[order]
+                    n_cold = n - n_hot
+                    if n_cold < plain:
+                        if n_hot < needed(n, percent):
+                            plain = n_cold  # its links share tokens that are not hot
+                        else:
+                            matches = min(1 + int(math.log2(1 + int(count[:plain].sum()) / HOT)), MAX_MATCHES, needed(n, percent))
+                    part = slice(0, plain + matches - 1)
+                    tokens.append(s[part])
+                    marks.append(count[part] > 0)
+                    docs_.append((doc_id, n, matches, n_hot))
                 if tokens:
                     lengths = [len(x) for x in tokens]
-                    yield _arrow(
-                        "token doc_id n matches",
-                        np.concatenate(tokens).view(np.int64),
-                        np.repeat(np.array(owners, np.int64), lengths),
-                        np.repeat(np.array(sizes, np.int32), lengths),
-                        np.repeat(np.array(wants, np.int32), lengths),
-                    )
+                    doc_ids, sizes, wants, hots = (np.repeat(np.array(c, np.int64), lengths) for c in zip(*docs_, strict=True))
+                    small = [x.astype(np.int32) for x in (sizes, wants, hots)]
+                    yield _arrow("token doc_id n matches hot is_hot", np.concatenate(tokens).view(np.int64), doc_ids, *small, np.concatenate(marks))
 
-    return docs.mapInArrow(run, "token long, doc_id long, n int, matches int")
+    return docs.mapInArrow(run, INDEX)
 
 
-FOUND = "kind int, a long, b long, token long, n int, matches int"
+FOUND = "kind int, a long, b long, token long, n int, matches int, hot int, is_hot boolean"
 
 
 def _lists(index: DataFrame, percent: int) -> DataFrame:
-    """Reads the index token by token, each token's first document (by hash) as its centre.
+    """Reads the index token by token, each token's document of the most hot tokens as its centre.
 
-    kind 0: a pair to verify. kind 1: document ``a`` in a list to come back to (``b`` = 1: a long list).
+    kind 0: a pair ``a, b`` to verify. kind 1: document ``a`` of a long list, to come back to.
     """
 
-    def fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-        return 100 * np.minimum(n, m).astype(np.int64) >= percent * np.maximum(n, m).astype(np.int64)
-
-    def emit(kind: int, a: np.ndarray, b: np.ndarray, token: np.ndarray, n: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
-        return _arrow("kind a b token n matches", np.full(len(a), kind, np.int32), a, b, token, n.astype(np.int32), w.astype(np.int32))
+    def fits(n, m, hot, other, is_hot) -> np.ndarray:
+        n, m = n.astype(np.int64), m.astype(np.int64)
+        enough = (100 + percent) * np.minimum(hot, other).astype(np.int64) >= percent * (n + m)
+        return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (enough | ~is_hot)
 
-    def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pairs[0], pairs[1]
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        z = np.zeros(len(a), np.int32)
+        return _arrow("kind a b token n matches hot is_hot", z, a, b, np.zeros(len(a), np.int64), z, z, z, z > 0)
 
-    def step(t, d, n, w, from_long: bool, last: bool):
+    def step(cols, from_long: bool, last: bool):
         """Output of the complete lists, and what to hold back of the last one."""
+        t, d, n, w, h, is_hot = cols
         out = []
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         sizes = np.diff(np.r_[starts, len(t)])
@@ -150,60 +182,49 @@ def _lists(index: DataFrame, percent: int) -> DataFrame:
         if from_long:
             long[0] = True
         done = np.ones(len(starts), bool)
-        if not last and not long[-1]:
+        if not last:
             done[-1] = False
         run = np.repeat(np.arange(len(starts)), sizes)
-        row_long = long[run]
         centre = starts[run]
-        lone = np.arange(len(t)) == centre
-        new = np.ones(len(t), bool)
+        pick = long[run]
         if from_long:
-            new[0] = False  # the centre of a list begun before
-        pick = row_long & new
+            pick[0] = False  # the centre of a list begun before
         if pick.any():
-            out.append(emit(1, d[pick], np.ones(pick.sum(), np.int64), t[pick], n[pick], w[pick]))
-            star = pick & ~lone & (d != d[centre]) & fits(n, n[centre])
+            m = int(pick.sum())
+            out.append(_arrow("kind a b token n matches hot is_hot", np.ones(m, np.int32), d[pick], np.zeros(m, np.int64), t[pick], n[pick], w[pick], h[pick], is_hot[pick]))
+            star = pick & (d != d[centre]) & fits(n, n[centre], h, h[centre], is_hot)
             if star.any():
-                a, b = unique_pairs(d[star], d[centre[star]])
-                z = np.zeros(len(a), np.int64)
-                out.append(emit(0, a, b, z, z, z))
-        pairs_a, pairs_b, later = [], [], np.zeros(len(t), bool)
+                out.append(pairs(d[star], d[centre[star]]))
+        found_a, found_b = [], []
         for size in range(2, SMALL_LIST + 1):
             first = starts[(sizes == size) & ~long & done]
             for i in range(size):
                 for j in range(i + 1, size):
                     x, y = first + i, first + j
-                    ok = (d[x] != d[y]) & fits(n[x], n[y])
-                    now = ok & (np.minimum(w[x], w[y]) == 1)
-                    pairs_a.append(d[x[now]])
-                    pairs_b.append(d[y[now]])
-                    both = ok & ~now
-                    later[x[both]] = later[y[both]] = True
-        if pairs_a and sum(map(len, pairs_a)):
-            a, b = unique_pairs(np.concatenate(pairs_a), np.concatenate(pairs_b))
-            z = np.zeros(len(a), np.int64)
-            out.append(emit(0, a, b, z, z, z))
-        if later.any():
-            out.append(emit(1, d[later], np.zeros(later.sum(), np.int64), t[later], n[later], w[later]))
+                    ok = (d[x] != d[y]) & fits(n[x], n[y], h[x], h[y], is_hot[x])
+                    found_a.append(d[x[ok]])
+                    found_b.append(d[y[ok]])
+        if found_a and sum(map(len, found_a)):
+            out.append(pairs(np.concatenate(found_a), np.concatenate(found_b)))
         if last:
             return out, None, False
         tail = slice(starts[-1], starts[-1] + 1) if long[-1] else slice(starts[-1], None)
-        return out, tuple(x[tail] for x in (t, d, n, w)), bool(long[-1])
+        return out, [x[tail] for x in cols], bool(long[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, from_long = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = tuple(batch.column(i).to_numpy() for i in range(4))
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             if held is not None:
-                cols = tuple(np.concatenate([h, c]) for h, c in zip(held, cols, strict=True))
-            out, held, from_long = step(*cols, from_long, False)
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+            out, held, from_long = step(cols, from_long, False)
             yield from out
         if held is not None:
-            yield from step(*held, from_long, True)[0]
+            yield from step(held, from_long, True)[0]
 
-    ordered = index.repartition("token").sortWithinPartitions("token", F.xxhash64("doc_id"))
+    ordered = index.repartition("token").sortWithinPartitions("token", F.desc("hot"), F.xxhash64("doc_id"))
     return ordered.mapInArrow(run, FOUND)
 
 
@@ -219,8 +240,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 a, b, left, right = (part.column(i).to_pylist() for i in range(4))
                 texts = list(dict.fromkeys(left + right))
                 sets = dict(zip(texts, shingle_sets(texts, k), strict=True))
@@ -246,8 +267,15 @@ def _with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select(*rows.columns, F.coalesce("component", "a").alias("component"))
 
 
-def _open_lists(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the lists that hold more than one component, with ``component``; ``main`` marks the list's largest."""
+def _open_lists(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Rows of the lists that hold more than one component, with ``component``; ``main`` marks the list's largest.
+
+    Left out are documents whose hot tokens are too few for a link with any document of the list.
+    """
+    least = rows.groupBy("token").agg(F.min("n").alias("least"))
+    rows = rows.join(least, "token")
+    partner = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))
+    rows = rows.filter(~F.col("is_hot") | ((100 + percent) * F.col("hot") >= percent * (F.col("n") + partner))).drop("least")
     rows = _with_components(rows, labels)
     per = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
     lists = per.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "component")).alias("top"))
@@ -255,6 +283,28 @@ def _open_lists(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(lists, "token").withColumn("main", F.col("component") == F.col("top")).drop("top")
 
 
+def _pair_fits(percent: int, n: str, m: str, hot: str, other: str) -> tuple[Column, Column]:
+    """Whether two documents' sizes allow a link, and whether their hot tokens alone do."""
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes, (100 + percent) * F.least(hot, other) >= percent * (F.col(n) + F.col(m))
+
+
+def _hot(tokens: DataFrame, known):
+    """Broadcast of the sorted hot tokens and their counts, together with those known."""
+    counts = common.stage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT), "hot")
+    limit = HOT
+    while counts.filter(F.col("n") > limit).count() > HOT_TOKENS:
+        limit *= 2
+    rows = counts.filter(F.col("n") > limit).toArrow()  # at most HOT_TOKENS
+    found, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    if known is not None:
+        found, n = np.concatenate([found, known.value[0]]), np.concatenate([n, known.value[1]])
+        found, first = np.unique(found, return_index=True)
+        n = n[first]
+    order = np.argsort(found)
+    return tokens.sparkSession.sparkContext.broadcast((found[order], n[order]))
+
+
 def copy_ids(members: DataFrame) -> DataFrame:
     """Ids all of whose rows are copies of what another id stands for."""
     ids = members.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce(F.col("rep") != F.col("doc_id"), F.lit(False))).alias("copy"))
@@ -263,7 +313,6 @@ def copy_ids(members: DataFrame) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     sets = common.stage(_sets(docs, k), "sets")
     classes = sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -273,26 +322,21 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
 
     reps = _picked(docs, copy_ids(members), "left_anti").filter("doc_id IS NOT NULL")
 
-    counts = _prefix_tokens(reps, k, percent).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
-    counts = common.stage(counts, "hot")
-    limit = HOT
-    while counts.filter(F.col("n") > limit).count() > HOT_TOKENS:
-        limit *= 2
-    rows = counts.filter(F.col("n") > limit).collect()  # at most HOT_TOKENS
-    tokens = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    hot = spark.sparkContext.broadcast((tokens[order], np.array([r[1] for r in rows], np.int64)[order]))
+    hot = _hot(_prefix_tokens(reps, k, percent), None)
+    hot = _hot(_suspect_tokens(reps, hot, k, percent), hot)
 
     found = common.stage(_lists(_index(reps, hot, k, percent), percent), "lists")
     links = _verified(found.filter("kind = 0").select("a", "b").distinct(), reps, k, percent)
-    lists = found.filter("kind = 1").select("token", "a", (F.col("b") == 1).alias("long"), "n", "matches")
+    lists = found.filter("kind = 1").drop("kind", "b")
     labels = connected_components(links)
     for turn in range(STAR_ROUNDS):
-        rest = _open_lists(lists.filter("long"), labels)
-        # another centre for each list: a document of its largest component, and all that lie outside of it
-        centre = rest.filter("main").groupBy("token").agg(F.min(F.struct(F.xxhash64(F.col("a"), F.lit(turn)).alias("h"), "a", "n")).alias("c"))
-        centre = centre.select("token", F.col("c.a").alias("c"), F.col("c.n").alias("cn"))
-        star = rest.filter("NOT main").join(centre, "token").filter(100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
+        # another centre for each list: a document of its largest component, for all that lie outside of it
+        rest = common.stage(_open_lists(lists, labels, percent), "open")
+        first = F.min(F.struct((-F.col("hot")).alias("h"), F.xxhash64(F.col("a"), F.lit(turn)).alias("x"), "a", "n", "hot"))
+        centre = rest.filter("main").groupBy("token").agg(first.alias("c"))
+        centre = centre.select("token", F.col("c.a").alias("c"), F.col("c.n").alias("m"), F.col("c.hot").alias("other"))
+        sizes, enough = _pair_fits(percent, "n", "m", "hot", "other")
+        star = rest.filter("NOT main").join(centre, "token").filter(sizes & (~F.col("is_hot") | enough))
         star = star.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
         more = _verified(star, reps, k, percent)
         if more.isEmpty():
@@ -301,13 +345,16 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
         labels = connected_components(links)
 
     # every pair that is still apart, by the number of tokens shared
-    rest = common.stage(_open_lists(lists, labels), "open")
-    outer = rest.filter("NOT main").select("token", "a", "n", "matches", "component")
-    inner = rest.select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("matches").alias("w"), F.col("component").alias("other"), "main")
-    apart = outer.join(inner, "token").filter(F.col("component") != F.col("other")).filter(F.col("main") | (F.col("a") < F.col("b")))
-    apart = apart.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    pairs = apart.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("matches", "w")).alias("want"))
-    more = _verified(pairs.filter("shared >= want").select("a", "b"), reps, k, percent)
+    rest = common.stage(_open_lists(lists, labels, percent), "open")
+    outer = rest.filter("NOT main")
+    inner = rest.select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("matches").alias("w"), F.col("hot").alias("other"), F.col("component").alias("c2"), F.col("main").alias("in_main"))
+    sizes, enough = _pair_fits(percent, "n", "m", "hot", "other")
+    apart = outer.join(inner, "token").filter((F.col("component") != F.col("c2")) & (F.col("in_main") | (F.col("a") < F.col("b"))))
+    apart = apart.filter(sizes & (~F.col("is_hot") | enough))
+    pairs = apart.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.first(F.least("matches", "w")).alias("want"), F.max((~F.col("is_hot")).cast("int")).alias("cold")
+    )
+    more = _verified(pairs.filter("shared >= want OR cold = 1").select("a", "b"), reps, k, percent)
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
 
