@@ -34,7 +34,7 @@ from . import common, recurrent
 from .packing import text_slices
 from .token_store import _fs
 
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 32_000_000
 TOP = 512
 BANDS = 48
 ROUNDS = 2
@@ -184,7 +184,7 @@ def _mean_weights(chunks: DataFrame, folder: str, shape: recurrent.Shape, flat:
                 pick = np.flatnonzero(~c["held"] & (np.arange(len(starts)) % ROUNDS == turn))
                 weight = int(c["lengths"][pick].sum())
                 if weight:
-                    new = recurrent.train(shape, sent.value, c["symbols"], starts[pick], c["lengths"][pick])
+                    new = recurrent.train(shape, sent.value, c["symbols"], *recurrent.segments(starts[pick], c["lengths"][pick]))
                     yield pa.RecordBatch.from_arrays([pa.array([chunk % MODELS], pa.int32()), pa.array([float(weight)]), pa.array([new.tobytes()], pa.binary())], ["part", "weight", "model"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,8 +14,10 @@ import numpy as np
 #: Hidden units, words in a class, steps of a window.
 HIDDEN, CLASS_WORDS, WINDOW = 16, 32, 48
 #: Documents that run side by side in training and scoring.
-TRAIN_ROWS, SCORE_ROWS = 192, 4096
-LEARNING_RATE, CLIP = 0.008, 5.0
+TRAIN_ROWS, SCORE_ROWS = 384, 4096
+#: In training, a long document is learnt as segments of so many steps next to each other, each from an empty state.
+SEGMENT = 960
+LEARNING_RATE, CLIP = 0.01, 5.0
 
 
 class Shape:
@@ -59,6 +61,14 @@ class Shape:
         return flat
 
 
+def segments(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of all documents' segments."""
+    n = -(-lengths // SEGMENT)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first = np.repeat(starts, n) + nth * SEGMENT
+    return first, np.minimum(np.repeat(lengths, n) - nth * SEGMENT, SEGMENT)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
     np.exp(x, out=x)
