@@ -47,7 +47,7 @@ SUSPECT = 4
 HOT_TOKENS = 500_000
 #: Lists of up to this many documents give all their pairs at once.
 SMALL_LIST = 4
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 MAX_MATCHES = 6
 SALTS = 32
 #: Ids that are broadcast to pick documents; more are joined by key.
@@ -253,7 +253,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 yield _arrow("a b", np.array(a, np.int64)[keep], np.array(b, np.int64)[keep])
 
     pairs = common.stage(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = _picked(docs, ids, "left_semi")
     texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
