@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import shared_dir, stage  # noqa: F401  stage is used by the operators
+
 #: White space between words: space and the controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word: a run of anything else.
@@ -26,15 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="logweave-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one; it goes when the session's file systems close."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,20 +37,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name) + "/t"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder that :func:`new_folder` made and no later plan reads."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 def lookup_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "left") -> DataFrame:
     """Join ``rows`` to a table with one row per key (keys may be null).
 
