@@ -524,8 +524,8 @@ def lane_segments(spark, d):
     return _segments(spark, d)
 
 
-_DEPTH = _SEG + """, e AS (SELECT source_id, start_ts AS at, 1 AS d FROM g UNION ALL SELECT source_id, end_ts + INTERVAL 1 MICROSECOND, -1 FROM g),
-h AS (SELECT source_id, at, sum(d) AS d FROM e GROUP BY 1, 2), k AS (SELECT source_id, sum(d) OVER (PARTITION BY source_id ORDER BY at) AS level FROM h)
+_DEPTH = _SEG + """, e AS (SELECT source_id, start_ts AS moment, 1 AS d FROM g UNION ALL SELECT source_id, end_ts + INTERVAL 1 MICROSECOND, -1 FROM g),
+h AS (SELECT source_id, moment, sum(d) AS d FROM e GROUP BY 1, 2), k AS (SELECT source_id, sum(d) OVER (PARTITION BY source_id ORDER BY moment) AS level FROM h)
 SELECT source_id, max(level)::BIGINT AS tracks FROM k GROUP BY source_id"""
 
 
