@@ -14,6 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
+#: Ids of copies that are broadcast; more are joined by key.
+BROADCAST_IDS = 500_000
 #: Salts of the middle step, and parts over which the documents of one large group look up their winner.
 SALTS = 32
 
@@ -66,10 +70,15 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # what goes, per id and text: all rows of it, or all but one
     lost = groups.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("k"))
     lost = lost.filter("n > k").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("k").alias("__k"))
+    lost = common.stage(lost, "lost")
+    if lost.count() <= BROADCAST_IDS:
+        lost = F.broadcast(lost)
     marked = docs.withColumn("__s", F.sha2(normalised(F.col(text_col)), 256))
     marked = marked.join(lost, marked[id_col].eqNullSafe(lost["__id"]) & (marked["__s"] == lost["__sha"]), "left")
     gone = F.col("__k").isNotNull()
     whole = marked.filter(~gone).select(*[marked[c] for c in docs.columns])
+    if lost.filter("__k > 0").isEmpty():
+        return whole
     repeated = marked.filter(gone & (F.col("__k") > 0)).dropDuplicates(["__s", "__id"]).select(*docs.columns)
     return whole.unionByName(repeated)
 
