@@ -110,6 +110,37 @@ def test_repeated_passages(spark, texts):
     assert cut[11] == "" and cut[10] == texts[10]  # the copy goes whole, the first stays
 
 
+def test_passages_of_several_documents(spark):
+    """Every word's smallest holder against brute force; a passage of one document does not drop the words beside it."""
+    rng = np.random.default_rng(11)
+    new = lambda n: " ".join("v%d" % x for x in rng.integers(0, 1 << 40, n))
+    p, q, a, b, rest = (new(n) for n in (60, 60, 70, 80, 90))
+    texts = [f"{new(20)} {p} {new(30)}", f"{new(9)} {a}", f"{rest} {p} {q}", f"{rest} {p} {q}", f"{a} {b}", f"{new(5)} {q}", b, f"{rest} {p} {q}", f"{a} {new(30)} {b}"]
+    rows = substring_dedup.repeated_passages(_docs(spark, texts)).collect()
+    words, seen = [t.split() for t in texts], {}
+    for i, w in enumerate(words):
+        for j in range(len(w) - 50):
+            seen.setdefault(tuple(w[j : j + 51]), set()).add(i)
+    want = {}
+    for i, w in enumerate(words):
+        for j in range(len(w) - 50):
+            if len(holders := seen[tuple(w[j : j + 51])]) > 1:
+                for k in range(j, j + 51):
+                    want[i, k] = min(want.get((i, k), i), *holders)
+    got = {}
+    for r in rows:
+        assert r.n_words == r.end_word - r.start_word and r.drop == (r.first_doc_id < r.doc_id)
+        for k in range(r.start_word, r.end_word):
+            assert (r.doc_id, k) not in got
+            got[r.doc_id, k] = r.first_doc_id
+    assert got == want
+    cut = {r.doc_id: r.text.split() for r in substring_dedup.cut_repeats(_docs(spark, texts)).collect()}
+    kept = {tuple(w[j : j + 51]) for w in cut.values() for j in range(len(w) - 50)}
+    for x in (p, q, a, b, rest):
+        x = x.split()
+        assert {tuple(x[j : j + 51]) for j in range(len(x) - 50)} <= kept
+
+
 def test_compact_windows():
     h = RNG.integers(0, 1 << 62, 300, np.uint64)
     c, low, high = substring_dedup.compact_windows(h, 20)
