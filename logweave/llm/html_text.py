@@ -3,11 +3,14 @@
 A page becomes a light DOM: a scan over its tags that closes what HTML closes by itself (paragraphs, list items, table
 cells), drops scripts, styles, comments and the like, and treats the rest of the markup by nesting. For every node the
 density is its characters per tag, adjusted for links (text inside links counts against it, by its share of the node's
-and of the body's text). A node's density sum is the sum of its children's densities. The threshold is the smallest
-density on the path from the node of the largest density sum up to the body; among the nodes on that path and below it
-whose density reaches the threshold, the one with the largest density sum that also holds the largest text is the main
-subtree. Its blocks are printed in page order, without navigation, headers, footers, sidebars, notices, adverts, forms
-and comments inside it.
+and of the body's text). A node's density sum is the sum of its children's densities, without those that surround an
+article by tag, class or role. The main subtree is the node of the largest density sum, narrowed to the child that holds
+most of its text and has blocks of its own, and widened to an ``article`` or ``main`` around it. The threshold is the
+smallest density on the path from there to the body. Beside that path only what reaches the threshold stays: paragraphs
+and texts as long as the main subtree's mean block; and headings before it. Lists of
+links below the threshold go everywhere. The blocks are printed in page order, without navigation, headers, footers,
+sidebars, notices, adverts, forms and comments. A class, role or form marks no surroundings where it holds the page's
+article or most of its text outside of links.
 
 Defined results: null, empty or tagless html gives an empty text or its plain text; unclosed and stray tags never fail;
 repeated rows give a row each; an empty table gives an empty result; further columns are ignored.
@@ -52,6 +55,12 @@ AROUND_WORDS = frozenset(
     " footer header masthead menu nav navbar navigation sidebar side widget related recommended share sharing social"
     " toolbar pagination pager search login complementary contentinfo alert".split()
 )
+#: Of these, what marks the readers' part of a page even where it is the longer one.
+COMMENT_WORDS = frozenset("comment comments respond disqus".split())
+PARAGRAPHS = frozenset("p blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: So many links make a list.
+LIST_LINKS = 3
 #: Start tags that end an open element of the second kind, up to the nearest element of the third.
 ENDS_P = BLOCKS - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 IMPLIED = {
@@ -66,26 +75,25 @@ IMPLIED = {
 
 
 class Node:
-    __slots__ = ("around", "chars", "density", "items", "link_chars", "links", "parent", "sum", "tag", "tags")
+    __slots__ = ("around", "chars", "doubtful", "density", "items", "link_chars", "links", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, around: bool = False):
-        self.tag, self.parent, self.around = tag, parent, around
+    def __init__(self, tag: str, parent: Node | None, around: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.around, self.doubtful = tag, parent, around, doubtful
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.sum = 0.0
 
 
-def _is_around(tag: str, attributes: str, inside_article: bool) -> bool:
+def _is_around(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether a node surrounds an article; whether that is in doubt, by how much of the page it holds."""
+    if attributes and _HIDDEN.search(attributes):
+        return True, False
     if tag in AROUND or (tag == "header" and not inside_article):
-        return True
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
+        return True, tag == "form"
+    if not attributes or tag in ("body", "html", "article", "main"):
+        return False, False
     words = {w for m in _CLASS.finditer(attributes) for w in _NOT_WORD.split((m[1] or m[2] or m[3] or "").lower())}
-    return not AROUND_WORDS.isdisjoint(words)
+    return not AROUND_WORDS.isdisjoint(words), COMMENT_WORDS.isdisjoint(words)
 
 
 def parse(page: str) -> Node:
@@ -142,7 +150,7 @@ def parse(page: str) -> Node:
                 inside = True
                 break
             up = up.parent
-        child = Node(tag, node, _is_around(tag, m[3], inside))
+        child = Node(tag, node, *_is_around(tag, m[3], inside))
         node.items.append(child)
         node = child
     if at < len(page):
@@ -171,50 +179,111 @@ def measure(root: Node) -> None:
                 node.links += x.links + (x.tag == "a")
     body_share = root.link_chars / max(root.chars, 1)
     for node, _ in order:
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, max(node.links, 1)
-        if not c:
-            continue
-        base = math.log(c / max(c - lc, 1) * lc + body_share * c + math.e)
-        inner = c / max(lc, 1) * t / lt
-        node.density = c / t * (math.log(inner) / math.log(base) if inner > 1 and base > 1 else 0.0)
+        node.density = _density(node.chars, node.tags, node.link_chars, node.links, body_share)
+    _clear_holders(root, [node for node, _ in order])
     for node, _ in order:
-        node.sum = sum(x.density for x in node.items if not isinstance(x, str))
+        node.sum = sum(x.density for x in node.items if not isinstance(x, str) and not x.around)
+
+
+def _density(c: int, t: int, lc: int, lt: int, body_share: float) -> float:
+    if not c:
+        return 0.0
+    t, lt = max(t, 1), max(lt, 1)
+    base = math.log(c / max(c - lc, 1) * lc + body_share * c + math.e)
+    inner = c / max(lc, 1) * t / lt
+    return c / t * (math.log(inner) / math.log(base) if inner > 1 and base > 1 else 0.0)
+
+
+def _plain(node: Node) -> int:
+    """Characters outside of links."""
+    return node.chars - node.link_chars
+
+
+def _clear_holders(root: Node, nodes: list[Node]) -> None:
+    """Nodes that hold the article, or most of the page's text, surround nothing, whatever their class says."""
+    articles = [x for x in nodes if x.tag in ("article", "main")]
+    up = max(articles, key=_plain, default=None)
+    while up is not None:
+        if up.doubtful:
+            up.around = False
+        up = up.parent
+    for x in nodes:
+        if x.around and x.doubtful and 2 * _plain(x) > _plain(root):
+            x.around = False
 
 
 def main_subtree(root: Node) -> Node:
-    """The subtree of the article."""
+    """The page's tree, where all but the article is marked as around it."""
     measure(root)
     nodes, stack = [], [root]
     while stack:
         node = stack.pop()
         nodes.append(node)
         stack += [x for x in node.items if not isinstance(x, str) and not x.around]
-    best = max(nodes, key=lambda x: x.sum)  # the first in page order of equals
-    path, threshold = [best], best.density
+    found = max(nodes, key=lambda x: x.sum)  # the first in page order of equals
+    while inner := _narrower(found):
+        found = inner
+    path = [found]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-        threshold = min(threshold, path[-1].density)
-    # what reaches the threshold: on the path, the highest node that holds no more than the article and its surroundings
-    found = best
-    for up in path[1:]:
-        own = _article_chars(up)
-        if up.density < threshold or up is root and own == _article_chars(found):
+    for tag in ("article", "main"):  # the outermost article, else the outermost main
+        if at := [i for i, x in enumerate(path) if x.tag == tag]:
+            found, path = path[at[-1]], path[at[-1] :]
             break
-        if own > _article_chars(found) or up.tag in ("article", "main"):
-            found = up
-    return found
+    threshold = min(x.density for x in path)
+    if 2 * found.link_chars <= found.chars:  # a page of links is all lists
+        for x in _inside(found):
+            if x is not found and _is_list(x, threshold):
+                x.around = True
+    size = _plain(found) / max(sum(x.tag in BLOCKS and x.chars > 0 for x in _inside(found)), 1)
+    body_share = root.link_chars / max(root.chars, 1)
+    for child, up in zip(path, path[1:], strict=False):
+        before = True
+        for i, x in enumerate(up.items):
+            if x is child:
+                before = False
+            elif isinstance(x, str):
+                n = len(" ".join(x.split()))
+                if n and (n < size or _density(n, 0, 0, 0, body_share) < threshold):
+                    up.items[i] = "\n"
+            elif not x.around and not _stays(x, threshold, size, before):
+                x.around = True
+            elif not x.around:
+                for y in _inside(x):
+                    if _is_list(y, threshold):
+                        y.around = True
+    return root
+
 
+def _narrower(node: Node) -> Node | None:
+    """The child that holds most of the node's text, in blocks of its own."""
+    children = [x for x in node.items if not isinstance(x, str) and not x.around]
+    total = sum(map(_plain, children)) + sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
+    for x in children:
+        if x.tag not in PARAGRAPHS and 2 * _plain(x) > total:
+            return x if any(not isinstance(y, str) and y.tag in BLOCKS and not y.around and y.chars for y in x.items) else None
+    return None
 
-def _article_chars(node: Node) -> int:
-    total, stack = 0, [node]
+
+def _inside(node: Node) -> Iterator[Node]:
+    stack = [node]
     while stack:
         x = stack.pop()
-        for y in x.items:
-            if isinstance(y, str):
-                total += 0 if y.isspace() else len(y)
-            elif not y.around:
-                stack.append(y)
-    return total
+        yield x
+        stack += [y for y in x.items if not isinstance(y, str) and not y.around]
+
+
+def _is_list(x: Node, threshold: float) -> bool:
+    return x.tag in BLOCKS and x.links >= LIST_LINKS and 2 * x.link_chars > x.chars and x.density < threshold
+
+
+def _stays(x: Node, threshold: float, size: float, before: bool) -> bool:
+    """A node beside the main subtree's path is text of the article."""
+    if 2 * x.link_chars > x.chars:
+        return False
+    if x.tag in HEADINGS:
+        return before
+    return x.density >= threshold and (x.tag in PARAGRAPHS or _plain(x) >= size)
 
 
 def blocks(node: Node) -> Iterator[str]:

@@ -229,6 +229,29 @@ def test_html():
     assert html_text.main_text("plain &amp; text") == "plain & text"
 
 
+def test_html_boilerplate_without_names():
+    text = ["".join(f"Sentence {k} of part {i} tells something new, at some length. " for k in range(6)).strip() for i in range(4)]
+    links = "".join(f"<li><a href=/{i}>Page number {i}</a></li>" for i in range(12))
+    paragraphs = "".join(f"<p>{t}</p>" for t in text)
+    want = "\n\n".join(text)
+    # link lists, notices and footers in elements that no tag or class tells of
+    around = f"<div class=links>{links}</div><ul>{links}</ul><div>We ask for your attention.</div>"
+    for page in (
+        f"<body>{around}<div class=x>{paragraphs}</div><div>All rights kept, 2024.</div></body>",
+        f"<body><table><tr><td>{links}</td><td><div>{paragraphs}</div></td><td>Shop</td></tr></table></body>",
+        f"<body>{around}<div><div>{''.join(f'<p>{t}</p>' for t in text[:3])}</div><div><p>{text[3]}</p></div></div></body>",
+        f"<body><article>{paragraphs}<ul>{links}</ul></article><div>Short footer</div></body>",
+        # wrappers whose class or tag would hide the article
+        f"<body><ul>{links}</ul><div class='page with-sidebar side'>{paragraphs}</div></body>",
+        f"<body><div class='social widget'><article>{paragraphs}</article></div></body>",
+        f"<body><form><ul>{links}</ul><div>{paragraphs}</div></form></body>",
+    ):
+        assert html_text.main_text(page) == want
+    assert html_text.main_text(f"<body><ul>{links}</ul><div id=c><h1>Head</h1><div>{paragraphs}</div></div></body>") == f"Head\n\n{want}"
+    listed = f"<body><article>{paragraphs}<ul><li>one</li><li>two</li></ul></article></body>"
+    assert html_text.main_text(listed) == f"{want}\n\none\n\ntwo"
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>text one</p>"), (2, None, None)], "page_id long, url string, html string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract(pages).orderBy("page_id").collect()] == [(1, "text one", 8), (2, "", 0)]
