@@ -325,6 +325,18 @@ def test_license_scan(spark):
     assert all(got[i][0] == "none" for i in range(6, 66))
 
 
+def test_license_scan_wrapped(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public\n# License"
+    mit = " * Permission is hereby granted, free of charge, to any\n * person obtaining a copy of this software and\n * associated documentation files"
+    prose = [f"{_text(12)}\nThe film was {a} in May and {b} in\n{c} cinemas {_text(4)}" for a in ("released", "granted") for b in ("distributed", "permitted") for c in ("free", "all")]
+    texts = [f"{_text(9)}\n\n{bsd}\n\n{_text(9)}", f"#!/bin/x\n#\n{gpl}\n#\n{_text(9)}", f"/*\n{mit}\n */\n{_text(9)}", f"{_text(9)}\n{bsd}\n{_text(9)}"]
+    got = {r.doc_id: (r.family, r.confirmed, r.line) for r in license_scan.scan(_docs(spark, [*texts, *prose, *(_text(30) for _ in range(40))])).collect()}
+    assert [got[i][:2] for i in range(4)] == [("bsd", True), ("gpl-3.0", True), ("mit", True), ("bsd", True)]
+    assert [got[i][2] for i in range(4)] == [2, 2, 1, 0]
+    assert {got[i][0] for i in range(4, 52)} == {"none"}
+
+
 def test_lm_scores(spark, texts):
     many = [*texts, *(_text(60) for _ in range(150))]
     rows = lm_score.score_documents(_docs(spark, many)).collect()
