@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-A page becomes a light DOM: a scan over its tags that closes what HTML closes by itself (paragraphs, list items, table
-cells), drops scripts, styles, comments and the like, and treats the rest of the markup by nesting. For every node the
+A page becomes a light DOM: one forward scan over its tags that closes what HTML closes by itself (paragraphs, list items,
+table cells), drops scripts, styles, comments and the like, and treats the rest of the markup by nesting, in time that
+grows with the page's length whatever its markup. For every node the
 density is its characters per tag, adjusted for links (text inside links counts against it, by its share of the node's
 and of the body's text). A node's density sum is the sum of its children's densities, without those that surround an
 article by tag, class or role. The main subtree is the node of the largest density sum, narrowed to the child that holds
@@ -9,8 +10,9 @@ most of its text and has blocks of its own, and widened to an ``article`` or ``m
 smallest density on the path from there to the body. Beside that path only what reaches the threshold stays: paragraphs
 and texts as long as the main subtree's mean block; and headings before it. Lists of
 links below the threshold go everywhere. The blocks are printed in page order, without navigation, headers, footers,
-sidebars, notices, adverts, forms and comments. A class, role or form marks no surroundings where it holds the page's
-article or most of its text outside of links.
+sidebars, notices, adverts, forms and comments. Names in class, id or role mark surroundings only where all of their words
+do, and neither they nor a form where they hold the page's article or most of its text outside of links (readers'
+comments: nearly all).
 
 Defined results: null, empty or tagless html gives an empty text or its plain text; unclosed and stray tags never fail;
 repeated rows give a row each; an empty table gives an empty result; further columns are ignored.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,16 +32,20 @@ from pyspark.sql import functions as F
 
 PAGES_AT_ONCE = 64
 
-_TAG = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?"
-    r"|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"<]*\"|'[^'<]*')*+(?=>)|[^>]*)>)",  # broken quotes: up to the next >
+#: A comment, another declaration, or a tag. A tag ends at its ``>``, or before a ``<`` outside of quotes. Every position
+#: is passed a bounded number of times: runs never give back, and a quote is looked for up to the next one only.
+_MARK = re.compile(
+    r"<(?:!--(?:.*?-->|.*)|[!?][^>]*+>?"
+    r"|(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"<]*+\"|\"[^\"]*+\"(?=[\s/>])|'[^'<]*+'|'[^']*+'(?=[\s/>])|[\"'])*+)>?)",
     re.S,
 )
 _CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _SPACES = re.compile(r"\s+")
-_NOT_WORD = re.compile(r"[^a-z0-9]+")
+_NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
+#: Elements nested deeper than this are taken as if they lay beside each other.
+DEPTH = 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title".split())
@@ -48,15 +55,23 @@ BLOCKS = frozenset(
 )
 #: Never part of an article.
 AROUND = frozenset("nav aside footer form button dialog menu head".split())
-#: Words in class, id or role that mark what surrounds an article.
+#: Words in class, id or role that mark what surrounds an article: where each word of a name is one of them or says no
+#: more than that something is there (PLAIN_NAMES). So ``site-footer`` does, ``with-sidebar`` or ``related-work`` don't.
 AROUND_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner breadcrumb breadcrumbs"
-    " comment comments respond disqus cookie cookies consent gdpr notice popup modal newsletter subscribe signup"
-    " footer header masthead menu nav navbar navigation sidebar side widget related recommended share sharing social"
+    " comment comments respond disqus cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup"
+    " footer header masthead menu nav navbar navigation sidebar widget widgets related recommended share sharing social"
     " toolbar pagination pager search login complementary contentinfo alert".split()
 )
+PLAIN_NAMES = frozenset(
+    "a area bar bars block blocks bottom box boxes btn button buttons container div entry form global icons inner item items"
+    " layer left links list lists main middle outer overlay page panel post posts primary reader readers right row secondary"
+    " section sections site slot space strip text thread title top unit user users wrap wrapper zone".split()
+)
 #: Of these, what marks the readers' part of a page even where it is the longer one.
 COMMENT_WORDS = frozenset("comment comments respond disqus".split())
+#: Of these, what names the head of an article too, inside of one.
+HEAD_WORDS = frozenset("header banner".split())
 PARAGRAPHS = frozenset("p blockquote pre".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: So many links make a list.
@@ -75,55 +90,84 @@ IMPLIED = {
 
 
 class Node:
-    __slots__ = ("around", "chars", "doubtful", "density", "items", "link_chars", "links", "parent", "sum", "tag", "tags")
-
-    def __init__(self, tag: str, parent: Node | None, around: bool = False, doubtful: bool = False):
-        self.tag, self.parent, self.around, self.doubtful = tag, parent, around, doubtful
+    __slots__ = ("around", "chars", "density", "depth", "doubtful", "inside", "items", "link_chars", "links", "parent", "sum", "tag", "tags")
+
+    def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
+        self.tag, self.parent = tag, parent
+        self.depth = parent.depth + 1 if parent else 0
+        #: Whether it lies in an article or is one.
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        self.around, self.doubtful = _is_around(tag, attributes, self.inside)
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.sum = 0.0
 
 
-def _is_around(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+def _is_around(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether a node surrounds an article; whether that is in doubt, by how much of the page it holds."""
     if attributes and _HIDDEN.search(attributes):
         return True, False
-    if tag in AROUND or (tag == "header" and not inside_article):
+    if tag in AROUND or (tag == "header" and not inside):
         return True, tag == "form"
     if not attributes or tag in ("body", "html", "article", "main"):
         return False, False
-    words = {w for m in _CLASS.finditer(attributes) for w in _NOT_WORD.split((m[1] or m[2] or m[3] or "").lower())}
-    return not AROUND_WORDS.isdisjoint(words), COMMENT_WORDS.isdisjoint(words)
+    listed = AROUND_WORDS - HEAD_WORDS if inside else AROUND_WORDS
+    around = False
+    for m in _CLASS.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {x.lower() for x in _NAME_PARTS.findall(name)}
+            if words & listed and words <= listed | PLAIN_NAMES:
+                if words & COMMENT_WORDS:
+                    return True, False
+                around = True
+    return around, True
 
 
 def parse(page: str) -> Node:
-    """The body of a page."""
+    """The body of a page, in one pass."""
     root = Node("body", None)
     node, at = root, 0
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
+    opened: Counter[str] = Counter()
+    beyond: Counter[str] = Counter()  # of those too deep
+    endless: set[str] = set()
+
+    def close(to: Node) -> Node:
+        x = node
+        while x is not to:
+            opened[x.tag] -= 1
+            x = x.parent
+        return to
+
+    while m := _MARK.search(page, at):
         if m.start() > at:
             node.items.append(page[at : m.start()])
         at = m.end()
-        tag = m[2].lower() if m[2] else None
-        if tag is None:
+        if not m[2]:
             continue
+        tag = m[2].lower()
         if m[1]:
-            if tag in VOID:
+            if beyond[tag]:
+                beyond[tag] -= 1
+                node.items.append(Node("div", node) if tag in BLOCKS else "")
+                continue
+            if tag in VOID or not opened[tag]:
                 continue
             up = node
-            while up is not root and up.tag != tag:
+            while up.tag != tag:
                 if up.tag in BLOCKS and tag not in BLOCKS:  # an inline end tag does not end blocks
-                    up = root
+                    up = None
                     break
                 up = up.parent
-            if up is not root:
-                node = up.parent
+            if up is not None:
+                node = close(up.parent)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else (len(page) if tag in ("script", "style") else at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+            if end:
+                at = page.find(">", end.end()) + 1 or len(page)
+            else:
+                endless.add(tag)  # nor is there one further on
+                at = len(page) if tag in ("script", "style") else at
             if tag not in ("script", "style"):
                 node.items.append(" ")
             continue
@@ -133,24 +177,22 @@ def parse(page: str) -> Node:
             node.tags += 1
             node.items.append("\n" if tag in ("br", "hr") else " " if tag in ("img", "input") else "")
             continue
-        if rule := IMPLIED.get(tag):
+        if (rule := IMPLIED.get(tag)) and any(opened[x] for x in rule[0]):
             up = node
             while up is not root and up.tag not in rule[1]:
                 if up.tag in rule[0]:
-                    node = up.parent
+                    node = close(up.parent)
                     break
                 up = up.parent
         if m[3].endswith("/") and tag not in BLOCKS:
             node.tags += 1
             continue
-        inside = False
-        up = node
-        while up is not None:
-            if up.tag in ("article", "main"):
-                inside = True
-                break
-            up = up.parent
-        child = Node(tag, node, *_is_around(tag, m[3], inside))
+        if node.depth >= DEPTH:
+            beyond[tag] += 1
+            node.items.append(Node("div" if tag in BLOCKS else tag, node))  # the border alone
+            continue
+        child = Node(tag, node, m[3])
+        opened[tag] += 1
         node.items.append(child)
         node = child
     if at < len(page):
@@ -201,7 +243,11 @@ def _plain(node: Node) -> int:
 
 def _clear_holders(root: Node, nodes: list[Node]) -> None:
     """Nodes that hold the article, or most of the page's text, surround nothing, whatever their class says."""
-    articles = [x for x in nodes if x.tag in ("article", "main")]
+    apart = set()  # in what is marked beyond doubt, as the readers' comments
+    for x in nodes:  # parents first
+        if (x.around and not x.doubtful) or x.parent in apart:
+            apart.add(x)
+    articles = [x for x in nodes if x.tag in ("article", "main") and x not in apart]
     up = max(articles, key=_plain, default=None)
     while up is not None:
         if up.doubtful:
@@ -210,6 +256,8 @@ def _clear_holders(root: Node, nodes: list[Node]) -> None:
     for x in nodes:
         if x.around and x.doubtful and 2 * _plain(x) > _plain(root):
             x.around = False
+        elif x.around and x.tag not in AROUND and 10 * _plain(x) > 9 * _plain(root):
+            x.around = False
 
 
 def main_subtree(root: Node) -> Node:
