@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
@@ -51,7 +52,20 @@ def lookup_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: Colu
     right = small.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
     right = right.select(*[F.col(k).alias(f"__{k}") for k in keys], "__s", *[c for c in small.columns if c not in keys])
     on = [left["__salt"] == right["__s"], *[left[k].eqNullSafe(right[f"__{k}"]) for k in keys]]
-    return left.join(right, on, how).drop("__salt", "__s", *[f"__{k}" for k in keys])
+    return left.join(right.hint("merge"), on, how).drop("__salt", "__s", *[f"__{k}" for k in keys])
+
+
+def deal(rows: DataFrame, part: str, n: int) -> DataFrame:
+    """The rows with each number 0 to n - 1 of the column ``part`` in a task of its own.
+
+    ``repartition`` by the number would put several into one task: their hashes are dealt, so a number whose hash falls
+    to each task is looked for first.
+    """
+    if n == 1:
+        return rows.repartition(1)
+    numbers = rows.sparkSession.range(int(n * (math.log(n) + 12)))
+    keys = numbers.groupBy(F.pmod(F.hash("id"), F.lit(n)).cast("int").alias(part)).agg(F.min("id").alias("__key"))
+    return lookup_join(rows, stage(keys, "keys"), [part], F.col(rows.columns[0])).repartition(n, "__key").drop("__key")
 
 
 def word_count(text: Column) -> Column:

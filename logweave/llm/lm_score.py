@@ -1,16 +1,19 @@
 """Language-model scoring of whole documents.
 
-Training tokens are counted over all training documents: tasks give their documents' words local numbers, chunk by chunk
-(CHUNK_CHARS of text), keep the numbered documents as a file in the shared folder and send (chunk, word, count) rows,
-which are summed by word; the totals go back to the chunks. Each chunk then becomes symbols: the TOP most frequent words,
-and bands of the rarer ones by powers of two of their count; words of one occurrence and unknown words are one band. The
-gated recurrent model (``recurrent``) predicts symbols, and a word's share of its band (by count; the unknown word is one
-more word of the lowest band, with the mass that its words of one and two occurrences leave to it) makes the sum
-over all words and the unknown one 1.
+Documents are dealt by hash to chunks of about CHUNK_CHARS of text, each a task of its own and in a fixed order, so that
+nothing depends on how the input lies in files. Words are 64-bit hashes. A chunk numbers its words, keeps the numbered
+documents as a file in the shared folder and sends (chunk, word, count) rows, which are summed by word over all training
+documents; the totals go back to the chunks. Each chunk then becomes symbols: the most frequent words, as many as
+:func:`modelled` says (their number grows with the training tokens, as do the classes of the softmax), and bands of the
+rarer ones by powers of two of their count; words of one occurrence and unknown words are one band. The gated recurrent
+model (``recurrent``) predicts symbols, and a word's share of its band (by count; the unknown word is one more word of the
+lowest band, with the mass that its words of one and two occurrences leave to it) makes the sum over all words and the
+unknown one 1.
 
 ROUNDS passes train on the executors, each over another part of all training documents: every chunk starts from the
-common weights and their means, weighted by tokens, are the next ones (averaged on the executors first, so that the driver
-sees a bounded number of models). Files are named by attempt and found through the rows of the attempts that succeeded.
+common weights and their means, weighted by tokens, are the next ones. Means are taken over FAN models at a time, in the
+order of the chunks, until few are left for the driver. Files are named by attempt and found through the rows of the
+attempts that succeeded.
 
 Defined results: null or empty text is the end token alone; a null id counts as the empty string for the split; repeated
 rows are scored each (and count each); without training documents N and V are 0 and only the uniform model remains; an
@@ -32,24 +35,23 @@ from pyspark.sql import functions as F
 
 from . import common, recurrent
 from .packing import text_slices
+from .shingles import word_hashes
 from .token_store import _fs
 
-CHUNK_CHARS = 32_000_000
-TOP = 512
+CHUNK_CHARS = 16_000_000
 BANDS = 48
-ROUNDS = 2
-#: Models that reach the driver in a round.
-MODELS = 16
+ROUNDS = 4
+#: Models that are averaged in one task; that reach the driver in a round.
+FAN, MODELS = 16, 8
 HELD_OUT_OF = 10
 SMOOTH = 0.1
+#: The end of a document, among the hashes of words.
+END = np.uint64(0)
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def modelled(tokens: int) -> int:
+    """Words that the model tells apart, for a number of training tokens."""
+    return int(2 * tokens**0.4)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -71,43 +73,41 @@ def _load(path: str) -> dict[str, np.ndarray]:
 
 
 def _number_words(docs: DataFrame, folder: str) -> DataFrame:
-    """``chunk, number, word, n`` (n: occurrences in training documents); the numbered documents go to files."""
+    """``chunk, file, number, word, n`` (n: occurrences in training documents) of dealt ``chunk, doc_id, text``."""
 
-    def flush(numbers: _Numbers, ids: list, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        chunk = uuid.uuid4().int >> 65
+    def flush(chunk: int, ids: list, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        file = uuid.uuid4().int >> 65
         lengths = np.array([len(x) for x in parts], np.int64)
-        tokens = np.concatenate(parts)
+        words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
         held = np.array([held_out(i) for i in ids], bool)
-        _save(f"{folder}/{chunk}.words", tokens=tokens, lengths=lengths, held=held, ids=np.array([i or 0 for i in ids], np.int64), has_id=np.array([i is not None for i in ids], bool))
-        n = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(numbers))
-        words = list(numbers)
+        _save(f"{folder}/{file}.words", tokens=tokens.astype(np.int32), lengths=lengths, held=held, ids=np.array([i or 0 for i in ids], np.int64), has_id=np.array([i is not None for i in ids], bool))
+        n = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(words))
         for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
+            part = words[at : at + 50_000].view(np.int64)
+            m = len(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), chunk, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.binary()), pa.array(n[at : at + len(part)].astype(np.int64))],
-                ["chunk", "number", "word", "n"],
+                [pa.array(np.full(m, chunk, np.int32)), pa.array(np.full(m, file, np.int64)), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(part), pa.array(n[at : at + m].astype(np.int64))],
+                ["chunk", "file", "number", "word", "n"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, ids, parts, chars = _Numbers(), [], [], 0
-        end = numbers[b""]  # no word is empty
+        chunk, ids, parts = None, [], []
         for batch in batches:
+            chunks = batch.column(2).to_pylist()
+            at = 0
             for doc_ids, texts in text_slices(batch):
-                for doc_id, text in zip(doc_ids, texts, strict=True):
-                    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-                    words.append(b"")
-                    parts.append(np.array([numbers[w] for w in words], np.int32))
+                for doc_id, words in zip(doc_ids, word_hashes(texts), strict=True):
+                    if chunks[at] != chunk:
+                        if ids:
+                            yield from flush(chunk, ids, parts)
+                        chunk, ids, parts = chunks[at], [], []
                     ids.append(doc_id)
-                    chars += len(text)
-                if chars >= CHUNK_CHARS:
-                    yield from flush(numbers, ids, parts)
-                    numbers, ids, parts, chars = _Numbers(), [], [], 0
-                    end = numbers[b""]
-        assert end == 0
+                    parts.append(np.append(words, END))
+                    at += 1
         if ids:
-            yield from flush(numbers, ids, parts)
+            yield from flush(chunk, ids, parts)
 
-    return docs.mapInArrow(run, "chunk long, number int, word binary, n long")
+    return docs.select("doc_id", "text", "chunk").mapInArrow(run, "chunk int, file long, number int, word long, n long")
 
 
 def _band(counts: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def _band(counts: np.ndarray) -> np.ndarray:
 
 
 class Counts:
-    """What the corpus tells the model besides weights; its size does not depend on the corpus."""
+    """What the corpus tells the model besides weights: totals, and the counts of the modelled words and the bands."""
 
     def __init__(self, total: int, distinct: int, top: list[int], bands: dict[int, tuple[int, int]], once: int, twice: int):
         self.total, self.distinct, self.top = total, distinct, len(top)
@@ -136,72 +136,86 @@ class Counts:
 
 
 def _symbols(rows: DataFrame, folder: str, counts: Counts) -> DataFrame:
-    """Turns every chunk's numbers into symbols and base scores, kept as a file: ``chunk, docs, tokens``."""
+    """Turns every chunk's numbers into symbols and base scores, kept as a file: ``chunk, file``."""
 
-    def finish(chunk: int, totals: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
-        c = _load(f"{folder}/{chunk}.words")
+    def finish(chunk: int, file: int, totals: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
+        c = _load(f"{folder}/{file}.words")
         tokens, lengths = c["tokens"], c["lengths"]
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         with np.errstate(divide="ignore"):
             base = np.log10((totals + SMOOTH) / (counts.total + SMOOTH * (counts.distinct + 1)))
             inner = np.where(totals == 0, counts.unknown_in_band, np.where(totals == 1, counts.single, np.log10(np.maximum(totals, 1)) - counts.log_mass[_band(totals)]))
         inner[ranks >= 0] = 0.0
-        symbol = np.where(ranks >= 0, ranks, counts.top + _band(totals)).astype(np.uint16)
-        held = c["held"]
+        symbol = np.where(ranks >= 0, ranks, counts.top + _band(totals)).astype(np.int32)
+        made = uuid.uuid4().int >> 65
         _save(
-            f"{folder}/{chunk}.symbols", symbols=symbol[tokens], lengths=lengths, held=held, ids=c["ids"], has_id=c["has_id"],
+            f"{folder}/{made}.symbols", symbols=symbol[tokens], lengths=lengths, held=c["held"], ids=c["ids"], has_id=c["has_id"],
             known=np.add.reduceat((totals > 0)[tokens].astype(np.int64), starts), base=np.add.reduceat(base[tokens], starts), inner=np.add.reduceat(inner[tokens], starts),
         )
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([int(lengths[~held].sum())], pa.int64())], ["chunk", "tokens"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([made], pa.int64())], ["chunk", "file"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, totals, ranks = None, [], []
+        at, totals, ranks = None, [], []
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]  # chunk, number, total, rank
-            edges = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]) if batch.num_rows else []
+            chunks, files, _, total, rank = (batch.column(i).to_numpy() for i in range(5))
+            edges = np.flatnonzero(np.r_[True, files[1:] != files[:-1]]) if batch.num_rows else []
             for a, b in zip(edges, [*edges[1:], batch.num_rows], strict=True):
-                if chunk is not None and cols[0][a] != chunk:
-                    yield finish(chunk, np.concatenate(totals), np.concatenate(ranks))
+                here = (int(chunks[a]), int(files[a]))
+                if at is not None and at != here:
+                    yield finish(*at, np.concatenate(totals), np.concatenate(ranks))
                     totals, ranks = [], []
-                chunk = int(cols[0][a])
-                totals.append(cols[2][a:b])
-                ranks.append(cols[3][a:b])
-        if chunk is not None:
-            yield finish(chunk, np.concatenate(totals), np.concatenate(ranks))
+                at = here
+                totals.append(total[a:b])
+                ranks.append(rank[a:b])
+        if at is not None:
+            yield finish(*at, np.concatenate(totals), np.concatenate(ranks))
 
-    return rows.mapInArrow(run, "chunk long, tokens long")
+    return rows.mapInArrow(run, "chunk int, file long")
 
 
-def _mean_weights(chunks: DataFrame, folder: str, shape: recurrent.Shape, flat: np.ndarray, turn: int) -> np.ndarray:
+def _mean_weights(chunks: DataFrame, n_chunks: int, folder: str, shape: recurrent.Shape, flat: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     """One round: the weighted mean of what the chunks' training documents of this turn make of the weights."""
     sent = chunks.sparkSession.sparkContext.broadcast(flat)
 
+    def told(part: int, weight: float, model: np.ndarray) -> pa.RecordBatch:
+        file = uuid.uuid4().int >> 65
+        _save(f"{folder}/{file}.model", model=model)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([weight]), pa.array([file], pa.int64())], ["part", "weight", "file"])
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in batch.column(0).to_pylist():
-                c = _load(f"{folder}/{chunk}.symbols")
+            for chunk, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c = _load(f"{folder}/{file}.symbols")
                 starts = np.r_[0, np.cumsum(c["lengths"])[:-1]]
-                pick = np.flatnonzero(~c["held"] & (np.arange(len(starts)) % ROUNDS == turn))
-                weight = int(c["lengths"][pick].sum())
+                pick = np.flatnonzero(~c["held"] & (np.arange(len(starts)) % rounds == turn))
+                weight = float(c["lengths"][pick].sum())
                 if weight:
-                    new = recurrent.train(shape, sent.value, c["symbols"], *recurrent.segments(starts[pick], c["lengths"][pick]))
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk % MODELS], pa.int32()), pa.array([float(weight)]), pa.array([new.tobytes()], pa.binary())], ["part", "weight", "model"])
+                    yield told(chunk, weight, recurrent.train(shape, sent.value, c["symbols"], *recurrent.segments(starts[pick], c["lengths"][pick])))
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = np.zeros(shape.size), 0.0
+        part, total, weight = None, np.zeros(shape.size), 0.0
         for batch in batches:
-            for w, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                total += w * np.frombuffer(m, np.float32)
+            for p, w, file in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if p // FAN != part:
+                    if weight:
+                        yield told(part, weight, (total / weight).astype(np.float32))
+                    part, total, weight = p // FAN, np.zeros(shape.size), 0.0
+                total += w * _load(f"{folder}/{file}.model")["model"]
                 weight += w
         if weight:
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["weight", "model"])
-
-    models = chunks.mapInArrow(fit, "part int, weight double, model binary")
-    models = models.repartition(MODELS, "part").mapInArrow(mean, "weight double, model binary").collect()
-    if not models:
+            yield told(part, weight, (total / weight).astype(np.float32))
+
+    schema = "part int, weight double, file long"
+    models, n = common.stage(chunks.mapInArrow(fit, schema), "models"), n_chunks
+    while n > MODELS:
+        n = -(-n // FAN)
+        groups = models.repartition(n, F.floor(F.col("part") / FAN)).sortWithinPartitions("part")
+        models = common.stage(groups.mapInArrow(mean, schema), "models")
+    found = models.orderBy("part").collect()  # at most MODELS
+    if not found:
         return flat
-    weights = np.array([m[0] for m in models])
-    return np.average([np.frombuffer(bytes(m[1]), np.float32) for m in models], axis=0, weights=weights).astype(np.float32)
+    total = sum(m["weight"] * _load(f"{folder}/{m['file']}.model")["model"].astype(np.float64) for m in found)
+    return (total / sum(m["weight"] for m in found)).astype(np.float32)
 
 
 ROWS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -211,7 +225,12 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: ROWS (scores are log10 probabilities of the whole text and its end)."""
     spark = docs.sparkSession
     folder = common.new_folder(spark, "lm")
-    words = _number_words(docs.select(F.col("doc_id").cast("long"), F.col("text")), folder)
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    chars = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    n_chunks = max(-(-chars // CHUNK_CHARS), 1)
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
+    dealt = common.deal(docs, "chunk", n_chunks).sortWithinPartitions("chunk", "doc_id", F.xxhash64("text"))
+    words = _number_words(dealt, folder)
     of_word = Window.partitionBy("word")
     words = words.withColumn("total", F.sum("n").over(of_word)).withColumn("first", F.row_number().over(of_word.orderBy("chunk")) == 1)
     words = common.stage(words.drop("n"), "words")
@@ -219,25 +238,24 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     size = distinct.agg(F.sum("total"), F.count(F.lit(1)), F.sum((F.col("total") == 1).cast("long")), F.sum((F.col("total") == 2).cast("long"))).first()
     total, n_distinct, once, twice = (int(x or 0) for x in size)
-    top = distinct.filter("total > 1").orderBy(F.desc("total"), "word").limit(TOP).select("word", "total").collect()
-    ranks = [F.struct(F.lit(bytearray(w)).alias("word"), F.lit(i).alias("rank")) for i, (w, _) in enumerate(top)]
-    ranks = spark.range(1).select(F.inline(F.array(*ranks))) if ranks else spark.createDataFrame([], "word binary, rank int")
+    top = distinct.filter("total > 1").orderBy(F.desc("total"), "word").limit(modelled(total)).select("word", "total")
+    ranks = common.stage(top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "word"))), "top")  # few words
+    ranks = ranks.select("word", (F.col("rank") - 1).alias("rank"), F.col("total").alias("n"))
     rest = distinct.join(F.broadcast(ranks), "word", "left_anti")
     band = F.least(F.floor(F.log2("total") + 1e-9), F.lit(BANDS - 1)).cast("int")
     bands = {int(k): (int(t), int(n)) for k, t, n in rest.groupBy(band).agg(F.sum("total"), F.count(F.lit(1))).collect()}
-    counts = Counts(total, n_distinct, [t for _, t in top], bands, once, twice)
+    counts = Counts(total, n_distinct, [r["n"] for r in ranks.orderBy("rank").collect()], bands, once, twice)
 
-    chunk_ids = words.select("chunk").distinct().count()
-    back = words.join(F.broadcast(ranks), "word", "left").select("chunk", "number", "total", F.coalesce("rank", F.lit(-1)).cast("int").alias("rank"))
-    back = back.repartition(max(chunk_ids, 1), "chunk").sortWithinPartitions("chunk", "number")
-    chunks = common.stage(_symbols(back, folder, counts), "chunks")
-    per_task = chunks.repartition(max(chunk_ids, 1), "chunk").select("chunk")
+    back = words.join(F.broadcast(ranks), "word", "left").select("chunk", "file", "number", "total", F.coalesce("rank", F.lit(-1)).cast("int").alias("rank"))
+    back = common.deal(back, "chunk", n_chunks).sortWithinPartitions("chunk", "number")
+    chunks = common.stage(_symbols(back.select("chunk", "file", "number", "total", "rank"), folder, counts), "chunks")
+    per_task = common.stage(common.deal(chunks, "chunk", n_chunks).select("chunk", "file"), "dealt")
 
     shape = recurrent.Shape(counts.top, BANDS)
     flat = shape.start(counts.symbol_counts)
     if total:
         for turn in range(rounds):
-            flat = _mean_weights(per_task, folder, shape, flat, turn)
+            flat = _mean_weights(per_task, n_chunks, folder, shape, flat, turn, rounds)
 
     # a training word's own occurrence is not there for a new text: classes get the mass they have with one less
     seen = np.ones(shape.classes)
@@ -255,8 +273,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, shift = sent.value
         for batch in batches:
-            for chunk in batch.column(0).to_pylist():
-                c = _load(f"{folder}/{chunk}.symbols")
+            for file in batch.column(1).to_pylist():
+                c = _load(f"{folder}/{file}.symbols")
                 starts = np.r_[0, np.cumsum(c["lengths"])[:-1]]
                 model = recurrent.score(shape, weights, shift, c["symbols"], starts, c["lengths"]) / math.log(10) + c["inner"]
                 columns = [

@@ -7,12 +7,15 @@ the ones still going are always the first rows; the hidden state goes from windo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Hidden units, words in a class, steps of a window.
-HIDDEN, CLASS_WORDS, WINDOW = 16, 32, 48
+#: Hidden units, steps of a window.
+HIDDEN, WINDOW = 16, 48
+#: States whose softmax is computed together.
+SOFTMAX_ROWS = 8192
 #: Documents that run side by side in training and scoring.
 TRAIN_ROWS, SCORE_ROWS = 384, 4096
 #: In training, a long document is learnt as segments of so many steps next to each other, each from an empty state.
@@ -21,16 +24,17 @@ LEARNING_RATE, CLIP = 0.01, 5.0
 
 
 class Shape:
-    """How symbols fall into classes: ``top`` frequent words in classes of CLASS_WORDS, then a class for each band."""
+    """How symbols fall into classes: ``top`` words by frequency, as many classes as words in one; a class for each band."""
 
     def __init__(self, top: int, bands: int):
         self.top, self.bands = top, bands
-        self.word_classes = -(-top // CLASS_WORDS)
+        self.class_words = max(math.isqrt(max(top - 1, 0)) + 1, 1)
+        self.word_classes = -(-top // self.class_words)
         self.classes, self.symbols = self.word_classes + bands, top + bands
         names = {
             "x": (self.symbols, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "bu": (3 * HIDDEN,),
             "c": (HIDDEN, self.classes), "bc": (self.classes,),
-            "w": (self.word_classes, HIDDEN, CLASS_WORDS), "bw": (self.word_classes, CLASS_WORDS),
+            "w": (self.word_classes, HIDDEN, self.class_words), "bw": (self.word_classes, self.class_words),
         }
         self.names, self.size, self.places = names, 0, {}
         for name, dims in names.items():
@@ -42,7 +46,7 @@ class Shape:
         return {k: flat[self.places[k]].reshape(dims) for k, dims in self.names.items()}
 
     def class_of(self, symbols: np.ndarray) -> np.ndarray:
-        return np.where(symbols < self.top, symbols // CLASS_WORDS, symbols - self.top + self.word_classes)
+        return np.where(symbols < self.top, symbols // self.class_words, symbols - self.top + self.word_classes)
 
     def start(self, counts: np.ndarray) -> np.ndarray:
         """First weights: small seeded numbers, and biases that give the symbols' frequencies."""
@@ -57,7 +61,7 @@ class Shape:
         v["bc"][:] = np.log(per_class / per_class.sum())
         v["bw"][:] = -30.0
         k = np.arange(self.top)
-        v["bw"][k // CLASS_WORDS, k % CLASS_WORDS] = np.log(counts[: self.top] / per_class[k // CLASS_WORDS])
+        v["bw"][k // self.class_words, k % self.class_words] = np.log(counts[: self.top] / per_class[k // self.class_words])
         return flat
 
 
@@ -108,9 +112,17 @@ def _run(v: dict[str, np.ndarray], h: np.ndarray, steps: list[np.ndarray], keep:
     return before, kept
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _log_p(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probability of each row's target; ``x`` is spent."""
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    found = x[np.arange(len(x)), target]
+    return found - np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
     return x
 
 
@@ -127,14 +139,16 @@ def score(shape: Shape, flat: np.ndarray, offsets: np.ndarray, symbols: np.ndarr
             states, target = np.concatenate(before), np.concatenate(steps)
             owner = np.concatenate([np.arange(len(s)) for s in steps])
             kind = shape.class_of(target)
-            logp = _log_softmax(states @ v["c"] + (v["bc"] + offsets))[np.arange(len(kind)), kind].astype(np.float64)
+            logp = np.empty(len(kind))
+            for k in range(0, len(kind), SOFTMAX_ROWS):
+                part = slice(k, k + SOFTMAX_ROWS)
+                logp[part] = _log_p(states[part] @ v["c"] + (v["bc"] + offsets), kind[part])
             by_class = np.argsort(kind, kind="stable")
             edges = np.searchsorted(kind[by_class], np.arange(shape.word_classes + 1))
             for k in range(shape.word_classes):
                 pick = by_class[edges[k] : edges[k + 1]]
                 if len(pick):
-                    inner = _log_softmax(states[pick] @ v["w"][k] + v["bw"][k])
-                    logp[pick] += inner[np.arange(len(pick)), target[pick] % CLASS_WORDS]
+                    logp[pick] += _log_p(states[pick] @ v["w"][k] + v["bw"][k], target[pick] % shape.class_words)
             out[rows] += np.bincount(owner, logp, len(rows))
     return out
 
@@ -145,18 +159,21 @@ def _gradient(shape: Shape, v: dict, g: dict, h: np.ndarray, steps: list[np.ndar
     states, target = np.concatenate(before), np.concatenate(steps)
     n = len(target)
     kind = shape.class_of(target)
-    p = np.exp(_log_softmax(states @ v["c"] + v["bc"]))
-    p[np.arange(n), kind] -= 1
-    g["c"] += states.T @ p
-    g["bc"] += p.sum(axis=0)
-    d_states = p @ v["c"].T
+    d_states = np.empty_like(states)
+    for k in range(0, n, SOFTMAX_ROWS):
+        part = slice(k, k + SOFTMAX_ROWS)
+        p = _softmax(states[part] @ v["c"] + v["bc"])
+        p[np.arange(len(p)), kind[part]] -= 1
+        g["c"] += states[part].T @ p
+        g["bc"] += p.sum(axis=0)
+        d_states[part] = p @ v["c"].T
     by_class = np.argsort(kind, kind="stable")
     edges = np.searchsorted(kind[by_class], np.arange(shape.word_classes + 1))
     for k in range(shape.word_classes):
         pick = by_class[edges[k] : edges[k + 1]]
         if len(pick):
-            q = np.exp(_log_softmax(states[pick] @ v["w"][k] + v["bw"][k]))
-            q[np.arange(len(pick)), target[pick] % CLASS_WORDS] -= 1
+            q = _softmax(states[pick] @ v["w"][k] + v["bw"][k])
+            q[np.arange(len(pick)), target[pick] % shape.class_words] -= 1
             g["w"][k] += states[pick].T @ q
             g["bw"][k] += q.sum(axis=0)
             d_states[pick] += q @ v["w"][k].T

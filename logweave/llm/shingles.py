@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes hashed together; a longer text is cut between words.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
