@@ -3,17 +3,23 @@
 Documents with equal shingle sets are one class; one document stands for it. Two sets of n shingles whose Jaccard
 similarity reaches t share l tokens among their first n - ceil(t n) + l in any common order, for each l. The order here:
 shingles that many documents have come last ("hot", by number), the rest by hash. Hot tokens are counted over all prefixes
-by hash, then over the whole sets of the documents whose prefixes are hot. A document whose first tokens are hot in this
-order too has costly candidates: its prefix is lengthened by a step per doubling of their estimated number (the sum of
-its hot tokens' counts), and a pair of such documents must share as many tokens as the shorter of the two prefixes stands
-for before it is verified on the full sets. Such a document has all its other tokens in its prefix, so a partner that
-shares none of them shares hot tokens only: documents with fewer hot tokens than a link needs leave theirs out.
-
-Lists of up to SMALL_LIST documents with a common prefix token give their pairs. A longer list is first compared with its
-document of the most hot tokens (the centre of a group of near copies), twice; what falls into one component by that
-needs no further comparison, as only components are asked for. All pairs of the list that still lie in different
-components are then counted and verified. So groups of thousands of near copies cost a few comparisons a document, and no
-link between components is lost: every pair that the prefixes admit is either verified or already connected.
+by hash, then over what moves into the prefixes in their place.
+
+Routing: documents meet in the lists of the tokens of their plain prefixes (l = 1). A document whose plain prefix lacks
+tokens that are not hot leaves its hot ones out if it has too few of them for a link; else its candidates are costly, and
+its prefix is lengthened by a step per doubling of their estimated number (the sum of its hot tokens' counts).
+Before any pair is verified on the full sets, it must share as many tokens of both lengthened prefixes as the shorter of
+the two stands for. This holds for all candidates, whichever way they met.
+
+Lists of up to HOT documents give their pairs. A longer list is first compared with one document, that of the most hot
+tokens (the centre of a group of near copies), then, outside of its largest component, with another one of that component.
+As only components are asked for, pairs within one need no comparison. What is still apart is compared in blocks:
+documents outside of their lists' largest components, so many at a time, meet all documents that share a token of a plain
+prefix with one of them, once per block and not once per token; a block counts shared prefix tokens for all its pairs,
+verifies those that have enough and are not connected yet, and tells the links that connect. So no pair of documents
+becomes a row, groups of thousands of near copies cost a few comparisons a document, and no link between components is
+lost: every pair that the prefixes admit is either verified or already connected. Lists and blocks are dealt to tasks by
+salt.
 
 Defined results: null, empty or blank text has no shingles and is its own component; fewer than five words count as one
 shingle; rows that share a ``doc_id`` are one node of the links; a null id takes part with its text's class only if that
@@ -25,10 +31,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
@@ -39,17 +46,21 @@ from .shingles import shingle_sets
 WORDS = 5
 #: Similarity, in hundredths.
 PERCENT = 75
-#: More documents than this with a token make it hot.
+#: More documents than this with a token make it hot; longer lists are not compared pair by pair.
 HOT = 5
 #: Documents with a larger share of hot tokens in their prefixes by hash (a 1 in so many) tell of hot tokens in all they have.
 SUSPECT = 4
 #: Hot tokens that are sent to the executors; beyond it the limit for being hot is doubled (any choice is right).
 HOT_TOKENS = 500_000
-#: Lists of up to this many documents give all their pairs at once.
-SMALL_LIST = 4
-STAR_ROUNDS = 3
-MAX_MATCHES = 6
+#: Centres that a long list is compared with before blocks are.
+STAR_ROUNDS = 2
+#: Shared tokens that are asked for at most.
+MAX_MATCHES = 16
 SALTS = 32
+#: Documents of a block, and shingles in them all; documents that one task compares with a block.
+BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_PARTNERS = 256, 2_000_000, 4096
+#: Pairs of one document that meet its text in one task.
+PAIRS_A_KEY = 1_000
 #: Ids that are broadcast to pick documents; more are joined by key.
 BROADCAST_IDS = 500_000
 
@@ -98,7 +109,7 @@ def _marks(hot: tuple[np.ndarray, np.ndarray], s: np.ndarray) -> np.ndarray:
 
 
 def _suspect_tokens(docs: DataFrame, hot, k: int, percent: int) -> DataFrame:
-    """The tokens beyond the prefixes of documents whose prefixes are hot."""
+    """Tokens beyond the plain prefixes of documents with hot ones in them: those that may move up, of suspects all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,102 +117,107 @@ def _suspect_tokens(docs: DataFrame, hot, k: int, percent: int) -> DataFrame:
                 parts = []
                 for s in shingle_sets(texts, k):
                     plain = len(s) - needed(len(s), percent) + 1
-                    if len(s) and SUSPECT * np.count_nonzero(_marks(hot.value, s[:plain])) >= plain:
-                        parts.append(s[plain:])
+                    if n_hot := np.count_nonzero(_marks(hot.value, s[:plain])) if len(s) else 0:
+                        parts.append(s[plain:] if SUSPECT * n_hot >= plain else s[plain : plain + SUSPECT * n_hot])
                 if parts:
                     yield _arrow("token", np.concatenate(parts).view(np.int64))
 
     return docs.mapInArrow(run, "token long")
 
 
-INDEX = "token long, doc_id long, n int, matches int, hot int, is_hot boolean"
+class Prefix(NamedTuple):
+    """A set's lengthened prefix in the common order; ``routing`` of its tokens are the plain prefix."""
+
+    tokens: np.ndarray
+    is_hot: np.ndarray
+    routing: int
+    matches: int
+    n_hot: int
+
+
+def lengthened(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray], percent: int) -> Prefix:
+    """The prefix of a sorted set that is not empty, and how many of its tokens a partner must share."""
+    n = len(s)
+    plain, matches = n - needed(n, percent) + 1, 1
+    count = _marks(hot, s)
+    n_hot = int(np.count_nonzero(count))
+    if n_hot:
+        order = np.lexsort((s, count))
+        s, count = s[order], count[order]
+    if n - n_hot < plain:
+        if n_hot < needed(n, percent):
+            plain = n - n_hot  # its links share tokens that are not hot
+        else:
+            matches = min(1 + int(math.log2(1 + int(count[:plain].sum()) / HOT)), MAX_MATCHES, needed(n, percent))
+    part = slice(0, plain + matches - 1)
+    return Prefix(s[part], count[part] > 0, plain, matches, n_hot)
+
+
+INDEX = "token long, doc_id long, n int, hot int, is_hot boolean"
 
 
 def _index(docs: DataFrame, hot, k: int, percent: int) -> DataFrame:
-    """Tokens of every document's lengthened prefix; ``hot``: the document's hot tokens in all."""
+    """Tokens of every document's plain prefix; ``hot``: the document's hot tokens in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in text_slices(batch):
                 tokens, marks, docs_ = [], [], []
                 for doc_id, s in zip(ids, shingle_sets(texts, k), strict=True):
-                    n = len(s)
-                    if not n or doc_id is None:
+                    if not len(s) or doc_id is None:
                         continue
-                    plain, matches = n - needed(n, percent) + 1, 1
-                    count = _marks(hot.value, s)
-                    n_hot = int(np.count_nonzero(count))
-                    if n_hot:
-                        order = np.lexsort((s, count))
-                        s, count = s[order], count[order]
-                    n_cold = n - n_hot
-                    if n_cold < plain:
-                        if n_hot < needed(n, percent):
-                            plain = n_cold  # its links share tokens that are not hot
-                        else:
-                            matches = min(1 + int(math.log2(1 + int(count[:plain].sum()) / HOT)), MAX_MATCHES, needed(n, percent))
-                    part = slice(0, plain + matches - 1)
-                    tokens.append(s[part])
-                    marks.append(count[part] > 0)
-                    docs_.append((doc_id, n, matches, n_hot))
+                    p = lengthened(s, hot.value, percent)
+                    tokens.append(p.tokens[: p.routing])
+                    marks.append(p.is_hot[: p.routing])
+                    docs_.append((doc_id, len(s), p.n_hot))
                 if tokens:
                     lengths = [len(x) for x in tokens]
-                    doc_ids, sizes, wants, hots = (np.repeat(np.array(c, np.int64), lengths) for c in zip(*docs_, strict=True))
-                    small = [x.astype(np.int32) for x in (sizes, wants, hots)]
-                    yield _arrow("token doc_id n matches hot is_hot", np.concatenate(tokens).view(np.int64), doc_ids, *small, np.concatenate(marks))
+                    doc_ids, sizes, hots = (np.repeat(np.array(c, np.int64), lengths) for c in zip(*docs_, strict=True))
+                    yield _arrow("token doc_id n hot is_hot", np.concatenate(tokens).view(np.int64), doc_ids, sizes.astype(np.int32), hots.astype(np.int32), np.concatenate(marks))
 
     return docs.mapInArrow(run, INDEX)
 
 
-FOUND = "kind int, a long, b long, token long, n int, matches int, hot int, is_hot boolean"
+FOUND = "kind int, a long, b long, token long, n int, hot int, is_hot boolean"
 
 
 def _lists(index: DataFrame, percent: int) -> DataFrame:
-    """Reads the index token by token, each token's document of the most hot tokens as its centre.
+    """Reads the index token by token. kind 0: a pair ``a, b`` to verify. kind 1: document ``a`` of a long list.
 
-    kind 0: a pair ``a, b`` to verify. kind 1: document ``a`` of a long list, to come back to.
+    Hot tokens' lists are dealt over salts, as all that is done here is to pass them on.
     """
 
-    def fits(n, m, hot, other, is_hot) -> np.ndarray:
-        n, m = n.astype(np.int64), m.astype(np.int64)
-        enough = (100 + percent) * np.minimum(hot, other).astype(np.int64) >= percent * (n + m)
-        return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (enough | ~is_hot)
-
     def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         z = np.zeros(len(a), np.int32)
-        return _arrow("kind a b token n matches hot is_hot", z, a, b, np.zeros(len(a), np.int64), z, z, z, z > 0)
+        return _arrow("kind a b token n hot is_hot", z, a, b, np.zeros(len(a), np.int64), z, z, z > 0)
 
     def step(cols, from_long: bool, last: bool):
         """Output of the complete lists, and what to hold back of the last one."""
-        t, d, n, w, h, is_hot = cols
+        t, d, n, h, is_hot = cols
         out = []
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         sizes = np.diff(np.r_[starts, len(t)])
-        long = sizes > SMALL_LIST
+        long = (sizes > HOT) | is_hot[starts]
         if from_long:
             long[0] = True
         done = np.ones(len(starts), bool)
         if not last:
             done[-1] = False
-        run = np.repeat(np.arange(len(starts)), sizes)
-        centre = starts[run]
-        pick = long[run]
+        pick = long[np.repeat(np.arange(len(starts)), sizes)]
         if from_long:
-            pick[0] = False  # the centre of a list begun before
+            pick[0] = False  # stands for rows already told
         if pick.any():
             m = int(pick.sum())
-            out.append(_arrow("kind a b token n matches hot is_hot", np.ones(m, np.int32), d[pick], np.zeros(m, np.int64), t[pick], n[pick], w[pick], h[pick], is_hot[pick]))
-            star = pick & (d != d[centre]) & fits(n, n[centre], h, h[centre], is_hot)
-            if star.any():
-                out.append(pairs(d[star], d[centre[star]]))
+            out.append(_arrow("kind a b token n hot is_hot", np.ones(m, np.int32), d[pick], np.zeros(m, np.int64), t[pick], n[pick], h[pick], is_hot[pick]))
         found_a, found_b = [], []
-        for size in range(2, SMALL_LIST + 1):
+        for size in range(2, HOT + 1):
             first = starts[(sizes == size) & ~long & done]
             for i in range(size):
                 for j in range(i + 1, size):
                     x, y = first + i, first + j
-                    ok = (d[x] != d[y]) & fits(n[x], n[y], h[x], h[y], is_hot[x])
+                    small, large = np.minimum(n[x], n[y]).astype(np.int64), np.maximum(n[x], n[y]).astype(np.int64)
+                    ok = (d[x] != d[y]) & (100 * small >= percent * large)
                     found_a.append(d[x[ok]])
                     found_b.append(d[y[ok]])
         if found_a and sum(map(len, found_a)):
@@ -216,7 +232,7 @@ def _lists(index: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if held is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
             out, held, from_long = step(cols, from_long, False)
@@ -224,8 +240,8 @@ def _lists(index: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield from step(held, from_long, True)[0]
 
-    ordered = index.repartition("token").sortWithinPartitions("token", F.desc("hot"), F.xxhash64("doc_id"))
-    return ordered.mapInArrow(run, FOUND)
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0)
+    return index.repartition("token", salt).sortWithinPartitions("token").mapInArrow(run, FOUND)
 
 
 def _picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -235,8 +251,31 @@ def _picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == F.col("__id"), how)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach the similarity."""
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def paired_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``a, b, text_a, text_b`` for pairs of ids; a document of many pairs meets them in several tasks."""
+    pairs = common.stage(pairs, "pairs")
+    degree = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).groupBy("id").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_KEY).alias("copies"))
+    degree = common.stage(degree, "degrees")
+    texts = _picked(docs, degree, "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    many = degree.filter("copies > 1")
+    pairs = common.lookup_join(pairs, many.select(F.col("id").alias("a"), F.col("copies").alias("of_a")), ["a"], F.col("b"))
+    pairs = common.lookup_join(pairs, many.select(F.col("id").alias("b"), F.col("copies").alias("of_b")), ["b"], F.col("a"))
+    part = lambda of, by: F.when(F.col(of) > 1, F.pmod(F.xxhash64(by), F.col(of))).otherwise(0)
+    pairs = pairs.select("a", "b", part("of_a", "b").alias("part_a"), part("of_b", "a").alias("part_b"))
+    texts = common.lookup_join(texts, many.select(F.col("id").alias("doc_id"), "copies"), ["doc_id"], F.col("text"))
+    texts = texts.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - 1)).alias("part"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("part").alias("part_a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("part").alias("part_b"), F.col("text").alias("text_b"))
+    return pairs.join(left, ["a", "part_a"]).join(right, ["b", "part_b"]).select("a", "b", "text_a", "text_b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, hot, k: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that share enough prefix tokens and whose full sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,48 +284,138 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 a, b, left, right = (part.column(i).to_pylist() for i in range(4))
                 texts = list(dict.fromkeys(left + right))
                 sets = dict(zip(texts, shingle_sets(texts, k), strict=True))
+                prefixes = {t: lengthened(s, hot.value, percent) for t, s in sets.items()}
                 hits = []
                 for x, y in zip(left, right, strict=True):
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    hits.append(100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
+                    p, q = prefixes[x], prefixes[y]
+                    shared = len(np.intersect1d(p.tokens, q.tokens, assume_unique=True))
+                    hits.append(shared >= min(p.matches, q.matches) and _similar(sets[x], sets[y], percent))
                 keep = np.array(hits, bool)
                 yield _arrow("a b", np.array(a, np.int64)[keep], np.array(b, np.int64)[keep])
 
-    pairs = common.stage(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = _picked(docs, ids, "left_semi")
-    texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return common.stage(joined.mapInArrow(run, "a long, b long"), "verified")
+    return common.stage(paired_texts(pairs, docs).mapInArrow(run, "a long, b long"), "verified")
 
 
-def _with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    joined = rows.join(labels, rows["a"] == labels["id"], "left")
-    return joined.select(*rows.columns, F.coalesce("component", "a").alias("component"))
+def _long_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of lists of several documents, without those whose hot tokens are too few for a link with any of the list."""
+    per = rows.groupBy("token").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    rows = common.lookup_join(rows, common.stage(per, "least"), ["token"], F.col("a"), "inner")
+    partner = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))
+    enough = ~F.col("is_hot") | ((100 + percent) * F.col("hot") >= percent * (F.col("n") + partner))
+    return common.stage(rows.filter(enough).drop("least"), "long")
 
 
-def _open_lists(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Rows of the lists that hold more than one component, with ``component``; ``main`` marks the list's largest.
+def _star(rows: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of rows and their lists' centres ``token, c, m, other``."""
+    joined = common.lookup_join(rows, common.stage(centres, "centres"), ["token"], F.col("a"), "inner").filter("a <> c")
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    enough = (100 + percent) * F.least("hot", "other") >= percent * (F.col("n") + F.col("m"))
+    joined = joined.filter(sizes & (~F.col("is_hot") | enough))
+    return joined.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
 
-    Left out are documents whose hot tokens are too few for a link with any document of the list.
-    """
-    least = rows.groupBy("token").agg(F.min("n").alias("least"))
-    rows = rows.join(least, "token")
-    partner = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))
-    rows = rows.filter(~F.col("is_hot") | ((100 + percent) * F.col("hot") >= percent * (F.col("n") + partner))).drop("least")
-    rows = _with_components(rows, labels)
+
+def _centres(rows: DataFrame, turn: int) -> DataFrame:
+    first = F.min(F.struct((-F.col("hot")).alias("h"), F.xxhash64(F.col("a"), F.lit(turn)).alias("x"), "a", "n", "hot"))
+    found = rows.groupBy("token").agg(first.alias("c"))
+    return found.select("token", F.col("c.a").alias("c"), F.col("c.n").alias("m"), F.col("c.hot").alias("other"))
+
+
+def _open_lists(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the lists that hold more than one component, with ``component`` and ``top``, the list's largest."""
+    joined = rows.join(labels.hint("merge"), rows["a"] == labels["id"], "left")
+    rows = common.stage(joined.select(*rows.columns, F.coalesce("component", "a").alias("component")), "labelled")
     per = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
     lists = per.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "component")).alias("top"))
-    lists = lists.filter("parts > 1").select("token", F.col("top.component").alias("top"))
-    return rows.join(lists, "token").withColumn("main", F.col("component") == F.col("top")).drop("top")
+    lists = common.stage(lists.filter("parts > 1").select("token", F.col("top.component").alias("top")), "open")
+    return common.stage(common.lookup_join(rows, lists, ["token"], F.col("a"), "inner"), "open")
+
+
+def _block_links(rest: DataFrame, docs: DataFrame, hot, k: int, percent: int) -> DataFrame:
+    """Links that connect the components of open lists, by blocks of documents against all that share a token with them."""
+    outside = rest.filter("component <> top")
+    outer = outside.groupBy("a").agg(F.min("top").alias("cluster"), F.first("n").alias("n"), F.first("component").alias("component"))
+    outer = common.stage(outer, "outer")
+    per = outer.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    outer = common.lookup_join(outer, common.stage(per, "clusters"), ["cluster"], F.col("a"), "inner")
+    outer = outer.select("a", "component", F.xxhash64("cluster", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("block"))
+    outer = common.stage(outer, "blocks")
+    routes = outside.select("token", "a").join(outer.select("a", "block"), "a").select("token", "block").distinct()
+    met = common.lookup_join(rest.select("token", "a", "component"), common.stage(routes, "routes"), ["token"], F.col("a"), "inner")
+    met = common.stage(met.select("block", "a", "component").distinct(), "met")
+    salts = met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PARTNERS).alias("salts"))
+    salts = common.stage(salts, "salts")
+    ours = common.lookup_join(outer, salts, ["block"], F.col("a"), "inner")
+    ours = ours.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "a", "component")
+    theirs = common.lookup_join(met, salts, ["block"], F.col("a"), "inner")
+    theirs = theirs.select("block", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(1).alias("role"), "a", "component")
+    rows = common.stage(ours.unionByName(theirs), "block-rows")
+    texts = _picked(docs, rows.select(F.col("a").alias("id")).distinct(), "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.hint("merge").join(texts, rows["a"] == texts["doc_id"]).select("block", "salt", "role", "a", "component", "text")
+    rows = rows.repartition("block", "salt").sortWithinPartitions("block", "salt", "role")
 
-
-def _pair_fits(percent: int, n: str, m: str, hot: str, other: str) -> tuple[Column, Column]:
-    """Whether two documents' sizes allow a link, and whether their hot tokens alone do."""
-    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    return sizes, (100 + percent) * F.least(hot, other) >= percent * (F.col(n) + F.col(m))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, key = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                blocks, salts, roles, ids, components, texts = (c.to_pylist() for c in batch.slice(at, 512).columns)
+                links: list[tuple[int, int]] = []
+                sets = shingle_sets(texts, k)
+                for where, role, doc_id, component, s in zip(zip(blocks, salts, strict=True), roles, ids, components, sets, strict=True):
+                    if where != key:
+                        block, key = _Block(hot.value, percent), where
+                    if role == 0:
+                        block.add(doc_id, component, s)
+                    else:
+                        links += block.compare(doc_id, component, s)
+                if links:
+                    yield _arrow("a b", *(np.array(c, np.int64) for c in zip(*links, strict=True)))
+
+    return common.stage(rows.mapInArrow(run, "a long, b long"), "linked")
+
+
+class _Block:
+    """Some documents against a stream of others: the links that connect components not yet connected here."""
+
+    def __init__(self, hot: tuple[np.ndarray, np.ndarray], percent: int):
+        self.hot, self.percent = hot, percent
+        self.ids, self.sets, self.prefixes, self.components = [], [], [], []
+        self.parents: dict[int, int] = {}
+        self.tokens = None
+
+    def add(self, doc_id: int, component: int, s: np.ndarray) -> None:
+        self.ids.append(doc_id)
+        self.sets.append(s)
+        self.prefixes.append(lengthened(s, self.hot, self.percent))
+        self.components.append(component)
+
+    def _root(self, x: int) -> int:
+        while (up := self.parents.get(x, x)) != x:
+            self.parents[x] = self.parents.get(up, up)
+            x = up
+        return x
+
+    def compare(self, doc_id: int, component: int, s: np.ndarray) -> list[tuple[int, int]]:
+        if self.tokens is None:
+            tokens = np.concatenate([p.tokens for p in self.prefixes])
+            owners = np.repeat(np.arange(len(self.ids)), [len(p.tokens) for p in self.prefixes])
+            order = np.argsort(tokens, kind="stable")
+            self.tokens, self.owners = tokens[order], owners[order]
+            self.sizes = np.array([len(x) for x in self.sets])
+            self.matches = np.array([p.matches for p in self.prefixes])
+        p = lengthened(s, self.hot, self.percent)
+        low, high = np.searchsorted(self.tokens, p.tokens, "left"), np.searchsorted(self.tokens, p.tokens, "right")
+        runs = high - low
+        at = np.repeat(low - np.r_[0, np.cumsum(runs)[:-1]], runs) + np.arange(runs.sum())
+        shared = np.bincount(self.owners[at], minlength=len(self.ids))
+        fit = 100 * np.minimum(self.sizes, len(s)) >= self.percent * np.maximum(self.sizes, len(s))
+        found = np.flatnonzero((shared >= np.minimum(self.matches, p.matches)) & fit)
+        links = []
+        for i in found[np.argsort(-shared[found], kind="stable")].tolist():
+            mine, theirs = self._root(self.components[i]), self._root(component)
+            if mine != theirs and _similar(self.sets[i], s, self.percent):
+                self.parents[mine] = theirs
+                links.append((min(self.ids[i], doc_id), max(self.ids[i], doc_id)))
+        return links
 
 
 def _hot(tokens: DataFrame, known):
@@ -326,37 +455,21 @@ def near_duplicate_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCE
     hot = _hot(_suspect_tokens(reps, hot, k, percent), hot)
 
     found = common.stage(_lists(_index(reps, hot, k, percent), percent), "lists")
-    links = _verified(found.filter("kind = 0").select("a", "b").distinct(), reps, k, percent)
-    lists = found.filter("kind = 1").drop("kind", "b")
+    links = _verified(found.filter("kind = 0").select("a", "b").distinct(), reps, hot, k, percent)
+    lists = _long_lists(found.filter("kind = 1").drop("kind", "b"), percent)
+    if not lists.isEmpty():
+        links = links.unionByName(_verified(_star(lists, _centres(lists, 0), percent), reps, hot, k, percent))
     labels = connected_components(links)
-    for turn in range(STAR_ROUNDS):
-        # another centre for each list: a document of its largest component, for all that lie outside of it
-        rest = common.stage(_open_lists(lists, labels, percent), "open")
-        first = F.min(F.struct((-F.col("hot")).alias("h"), F.xxhash64(F.col("a"), F.lit(turn)).alias("x"), "a", "n", "hot"))
-        centre = rest.filter("main").groupBy("token").agg(first.alias("c"))
-        centre = centre.select("token", F.col("c.a").alias("c"), F.col("c.n").alias("m"), F.col("c.hot").alias("other"))
-        sizes, enough = _pair_fits(percent, "n", "m", "hot", "other")
-        star = rest.filter("NOT main").join(centre, "token").filter(sizes & (~F.col("is_hot") | enough))
-        star = star.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
-        more = _verified(star, reps, k, percent)
-        if more.isEmpty():
+    for turn in range(1, STAR_ROUNDS):
+        rest = _open_lists(lists, labels)
+        if rest.isEmpty():
             break
-        links = links.unionByName(more)
+        star = _star(rest.filter("component <> top").drop("component", "top"), _centres(rest.filter("component = top"), turn), percent)
+        links = links.unionByName(_verified(star, reps, hot, k, percent))
         labels = connected_components(links)
-
-    # every pair that is still apart, by the number of tokens shared
-    rest = common.stage(_open_lists(lists, labels, percent), "open")
-    outer = rest.filter("NOT main")
-    inner = rest.select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("matches").alias("w"), F.col("hot").alias("other"), F.col("component").alias("c2"), F.col("main").alias("in_main"))
-    sizes, enough = _pair_fits(percent, "n", "m", "hot", "other")
-    apart = outer.join(inner, "token").filter((F.col("component") != F.col("c2")) & (F.col("in_main") | (F.col("a") < F.col("b"))))
-    apart = apart.filter(sizes & (~F.col("is_hot") | enough))
-    pairs = apart.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.first(F.least("matches", "w")).alias("want"), F.max((~F.col("is_hot")).cast("int")).alias("cold")
-    )
-    more = _verified(pairs.filter("shared >= want OR cold = 1").select("a", "b"), reps, k, percent)
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+    rest = _open_lists(lists, labels)
+    if not rest.isEmpty():
+        labels = connected_components(links.unionByName(_block_links(rest, reps, hot, k, percent)))
 
     of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("rep", F.coalesce("component", "rep").alias("of_class")).distinct()
     of_class = of_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
