@@ -1,22 +1,30 @@
 """Correlation of logs to fibers.
 
-Per type one of two plans. *Chains* (one key attribute at most, session or infinite gap): a fiber ends where a release,
-a close or the gap on the logical clock says so, each a comparison with the log before it of the same key, so windows
-over the key suffice. *Islands* (everything else): logs that share tokens, however indirectly, form an island; within it
-a stretch in which the clock passes the gap closes everything, so it is cut there. Islands are spread over the cluster
-and run through the ordered fold, one after another, sorted by Spark. Attributes, conflicts and fiber records are plain
-aggregations in both cases.
+Per type one of two plans. *Chains* (one key attribute at most): a fiber ends where a release, a close or the gap on the
+logical clock says so. For session and infinite gaps each of these is a comparison with the log before it of the same
+key, so windows over the key suffice; a gap from the start jumps from start to start through the sorted logs of a key.
+*Islands* (everything else): logs that share tokens, however indirectly, form an island; within it a stretch in which the
+clock passes the gap closes everything, so it is cut there. Islands are spread over the cluster and run through the
+ordered fold, one after another, sorted by Spark. Attributes, conflicts and fiber records are plain aggregations in both
+cases.
+
+Fibers that are open when the input ends can be carried on (``Correlation.state``): as rows of their own, with the keys
+they still hold, they come before the logs that follow.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import typed
 from ..plans.components import connected_components
 from ..plans.fold import Row, fold
 from ..plans.rules import FiberType, Rules
@@ -28,14 +36,25 @@ from .ordering import running_max
 SEQ, CLOCK = "seq", "prev_clock"
 
 
+PARTS = ("fibers", "memberships", "merges", "conflicts", "state", "survivors")
+#: A fiber that is open: what :func:`correlate_type` needs to go on with it.
+STATE = (
+    "fiber_type string, ruleset_version string, fiber_id string, first_seq long, first_log_id string, keys map<string,string>,"
+    " attributes map<string,string>, value_seq map<string,long>, first_activity timestamp, last_activity timestamp, n_logs long"
+)
+
+
 @dataclass
 class Correlation:
-    """``fibers``; ``memberships``; ``merges``; ``conflicts`` of attribute values."""
+    """``fibers``; ``memberships``; ``merges``; ``conflicts`` of attribute values; ``state``: the fibers still open, as
+    STATE; ``survivors``: of each fiber merged away, the one that it is part of in the end."""
 
     fibers: DataFrame
     memberships: DataFrame
     merges: DataFrame
     conflicts: DataFrame
+    state: DataFrame
+    survivors: DataFrame
 
     def stats(self) -> DataFrame:
         f = self.fibers.agg(F.count(F.lit(1)).alias("fibers_created"))
@@ -44,7 +63,7 @@ class Correlation:
 
 
 def is_chain(t: FiberType) -> bool:
-    return len(t.keys) <= 1 and (t.gap is None or t.gap_mode == "session")
+    return len(t.keys) <= 1
 
 
 def is_constant(t: FiberType) -> bool:
@@ -54,24 +73,97 @@ def is_constant(t: FiberType) -> bool:
     return bool(key and key.derived is not None and not key.inputs and t.gap is None and quiet)
 
 
+def _rows(logs: DataFrame, t: FiberType, normalize_keys: bool, state: DataFrame | None) -> DataFrame:
+    """Logs of the type and, before them, its open fibers: key values ``kv``, typed ``values``, and for each of these the
+    place it was set at (``at``); ``n`` logs since ``born``."""
+    rows = cast_attributes(extract(logs, t), t)
+    kinds = {a.name: a.type for a in t.attributes}
+
+    def key(k: str) -> Column:
+        raw = F.col(f"attrs.{k}")
+        return F.coalesce(typed(raw, kinds[k]).cast("string"), raw) if normalize_keys else raw
+
+    kv = F.struct(*[key(k).alias(k) for k in t.keys] or [F.lit(None).cast("string").alias("_")])
+    at = F.struct(*[F.when(F.col(f"values.{n}").isNotNull(), F.col(SEQ)).alias(n) for n in kinds])
+    carried = [SEQ, F.col("log_id").cast("string").alias("log_id"), "ts", CLOCK, kv.alias("kv"), "values", at.alias("at"), "release_peer", "release_self", "close"]
+    rows = rows.select(*carried, F.lit(1).cast("long").alias("n"), F.col("ts").alias("born"), F.lit(False).alias("open"))
+    if state is None:
+        return rows
+    mine = state.filter(F.col("fiber_type") == t.name)
+    kv = F.struct(*[F.col("keys")[k].alias(k) for k in t.keys] or [F.lit(None).cast("string").alias("_")])
+    values = F.struct(*[typed(F.col("attributes")[n], kind).alias(n) for n, kind in kinds.items()])
+    at = F.struct(*[F.col("value_seq")[n].alias(n) for n in kinds])
+    none = F.array().cast("array<string>")
+    seeds = mine.select(
+        F.col("first_seq").alias(SEQ), F.col("first_log_id").alias("log_id"), F.col("last_activity").alias("ts"), F.lit(None).cast("timestamp").alias(CLOCK),
+        kv.alias("kv"), values.alias("values"), at.alias("at"), none.alias("release_peer"), none.alias("release_self"), F.lit(False).alias("close"),
+        F.col("n_logs").alias("n"), F.col("first_activity").alias("born"), F.lit(True).alias("open"),
+    )
+    return rows.unionByName(seeds)
+
+
 def _flags(rows: DataFrame, t: FiberType) -> DataFrame:
     """Key value ``k``, and whether its fiber ends before (``cut_before``) or after (``cut_after``) the log."""
     key = t.keys[0] if t.keys else None
-    rows = rows.withColumn("k", F.col(f"attrs.{key}") if key else F.lit(None).cast("string"))
+    rows = rows.withColumn("k", F.col(f"kv.{key}") if key else F.lit(None).cast("string"))
     derived = key and next(a for a in t.attributes if a.name == key).derived is not None
     peer = F.array_contains("release_peer", key) if key and not derived else F.lit(False)
     own = F.array_contains("release_self", key) if key else F.lit(False)
     return rows.withColumns({"cut_before": peer, "cut_after": own | F.col("close")})
 
 
+def _starts_by_gap(keyed: DataFrame, gap: int) -> DataFrame:
+    """``seq, first_seq, first_log`` where the gap counts from a fiber's start: within what releases and closes leave
+    together, from start to start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first_seq, first_log, limit, forced = None, 0, "", 0, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, logs = batch.column(0), batch.column(2).to_pylist()
+            seq, born, clock, before, after = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 3, 4, 5, 6))
+            keys = keys.dictionary_encode()
+            codes, names = keys.indices.to_numpy(), keys.dictionary.to_pylist()
+            cut = before | np.r_[forced, after[:-1]]
+            cut[1:] |= codes[1:] != codes[:-1]
+            cut[0] |= names[codes[0]] != key
+            edges = np.flatnonzero(cut)
+            ends = np.r_[edges, len(seq)]
+            firsts, first_logs = np.empty(len(seq), np.int64), [""] * len(seq)
+            at = 0
+            for end in ends:
+                while at < end:
+                    if not cut[at] and clock[at] <= limit:
+                        stop = at + int(np.searchsorted(clock[at:end], limit, side="right"))
+                    else:
+                        first_seq, first_log, limit = int(seq[at]), logs[at], int(born[at]) + gap
+                        cut[at] = False
+                        stop = at + 1 + int(np.searchsorted(clock[at + 1 : end], limit, side="right"))
+                    firsts[at:stop] = first_seq
+                    first_logs[at:stop] = [first_log] * (stop - at)
+                    at = stop
+            key, forced = names[codes[-1]], bool(after[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(seq), pa.array(firsts), pa.array(first_logs)], ["seq", "first_seq", "first_log"])
+
+    least = F.lit(-(1 << 62))
+    small = keyed.select("k", SEQ, "log_id", F.unix_micros("born"), F.coalesce(F.unix_micros(CLOCK), least), "cut_before", "cut_after")
+    return small.repartition("k").sortWithinPartitions("k", SEQ).mapInArrow(run, "seq long, first_seq long, first_log string")
+
+
 def _chains(rows: DataFrame, t: FiberType, event_clock: bool) -> DataFrame:
-    """``seq, log_id, first_seq``: the log's fiber by its first log."""
+    """The rows with ``owner`` and ``owner_log``, their fiber's first log, and ``k, cut_after``."""
     rows = _flags(rows, t)
-    lone = rows.filter("k IS NULL")
+    lone = rows.filter("k IS NULL").withColumns({"owner": F.col(SEQ), "owner_log": F.col("log_id")})
     keyed = rows.filter("k IS NOT NULL")
     if is_constant(t):
-        first = keyed.agg(F.min(SEQ).alias("first_seq"))
-        found = keyed.crossJoin(F.broadcast(first))  # one row
+        first = keyed.agg(F.min_by(F.struct(SEQ, "log_id"), SEQ).alias("first"))
+        keyed = keyed.crossJoin(F.broadcast(first))  # one row
+    elif t.gap is not None and t.gap_mode == "from_start":
+        clock = F.when(~F.col("open"), F.col("ts") if event_clock else F.col(CLOCK))
+        keyed = keyed.withColumn(CLOCK, clock)
+        found = _starts_by_gap(keyed, t.gap).select(F.col("seq").alias("__seq"), F.struct(F.col("first_seq").alias(SEQ), F.col("first_log").alias("log_id")).alias("first"))
+        keyed = keyed.join(found, F.col(SEQ) == F.col("__seq")).drop("__seq")
     else:
         w = Window.partitionBy("k").orderBy(SEQ)
         start = F.col("cut_before") | F.coalesce(F.lag("cut_after").over(w), F.lit(True))
@@ -79,16 +171,15 @@ def _chains(rows: DataFrame, t: FiberType, event_clock: bool) -> DataFrame:
             now = F.col("ts") if event_clock else F.col(CLOCK)
             start = start | F.coalesce(F.unix_micros(now) - F.unix_micros(F.lag("ts").over(w)) > t.gap, F.lit(False))
         keyed = keyed.withColumn("start", start)
-        first = F.max(F.when(F.col("start"), F.col(SEQ))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        found = keyed.withColumn("first_seq", first)
-    cols = [SEQ, "log_id", "ts", "first_seq", "close"]
-    return found.select(*cols).unionByName(lone.withColumn("first_seq", F.col(SEQ)).select(*cols))
+        keyed = keyed.withColumn("first", F.max(F.when(F.col("start"), F.struct(SEQ, "log_id"))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("start")
+    keyed = keyed.withColumns({"owner": F.col(f"first.{SEQ}"), "owner_log": F.col("first.log_id")}).drop("first")
+    return keyed.unionByName(lone)
 
 
 def _islands(rows: DataFrame, t: FiberType) -> DataFrame:
     """Adds ``island``: logs linked by tokens, cut where the clock passes the gap between neighbours."""
     names = t.keys
-    tokens = F.array(*[F.when(F.col(f"attrs.{k}").isNotNull(), F.concat(F.lit(k + "\1"), F.col(f"attrs.{k}"))) for k in names])
+    tokens = F.array(*[F.when(F.col(f"kv.{k}").isNotNull(), F.concat(F.lit(k + "\1"), F.col(f"kv.{k}"))) for k in names])
     rows = rows.withColumn("tokens", F.array_compact(tokens))
     first = F.get("tokens", F.lit(0))
     links = rows.filter(F.size("tokens") > 1).select(first.alias("a"), F.explode("tokens").alias("b"))
@@ -97,7 +188,8 @@ def _islands(rows: DataFrame, t: FiberType) -> DataFrame:
     joined = joined.withColumn("island", F.coalesce("component", "t0", F.concat(F.lit("\2"), F.col(SEQ).cast("string")))).drop("id", "component", "t0", "tokens")
     if t.gap is not None:
         w = Window.partitionBy("island").orderBy(SEQ)
-        quiet = F.unix_micros(CLOCK) - F.unix_micros(F.lag("ts").over(w)) > t.gap
+        last = F.max("ts").over(w.rowsBetween(Window.unboundedPreceding, -1))  # open fibers are not in order of their last activity
+        quiet = F.unix_micros(CLOCK) - F.unix_micros(last) > t.gap
         part = F.sum(F.coalesce(quiet, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
         joined = joined.withColumn("part", part).withColumn("island", F.concat_ws("\3", "island", F.col("part").cast("string"))).drop("part")
     return joined
@@ -107,17 +199,18 @@ FOLDED = "kind int, seq long, fiber long, other long, reason string"
 
 
 def _folded(rows: DataFrame, t: FiberType) -> DataFrame:
-    """kind 0: log and its own fiber; 1: merge (fiber: loser, other: survivor); 2: close."""
+    """kind 0: log and its own fiber; 1: merge (fiber: loser, other: survivor); 2: close; 3: open, with keys held as JSON."""
     gap, from_start = t.gap, t.gap_mode == "from_start"
     plain = {a.name for a in t.attributes if a.derived is None}
     names = t.keys
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def told(rows: list[Row]) -> pd.DataFrame:
-            joined, merges, reasons = fold(rows, gap, from_start)
+            joined, merges, reasons, held = fold(rows, gap, from_start)
             out = [(0, s, f, None, None) for s, f in joined]
             out += [(1, s, x, y, None) for x, y, s in merges]
             out += [(2, None, f, None, why) for f, why in reasons.items()]
+            out += [(3, None, f, None, json.dumps(keys)) for f, keys in held.items()]
             return pd.DataFrame(out, columns=["kind", "seq", "fiber", "other", "reason"]).astype({"seq": "Int64", "other": "Int64"})
 
         island, held = None, []
@@ -129,12 +222,13 @@ def _folded(rows: DataFrame, t: FiberType) -> DataFrame:
                     island, held = r.island, []
                 keys = {k: v for k, v in zip(names, r.key_values, strict=True) if v is not None}
                 peer = [(k, keys[k]) for k in r.release_peer if k in keys and k in plain]
-                held.append(Row(r.seq, r.us, None if pd.isna(r.clock) else int(r.clock), keys, peer, list(r.release_self), bool(r.close)))
+                held.append(Row(r.seq, r.us, None if pd.isna(r.clock) else int(r.clock), keys, peer, list(r.release_self), bool(r.close), int(r.born) if r.open else None))
         if held:
             yield told(held)
 
-    values = F.array(*[F.col(f"attrs.{k}") for k in names]).cast("array<string>").alias("key_values")
-    small = rows.select("island", F.col(SEQ).alias("seq"), F.unix_micros("ts").alias("us"), F.unix_micros(CLOCK).alias("clock"), values, "release_peer", "release_self", "close")
+    values = F.array(*[F.col(f"kv.{k}") for k in names]).cast("array<string>").alias("key_values")
+    times = [F.unix_micros(c).alias(n) for c, n in (("ts", "us"), (CLOCK, "clock"), ("born", "born"))]
+    small = rows.select("island", F.col(SEQ).alias("seq"), *times, values, "release_peer", "release_self", "close", "open")
     return small.repartition("island").sortWithinPartitions("island", "seq").mapInPandas(run, FOLDED)
 
 
@@ -150,31 +244,45 @@ def _fiber_id(version: str, name: str, log_id: Column) -> Column:
     return F.sha2(F.concat_ws("\0", F.lit(version), F.lit(name), log_id.cast("string")), 256)
 
 
-def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: bool = True, timeout_clock: str = "sequenced", membership: str = "survivor", end: Column | None = None) -> Correlation:
-    """One type. ``logs``: log_id, ts, source_id, raw_text, seq, prev_clock. ``end``: the clock at the end of the input."""
-    rows = cast_attributes(extract(logs, t), t)
+def _held_in_chains(own: DataFrame, t: FiberType) -> DataFrame:
+    """Per fiber (``f``) the keys it holds when the input ends: that of the last fiber of a key, if it was not released."""
+    ends = own.groupBy("k", "owner").agg(F.max_by("cut_after", SEQ).alias("cut"))
+    last = ends.withColumn("last", F.max("owner").over(Window.partitionBy("k")) == F.col("owner"))
+    held = F.col("last") & ~F.col("cut") & F.col("k").isNotNull()
+    keys = F.when(held, F.create_map(F.lit(t.keys[0]), F.col("k"))) if t.keys else F.lit(None)
+    return last.select(F.col("owner").alias("f"), F.coalesce(keys, F.create_map().cast("map<string,string>")).alias("keys"))
+
+
+def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: bool = True, timeout_clock: str = "sequenced", membership: str = "survivor", end: Column | None = None, normalize_keys: bool = False, state: DataFrame | None = None) -> Correlation:
+    """One type. ``logs``: log_id, ts, source_id, raw_text, seq, prev_clock. ``end``: the clock at the end of the input.
+
+    ``state``: fibers that were open before the first log (``seq`` goes on from theirs, ``prev_clock`` of the first log is
+    the clock they were left at). ``normalize_keys`` compares keys by their typed values.
+    """
+    rows = _rows(logs, t, normalize_keys, state)
     event = timeout_clock == "event"
     if is_chain(t):
-        own = _chains(rows, t, event).withColumn("owner", F.col("first_seq"))
-        merges = None
+        own, merges, survivors = _chains(rows, t, event), None, None
+        held = _held_in_chains(own, t)
+        known = own.withColumns({"first_seq": F.col("owner"), "survivor_log": F.col("owner_log")})
     else:
-        rows = stage(_islands(rows.withColumn(CLOCK, F.col("ts")) if event else rows, t), "islands")
+        rows = stage(_islands(rows.withColumn(CLOCK, F.when(~F.col("open"), F.col("ts"))) if event else rows, t), "islands")
         folded = stage(_folded(rows, t), "folded")
-        own = folded.filter("kind = 0").select(F.col("seq").alias(SEQ), F.col("fiber").alias("owner"))
-        merges = stage(folded.filter("kind = 1").select("seq", "fiber", "other"), "merges")
-        final = _survivors(merges)
-        own = own.join(final, F.col("owner") == F.col("fiber"), "left").select(SEQ, "owner", F.coalesce("survivor", "owner").alias("first_seq"))
-        own = own.join(rows.select(SEQ, "log_id", "ts", "close"), SEQ)
-    first_log = own.filter(F.col(SEQ) == F.col("owner")).select(F.col("owner").alias("o"), F.col("log_id").alias("first_log_id"))
-    known = own.join(first_log.select(F.col("o").alias("f"), F.col("first_log_id").alias("survivor_log")), F.col("first_seq") == F.col("f")).drop("f")
+        merges = folded.filter("kind = 1").select(F.col("seq").alias("m_seq"), "fiber", "other")
+        held = folded.filter("kind = 3").select(F.col("fiber").alias("f"), F.from_json("reason", "map<string,string>").alias("keys"))
+        own = rows.join(folded.filter("kind = 0").select(F.col("seq").alias("__seq"), F.col("fiber").alias("owner")), F.col(SEQ) == F.col("__seq")).drop("__seq")
+        first_log = own.filter(F.col(SEQ) == F.col("owner")).select(F.col("owner").alias("o"), F.col("log_id").alias("first_log"))
+        own = own.join(first_log, F.col("owner") == F.col("o")).drop("o").withColumnRenamed("first_log", "owner_log")
+        survivors = stage(_survivors(merges).join(first_log, F.col("survivor") == F.col("o")).drop("o"), "survivors")
+        known = own.join(survivors, F.col("owner") == F.col("fiber"), "left").drop("fiber")
+        known = known.withColumns({"first_seq": F.coalesce("survivor", "owner"), "survivor_log": F.coalesce("first_log", "owner_log")})
     known = known.withColumn("fiber_id", _fiber_id(version, t.name, F.col("survivor_log")))
 
-    values = rows.select(SEQ, "values").join(known.select(SEQ, "fiber_id", "first_seq", "survivor_log", "ts", "close"), SEQ)
     names = [a.name for a in t.attributes]
-    typed = {n: F.col(f"values.{n}") for n in names}
-    lasts = [F.max_by(v, F.when(v.isNotNull(), F.col(SEQ))).alias(f"a_{i}") for i, v in enumerate(typed.values())]
-    fibers = values.groupBy("fiber_id", "survivor_log").agg(
-        F.min("ts").alias("first_activity"), F.max("ts").alias("last_activity"), F.count(F.lit(1)).alias("n_logs"), F.max_by("close", SEQ).alias("by_pattern"), *lasts
+    lasts = [F.max_by(F.col(f"values.{n}"), F.col(f"at.{n}")).alias(f"a_{i}") for i, n in enumerate(names)]
+    set_at = [F.max(F.col(f"at.{n}")).alias(f"s_{i}") for i, n in enumerate(names)]
+    fibers = known.groupBy("fiber_id", "first_seq", "survivor_log").agg(
+        F.min("born").alias("first_activity"), F.max("ts").alias("last_activity"), F.sum("n").alias("n_logs"), F.max_by("close", SEQ).alias("by_pattern"), *lasts, *set_at
     )
     if end is None:
         fibers = fibers.crossJoin(F.broadcast(logs.agg(F.max("ts").alias("end_clock"))))  # one row
@@ -184,32 +292,42 @@ def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: boo
     if t.gap is not None:
         ref = F.col("first_activity") if t.gap_mode == "from_start" else F.col("last_activity")
         reason = reason.when(F.unix_micros("end_clock") - F.unix_micros(ref) > t.gap, "timeout")
-    reason = reason.otherwise(F.lit("flush") if flush else F.lit(None).cast("string"))
+    fibers = fibers.withColumn("reason", reason)
     pairs = F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"a_{i}").cast("string").alias("value")) for i, n in enumerate(names)])
+    attributes = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("attributes")
+    places = F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"s_{i}").alias("value")) for i, n in enumerate(names)])
+    still = fibers.filter("reason IS NULL").join(held, F.col("first_seq") == F.col("f"), "left")
+    still = still.select(
+        F.lit(t.name).alias("fiber_type"), F.lit(version).alias("ruleset_version"), "fiber_id", "first_seq", F.col("survivor_log").alias("first_log_id"),
+        F.coalesce("keys", F.create_map().cast("map<string,string>")).alias("keys"), attributes,
+        F.map_from_entries(F.filter(places, lambda p: p["value"].isNotNull())).alias("value_seq"), "first_activity", "last_activity", "n_logs",
+    )
+    reason = F.coalesce("reason", F.lit("flush") if flush else F.lit(None).cast("string"))
     fibers = fibers.select(
-        "fiber_id", F.lit(t.name).alias("fiber_type"), F.lit(version).alias("ruleset_version"),
-        F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("attributes"),
+        "fiber_id", F.lit(t.name).alias("fiber_type"), F.lit(version).alias("ruleset_version"), attributes,
         F.to_json(F.struct(*[F.col(f"a_{i}").alias(n) for i, n in enumerate(names)])).alias("attributes_json"),
         "first_activity", "last_activity", "n_logs", reason.isNotNull().alias("closed"), reason.alias("close_reason"),
         F.col("survivor_log").alias("first_log_id"),
     )
-    held = known
-    if membership == "as_written" and merges is not None:
-        held = own.join(first_log, F.col("owner") == F.col("o")).withColumn("fiber_id", _fiber_id(version, t.name, F.col("first_log_id")))
-    memberships = held.select("log_id", "fiber_id", F.lit(t.name).alias("fiber_type"), F.lit(version).alias("ruleset_version"))
+    by = F.col("fiber_id") if membership == "survivor" else _fiber_id(version, t.name, F.col("owner_log"))
+    memberships = known.filter("NOT open").select("log_id", by.alias("fiber_id"), F.lit(t.name).alias("fiber_type"), F.lit(version).alias("ruleset_version"))
     if merges is None:
-        merged = memberships.filter(F.lit(False)).select("fiber_type", F.col("fiber_id").alias("loser_id"), F.col("fiber_id").alias("survivor_id"), "log_id")
+        none = memberships.filter(F.lit(False))
+        merged = none.select("fiber_type", F.col("fiber_id").alias("loser_id"), F.col("fiber_id").alias("survivor_id"), "log_id")
+        final = merged.select("fiber_type", "loser_id", "survivor_id")
     else:
-        loser, winner, at = (first_log.select(F.col("o").alias(o), F.col("first_log_id").alias(n)) for o, n in (("lo", "ll"), ("wo", "wl"), ("x", "y")))
+        loser, winner = (first_log.select(F.col("o").alias(o), F.col("first_log").alias(n)) for o, n in (("lo", "ll"), ("wo", "wl")))
         merged = merges.join(loser, F.col("fiber") == F.col("lo")).join(winner, F.col("other") == F.col("wo"))
-        merged = merged.join(rows.select(F.col(SEQ).alias("s"), "log_id"), F.col("seq") == F.col("s"))
+        merged = merged.join(rows.select(F.col(SEQ).alias("s"), "log_id"), F.col("m_seq") == F.col("s"))
         merged = merged.select(F.lit(t.name).alias("fiber_type"), _fiber_id(version, t.name, F.col("ll")).alias("loser_id"), _fiber_id(version, t.name, F.col("wl")).alias("survivor_id"), "log_id")
-    items = values.select("fiber_id", SEQ, F.explode(F.array(*[F.struct(F.lit(n).alias("attribute"), v.cast("string").alias("value")) for n, v in typed.items()])).alias("v"))
-    items = items.select("fiber_id", SEQ, "v.attribute", "v.value").filter("value IS NOT NULL")
-    before = F.lag("value").over(Window.partitionBy("fiber_id", "attribute").orderBy(SEQ))
+        final = survivors.join(loser, F.col("fiber") == F.col("lo"))
+        final = final.select(F.lit(t.name).alias("fiber_type"), _fiber_id(version, t.name, F.col("ll")).alias("loser_id"), _fiber_id(version, t.name, F.col("first_log")).alias("survivor_id"))
+    items = F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(f"values.{n}").cast("string").alias("value"), F.col(f"at.{n}").alias("at")) for n in names])
+    items = known.select("fiber_id", F.inline(items)).filter("value IS NOT NULL")
+    before = F.lag("value").over(Window.partitionBy("fiber_id", "attribute").orderBy("at"))
     conflicts = items.withColumn("old_value", before).filter("old_value <> value")
-    conflicts = conflicts.select(F.lit(t.name).alias("fiber_type"), "fiber_id", "attribute", "old_value", F.col("value").alias("new_value"), SEQ)
-    return Correlation(fibers, memberships, merged, conflicts)
+    conflicts = conflicts.select(F.lit(t.name).alias("fiber_type"), "fiber_id", "attribute", "old_value", F.col("value").alias("new_value"), F.col("at").alias(SEQ))
+    return Correlation(fibers, memberships, merged, conflicts, still, final)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -222,7 +340,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def correlate(logs: DataFrame, rules: Rules, **settings) -> Correlation:
     """All types; a log may be in fibers of several. Settings as in :func:`correlate_type`."""
     each = [correlate_type(logs, t, rules.version, **settings) for t in rules.types]
-    return Correlation(*(_union([getattr(c, n) for c in each]) for n in ("fibers", "memberships", "merges", "conflicts")))
+    return Correlation(*(_union([getattr(c, n) for c in each]) for n in PARTS))
 
 
 def open_fibers(logs: DataFrame, rules: Rules, at: Column | None = None) -> DataFrame:
@@ -231,9 +349,13 @@ def open_fibers(logs: DataFrame, rules: Rules, at: Column | None = None) -> Data
     return correlate(seen, rules, flush=False).fibers.filter("close_reason IS NULL")
 
 
-def resume(state_logs: DataFrame, logs: DataFrame, rules: Rules, **settings) -> Correlation:
-    """Goes on from the logs of the fibers that were open: they come first, then the new ones."""
-    return correlate(state_logs.unionByName(logs, allowMissingColumns=True), rules, **settings)
+def resume(state: DataFrame, logs: DataFrame, rules: Rules, **settings) -> Correlation:
+    """Goes on from the fibers that were open (``Correlation.state``) with the logs that follow.
+
+    ``seq`` and ``prev_clock`` of the logs go on from those of the logs before. Memberships are those of the new logs;
+    what earlier logs were in is told by ``survivors`` where a fiber was merged away.
+    """
+    return correlate(logs, rules, state=state, **settings)
 
 
 def correlate_versioned(logs: DataFrame, schedule: list[tuple[str | None, Rules]], **settings) -> Correlation:
@@ -246,7 +368,7 @@ def correlate_versioned(logs: DataFrame, schedule: list[tuple[str | None, Rules]
         if i + 1 < len(schedule):
             part = part.filter(F.col("ts") < F.lit(schedule[i + 1][0]).cast("timestamp"))
         each.append(correlate(part, replace(rules), **settings))
-    return Correlation(*(_union([getattr(c, n) for c in each]) for n in ("fibers", "memberships", "merges", "conflicts")))
+    return Correlation(*(_union([getattr(c, n) for c in each]) for n in PARTS))
 
 
 def stamp_versions(logs: DataFrame, versions: DataFrame) -> DataFrame:

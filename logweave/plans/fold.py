@@ -28,6 +28,8 @@ class Row:
     peer: list[tuple[str, str]]
     own: list[str]
     close: bool
+    #: Of a fiber that was open before (a row of its own, with the keys it holds): its first activity; ``ts`` is its last.
+    born: int | None = None
 
 
 class Island:
@@ -37,13 +39,19 @@ class Island:
         self.gap, self.from_start = gap, from_start
         self.index: dict[tuple[str, str], Fiber] = {}
         self.due: list[tuple[int, int, Fiber]] = []
-        self.parent: dict[int, int] = {}
+        self.alive: dict[int, Fiber] = {}
 
     def _reference(self, f: Fiber) -> int:
         return f.first if self.from_start else f.last
 
+    def _born(self, f: Fiber) -> Fiber:
+        heapq.heappush(self.due, (self._reference(f), f.first_seq, f))
+        self.alive[f.first_seq] = f
+        return f
+
     def _shut(self, f: Fiber) -> None:
         f.open = False
+        del self.alive[f.first_seq]
         for k, v in f.keys.items():
             if self.index.get((k, v)) is f:
                 del self.index[(k, v)]
@@ -61,6 +69,11 @@ class Island:
 
     def step(self, row: Row) -> tuple[Fiber, list[tuple[Fiber, str]], list[Fiber]]:
         """The fiber that the log joins, fibers closed with reasons, fibers merged away."""
+        if row.born is not None:
+            f = self._born(Fiber(row.seq, row.born, row.ts))
+            for k, v in row.keys.items():
+                self._set(f, k, v)
+            return f, [], []
         closed = list(self._expire(row.clock))
         for token in row.peer:
             if f := self.index.pop(token, None):
@@ -68,8 +81,7 @@ class Island:
         met = {id(f): f for t in row.keys.items() if (f := self.index.get(t))}
         hits = sorted(met.values(), key=lambda f: (f.first, f.first_seq))
         if not hits:
-            f = Fiber(row.seq, row.ts, row.ts)
-            heapq.heappush(self.due, (row.ts, row.seq, f))
+            f = self._born(Fiber(row.seq, row.ts, row.ts))
         else:
             f = hits[0]
             for loser in hits[1:]:
@@ -77,6 +89,7 @@ class Island:
                     self._set(f, k, v)
                 f.last = max(f.last, loser.last)
                 loser.open = False
+                del self.alive[loser.first_seq]
         f.last = row.ts
         for k, v in row.keys.items():
             self._set(f, k, v)
@@ -96,11 +109,12 @@ class Island:
 
 
 def fold(rows: Iterable[Row], gap: int | None, from_start: bool):
-    """Of the rows of one island in order: (seq, own fiber), (loser, survivor, seq) and {fiber: reason}, fibers by first seq."""
+    """Of the rows of one island in order, fibers by first seq: (seq, own fiber), (loser, survivor, seq), {fiber: reason},
+    and the keys that fibers still open hold."""
     island, joined, merges, reasons = Island(gap, from_start), [], [], {}
     for row in rows:
         f, closed, lost = island.step(row)
         joined.append((row.seq, f.first_seq))
         merges += [(x.first_seq, f.first_seq, row.seq) for x in lost]
         reasons |= {x.first_seq: why for x, why in closed}
-    return joined, merges, reasons
+    return joined, merges, reasons, {k: f.keys for k, f in island.alive.items()}

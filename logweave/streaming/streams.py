@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import correlate as c
 from ..operators import ordering, sinks
 from ..plans.rules import Rules, Source
+from ..plans.storage import stage
 from ..sources.lines import with_timestamp
 
 
@@ -69,33 +70,35 @@ def stream_sequence(logs: DataFrame, folder: str, sources: list[str], emit: Call
 
 
 def stream_correlate(logs: DataFrame, rules: Rules, folder: str, checkpoint: str | None = None) -> StreamingQuery:
-    """General fibers over micro-batches that come in order: logs of fibers still open are carried to the next batch.
+    """General fibers over micro-batches that come in order: the fibers still open are carried to the next batch.
 
-    Carried logs keep their place and the clock they saw, per type; the next batch goes on from the last clock. Closed
-    fibers and their memberships are appended once (sinks skip what is there), the state is written under the batch's
-    number, so that a repeated batch starts from the same one. A fiber's id is that of its first log and stays the same
-    as the fiber grows.
+    What is carried is their state (keys held, last values, times) and their memberships, not their logs; the next batch
+    goes on from the last clock and place. Closed fibers and their memberships are appended once (sinks skip what is
+    there), the state is written under the batch's number, so that a repeated batch starts from the same one. A fiber's id
+    is that of its first log and stays the same as the fiber grows.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = ordering.with_prev_clock(ordering.sequence(batch, ["ts", "source_id", "log_id"]))
+        new = stage(ordering.with_prev_clock(ordering.sequence(batch, ["ts", "source_id", "log_id"])), "batch")
         clock = new.agg(F.max("ts").alias("clock"), F.coalesce(F.max("seq") + 1, F.lit(0)).alias("next"))
         last = _read(spark, f"{folder}/clock/{batch_id - 1}", clock).first()
         before, offset = (last["clock"], last["next"]) if last else (None, 0)
         new = new.withColumns({"prev_clock": F.coalesce("prev_clock", F.lit(before).cast("timestamp")), "seq": F.col("seq") + offset})
         end = F.lit((clock.first()["clock"] or before)).cast("timestamp")
         clock.select(F.coalesce("clock", F.lit(before).cast("timestamp")).alias("clock"), (F.col("next") + offset).alias("next")).write.mode("overwrite").parquet(f"{folder}/clock/{batch_id}")
-        held = _read(spark, f"{folder}/open/{batch_id - 1}", new.withColumn("fiber_type", F.lit("")))
-        for i, t in enumerate(rules.types):
-            rows = held.filter(F.col("fiber_type") == t.name).drop("fiber_type").unionByName(new)
-            found = c.correlate_type(rows, t, rules.version, flush=False, end=end)
-            closed = found.fibers.filter("close_reason IS NOT NULL")
-            still = found.memberships.join(found.fibers.filter("close_reason IS NULL").select("fiber_id"), "fiber_id", "left_semi")
-            kept = rows.join(still.select("log_id").distinct(), "log_id", "left_semi").withColumn("fiber_type", F.lit(t.name))
-            kept.write.mode("append" if i else "overwrite").parquet(f"{folder}/open/{batch_id}")
-            sinks.write_memberships(found.memberships.join(closed.select("fiber_id"), "fiber_id", "left_semi"), f"{folder}/memberships")
-            sinks.upsert_fibers(closed, f"{folder}/fibers")
+        state = _read(spark, f"{folder}/state/{batch_id - 1}", spark.createDataFrame([], c.STATE))
+        found = c.resume(state, new, rules, flush=False, end=end)
+        fibers, survivors = stage(found.fibers, "fibers"), stage(found.survivors, "survivors")
+        held = _read(spark, f"{folder}/held/{batch_id - 1}", found.memberships)
+        held = held.join(survivors.select("fiber_type", F.col("loser_id").alias("fiber_id"), "survivor_id"), ["fiber_type", "fiber_id"], "left")
+        held = held.withColumn("fiber_id", F.coalesce("survivor_id", "fiber_id")).drop("survivor_id")
+        members = stage(found.memberships.unionByName(held), "memberships")
+        closed = fibers.filter("close_reason IS NOT NULL")
+        found.state.write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
+        members.join(closed.select("fiber_id"), "fiber_id", "left_anti").write.mode("overwrite").parquet(f"{folder}/held/{batch_id}")
+        sinks.write_memberships(members.join(closed.select("fiber_id"), "fiber_id", "left_semi"), f"{folder}/memberships")
+        sinks.upsert_fibers(closed, f"{folder}/fibers")
 
     writer = logs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
     return writer.trigger(availableNow=True).start()
