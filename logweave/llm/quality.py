@@ -1,16 +1,21 @@
 """Quality rules: fixed limits, then robust multivariate outliers per language and source.
 
 Each document that passes the fixed limits has a vector of four transformed statistics. Per (language, source) the
-minimum-covariance-determinant estimate is found by concentration steps from the coordinate medians: distances from the
-current centre and covariance, the nearest share COVERAGE of the documents, their mean and covariance, again. A document
-whose squared Mahalanobis distance from its group's final estimate exceeds the chi-square quantile is rejected.
+minimum-covariance-determinant estimate is searched: among subsets of the share COVERAGE of the documents, the one whose
+covariance has the least determinant. The search starts from the coordinate medians and from STARTS - 1 seeded documents;
+concentration steps (distances from the current centre and covariance, the nearest share of the documents, their mean and
+covariance) lower the determinant each time. After FIRST_STEPS of them the BEST starts of a group go on until none of
+their determinants falls any more, and the least one is the group's estimate. A document whose squared Mahalanobis
+distance from it exceeds the chi-square quantile is rejected.
+
+Covariances are regularized by a fixed diagonal target (FLOORS), each statistic's measure of what differences are of no
+interest: a statistic that is nearly always 0 would else make every determinant 0, and condemn the first that isn't.
 
 The vectors are whole numbers of small steps (STEPS), so documents are first counted by (group, vector): the estimate
-is of those counts, exact over all documents, and its size is bounded by the grid and not by the documents; a group with
-a third of all rows costs no more than its distinct vectors. Groups of fewer than MIN_GROUP documents are pooled by
-language, and what is still small over all languages. Each statistic's variance has a floor (FLOORS), its measure of
-what differences are of no interest, so that a statistic that is nearly always 0 does not condemn the first that isn't.
-Only DataFrame functions are used.
+is of those counts, exact over all documents, and its size is bounded by the grid and not by the documents. Each step is
+an aggregation with partial sums, so a group with a third of all rows is dealt over all tasks. Groups of fewer than
+MIN_GROUP documents, too few for a covariance of that many statistics, are pooled by language, and what is still small
+over all languages. Only DataFrame functions are used.
 
 Defined results: null or empty text has no words and fails the fixed limits; null language or source is a group of its
 own; rows that repeat count each; an empty table gives an empty result; further columns are ignored by
@@ -33,10 +38,13 @@ STEPS = (0.02, 0.1, 0.02, 0.02)
 #: Standard deviations, in the statistics' units, below which differences say nothing.
 FLOORS = (0.10, 0.45, 0.12, 0.12)
 COVERAGE = 0.75
-ROUNDS = 4
-MIN_GROUP = 100
+STARTS, FIRST_STEPS, BEST = 6, 2, 2
+#: Determinants that fall by less than this share have settled; steps after which a search ends in any case.
+SETTLED, LAST_STEP = 1e-9, 50
 REJECT_SHARE = 1e-5
 P = 4
+#: The usual least number of documents for an estimate of this kind: five a statistic.
+MIN_GROUP = 5 * P
 
 
 def _chi2_4(x: float) -> float:
@@ -139,63 +147,89 @@ def _with_distance(rows: DataFrame, out: str) -> DataFrame:
     return rows.drop(*[f"z{i}" for i in range(P)])
 
 
-def estimates(cells: DataFrame) -> DataFrame:
-    """One row per group ``lang, source`` (of the pools: ``pool`` 1 or 2) with m0.. and l00..; ``cells`` has the counts n.
+KEYS = ["pool", "g_lang", "g_source"]
+VECTOR = [f"x{i}" for i in range(P)]
+ESTIMATE = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in _pairs()]
+TARGET = [(f / s) ** 2 for f, s in zip(FLOORS, STEPS, strict=True)]
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """The key of the group that an estimate is made of."""
+    lang = F.when(F.col("pool") < 2, F.col("lang"))
+    return rows.withColumn("g_lang", lang).withColumn("g_source", F.when(F.col("pool") == 0, F.col("source")))
+
+
+def _starts(cells: DataFrame) -> DataFrame:
+    """First estimates by group and start: medians, then seeded documents, all with the target as covariance."""
+    medians = F.struct(*[F.percentile(x, 0.5, F.col("n")).cast("double").alias(f"m{i}") for i, x in enumerate(VECTOR)])
+    vector = F.struct(*[F.col(x).cast("double").alias(f"m{i}") for i, x in enumerate(VECTOR)])
+    made = [medians]
+    for s in range(1, STARTS):  # a cell of n documents is as likely as n cells of one
+        share = (F.pmod(F.xxhash64(*VECTOR, F.lit(s)), F.lit(1 << 30)) + 1) / (1 << 30)
+        made.append(F.max_by(vector, F.log(share) / F.col("n")))
+    rows = cells.groupBy(*KEYS).agg(F.array(*made).alias("made")).select(*KEYS, F.posexplode("made").alias("start", "m")).select(*KEYS, "start", "m.*")
+    rows = rows.withColumns({f"c{i}{j}": F.lit(TARGET[i] if i == j else 0.0) for i, j in _pairs()})
+    return common.stage(rows.withColumn("det", F.lit(float("inf"))).withColumn("moving", F.lit(True)), "starts")
+
+
+def _step(cells: DataFrame, current: DataFrame) -> DataFrame:
+    """A concentration step of every start: the estimate of the nearest documents, its determinant, whether it fell."""
+    joined = common.lookup_join(cells, _with_factors(current).drop(*ESTIMATE[P:]), KEYS, F.col("x0"), "inner")
+    near = common.stage(_with_distance(joined, "d2").select(*KEYS, "start", *VECTOR, "n", "d2"), "distances")
+    limits = near.groupBy(*KEYS, "start").agg(F.percentile("d2", COVERAGE, F.col("n")).alias("limit"))
+    near = common.lookup_join(near, common.stage(limits, "limits"), [*KEYS, "start"], F.col("x0"), "inner").filter("d2 <= limit")
+    total = F.sum("n")
+    sums = {f"m{i}": F.sum(F.col("n") * F.col(f"x{i}")) / total for i in range(P)}
+    sums |= {f"c{i}{j}": F.sum(F.col("n") * F.col(f"x{i}") * F.col(f"x{j}")) / total for i, j in _pairs()}
+    found = near.groupBy(*KEYS, "start").agg(*[x.alias(k) for k, x in sums.items()])
+    raw = {f"c{i}{j}": (F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * F.lit(CONSISTENCY) + F.lit(TARGET[i] if i == j else 0.0) for i, j in _pairs()}
+    found = _with_factors(found.withColumns(raw))
+    for i in range(P):
+        found = found.withColumn("det", F.col(f"l{i}{i}") * F.col(f"l{i}{i}") * (F.col("det") if i else F.lit(1.0)))
+    old = current.select(*KEYS, "start", F.col("det").alias("old"))
+    found = common.lookup_join(found.select(*KEYS, "start", *ESTIMATE, "det"), old, [*KEYS, "start"], F.col("start"), "inner")
+    return common.stage(found.withColumn("moving", F.col("det") < F.col("old") * (1 - SETTLED)).drop("old"), "step")
+
+
+def least_determinants(cells: DataFrame) -> DataFrame:
+    """Per group ``pool, g_lang, g_source`` of counted vectors (n): the estimate of the least determinant found."""
+    order = Window.partitionBy(*KEYS).orderBy("det", "start")  # a row for each start
+    current = _starts(cells)
+    for _ in range(FIRST_STEPS):
+        current = _step(cells, current)
+    current = common.stage(current.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= BEST).drop("r"), "best")
+    found, turn = [], 0
+    while not current.isEmpty() and turn < LAST_STEP:
+        stepped = _step(cells, current)
+        found.append(stepped.filter("NOT moving"))
+        current = stepped.filter("moving")
+        turn += 1
+    found.append(current)
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return every.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r", "start", "moving")
 
-    Windows partitioned by the group's key keep a group's cells in place over all rounds, so that the rounds need no
-    exchange of their own.
-    """
+
+def estimates(cells: DataFrame) -> DataFrame:
+    """One row per group ``lang, source`` with m0.., the factors l00.. and ``det``; ``cells`` has the counts n."""
     per = cells.groupBy("lang", "source").agg(F.sum("n").alias("docs"))
-    by_lang = Window.partitionBy("lang", F.col("docs") < MIN_GROUP)
-    per = per.withColumn("pooled", F.sum("docs").over(by_lang))
+    pooled = per.filter(F.col("docs") < MIN_GROUP).groupBy("lang").agg(F.sum("docs").alias("pooled"))
+    per = common.lookup_join(per, common.stage(pooled, "pools"), ["lang"], F.col("source"))
     pool = F.when(F.col("docs") >= MIN_GROUP, 0).when(F.col("pooled") >= MIN_GROUP, 1).otherwise(2)
-    per = per.withColumn("pool", pool).select("lang", "source", "pool")
-    per = common.stage(per, "groups")
+    per = common.stage(_keyed(per.select("lang", "source", pool.alias("pool"))), "groups")
     rows = common.lookup_join(cells, per, ["lang", "source"], F.col("x0"))
-    rows = rows.withColumn("g_lang", F.when(F.col("pool") < 2, F.col("lang"))).withColumn("g_source", F.when(F.col("pool") == 0, F.col("source")))
-    keys = ["pool", "g_lang", "g_source"]
-    rows = rows.groupBy(*keys, *[f"x{i}" for i in range(P)]).agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys)
-    vector = [f"x{i}" for i in range(P)]
-    floors = [(f / s) ** 2 for f, s in zip(FLOORS, STEPS, strict=True)]
-    # start: coordinate medians and the floors
-    for i in range(P):
-        below = F.sum("n").over(group.orderBy(f"x{i}"))
-        rows = rows.withColumn("__half", below * 2 >= F.sum("n").over(group))
-        rows = rows.withColumn(f"m{i}", F.min(F.when(F.col("__half"), F.col(f"x{i}"))).over(group).cast("double"))
-    for i, j in _pairs():
-        rows = rows.withColumn(f"c{i}{j}", F.lit(floors[i] if i == j else 0.0))
-    for _ in range(ROUNDS):
-        rows = _with_distance(_with_factors(rows), "d2").drop(*[f"l{i}{j}" for i, j in _pairs()])
-        before = F.sum("n").over(group.orderBy("d2", *vector)) - F.col("n")
-        rows = rows.withColumn("w", F.when(before < F.lit(COVERAGE) * F.sum("n").over(group), F.col("n")).otherwise(0))
-        total = F.sum("w").over(group)
-        sums = {f"m{i}": F.sum(F.col("w") * F.col(f"x{i}")).over(group) / total for i in range(P)}
-        sums |= {f"c{i}{j}": F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).over(group) / total for i, j in _pairs()}
-        rows = rows.withColumns(sums)
-        rows = rows.withColumns(
-            {
-                f"c{i}{j}": (F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * F.lit(CONSISTENCY) + F.lit(floors[i] if i == j else 0.0)
-                for i, j in _pairs()
-            }
-        )
-    keep = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in _pairs()]
-    found = _with_factors(rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in keep]))
+    rows = common.stage(rows.groupBy(*KEYS, *VECTOR).agg(F.sum("n").alias("n")), "grouped")
     keep = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i, j in _pairs()]
-    found = found.select(*keys, *keep)
-    found = common.stage(found, "estimates")
-    named = common.lookup_join(
-        per.withColumn("g_lang", F.when(F.col("pool") < 2, F.col("lang"))).withColumn("g_source", F.when(F.col("pool") == 0, F.col("source"))),
-        found, keys, F.col("source"),
-    )
-    return named.select("lang", "source", *keep)
+    found = common.stage(_with_factors(least_determinants(rows)).select(*KEYS, *keep, "det"), "estimates")
+    return common.lookup_join(per, found, KEYS, F.col("source")).select("lang", "source", *keep, "det")
 
 
 def _judged(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Adds ``base_failed`` and ``kept`` to rows with lang, source and __q."""
     rows = rows.withColumn("base_failed", _failed(F.col("__q.n_words"), F.col("__q.n_repeat_words")))
     rows = rows.withColumns({f"x{i}": x for i, x in enumerate(_vector("__q"))})
-    rows = _with_distance(common.lookup_join(rows, found, ["lang", "source"], F.col("__q.word_chars")), "distance2")
+    rows = _with_distance(common.lookup_join(rows, found.drop("det"), ["lang", "source"], F.col("__q.word_chars")), "distance2")
     return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= CUTOFF))
 
 
@@ -217,10 +251,10 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns; texts are read twice and never shuffled."""
-    stats = text_statistics(docs.select("lang", "source", "text")).drop("text")
-    found = _fit(common.stage(stats, "statistics"))
+    """The documents that are kept, with all their columns; the counts are written beside them, so texts are read once."""
     names = [f"__c{i}" for i in range(len(docs.columns))]
     # own names, so that columns of the documents cannot clash with those of the estimate
     rows = docs.toDF(*names).withColumns({c: F.col(names[docs.columns.index(c)]) for c in ("lang", "source", "text")})
-    return _judged(text_statistics(rows), found).filter("kept").select(*names).toDF(*docs.columns)
+    rows = common.stage(text_statistics(rows).drop("text"), "counted")
+    found = _fit(rows.select("lang", "source", "__q"))
+    return _judged(rows, found).filter("kept").select(*names).toDF(*docs.columns)
