@@ -85,7 +85,7 @@ def _rows(logs: DataFrame, t: FiberType, normalize_keys: bool, state: DataFrame
 
     kv = F.struct(*[key(k).alias(k) for k in t.keys] or [F.lit(None).cast("string").alias("_")])
     at = F.struct(*[F.when(F.col(f"values.{n}").isNotNull(), F.col(SEQ)).alias(n) for n in kinds])
-    carried = [SEQ, F.col("log_id").cast("string").alias("log_id"), "ts", CLOCK, kv.alias("kv"), "values", at.alias("at"), "release_peer", "release_self", "close"]
+    carried = [SEQ, "log_id", "ts", CLOCK, kv.alias("kv"), "values", at.alias("at"), "release_peer", "release_self", "close"]
     rows = rows.select(*carried, F.lit(1).cast("long").alias("n"), F.col("ts").alias("born"), F.lit(False).alias("open"))
     if state is None:
         return rows
@@ -95,7 +95,7 @@ def _rows(logs: DataFrame, t: FiberType, normalize_keys: bool, state: DataFrame
     at = F.struct(*[F.col("value_seq")[n].alias(n) for n in kinds])
     none = F.array().cast("array<string>")
     seeds = mine.select(
-        F.col("first_seq").alias(SEQ), F.col("first_log_id").alias("log_id"), F.col("last_activity").alias("ts"), F.lit(None).cast("timestamp").alias(CLOCK),
+        F.col("first_seq").alias(SEQ), F.col("first_log_id").cast(logs.schema["log_id"].dataType).alias("log_id"), F.col("last_activity").alias("ts"), F.lit(None).cast("timestamp").alias(CLOCK),
         kv.alias("kv"), values.alias("values"), at.alias("at"), none.alias("release_peer"), none.alias("release_self"), F.lit(False).alias("close"),
         F.col("n_logs").alias("n"), F.col("first_activity").alias("born"), F.lit(True).alias("open"),
     )
@@ -117,7 +117,7 @@ def _starts_by_gap(keyed: DataFrame, gap: int) -> DataFrame:
     together, from start to start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first_seq, first_log, limit, forced = None, 0, "", 0, True
+        key, first_seq, first_log, limit, forced = None, 0, None, 0, True
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -130,7 +130,7 @@ def _starts_by_gap(keyed: DataFrame, gap: int) -> DataFrame:
             cut[0] |= names[codes[0]] != key
             edges = np.flatnonzero(cut)
             ends = np.r_[edges, len(seq)]
-            firsts, first_logs = np.empty(len(seq), np.int64), [""] * len(seq)
+            firsts, first_logs = np.empty(len(seq), np.int64), [None] * len(seq)
             at = 0
             for end in ends:
                 while at < end:
@@ -144,11 +144,11 @@ def _starts_by_gap(keyed: DataFrame, gap: int) -> DataFrame:
                     first_logs[at:stop] = [first_log] * (stop - at)
                     at = stop
             key, forced = names[codes[-1]], bool(after[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(seq), pa.array(firsts), pa.array(first_logs)], ["seq", "first_seq", "first_log"])
+            yield pa.RecordBatch.from_arrays([pa.array(seq), pa.array(firsts), pa.array(first_logs, batch.column(2).type)], ["seq", "first_seq", "first_log"])
 
     least = F.lit(-(1 << 62))
     small = keyed.select("k", SEQ, "log_id", F.unix_micros("born"), F.coalesce(F.unix_micros(CLOCK), least), "cut_before", "cut_after")
-    return small.repartition("k").sortWithinPartitions("k", SEQ).mapInArrow(run, "seq long, first_seq long, first_log string")
+    return small.repartition("k").sortWithinPartitions("k", SEQ).mapInArrow(run, f"seq long, first_seq long, first_log {keyed.schema['log_id'].dataType.simpleString()}")
 
 
 def _chains(rows: DataFrame, t: FiberType, event_clock: bool) -> DataFrame:
@@ -240,7 +240,7 @@ def _survivors(merges: DataFrame) -> DataFrame:
     return final.select("fiber", "component").distinct().join(alive, "component").select("fiber", "survivor")
 
 
-def _fiber_id(version: str, name: str, log_id: Column) -> Column:
+def fiber_id_of(version: str, name: str, log_id: Column) -> Column:
     return F.sha2(F.concat_ws("\0", F.lit(version), F.lit(name), log_id.cast("string")), 256)
 
 
@@ -276,7 +276,7 @@ def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: boo
         survivors = stage(_survivors(merges).join(first_log, F.col("survivor") == F.col("o")).drop("o"), "survivors")
         known = own.join(survivors, F.col("owner") == F.col("fiber"), "left").drop("fiber")
         known = known.withColumns({"first_seq": F.coalesce("survivor", "owner"), "survivor_log": F.coalesce("first_log", "owner_log")})
-    known = known.withColumn("fiber_id", _fiber_id(version, t.name, F.col("survivor_log")))
+    known = known.withColumn("fiber_id", fiber_id_of(version, t.name, F.col("survivor_log")))
 
     names = [a.name for a in t.attributes]
     lasts = [F.max_by(F.col(f"values.{n}"), F.col(f"at.{n}")).alias(f"a_{i}") for i, n in enumerate(names)]
@@ -298,7 +298,7 @@ def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: boo
     places = F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"s_{i}").alias("value")) for i, n in enumerate(names)])
     still = fibers.filter("reason IS NULL").join(held, F.col("first_seq") == F.col("f"), "left")
     still = still.select(
-        F.lit(t.name).alias("fiber_type"), F.lit(version).alias("ruleset_version"), "fiber_id", "first_seq", F.col("survivor_log").alias("first_log_id"),
+        F.lit(t.name).alias("fiber_type"), F.lit(version).alias("ruleset_version"), "fiber_id", "first_seq", F.col("survivor_log").cast("string").alias("first_log_id"),
         F.coalesce("keys", F.create_map().cast("map<string,string>")).alias("keys"), attributes,
         F.map_from_entries(F.filter(places, lambda p: p["value"].isNotNull())).alias("value_seq"), "first_activity", "last_activity", "n_logs",
     )
@@ -309,7 +309,7 @@ def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: boo
         "first_activity", "last_activity", "n_logs", reason.isNotNull().alias("closed"), reason.alias("close_reason"),
         F.col("survivor_log").alias("first_log_id"),
     )
-    by = F.col("fiber_id") if membership == "survivor" else _fiber_id(version, t.name, F.col("owner_log"))
+    by = F.col("fiber_id") if membership == "survivor" else fiber_id_of(version, t.name, F.col("owner_log"))
     memberships = known.filter("NOT open").select("log_id", by.alias("fiber_id"), F.lit(t.name).alias("fiber_type"), F.lit(version).alias("ruleset_version"))
     if merges is None:
         none = memberships.filter(F.lit(False))
@@ -319,9 +319,9 @@ def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: boo
         loser, winner = (first_log.select(F.col("o").alias(o), F.col("first_log").alias(n)) for o, n in (("lo", "ll"), ("wo", "wl")))
         merged = merges.join(loser, F.col("fiber") == F.col("lo")).join(winner, F.col("other") == F.col("wo"))
         merged = merged.join(rows.select(F.col(SEQ).alias("s"), "log_id"), F.col("m_seq") == F.col("s"))
-        merged = merged.select(F.lit(t.name).alias("fiber_type"), _fiber_id(version, t.name, F.col("ll")).alias("loser_id"), _fiber_id(version, t.name, F.col("wl")).alias("survivor_id"), "log_id")
+        merged = merged.select(F.lit(t.name).alias("fiber_type"), fiber_id_of(version, t.name, F.col("ll")).alias("loser_id"), fiber_id_of(version, t.name, F.col("wl")).alias("survivor_id"), "log_id")
         final = survivors.join(loser, F.col("fiber") == F.col("lo"))
-        final = final.select(F.lit(t.name).alias("fiber_type"), _fiber_id(version, t.name, F.col("ll")).alias("loser_id"), _fiber_id(version, t.name, F.col("first_log")).alias("survivor_id"))
+        final = final.select(F.lit(t.name).alias("fiber_type"), fiber_id_of(version, t.name, F.col("ll")).alias("loser_id"), fiber_id_of(version, t.name, F.col("first_log")).alias("survivor_id"))
     items = F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(f"values.{n}").cast("string").alias("value"), F.col(f"at.{n}").alias("at")) for n in names])
     items = known.select("fiber_id", F.inline(items)).filter("value IS NOT NULL")
     before = F.lag("value").over(Window.partitionBy("fiber_id", "attribute").orderBy("at"))

@@ -30,24 +30,44 @@ def sequence(logs: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     return joined.select(*logs.columns, (F.col("first") + nth).alias("seq"))
 
 
-def two_level_lag(rows: DataFrame, value: str, order: Sequence[str], bucket: Column, out: str) -> DataFrame:
-    """``value`` of the row before in the whole order, without a window over all rows.
+#: Consecutive places in the order that one window holds.
+BLOCK = 1 << 20
 
-    The lag is taken inside buckets of the leading order column; a bucket's first row takes the last value of the bucket
-    before it, found on the table of buckets.
+
+def with_prev_clock(logs: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+    """The logical clock before each log: the time of the log just before it, of any source.
+
+    The lag is taken inside blocks of consecutive places (``seq``, given first where it is missing); a block's first row
+    takes the last time of the block before it, found on the table of blocks.
     """
-    rows = rows.withColumn("__b", bucket)
-    inside = Window.partitionBy("__b").orderBy(*order)
-    rows = rows.withColumn("__lag", F.lag(value).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
-    last = rows.groupBy("__b").agg(F.max(F.struct(*order, F.col(value).alias("__v"))).alias("__m"))
-    last = last.select(F.col("__b").alias("__k"), F.lag("__m.__v").over(Window.orderBy("__b")).alias("__before"))
+    rows = logs if "seq" in logs.columns else sequence(logs, order)
+    rows = rows.withColumn("__b", F.floor(F.col("seq") / BLOCK))
+    inside = Window.partitionBy("__b").orderBy("seq")
+    rows = rows.withColumn("__lag", F.lag("ts").over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
+    last = rows.groupBy("__b").agg(F.max_by("ts", "seq").alias("__v"))
+    last = last.select(F.col("__b").alias("__k"), F.lag("__v").over(Window.orderBy("__b")).alias("__before"))  # a row for each block
     joined = rows.join(last, F.col("__b") == F.col("__k"))
-    return joined.withColumn(out, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag"))).drop("__b", "__lag", "__first", "__k", "__before")
+    return joined.select(*logs.columns, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag")).alias("prev_clock"))
 
 
-def with_prev_clock(logs: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
-    """The logical clock before each log: the time of the log just before it, of any source."""
-    return two_level_lag(logs, "ts", order, F.date_trunc("hour", "ts"), "prev_clock")
+def running(rows: DataFrame, keys: Sequence[str], block: Column, order: Sequence, value: Column, out: str, how=F.sum, current: bool = True) -> DataFrame:
+    """The sum or maximum (``how``) of ``value`` over the rows of the same keys up to each one, with it or without.
+
+    No window holds more than a block of a key's rows: what comes before a block is taken from the table of blocks.
+    """
+    rows = rows.withColumn("__b", block).withColumn("__x", value)
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+    rows = rows.withColumn("__m", how("__x").over(inside))
+    blocks = rows.groupBy(*keys, "__b").agg(how("__x").alias("m"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"__k{i}" for i in range(len(keys))]
+    blocks = blocks.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("__b").alias("__k"), how("m").over(before).alias("__before"))
+    on = F.col("__b").eqNullSafe(F.col("__k"))
+    for k, n in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    joined = rows.join(blocks, on)
+    both = F.coalesce(F.col("__m") + F.col("__before"), "__m", "__before") if how is F.sum else F.greatest("__m", "__before")
+    return joined.withColumn(out, both).drop("__b", "__x", "__m", "__k", "__before", *names)
 
 
 def source_watermarks(logs: DataFrame, arrival: str = "seq") -> DataFrame:
@@ -115,11 +135,13 @@ def epochs(logs: DataFrame, seconds: int, collector_id: str = "collector", water
     if with_logs:
         aggs.append(F.array_sort(F.collect_list(F.struct(*logs.columns))).alias("logs"))
     found = rows.groupBy("epoch_start").agg(*aggs)
-    order = Window.orderBy("epoch_start")  # one row per epoch
+    order = Window.orderBy("epoch_start")  # a row for each epoch, without its logs
     end = F.timestamp_seconds(F.unix_seconds("epoch_start") + seconds)
     is_last = F.lead("epoch_start").over(order).isNull()
-    found = found.withColumn("epoch_end", end).withColumn("watermark", F.when(is_last, F.coalesce(watermark, end) if watermark is not None else end).otherwise(end))
-    return found.withColumn("sequence_num", (F.row_number().over(order) - 1).cast("long")).withColumn("collector_id", F.lit(collector_id))
+    mark = F.when(is_last, F.coalesce(watermark, end) if watermark is not None else end).otherwise(end)
+    starts = rows.select("epoch_start").distinct()
+    starts = starts.withColumns({"epoch_end": end, "watermark": mark, "sequence_num": (F.row_number().over(order) - 1).cast("long"), "collector_id": F.lit(collector_id)})
+    return found.join(starts, "epoch_start")
 
 
 def batches_after(batches: DataFrame, after: int | None = None, limit: int = 10) -> DataFrame:

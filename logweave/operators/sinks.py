@@ -15,15 +15,21 @@ def _exists(df: DataFrame, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _within(there: DataFrame, touched: DataFrame, partitions: list[str]) -> DataFrame:
+    """The rows of the partitions that are touched; their values prune the files that are read."""
+    return there.join(F.broadcast(touched.select(*partitions).distinct()), partitions, "left_semi")  # a row for each partition
+
+
 def _append_new(df: DataFrame, path: str, keys: list[str], partitions: list[str]) -> None:
     df = df.dropDuplicates(keys)
     if _exists(df, path):
-        df = df.join(df.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
+        there = _within(df.sparkSession.read.parquet(path), df, partitions)
+        df = df.join(there.select(*keys), keys, "left_anti")
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
 def write_logs(logs: DataFrame, path: str) -> None:
-    """Appends logs whose id is not there, by day."""
+    """Appends logs whose id is not there, by day; only the days of these logs are read."""
     _append_new(logs.withColumn("dt", F.to_date("ts")), path, ["log_id"], ["dt"])
 
 
@@ -32,16 +38,15 @@ def write_memberships(memberships: DataFrame, path: str) -> None:
 
 
 def upsert_fibers(fibers: DataFrame, path: str) -> None:
-    """Writes fibers, newer rows of an id in place of older ones; only the partitions that are touched are rewritten."""
-    keys = ["ruleset_version", "fiber_type"]
+    """Writes fibers, newer rows of an id in place of older ones. Partitions are type, version and the day a fiber began,
+    which stays the same as it grows; only those that are touched are read and rewritten."""
+    keys = ["ruleset_version", "fiber_type", "dt"]
+    fibers = fibers.withColumn("dt", F.to_date("first_activity"))
     rows = fibers.withColumn("__new", F.lit(1))
     if _exists(fibers, path):
-        touched = fibers.select(*keys).distinct()
-        old = fibers.sparkSession.read.parquet(path).join(F.broadcast(touched), keys, "left_semi")  # one row per type and version
+        old = _within(fibers.sparkSession.read.parquet(path), fibers, keys)
         rows = old.withColumn("__new", F.lit(0)).unionByName(rows, allowMissingColumns=True)
-    rows = latest(rows, ["fiber_id"], "__new").drop("__new")
-    if _exists(fibers, path):
-        rows = stage(rows, "fibers")  # what is read is about to be replaced
+    rows = stage(latest(rows, ["fiber_id"], "__new").drop("__new"), "fibers")  # what is read is about to be replaced
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 

@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.rules import Rules
+from .ordering import running
 
 #: Most rows of a page, of a filtered fiber query, and most ids of a batch.
 MAX_PAGE, MAX_FIBERS, MAX_IDS = 1000, 1000, 100
+#: The shortest bucket of fibers' lives, 2 ** 26 microseconds; the stretch of a lane that one window holds, an hour.
+MIN_LEVEL, LANE_US = 26, 3_600_000_000
 
 
 def page(df: DataFrame, order: Sequence[str | Column], limit: int = 100, offset: int = 0) -> DataFrame:
@@ -183,15 +186,26 @@ def close_orphans(fibers: DataFrame, open_ids: DataFrame) -> DataFrame:
     return rows.withColumn("close_reason", F.when(orphan, "orphan").otherwise(F.col("close_reason"))).withColumn("closed", F.col("closed") | orphan).drop("o")
 
 
-def overlapping_fibers(fibers: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """Pairs of fibers of one type whose lives meet, joined by the time buckets that both touch."""
-    first = F.floor(F.unix_seconds("first_activity") / bucket_seconds)
-    rows = fibers.select("fiber_type", "fiber_id", "first_activity", "last_activity", first.alias("b0"))
-    rows = rows.withColumn("b", F.explode(F.sequence(F.col("b0"), F.floor(F.unix_seconds("last_activity") / bucket_seconds))))
-    other = rows.select("fiber_type", "b", F.col("fiber_id").alias("other_id"), F.col("first_activity").alias("f2"), F.col("last_activity").alias("l2"), F.col("b0").alias("c0"))
-    met = rows.join(other, ["fiber_type", "b"]).filter((F.col("fiber_id") < F.col("other_id")) & (F.col("b") == F.greatest("b0", "c0")))
-    met = met.filter((F.col("first_activity") <= F.col("l2")) & (F.col("f2") <= F.col("last_activity")))
-    return met.select("fiber_type", "fiber_id", "other_id", F.greatest("first_activity", "f2").alias("from_ts"), F.least("last_activity", "l2").alias("to_ts"))
+def overlapping_fibers(fibers: DataFrame) -> DataFrame:
+    """Pairs of fibers of one type whose lives meet.
+
+    A fiber's level is the power of two (of microseconds) that its life does not exceed, so it touches two buckets of that
+    width at most. It is put into the buckets of its own and of every larger level that occurs, and meets there the fibers
+    whose own level that is: a number of rows that grows with the levels, not with the length of its life.
+    """
+    micros = lambda c: F.unix_micros(c)
+    level = F.greatest(F.ceil(F.log2(micros("last_activity") - micros("first_activity") + 1)), F.lit(MIN_LEVEL)).cast("int")
+    rows = fibers.select("fiber_type", "fiber_id", "first_activity", "last_activity", level.alias("own"))
+    levels = sorted(r[0] for r in rows.select("own").distinct().collect())  # 64 at most
+    rows = rows.withColumn("level", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col("own"))))
+    bucket = lambda c: F.floor(micros(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    rows = rows.withColumn("b0", bucket("first_activity")).withColumn("b", F.explode(F.sequence(F.col("b0"), bucket("last_activity"))))
+    long = rows.filter("own = level").select("fiber_type", "level", "b", F.col("fiber_id").alias("id2"), F.col("first_activity").alias("f2"), F.col("last_activity").alias("l2"), F.col("b0").alias("c0"))
+    met = rows.join(long, ["fiber_type", "level", "b"])
+    once = (F.col("own") < F.col("level")) | (F.col("fiber_id") < F.col("id2"))
+    met = met.filter(once & (F.col("b") == F.greatest("b0", "c0")) & (F.col("first_activity") <= F.col("l2")) & (F.col("f2") <= F.col("last_activity")))
+    ids = [F.least("fiber_id", "id2").alias("fiber_id"), F.greatest("fiber_id", "id2").alias("other_id")]
+    return met.select("fiber_type", *ids, F.greatest("first_activity", "f2").alias("from_ts"), F.least("last_activity", "l2").alias("to_ts"))
 
 
 def membership_counts(memberships: DataFrame) -> DataFrame:
@@ -247,11 +261,11 @@ def lane_segments(points: DataFrame) -> DataFrame:
 
 
 def _clusters(segments: DataFrame) -> DataFrame:
-    """Adds ``cluster``: stretches of a lane between moments that no segment covers."""
-    w = Window.partitionBy("source_id").orderBy("start_ts", F.desc("end_ts"), "fiber_id", "run")
-    reach = F.max("end_ts").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = segments.withColumn("new", F.coalesce(F.col("start_ts") > reach, F.lit(True)).cast("int"))
-    return rows.withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    """Adds ``cluster``: stretches of a lane between moments that no segment covers, by the moment they begin."""
+    block, order = F.floor(F.unix_micros("start_ts") / LANE_US), ["start_ts", F.desc("end_ts"), "fiber_id", "run"]
+    rows = running(segments, ["source_id"], block, order, F.col("end_ts"), "reach", F.max, current=False)
+    new = F.when(F.coalesce(F.col("start_ts") > F.col("reach"), F.lit(True)), F.col("start_ts"))
+    return running(rows, ["source_id"], block, order, new, "cluster", F.max).drop("reach")
 
 
 def assign_tracks(segments: DataFrame) -> DataFrame:
@@ -278,8 +292,8 @@ def lane_concurrency(segments: DataFrame) -> DataFrame:
     """The most segments of a lane at one moment (ends are in it)."""
     edges = segments.select("source_id", F.explode(F.array(F.struct(F.unix_micros("start_ts").alias("at"), F.lit(1).alias("d")), F.struct((F.unix_micros("end_ts") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
     per = edges.groupBy("source_id", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    level = F.sum("d").over(Window.partitionBy("source_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    return per.withColumn("level", level).groupBy("source_id").agg(F.max("level").alias("tracks"))
+    per = running(per, ["source_id"], F.floor(F.col("at") / LANE_US), ["at"], F.col("d"), "level")
+    return per.groupBy("source_id").agg(F.max("level").alias("tracks"))
 
 
 def source_transitions(points: DataFrame) -> DataFrame:

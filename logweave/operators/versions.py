@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.rules import FiberType, Rules
+from ..plans.storage import stage
 from .correlate import Correlation, correlate, correlate_type
 from .ordering import with_prev_clock
 from .tables import logs_range, page
@@ -21,6 +22,11 @@ def clear_results(memberships: DataFrame, logs: DataFrame, start: str | None = N
     return memberships.join(logs_range(logs, start, end).select("log_id"), "log_id", "left_anti")
 
 
+def cleared_fibers(fibers: DataFrame, kept: DataFrame) -> DataFrame:
+    """Fibers that stay when memberships were cleared: those that still have one of ``kept``."""
+    return fibers.join(kept.select("fiber_id").distinct(), "fiber_id", "left_semi")
+
+
 def compare_versions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Fibers of two results that share logs: shared logs and Jaccard similarity; unmatched ones with null."""
     a = old.select("log_id", "fiber_type", F.col("fiber_id").alias("old_fiber"))
@@ -58,19 +64,22 @@ def activate(versions: DataFrame, version_hash: str) -> DataFrame:
     return rows.withColumn("is_active", F.when(bad, F.raise_error(F.lit("no such version, or no such parent"))).otherwise(this)).select(*versions.columns)
 
 
-def lineage(versions: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """``version_hash, ancestor, depth`` along parents; a cycle ends where it comes back."""
-    spark = versions.sparkSession
-    versions.select("version_hash", "parent_hash").createOrReplaceTempView("lw_versions")
-    return spark.sql(
-        f"""WITH RECURSIVE up(version_hash, ancestor, depth, path) MAX RECURSION LEVEL {max_depth} AS (
-              SELECT version_hash, parent_hash, 1, array(version_hash) FROM lw_versions WHERE parent_hash IS NOT NULL
-              UNION ALL
-              SELECT u.version_hash, v.parent_hash, u.depth + 1, array_append(u.path, v.version_hash)
-              FROM up u JOIN lw_versions v ON v.version_hash = u.ancestor
-              WHERE v.parent_hash IS NOT NULL AND NOT array_contains(u.path, v.version_hash))
-            SELECT version_hash, ancestor, depth FROM up"""
-    )
+def lineage(versions: DataFrame) -> DataFrame:
+    """``version_hash, ancestor, depth`` along parents; a cycle ends where it comes back.
+
+    Each turn doubles the steps that are known, so chains of any length take as many turns as their length's logarithm.
+    """
+    known = stage(versions.filter("parent_hash IS NOT NULL").select("version_hash", F.col("parent_hash").alias("ancestor"), F.lit(1).alias("depth")), "lineage")
+    reach, jumps = 1, known
+    while True:
+        on = known.select(F.col("version_hash").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        longer = jumps.join(on, "ancestor").select("version_hash", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        longer = longer.join(known, ["version_hash", "ancestor"], "left_anti").groupBy("version_hash", "ancestor").agg(F.min("depth").alias("depth"))
+        longer = stage(longer, "lineage")
+        if longer.isEmpty():
+            return known
+        reach *= 2
+        known, jumps = stage(known.unionByName(longer), "lineage"), longer.filter(F.col("depth") == reach)
 
 
 def is_ancestor(versions: DataFrame, ancestor: str, version_hash: str) -> DataFrame:
@@ -86,19 +95,25 @@ def working_set_window(logs: DataFrame, ids: DataFrame, gap_us: int | None, marg
 
 
 def score_memberships(memberships: DataFrame, ids: DataFrame) -> DataFrame:
-    """Per fiber the intersection over union with the expected logs; matching, missing and extra ones; best first."""
-    expected = ids.select("log_id", F.lit(True).alias("expected")).distinct()
-    size = expected.agg(F.count(F.lit(1)).alias("n_expected"), F.array_sort(F.collect_list("log_id")).alias("wanted"))
-    rows = memberships.join(expected, "log_id", "left")
-    per = rows.groupBy("fiber_id").agg(
-        F.count(F.lit(1)).alias("n_logs"),
-        F.array_sort(F.collect_list(F.when(F.col("expected"), F.col("log_id")))).alias("matching"),
-        F.array_sort(F.collect_list(F.when(F.col("expected").isNull(), F.col("log_id")))).alias("extra"),
-    )
-    per = per.filter(F.size("matching") > 0).crossJoin(F.broadcast(size))  # one row
-    hits = F.size("matching")
-    iou = hits / (F.col("n_logs") + F.col("n_expected") - hits)
-    return per.select("fiber_id", iou.alias("iou"), "matching", F.array_except("wanted", "matching").alias("missing"), "extra").orderBy(F.desc("iou"), "fiber_id")
+    """Per fiber that has expected logs the intersection over union with them, and the numbers of matching, missing and
+    extra ones; best first. :func:`scored_logs` has the logs themselves."""
+    expected = ids.select("log_id").distinct().withColumn("expected", F.lit(True))
+    size = expected.agg(F.count(F.lit(1)).alias("n_expected"))
+    per = memberships.join(expected, "log_id", "left").groupBy("fiber_id").agg(F.count(F.lit(1)).alias("n"), F.count("expected").alias("matching"))
+    per = per.filter("matching > 0").crossJoin(F.broadcast(size))  # one row
+    missing, extra = F.col("n_expected") - F.col("matching"), F.col("n") - F.col("matching")
+    iou = F.col("matching") / (F.col("n") + missing)
+    return per.select("fiber_id", iou.alias("iou"), "matching", missing.alias("missing"), extra.alias("extra")).orderBy(F.desc("iou"), "fiber_id")
+
+
+def scored_logs(memberships: DataFrame, ids: DataFrame) -> DataFrame:
+    """``fiber_id, log_id, kind`` (matching or extra) of the fibers that have expected logs, a row each; what a fiber
+    misses is what is expected and not among its matching ones."""
+    expected = ids.select("log_id").distinct().withColumn("expected", F.lit(True))
+    rows = memberships.select("fiber_id", "log_id").join(expected, "log_id", "left")
+    scored = rows.filter("expected").select("fiber_id").distinct()
+    there = rows.join(scored, "fiber_id", "left_semi").withColumn("kind", F.when(F.col("expected"), "matching").otherwise("extra"))
+    return there.select("fiber_id", "log_id", "kind")
 
 
 def score_rules(logs: DataFrame, ids: DataFrame, fiber_type: FiberType, version: str = "candidate") -> DataFrame:

@@ -363,7 +363,7 @@ def session_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Logs, fibers and memberships of sessions and of users, with short ids (type and first log)."""
     logs = ordered_logs(spark, d)
     found = [C.correlate_type(logs, t) for t in (SESSION, FOREVER)]
-    fibers = found[0].fibers.unionByName(found[1].fibers)
+    fibers = stage(found[0].fibers.unionByName(found[1].fibers), "found")
     short = F.concat_ws("-", "fiber_type", F.col("first_log_id").cast("string"))
     names = fibers.select("fiber_id", short.alias("short"))
     memberships = found[0].memberships.unionByName(found[1].memberships).join(names, "fiber_id")
@@ -476,12 +476,12 @@ def orphan_fibers(spark, d):
     return T.close_orphans(fibers, fibers.filter("n_logs % 2 = 0")).select("fiber_id", "closed")
 
 
-_OVER = ", x AS (SELECT * FROM f WHERE fiber_type = 'user_session' AND first_activity < TIMESTAMP '2024-01-08')"
+_OVER = ", x AS (SELECT * FROM f WHERE fiber_type = 'user_session')"
 
 
 @query(_FM + _OVER + " SELECT a.fiber_id, b.fiber_id AS other_id, greatest(a.first_activity, b.first_activity) AS from_ts, least(a.last_activity, b.last_activity) AS to_ts FROM x a JOIN x b ON a.fiber_id < b.fiber_id AND a.first_activity <= b.last_activity AND b.first_activity <= a.last_activity")
 def overlapping_fibers(spark, d):
-    f = session_tables(spark, d)[1].filter("fiber_type = 'user_session' AND first_activity < TIMESTAMP '2024-01-08'")
+    f = session_tables(spark, d)[1].filter("fiber_type = 'user_session'")
     return T.overlapping_fibers(f).select("fiber_id", "other_id", "from_ts", "to_ts")
 
 
@@ -611,8 +611,7 @@ def working_set_window(spark, d):
 
 @query(_FM + f", i AS ({_SET}), h AS (SELECT fiber_id, count(*) AS n, count(i.log_id) AS hit FROM m LEFT JOIN i USING (log_id) GROUP BY fiber_id) SELECT fiber_id, hit / (n + (SELECT count(*) FROM i) - hit)::DOUBLE AS iou, hit AS matching, (SELECT count(*) FROM i) - hit AS missing, n - hit AS extra FROM h WHERE hit > 0")
 def working_set_iou(spark, d):
-    scored = V.score_memberships(session_tables(spark, d)[2], _wanted(spark, d))
-    return scored.select("fiber_id", "iou", *[F.size(c).cast("long").alias(c) for c in ("matching", "missing", "extra")])
+    return V.score_memberships(session_tables(spark, d)[2], _wanted(spark, d))
 
 
 @query(_L + f", i AS ({_SET}), o AS (SELECT log_id FROM l WHERE user_id = 3 AND source_id = 'view') SELECT coalesce(i.log_id, o.log_id) AS log_id, CASE WHEN o.log_id IS NULL THEN 'missing' WHEN i.log_id IS NULL THEN 'extra' ELSE 'both' END AS kind FROM i FULL JOIN o ON i.log_id = o.log_id")

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_time
+from ..operators.ordering import running
 from ..plans.rules import Regex, Source
 
 _LOG = "struct<log_id:string,ts:timestamp,source_id:string,raw_text:string,file_path:string,line_ord:bigint,file_offset:bigint>"
+#: Lines of a file that one window holds.
+LINES = 1 << 18
 #: Nested batches as collectors hand them on.
 BATCH = (
     "batch_id string, collector_id string, epoch struct<start:timestamp,end:timestamp,watermark:timestamp,generation:bigint>,"
@@ -80,8 +83,8 @@ def with_timestamp(lines: DataFrame, sources: Sequence[Source]) -> DataFrame:
 def line_kinds(lines: DataFrame) -> DataFrame:
     """``kind``: start of a record, continuation (indented, without time), or bad."""
     kind = F.when(F.col("ts").isNotNull(), "start").when(F.col("has_ts"), "bad").when(F.col("value").rlike(r"^\s"), "more").otherwise("bad")
-    order = Window.partitionBy("source_id", "file_path").orderBy("line_ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("kind", kind).withColumn("rec", F.sum((F.col("kind") == "start").cast("int")).over(order))
+    starts = (F.col("kind") == "start").cast("int")
+    rows = running(lines.withColumn("kind", kind), ["source_id", "file_path"], F.floor(F.col("line_ord") / LINES), ["line_ord"], starts, "rec")
     return rows.withColumn("kind", F.when((F.col("kind") == "more") & (F.col("rec") == 0), "bad").otherwise(F.col("kind")))
 
 
