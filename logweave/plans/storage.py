@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a folder of our own."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own, in local mode only (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="logweave-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

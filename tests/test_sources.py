@@ -14,14 +14,14 @@ def _records(spark, tmp_path, text, on_error="drop"):
 
 
 def test_multi_line_records(spark, tmp_path):
-    rows = _records(spark, tmp_path, b"2024-01-01T10:00:00Z Starting process\n  one\r\n\ttwo\n2024-01-01T10:00:01Z Process complete\n")
+    rows = _records(spark, tmp_path, b"2024-01-01T10:00:00Z Valve seven opens\n  one\r\n\ttwo\n2024-01-01T10:00:01Z Valve seven shuts\n")
     assert [r.n_lines for r in rows] == [3, 1]
-    assert rows[0].raw_text == "2024-01-01T10:00:00Z Starting process\n  one\n\ttwo"
-    assert [r.file_offset for r in rows] == [0, 50]
+    assert rows[0].raw_text == "2024-01-01T10:00:00Z Valve seven opens\n  one\n\ttwo"
+    assert [r.file_offset for r in rows] == [0, 51]
 
 
 def test_bad_lines(spark, tmp_path):
-    text = b"2024-01-01T10:00:00Z First\nINVALID LINE\n2024-01-01T10:00:02Z Second\n"
+    text = b"2024-01-01T10:00:00Z Pump on\nno time at all\n2024-01-01T10:00:02Z Pump off\n"
     assert len(_records(spark, tmp_path, text)) == 2
     with pytest.raises(Exception, match="unusable line"):
         _records(spark, tmp_path, text, "fail")
