@@ -242,6 +242,24 @@ def _fit(stats: DataFrame) -> DataFrame:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def base_counts(docs: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id``, the counts and ``base_failed``, what the fixed limits say."""
+    stats = text_statistics(docs.select("doc_id", "text"))
+    return stats.select("doc_id", *[F.col(f"__q.{c}").alias(c) for c in COUNTS], _failed(F.col("__q.n_words"), F.col("__q.n_repeat_words")).alias("base_failed"))
+
+
+#: The same rows in DuckDB's SQL, for distinct doc_ids.
+BASE_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
+q AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q"""
+
+
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, the counts, ``base_failed, kept`` and ``distance2``."""
     stats = text_statistics(docs.select("doc_id", "lang", "source", "text")).drop("text")
