@@ -58,7 +58,7 @@ STAR_ROUNDS = 2
 MAX_MATCHES = 16
 SALTS = 32
 #: Documents of a block, and shingles in them all; documents that one task compares with a block.
-BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_PARTNERS = 256, 2_000_000, 4096
+BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_PARTNERS = 256, 2_000_000, 512
 #: Pairs of one document that meet its text in one task.
 PAIRS_A_KEY = 1_000
 #: Ids that are broadcast to pick documents; more are joined by key.

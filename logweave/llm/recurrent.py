@@ -206,8 +206,9 @@ def train(shape: Shape, flat: np.ndarray, symbols: np.ndarray, starts: np.ndarra
     flat = flat.copy()
     v, moment, square, turn = shape.views(flat), np.zeros_like(flat), np.zeros_like(flat), 0
     order = np.argsort(-lengths, kind="stable")
-    for at in range(0, len(order), TRAIN_ROWS):
-        rows = order[at : at + TRAIN_ROWS]
+    together = min(TRAIN_ROWS, max(len(order) // 5, 16))  # few documents make some steps too
+    for at in range(0, len(order), together):
+        rows = order[at : at + together]
         h = np.zeros((len(rows), HIDDEN), np.float32)
         for steps in _windows(symbols, starts[rows], lengths[rows]):
             grad = np.zeros_like(flat)
