@@ -6,8 +6,9 @@ its shards by highest quotients words / (2k + 1), and a shard of n blocks with q
 times and, once more, a run of q mod n blocks that starts at a seeded place. Documents lie in a shard in seeded order
 (by hash), so the run is a random sample of them. Only DataFrame functions are used.
 
-Shards bound every window: a source has one per SHARD_WORDS words, MAX_SHARDS at most, and a shard's window holds three
-numbers a document. Sources and shards are small tables; documents find their source by a checked broadcast or a salted
+Shards bound every window: a shard has SHARD_WORDS words, or, in sources so large that their shards would be many, some
+multiple (SHARD_ROOT) of the square root of the source's words, so that neither a shard's documents nor a source's shards
+are more than a task sorts. A shard's window holds three numbers a document. Sources and shards are small tables; documents find their source by a checked broadcast or a salted
 join (``common.lookup_join``).
 
 Defined results: null text has 0 words; a null source is a source of its own, ranked last; sources without words have
@@ -27,7 +28,7 @@ MIX_SHARE = 1.5
 MAX_REPEATS = 2
 BLOCK_WORDS = 16
 SHARD_WORDS = 1 << 17
-MAX_SHARDS = 4096
+SHARD_ROOT = 8
 SEED = "mix-1"
 
 _ALL_BEFORE = (Window.unboundedPreceding, -1)
@@ -100,7 +101,7 @@ def mix_plan(
     """One row per document: ``doc_id, size, source_size, target, taken, passes, parts, n_copy, hash``.
 
     The mix takes the document's words ``passes`` times whole, and once more those in the word ranges ``parts``.
-    ``n_copy`` and ``hash`` tell rows of one ``doc_id`` apart.
+    ``hash`` (of text and source) and ``n_copy`` (among rows equal in all of these) tell rows of one ``doc_id`` apart.
     """
     text = F.coalesce("text", F.lit(""))
     sizes = docs.select(
@@ -116,7 +117,8 @@ def mix_plan(
     sources = _apportion(targets.withColumn("__one", F.lit(1)), ["__one"], "target", blocks, "rank", "quota").drop("__one")
     sources = common.stage(sources, "sources")
 
-    n_shards = F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("int")
+    shard_words = F.greatest(F.lit(float(SHARD_WORDS)), SHARD_ROOT * F.sqrt("source_size"))
+    n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int")
     rows = common.lookup_join(sizes, sources.select("source", "source_size", "rank", "target", n_shards.alias("n_shards")), ["source"], F.col("doc_id"))
     rows = rows.withColumn("shard", F.pmod(_number(F.col("at")), F.col("n_shards")).cast("int"))
 
@@ -154,18 +156,18 @@ def mix_plan(
     rows = rows.withColumn("parts", parts)
     extra = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"])
     rows = rows.withColumn("taken", F.col("passes") * F.col("size") + extra)
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("hash"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("begin"))
     return rows.withColumn("n_copy", nth).select("doc_id", "size", "source_size", "target", "taken", "passes", "parts", "n_copy", "hash")
 
 
 def mix_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix as documents: each whole pass is a row, and the parts of a further pass are one row with those words."""
     plan = mix_plan(docs, **settings).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("n_copy").alias("__n"), F.col("passes").alias("__passes"), F.col("parts").alias("__parts"))
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__h"), F.col("n_copy").alias("__n"), F.col("passes").alias("__passes"), F.col("parts").alias("__parts"))
     text = F.coalesce("text", F.lit(""))
     marked = docs.withColumn("__hash", F.xxhash64(text, F.coalesce("source", F.lit(""))))
-    marked = marked.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("__hash")))
-    joined = marked.join(plan, marked["doc_id"].eqNullSafe(plan["__id"]) & (marked["__nth"] == plan["__n"]))
+    marked = marked.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("text")))
+    joined = marked.join(plan, marked["doc_id"].eqNullSafe(plan["__id"]) & (marked["__hash"] == plan["__h"]) & (marked["__nth"] == plan["__n"]))
     words = F.regexp_extract_all("text", F.lit(common.WORD + common.SPACE + "*"), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(words, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))), "")
     texts = F.concat(F.array_repeat(F.col("text"), F.col("__passes").cast("int")), F.when(F.size("__parts") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
@@ -204,7 +206,7 @@ seats5 AS (
 quotas AS (SELECT rank, any_value(low) + count(*) FILTER (WHERE won) AS quota FROM seats5 GROUP BY rank),
 sources AS (
   SELECT t.*, coalesce(q.quota, 0) AS quota,
-         least({MAX_SHARDS}, greatest(1, ceil(source_size / {SHARD_WORDS})))::INT AS n_shards
+         greatest(1, ceil(source_size / greatest({SHARD_WORDS}::DOUBLE, {SHARD_ROOT} * sqrt(source_size))))::INT AS n_shards
   FROM targets t LEFT JOIN quotas q USING (rank)),
 dealt AS (
   SELECT z.doc_id, z.size, z.spot, s.source_size, s.rank, s.target, s.quota,
