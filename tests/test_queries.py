@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from logweave import flow_queries  # noqa: F401  registers its queries with the others
 from logweave import queries as Q
 from logweave.operators import ordering as O
 from logweave.operators import sinks
