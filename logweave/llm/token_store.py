@@ -1,6 +1,7 @@
 """Token-id files: one zstandard frame per document under a shared dictionary, with an offset index.
 
-A file holds one shard, a range of ``doc_id``: ``MAGIC``, SHA-256 of the dictionary, the frames one after another, the
+A file holds one shard, a range of ``doc_id`` (of an id with more rows than a shard, a range of their ids' checksums), and
+is written by a task of its own: ``MAGIC``, SHA-256 of the dictionary, the frames one after another, the
 index (one entry of INDEX per document), the index's place and number of entries, ``MAGIC`` again. Ids are stored as
 uint16 where the vocabulary allows, else uint32 (flag in the header). The dictionary, trained on the serialized ids of
 a bounded sample, lies beside the shards as ``<hash>.dict``. A shard is written under a name of its attempt's own and
@@ -30,13 +31,16 @@ from .packing import text_slices
 MAGIC = b"LWTOKEN1"
 END_ID = 2
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<u1"), ("at", "<u8"), ("size", "<u4"), ("n_tokens", "<u4"), ("start", "<u8")])
-#: The dictionary is fitted on about this many documents, picked by hash, of at most SAMPLE_CHARS characters.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 64 * 1024
+#: The dictionary is fitted on about this many documents, picked by hash, in pieces of at most PIECE_BYTES.
+SAMPLE_DOCS, PIECE_BYTES, DICTIONARY_BYTES = 1_000, 16 * 1024, 64 * 1024
 #: Characters of text in a shard; small corpora still get up to MIN_SHARDS shards.
 SHARD_CHARS, MIN_SHARD_CHARS, MIN_SHARDS = 32_000_000, 1_000_000, 64
 LEVEL = 3
+#: A null id's place in the order of ids.
+NULL_ID = -(1 << 63)
 
 FRAMES = "shard int, doc_id long, n_tokens long, crc long, frame binary"
+FRAME_COLUMNS = ("shard", "doc_id", "n_tokens", "crc", "frame")
 MANIFEST = "shard int, path string, docs long, n_tokens long"
 ROWS = "doc_id long, shard int, start_in_shard long, n_tokens long, ids_crc32 long"
 
@@ -58,7 +62,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(total, 1))
     picked = F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)
-    sample = docs.filter(picked & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text").repartition(1)
+    sample = docs.filter(picked).select("doc_id", "text").repartition(1)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -66,9 +70,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
         encode, samples = tokens.encoder(tokenizer), []
         for batch in batches:
             for _, texts in text_slices(batch):
-                samples += [_narrow(raw, encode) for raw in encode.encode(texts)]
+                for raw in encode.encode(texts):
+                    raw = _narrow(raw, encode)
+                    samples += [raw[at : at + PIECE_BYTES] for at in range(0, len(raw), PIECE_BYTES)]
         try:
-            found = zstandard.train_dictionary(DICTIONARY_BYTES, [x for x in samples if x]).as_bytes()
+            found = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
         except zstandard.ZstdError:  # too few samples
             found = b""
         yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary())], ["d"])
@@ -98,9 +104,17 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = int(max(-(-chars // SHARD_CHARS), min(MIN_SHARDS, -(-chars // MIN_SHARD_CHARS)), 1))
     parts = [k / shards for k in range(1, shards)]
-    bounds = docs.agg(F.percentile_approx("doc_id", parts, 100_000)).first()[0] if parts else []
+    at = F.coalesce("doc_id", F.lit(NULL_ID))
+    bounds = docs.agg(F.percentile_approx(at, parts, 100_000)).first()[0] if parts else []
     bounds = np.array(sorted(bounds or []), np.int64)
 
+    def shards_of(ids: list, crcs: list[int]) -> np.ndarray:
+        """Shards in the order of ids; an id that is several bounds is dealt over as many shards by checksum."""
+        keys = np.array([NULL_ID if i is None else i for i in ids], np.int64)
+        low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
+        nth = (np.array(crcs, np.int64) * (high - low)) >> 32
+        return np.where(high > low, low + 1 + nth, high).astype(np.int32)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.encoder(tokenizer)
         compress = _compressor(dictionary)[0].compress
@@ -108,11 +122,12 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
         for batch in batches:
             for ids, texts in text_slices(batch):
                 raws = [raw + end for raw in coder.encode(texts)]
+                crcs = [zlib.crc32(x) for x in raws]
                 columns = [
-                    pa.array([0 if i is None else int(np.searchsorted(bounds, i, side="right")) for i in ids], pa.int32()),
+                    pa.array(shards_of(ids, crcs)),
                     pa.array(ids, pa.int64()),
                     pa.array([len(x) // 4 for x in raws], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in raws], pa.int64()),
+                    pa.array(crcs, pa.int64()),
                     pa.array([compress(_narrow(x, coder)) for x in raws], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "n_tokens", "crc", "frame"])
@@ -130,8 +145,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
         if writer:
             yield writer.close()
 
-    frames = docs.mapInArrow(encode, FRAMES).repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "crc")
-    return common.stage(frames.mapInArrow(write, MANIFEST), "manifest")
+    frames = common.deal(docs.mapInArrow(encode, FRAMES), "shard", shards).sortWithinPartitions("shard", "doc_id", "crc")
+    return common.stage(frames.select(*FRAME_COLUMNS).mapInArrow(write, MANIFEST), "manifest")
 
 
 class _Writer:
@@ -209,7 +224,9 @@ def read_store(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     starts = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
     # a task for each shard: the manifest itself is small enough to be put into one otherwise
-    rows = manifest.repartition(max(manifest.count(), 1), "shard").select("shard", "path").mapInArrow(read, ROWS)
+    places = manifest.select("path", (F.row_number().over(Window.orderBy("shard")) - 1).alias("place"), "shard")  # one row per shard
+    dealt = common.deal(common.stage(places, "places"), "place", max(manifest.count(), 1))
+    rows = dealt.select("shard", "path").mapInArrow(read, ROWS)
     joined = common.lookup_join(rows, starts, ["shard"], F.col("doc_id"))
     return joined.select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
 

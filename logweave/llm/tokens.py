@@ -1,12 +1,13 @@
 """Token ids of whole texts, piece by piece.
 
-Both public BPE vocabularies used here never let a token cross from a non-space to a following space, so a text's ids
+Both layouts of public BPE vocabularies in LAYOUTS never let a token cross from a non-space to a following space, so a text's ids
 are the ids of its chunks (a word with the white space before it) put together. Distinct chunks are few compared with
-running words; a task encodes each of them once and joins bytes.
+running words; a task encodes each of them once and joins bytes. A vocabulary of any other layout gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -29,6 +30,22 @@ _BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b
 _BLANK, _NEWLINE = _BYTE_CHARS[32], _BYTE_CHARS[10]
 
 
+#: How the public vocabularies that texts may be cut for normalize and split a text.
+LAYOUTS = (
+    {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+    {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    },
+)
+
+
 class _Known(dict):
     """Ids of chunks; those not met yet are learnt."""
 
@@ -52,9 +69,14 @@ class Encoder:
         self.signs: dict[str, array] = {}
         #: Case is folded and white space dropped, or both are part of tokens.
         self.folds = self.tokenizer.normalizer is not None
+        settings = json.loads(self.tokenizer.to_str())
+        #: Whether texts may be cut into chunks.
+        self.cuts = {k: settings[k] for k in LAYOUTS[0]} in LAYOUTS
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
+        if not self.cuts:
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
         find, out = self.known.__getitem__, []
