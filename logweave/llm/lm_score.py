@@ -51,7 +51,7 @@ END = np.uint64(0)
 
 def modelled(tokens: int) -> int:
     """Words that the model tells apart, for a number of training tokens."""
-    return int(2 * tokens**0.4)
+    return int(tokens**0.4)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -120,6 +120,8 @@ class Counts:
 
     def __init__(self, total: int, distinct: int, top: list[int], bands: dict[int, tuple[int, int]], once: int, twice: int):
         self.total, self.distinct, self.top = total, distinct, len(top)
+        #: Bands that occur; the lowest one always does.
+        self.bands = max(bands, default=0) + 1
         self.unknown = math.log10(SMOOTH / (total + SMOOTH * (distinct + 1)))
         mass = np.zeros(BANDS)
         for k, (tokens, _) in bands.items():
@@ -131,7 +133,7 @@ class Counts:
         if once and share == 1.0:
             self.unknown_in_band = self.single = -math.log10(once + 1)
         self.log_mass = np.log10(np.maximum(mass, 1))
-        self.symbol_counts = np.concatenate([np.array(top, np.float64), mass])
+        self.symbol_counts = np.concatenate([np.array(top, np.float64), mass[: self.bands]])
         self.bands_used = mass
 
 
@@ -251,7 +253,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     chunks = common.stage(_symbols(back.select("chunk", "file", "number", "total", "rank"), folder, counts), "chunks")
     per_task = common.stage(common.deal(chunks, "chunk", n_chunks).select("chunk", "file"), "dealt")
 
-    shape = recurrent.Shape(counts.top, BANDS)
+    shape = recurrent.Shape(counts.top, counts.bands)
     flat = shape.start(counts.symbol_counts)
     if total:
         for turn in range(rounds):
@@ -260,11 +262,11 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # a training word's own occurrence is not there for a new text: classes get the mass they have with one less
     seen = np.ones(shape.classes)
     less = np.ones(shape.classes)
-    for k in range(BANDS):
+    for k in range(counts.bands):
         seen[shape.word_classes + k] = less[shape.word_classes + k] = max(counts.bands_used[k], 0.5)
     shifted = rest.groupBy(F.when(F.col("total") <= 2, 0).otherwise(F.least(F.floor(F.log2(F.col("total") - 1) + 1e-9), F.lit(BANDS - 1))).cast("int")).agg(F.sum("total")).collect()
     moved = {int(k): int(t) for k, t in shifted}
-    for k in range(BANDS):
+    for k in range(counts.bands):
         less[shape.word_classes + k] = max(moved.get(k, 0), 0.5)
     offsets = np.log(less / seen).astype(np.float32)
     sent = spark.sparkContext.broadcast((flat, offsets))
