@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, jaccard_join, license_scan, lm_score, mixing, packing, quality, substring_dedup, token_store
+from . import alignment, conversations, exact_dedup, html_text, jaccard_join, license_scan, lm_score, mixing, packing, quality, secrets, substring_dedup, token_store
 from .common import table
 
 
@@ -50,13 +50,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents")).drop("distance2")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents")).drop("found")
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op10 and its fixed limits alone, which SQL can express."""
     return quality.base_counts(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_mix_sources, op4_html_extraction, op5_substring_dedup, op6_token_files, op7_lm_scoring, op8_exact_dedup, op9_best_fit_packing, op10_quality_rules, quality_counts)
+    f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_mix_sources, op4_html_extraction, op5_substring_dedup, op6_token_files, op7_lm_scoring, op8_exact_dedup, op9_best_fit_packing, op10_quality_rules, op11_token_alignment, op12_conversation_repair, op13_secret_scan, quality_counts)
 }
 
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.MIX_SQL, "op8_exact_dedup": exact_dedup.EXACT_SQL, "quality_counts": quality.BASE_SQL}
