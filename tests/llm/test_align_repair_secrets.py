@@ -78,7 +78,7 @@ TEXTS = [
 def test_alignment(spark, monkeypatch):
     rng = random.Random(2)
     rows = TEXTS + [(100 + i, "".join(rng.choice([" ", "  ", "a", "the", "é", "\n", "▁", "1", "'s", "Zug", "\t", "<", "|>"]) for _ in range(40))) for i in range(40)]
-    for chars in (1 << 21, 200):  # the shards' size must not matter
+    for chars in (1 << 20, 200):  # the shards' size must not matter
         monkeypatch.setattr(alignment, "SHARD_CHARS", chars)
         df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, shard string, pair int")
         assert _sorted(alignment.aligned_documents(df).collect()) == _sorted(_aligned(rows))
