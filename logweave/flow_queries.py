@@ -287,6 +287,36 @@ def memberships_as_written(spark, d):
     return C.correlate_type(logs, RECEIPTS, membership="as_written").memberships.join(names, "fiber_id").select("log_id", "fiber")
 
 
+# values at merges: orders and line items have a mark of their own, which may differ when a receipt links both
+
+MARKED = FiberType("receipts", (*RECEIPTS.attributes, Attribute("mark", "int")), {"a": (Pattern(r"cust=(?P<cust>\d+) mark=(?P<mark>\d)$"),), "b": (Pattern(r"order=(?P<order>\d+) mark=(?P<mark>\d)$"),), "c": RECEIPTS.sources["c"]})
+_M = _R + """, e AS (SELECT first_log, c, t AS ts, 'a' AS k, 'a' || o AS log_id, o % 3 AS mark, NULL::TIMESTAMP AS other_last FROM y UNION ALL SELECT first_log, c, r, 'c', 'c' || o, (o // 3) % 3, s FROM y),
+w AS (SELECT *, lag(ts) OVER (PARTITION BY c ORDER BY ts, k, log_id) AS last FROM e), v AS (SELECT *, CASE WHEN k = 'a' OR other_last > last THEN mark END AS won FROM w)"""
+
+
+def _marked(spark, d) -> DataFrame:
+    number = F.regexp_extract("log_id", r"(\d+)", 1).cast("long")
+    mark = F.when(F.col("source_id") == "a", number % 3).when(F.col("source_id") == "b", F.floor(number / 3) % 3)
+    return _receipts(spark, d).withColumn("raw_text", F.concat("raw_text", F.coalesce(F.concat(F.lit(" mark="), mark), F.lit(""))))
+
+
+@query(
+    _M + ", q AS (SELECT *, last_value(won IGNORE NULLS) OVER (PARTITION BY c ORDER BY ts, k, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM v) "
+    "SELECT log_id, k = 'c' AS at_merge, (CASE WHEN won IS NULL THEN mark ELSE held END)::VARCHAR AS old_value, (CASE WHEN won IS NULL THEN held ELSE mark END)::VARCHAR AS new_value FROM q WHERE held <> mark"
+)
+def merge_conflicts(spark, d):
+    """Marks that a log changed or that differed at a merge, where that of the fiber with the later activity stays."""
+    logs = _marked(spark, d)
+    found = C.correlate_type(logs, MARKED).conflicts.filter("attribute = 'mark'")
+    return found.join(logs.select("seq", "log_id"), "seq").select("log_id", "at_merge", "old_value", "new_value")
+
+
+@query(_M + " SELECT first_log AS first_log_id, (arg_max(won, (ts, k, log_id)) FILTER (WHERE won IS NOT NULL))::VARCHAR AS mark FROM v GROUP BY first_log")
+def merged_attributes(spark, d):
+    """The mark that a customer's fiber ends with."""
+    return C.correlate_type(_marked(spark, d), MARKED).fibers.select("first_log_id", F.col("attributes")["mark"].alias("mark"))
+
+
 # runs that are cut and go on
 
 BOTH = _type("user_both", "4h", special={"error": (Pattern(_USER, release_self=("user",)),)})

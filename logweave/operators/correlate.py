@@ -3,10 +3,11 @@
 Per type one of two plans. *Chains* (one key attribute at most): a fiber ends where a release, a close or the gap on the
 logical clock says so. For session and infinite gaps each of these is a comparison with the log before it of the same
 key, so windows over the key suffice; a gap from the start jumps from start to start through the sorted logs of a key.
-*Islands* (everything else): logs that share tokens, however indirectly, form an island; within it a stretch in which the
-clock passes the gap closes everything, so it is cut there. Islands are spread over the cluster and run through the
-ordered fold, one after another, sorted by Spark. Attributes, conflicts and fiber records are plain aggregations in both
-cases.
+*Islands* (everything else): a key with a value is a token, and a release or close ends its incarnation; logs that share
+incarnations, however indirectly, form an island, and a stretch in which the clock passes the gap closes everything, so
+an island is cut there. Islands are spread over the cluster and run through the ordered fold, one after another, sorted
+by Spark. Fiber records are plain aggregations in both cases; values and conflicts are so in chains, while the fold keeps
+them for islands, as a merge lets the value of the fiber with the later activity stay.
 
 Fibers that are open when the input ends can be carried on (``Correlation.state``): as rows of their own, with the keys
 they still hold, they come before the logs that follow.
@@ -19,18 +20,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import typed
 from ..plans.components import connected_components
-from ..plans.fold import Row, fold
+from ..plans.fold import Events, Island, Row
 from ..plans.rules import FiberType, Rules
 from ..plans.storage import stage
 from .extract import cast_attributes, extract
-from .ordering import running_max
+from .ordering import BLOCK, neighbour, running, running_max
 
 #: Column of the log order and of the clock before each log.
 SEQ, CLOCK = "seq", "prev_clock"
@@ -176,68 +176,136 @@ def _chains(rows: DataFrame, t: FiberType, event_clock: bool) -> DataFrame:
     return keyed.unionByName(lone)
 
 
+def _cuts(t: FiberType) -> bool:
+    """Whether logs may end what a key stands for: releases and closes, or a gap from the start."""
+    ends = any(p.close or p.release_peer or p.release_self for ps in t.sources.values() for p in ps)
+    return ends or (t.gap is not None and t.gap_mode == "from_start")
+
+
+def _incarnations(rows: DataFrame, t: FiberType) -> DataFrame:
+    """A row for each key of a log: ``key, value``, the incarnation ``inc``, and ``freed``: a peer release that comes before
+    the log frees the incarnation before.
+
+    A key with one value stands for something new from a peer release on, after a self release or a close, and (gap from
+    the start) once the clock has passed the gap since the log before, as the fiber began no later. Incarnations are
+    numbered over all logs, not within islands, so that what one island ends is ended for every other.
+    """
+    plain = {a.name for a in t.attributes if a.derived is None}
+    tokens = F.array(*[
+        F.struct(
+            F.lit(k).alias("key"), F.col(f"kv.{k}").alias("value"),
+            (F.array_contains("release_peer", k) if k in plain else F.lit(False)).alias("peer"),
+            (F.array_contains("release_self", k) | F.col("close")).alias("ends"),
+        ) for k in t.keys
+    ])
+    since = F.when(F.col("open"), F.col("born")).otherwise(F.col("ts"))
+    each = rows.select(SEQ, CLOCK, since.alias("since"), F.inline(F.filter(tokens, lambda x: x["value"].isNotNull())))
+    keys, block = ["key", "value"], F.floor(F.col(SEQ) / BLOCK)
+    each = neighbour(each, keys, block, [SEQ], F.struct("ends", "since"), "before")
+    cut = F.col("peer") | F.coalesce("before.ends", F.lit(False))
+    if t.gap is not None and t.gap_mode == "from_start":
+        cut = cut | F.coalesce(F.unix_micros(CLOCK) - F.unix_micros("before.since") > t.gap, F.lit(False))
+    each = running(each, keys, block, [SEQ], cut.cast("long"), "inc")
+    return each.select(SEQ, "key", "value", "inc", (F.col("peer") & F.col("before").isNotNull()).alias("freed"))
+
+
+def _name(token: Column) -> Column:
+    return F.concat_ws("\1", token["key"], token["value"], token["inc"].cast("string"))
+
+
+TOKEN = "struct<key:string,value:string,inc:bigint>"
+
+
 def _islands(rows: DataFrame, t: FiberType) -> DataFrame:
-    """Adds ``island``: logs linked by tokens, cut where the clock passes the gap between neighbours."""
-    names = t.keys
-    tokens = F.array(*[F.when(F.col(f"kv.{k}").isNotNull(), F.concat(F.lit(k + "\1"), F.col(f"kv.{k}"))) for k in names])
-    rows = rows.withColumn("tokens", F.array_compact(tokens))
-    first = F.get("tokens", F.lit(0))
-    links = rows.filter(F.size("tokens") > 1).select(first.alias("a"), F.explode("tokens").alias("b"))
+    """Adds ``tokens`` and ``island``: logs linked by incarnations of keys, cut where the clock passes the gap between
+    neighbours. A peer release is a row of its own besides (``gone``), in the island that knew the key before."""
+    freed = None
+    if _cuts(t):
+        each = stage(_incarnations(rows, t), "incarnations")
+        lists = each.groupBy(F.col(SEQ).alias("__seq")).agg(F.sort_array(F.collect_list(F.struct("key", "value", "inc"))).alias("tokens"))
+        rows = rows.join(lists, F.col(SEQ) == F.col("__seq"), "left").drop("__seq")
+        freed = each.filter("freed").select(SEQ, F.struct("key", "value", (F.col("inc") - 1).alias("inc")).alias("gone"))
+    else:
+        tokens = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"kv.{k}").alias("value"), F.lit(0).cast("long").alias("inc")) for k in t.keys])
+        rows = rows.withColumn("tokens", F.filter(tokens, lambda x: x["value"].isNotNull()))
+    rows = rows.withColumns({"tokens": F.coalesce("tokens", F.array().cast(f"array<{TOKEN}>")), "gone": F.lit(None).cast(TOKEN)})
+    first = _name(F.get("tokens", F.lit(0)))
+    links = rows.filter(F.size("tokens") > 1).select(first.alias("a"), F.explode(F.transform("tokens", _name)).alias("b"))
     labels = connected_components(links)
-    joined = rows.withColumn("t0", first).join(labels, F.col("t0") == F.col("id"), "left")
-    joined = joined.withColumn("island", F.coalesce("component", "t0", F.concat(F.lit("\2"), F.col(SEQ).cast("string")))).drop("id", "component", "t0", "tokens")
+    token = F.when(F.size("tokens") > 0, first)
+    if freed is not None:
+        rows = rows.unionByName(freed, allowMissingColumns=True)
+        token = F.coalesce(F.when(F.col("gone").isNotNull(), _name(F.col("gone"))), token)
+    joined = rows.withColumn("t0", token).join(labels, F.col("t0") == F.col("id"), "left")
+    joined = joined.withColumn("island", F.coalesce("component", "t0", F.concat(F.lit("\2"), F.col(SEQ).cast("string")))).drop("id", "component", "t0")
     if t.gap is not None:
-        w = Window.partitionBy("island").orderBy(SEQ)
-        last = F.max("ts").over(w.rowsBetween(Window.unboundedPreceding, -1))  # open fibers are not in order of their last activity
-        quiet = F.unix_micros(CLOCK) - F.unix_micros(last) > t.gap
-        part = F.sum(F.coalesce(quiet, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        joined = joined.withColumn("part", part).withColumn("island", F.concat_ws("\3", "island", F.col("part").cast("string"))).drop("part")
+        block, order = F.floor(F.col(SEQ) / BLOCK), [SEQ, F.col("gone").isNull()]
+        # open fibers are not in order of their last activity
+        joined = running(joined, ["island"], block, order, F.col("ts"), "last", F.max, current=False)
+        quiet = F.unix_micros(CLOCK) - F.unix_micros("last") > t.gap
+        joined = running(joined, ["island"], block, order, F.coalesce(quiet, F.lit(False)).cast("long"), "part")
+        joined = joined.withColumn("island", F.concat_ws("\3", "island", F.col("part").cast("string"))).drop("part", "last")
     return joined
 
 
-FOLDED = "kind int, seq long, fiber long, other long, reason string"
+FOLDED = "kind int, seq long, fiber long, fiber_log string, other long, other_log string, log string, name string, old string, new string"
+#: Events that a task holds before it hands them on.
+EVENTS = 20_000
+
+
+def _told(events: Events) -> pa.RecordBatch:
+    """kind 0: log and its own fiber; 1: merge (fiber: loser, other: survivor); 2: fiber merged away and its last survivor;
+    3: conflict (other: 1 at a merge); 4: fiber that is not merged away, with its values and where they were set, as JSON;
+    5: the keys that an open one holds."""
+    rows = [(0, s, f.first_seq, f.first_log, None, None, None, None, None, None) for s, f in events.joined]
+    rows += [(1, s, x.first_seq, x.first_log, f.first_seq, f.first_log, log, None, None, None) for s, log, x, f in events.merged]
+    rows += [(3, s, None, None, int(merged), None, None, name, old, new) for s, name, old, new, merged in events.conflicts]
+    for f in events.told:
+        rows += [(2, None, seq, log, f.first_seq, f.first_log, None, None, None, None) for seq, log in f.lost]
+        values, places = ({n: v[i] for n, v in f.values.items()} for i in (0, 1))
+        rows.append((4, None, f.first_seq, f.first_log, None, None, None, None, json.dumps(values), json.dumps(places)))
+        if f.open:
+            rows.append((5, None, f.first_seq, None, None, None, None, None, json.dumps({k: v for k, (v, _) in f.keys.items()}), None))
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 5]
+    names = [c.split()[0] for c in FOLDED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def _folded(rows: DataFrame, t: FiberType) -> DataFrame:
-    """kind 0: log and its own fiber; 1: merge (fiber: loser, other: survivor); 2: close; 3: open, with keys held as JSON."""
+    """What the fold tells of the islands, as FOLDED; a task holds the open fibers of one island."""
     gap, from_start = t.gap, t.gap_mode == "from_start"
-    plain = {a.name for a in t.attributes if a.derived is None}
-    names = t.keys
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def told(rows: list[Row]) -> pd.DataFrame:
-            joined, merges, reasons, held = fold(rows, gap, from_start)
-            out = [(0, s, f, None, None) for s, f in joined]
-            out += [(1, s, x, y, None) for x, y, s in merges]
-            out += [(2, None, f, None, why) for f, why in reasons.items()]
-            out += [(3, None, f, None, json.dumps(keys)) for f, keys in held.items()]
-            return pd.DataFrame(out, columns=["kind", "seq", "fiber", "other", "reason"]).astype({"seq": "Int64", "other": "Int64"})
-
-        island, held = None, []
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if r.island != island:
-                    if held:
-                        yield told(held)
-                    island, held = r.island, []
-                keys = {k: v for k, v in zip(names, r.key_values, strict=True) if v is not None}
-                peer = [(k, keys[k]) for k in r.release_peer if k in keys and k in plain]
-                held.append(Row(r.seq, r.us, None if pd.isna(r.clock) else int(r.clock), keys, peer, list(r.release_self), bool(r.close), int(r.born) if r.open else None))
-        if held:
-            yield told(held)
-
-    values = F.array(*[F.col(f"kv.{k}") for k in names]).cast("array<string>").alias("key_values")
-    times = [F.unix_micros(c).alias(n) for c, n in (("ts", "us"), (CLOCK, "clock"), ("born", "born"))]
-    small = rows.select("island", F.col(SEQ).alias("seq"), *times, values, "release_peer", "release_self", "close", "open")
-    return small.repartition("island").sortWithinPartitions("island", "seq").mapInPandas(run, FOLDED)
+    names = [a.name for a in t.attributes]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, events, island = None, Events(), None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["island"] != current:
+                    if island is not None:
+                        island.end()
+                    current, island = r["island"], Island(gap, from_start, events)
+                if r["gone"]:
+                    island.forget(r["gone"]["key"], (r["gone"]["value"], r["gone"]["inc"]))
+                    continue
+                keys = {x["key"]: (x["value"], x["inc"]) for x in r["tokens"]}
+                values = {n: v for n, v in zip(names, r["told"], strict=True) if v is not None}
+                row = Row(r["seq"], r["log"], r["us"], r["clock"], keys, values, r["release_self"], r["close"])
+                if r["open"]:
+                    row.born, row.value_seq = r["born"], {n: p for n, p in zip(names, r["places"], strict=True) if p is not None}
+                island.step(row)
+                if len(events.joined) >= EVENTS:
+                    yield _told(events)
+                    events.joined, events.merged, events.conflicts, events.told = [], [], [], []
+        if island is not None:
+            island.end()
+            if events.joined or events.told:
+                yield _told(events)
 
-def _survivors(merges: DataFrame) -> DataFrame:
-    """Every merged fiber's last survivor."""
-    labels = connected_components(merges.select(F.col("fiber").alias("a"), F.col("other").alias("b")))
-    final = merges.select("fiber", "other").join(labels, F.col("fiber") == F.col("id")).select("fiber", "other", "component")
-    alive = final.join(merges.select(F.col("fiber").alias("lost")), F.col("other") == F.col("lost"), "left_anti").groupBy("component").agg(F.min("other").alias("survivor"))
-    return final.select("fiber", "component").distinct().join(alive, "component").select("fiber", "survivor")
+    times = [F.unix_micros(c).alias(n) for c, n in (("ts", "us"), (CLOCK, "clock"), ("born", "born"))]
+    told = F.array(*[F.col(f"values.{n}").cast("string") for n in names]).cast("array<string>").alias("told")
+    places = F.array(*[F.col(f"at.{n}") for n in names]).cast("array<bigint>").alias("places")
+    small = rows.select("island", F.col(SEQ).alias("seq"), F.col("log_id").cast("string").alias("log"), *times, "tokens", told, places, "release_self", "close", "open", "gone")
+    return small.repartition("island").sortWithinPartitions("island", "seq", F.col("gone").isNull()).mapInArrow(run, FOLDED)
 
 
 def fiber_id_of(version: str, name: str, log_id: Column) -> Column:
@@ -253,6 +321,15 @@ def _held_in_chains(own: DataFrame, t: FiberType) -> DataFrame:
     return last.select(F.col("owner").alias("f"), F.coalesce(keys, F.create_map().cast("map<string,string>")).alias("keys"))
 
 
+def _conflicts_in_chains(known: DataFrame, names: list[str]) -> DataFrame:
+    """Values that a fiber's log changed."""
+    items = F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(f"values.{n}").cast("string").alias("value"), F.col(f"at.{n}").alias(SEQ)) for n in names])
+    items = known.select("fiber_id", F.inline(items)).filter("value IS NOT NULL")
+    items = neighbour(items, ["fiber_id", "attribute"], F.floor(F.col(SEQ) / BLOCK), [SEQ], F.col("value"), "old_value")
+    changed = items.filter("old_value <> value").withColumnRenamed("value", "new_value")
+    return changed.withColumn("at_merge", F.lit(False))
+
+
 def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: bool = True, timeout_clock: str = "sequenced", membership: str = "survivor", end: Column | None = None, normalize_keys: bool = False, state: DataFrame | None = None) -> Correlation:
     """One type. ``logs``: log_id, ts, source_id, raw_text, seq, prev_clock. ``end``: the clock at the end of the input.
 
@@ -262,28 +339,33 @@ def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: boo
     rows = _rows(logs, t, normalize_keys, state)
     event = timeout_clock == "event"
     if is_chain(t):
-        own, merges, survivors = _chains(rows, t, event), None, None
+        own, folded = _chains(rows, t, event), None
         held = _held_in_chains(own, t)
         known = own.withColumns({"first_seq": F.col("owner"), "survivor_log": F.col("owner_log")})
     else:
         rows = stage(_islands(rows.withColumn(CLOCK, F.when(~F.col("open"), F.col("ts"))) if event else rows, t), "islands")
         folded = stage(_folded(rows, t), "folded")
-        merges = folded.filter("kind = 1").select(F.col("seq").alias("m_seq"), "fiber", "other")
-        held = folded.filter("kind = 3").select(F.col("fiber").alias("f"), F.from_json("reason", "map<string,string>").alias("keys"))
-        own = rows.join(folded.filter("kind = 0").select(F.col("seq").alias("__seq"), F.col("fiber").alias("owner")), F.col(SEQ) == F.col("__seq")).drop("__seq")
-        first_log = own.filter(F.col(SEQ) == F.col("owner")).select(F.col("owner").alias("o"), F.col("log_id").alias("first_log"))
-        own = own.join(first_log, F.col("owner") == F.col("o")).drop("o").withColumnRenamed("first_log", "owner_log")
-        survivors = stage(_survivors(merges).join(first_log, F.col("survivor") == F.col("o")).drop("o"), "survivors")
-        known = own.join(survivors, F.col("owner") == F.col("fiber"), "left").drop("fiber")
-        known = known.withColumns({"first_seq": F.coalesce("survivor", "owner"), "survivor_log": F.coalesce("first_log", "owner_log")})
+        rows = rows.filter("gone IS NULL")
+        kind = logs.schema["log_id"].dataType
+        held = folded.filter("kind = 5").select(F.col("fiber").alias("f"), F.from_json("old", "map<string,string>").alias("keys"))
+        own = folded.filter("kind = 0").select(F.col("seq").alias("__seq"), F.col("fiber").alias("owner"), F.col("fiber_log").cast(kind).alias("owner_log"))
+        own = rows.join(own, F.col(SEQ) == F.col("__seq")).drop("__seq")
+        survivors = folded.filter("kind = 2")
+        last = survivors.select("fiber", F.col("other").alias("survivor"), F.col("other_log").cast(kind).alias("last_log"))
+        known = own.join(last, F.col("owner") == F.col("fiber"), "left").drop("fiber")
+        known = known.withColumns({"first_seq": F.coalesce("survivor", "owner"), "survivor_log": F.coalesce("last_log", "owner_log")})
     known = known.withColumn("fiber_id", fiber_id_of(version, t.name, F.col("survivor_log")))
 
     names = [a.name for a in t.attributes]
-    lasts = [F.max_by(F.col(f"values.{n}"), F.col(f"at.{n}")).alias(f"a_{i}") for i, n in enumerate(names)]
-    set_at = [F.max(F.col(f"at.{n}")).alias(f"s_{i}") for i, n in enumerate(names)]
-    fibers = known.groupBy("fiber_id", "first_seq", "survivor_log").agg(
-        F.min("born").alias("first_activity"), F.max("ts").alias("last_activity"), F.sum("n").alias("n_logs"), F.max_by("close", SEQ).alias("by_pattern"), *lasts, *set_at
-    )
+    aggs = [F.min("born").alias("first_activity"), F.max("ts").alias("last_activity"), F.sum("n").alias("n_logs"), F.max_by("close", SEQ).alias("by_pattern")]
+    if folded is None:
+        aggs += [F.max_by(F.col(f"values.{n}"), F.col(f"at.{n}")).alias(f"a_{i}") for i, n in enumerate(names)]
+        aggs += [F.max(F.col(f"at.{n}")).alias(f"s_{i}") for i, n in enumerate(names)]
+    fibers = known.groupBy("fiber_id", "first_seq", "survivor_log").agg(*aggs)
+    if folded is not None:  # at merges the value of the fiber with the later activity stays, so the last log does not tell
+        told = folded.filter("kind = 4").select("fiber", F.from_json("old", "map<string,string>").alias("told"), F.from_json("new", "map<string,bigint>").alias("places"))
+        fibers = fibers.join(told, F.col("first_seq") == F.col("fiber")).drop("fiber")
+        fibers = fibers.withColumns({f"a_{i}": typed(F.col("told")[a.name], a.type) for i, a in enumerate(t.attributes)} | {f"s_{i}": F.col("places")[n] for i, n in enumerate(names)}).drop("told", "places")
     if end is None:
         fibers = fibers.crossJoin(F.broadcast(logs.agg(F.max("ts").alias("end_clock"))))  # one row
     else:
@@ -311,22 +393,18 @@ def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: boo
     )
     by = F.col("fiber_id") if membership == "survivor" else fiber_id_of(version, t.name, F.col("owner_log"))
     memberships = known.filter("NOT open").select("log_id", by.alias("fiber_id"), F.lit(t.name).alias("fiber_type"), F.lit(version).alias("ruleset_version"))
-    if merges is None:
+    if folded is None:
         none = memberships.filter(F.lit(False))
         merged = none.select("fiber_type", F.col("fiber_id").alias("loser_id"), F.col("fiber_id").alias("survivor_id"), "log_id")
         final = merged.select("fiber_type", "loser_id", "survivor_id")
+        conflicts = _conflicts_in_chains(known, names)
     else:
-        loser, winner = (first_log.select(F.col("o").alias(o), F.col("first_log").alias(n)) for o, n in (("lo", "ll"), ("wo", "wl")))
-        merged = merges.join(loser, F.col("fiber") == F.col("lo")).join(winner, F.col("other") == F.col("wo"))
-        merged = merged.join(rows.select(F.col(SEQ).alias("s"), "log_id"), F.col("m_seq") == F.col("s"))
-        merged = merged.select(F.lit(t.name).alias("fiber_type"), fiber_id_of(version, t.name, F.col("ll")).alias("loser_id"), fiber_id_of(version, t.name, F.col("wl")).alias("survivor_id"), "log_id")
-        final = survivors.join(loser, F.col("fiber") == F.col("lo"))
-        final = final.select(F.lit(t.name).alias("fiber_type"), fiber_id_of(version, t.name, F.col("ll")).alias("loser_id"), fiber_id_of(version, t.name, F.col("first_log")).alias("survivor_id"))
-    items = F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(f"values.{n}").cast("string").alias("value"), F.col(f"at.{n}").alias("at")) for n in names])
-    items = known.select("fiber_id", F.inline(items)).filter("value IS NOT NULL")
-    before = F.lag("value").over(Window.partitionBy("fiber_id", "attribute").orderBy("at"))
-    conflicts = items.withColumn("old_value", before).filter("old_value <> value")
-    conflicts = conflicts.select(F.lit(t.name).alias("fiber_type"), "fiber_id", "attribute", "old_value", F.col("value").alias("new_value"), F.col("at").alias(SEQ))
+        ids = [F.lit(t.name).alias("fiber_type"), fiber_id_of(version, t.name, F.col("fiber_log")).alias("loser_id"), fiber_id_of(version, t.name, F.col("other_log")).alias("survivor_id")]
+        merged = folded.filter("kind = 1").select(*ids, F.col("log").cast(kind).alias("log_id"))
+        final = survivors.select(*ids)
+        conflicts = folded.filter("kind = 3").select(F.col("seq").alias("__seq"), F.col("name").alias("attribute"), F.col("old").alias("old_value"), F.col("new").alias("new_value"), (F.col("other") == 1).alias("at_merge"))
+        conflicts = conflicts.join(known.select(SEQ, "fiber_id"), F.col("__seq") == F.col(SEQ))
+    conflicts = conflicts.select(F.lit(t.name).alias("fiber_type"), "fiber_id", "attribute", "old_value", "new_value", SEQ, "at_merge")
     return Correlation(fibers, memberships, merged, conflicts, still, final)
 
 

@@ -70,6 +70,25 @@ def running(rows: DataFrame, keys: Sequence[str], block: Column, order: Sequence
     return joined.withColumn(out, both).drop("__b", "__x", "__m", "__k", "__before", *names)
 
 
+def neighbour(rows: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], value: Column, out: str, behind: bool = False) -> DataFrame:
+    """``value`` of the row before (or ``behind``) each one among the rows of the same keys, null at the end.
+
+    No window holds more than a block of a key's rows: a block's edge is taken from the table of blocks.
+    """
+    rows = rows.withColumn("__b", block).withColumn("__x", value)
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order)
+    step, edge = (F.lead, F.min_by) if behind else (F.lag, F.max_by)
+    rows = rows.withColumns({"__n": step("__x").over(inside), "__edge": step(F.lit(True)).over(inside).isNull()})
+    blocks = rows.groupBy(*keys, "__b").agg(edge("__x", F.struct(*order)).alias("m"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    blocks = blocks.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("__b").alias("__k"), step("m").over(Window.partitionBy(*keys).orderBy("__b")).alias("__beside"))
+    on = F.col("__b").eqNullSafe(F.col("__k"))
+    for k, n in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    joined = rows.join(blocks, on)
+    return joined.withColumn(out, F.when(F.col("__edge"), F.col("__beside")).otherwise(F.col("__n"))).drop("__b", "__x", "__n", "__edge", "__k", "__beside", *names)
+
+
 def source_watermarks(logs: DataFrame, arrival: str = "seq") -> DataFrame:
     """Per source the time of the record that came last."""
     return logs.groupBy("source_id").agg(F.max_by("ts", arrival).alias("watermark"))

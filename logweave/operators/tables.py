@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.rules import Rules
-from .ordering import running
+from .ordering import BLOCK, neighbour, running
 
 #: Most rows of a page, of a filtered fiber query, and most ids of a batch.
 MAX_PAGE, MAX_FIBERS, MAX_IDS = 1000, 1000, 100
@@ -228,19 +229,17 @@ def time_extent(fibers: DataFrame, pad: float = 0.05) -> DataFrame:
 _BY_TIME = ("ts", "log_id")
 
 
-def _path_window() -> Window:
-    return Window.partitionBy("fiber_id").orderBy(*_BY_TIME)
+def _beside(points: DataFrame, value: Column, out: str, behind: bool = False) -> DataFrame:
+    """``value`` of the point before (or behind) each one of its fiber; long fibers are taken hour by hour."""
+    return neighbour(points, ["fiber_id"], F.floor(F.unix_micros("ts") / LANE_US), _BY_TIME, value, out, behind)
 
 
 def path_points(points: DataFrame) -> DataFrame:
     """First, last, and both sides of every change of source."""
-    w = _path_window()
-    before, behind = F.lag("source_id").over(w), F.lead("source_id").over(w)
-    rows = points.withColumns({"before": before, "behind": behind})
+    rows = _beside(_beside(points, F.col("source_id"), "before"), F.col("source_id"), "behind", behind=True)
     keep = F.col("before").isNull() | F.col("behind").isNull() | (F.col("before") != F.col("source_id")) | (F.col("behind") != F.col("source_id"))
-    rows = rows.filter(keep).drop("before", "behind")
-    same = F.struct("ts", "source_id") == F.lag(F.struct("ts", "source_id")).over(w)
-    return rows.withColumn("same", F.coalesce(same, F.lit(False))).filter("NOT same").drop("same")
+    rows = _beside(rows.filter(keep).drop("before", "behind"), F.struct("ts", "source_id"), "same")
+    return rows.filter(~F.coalesce(F.struct("ts", "source_id") == F.col("same"), F.lit(False))).drop("same")
 
 
 def fiber_path(points: DataFrame) -> DataFrame:
@@ -251,13 +250,12 @@ def fiber_path(points: DataFrame) -> DataFrame:
 
 def lane_segments(points: DataFrame) -> DataFrame:
     """Runs of one source; a run ends where the next begins, the last at the fiber's last activity."""
-    w = _path_window()
-    change = F.coalesce(F.lag("source_id").over(w) != F.col("source_id"), F.lit(True))
-    rows = points.withColumn("change", change)
-    rows = rows.withColumn("run", F.sum(F.col("change").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _beside(points, F.col("source_id"), "before")
+    change = F.coalesce(F.col("before") != F.col("source_id"), F.lit(True))
+    rows = running(rows, ["fiber_id"], F.floor(F.unix_micros("ts") / LANE_US), _BY_TIME, change.cast("long"), "run")
     runs = rows.groupBy("fiber_id", "run", "source_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_logs"))
-    after = F.lead("start_ts").over(Window.partitionBy("fiber_id").orderBy("run"))
-    return runs.withColumn("end_ts", F.greatest(F.coalesce(after, F.col("last_ts")), F.col("start_ts"))).select("fiber_id", F.col("run").cast("long").alias("run"), "source_id", "start_ts", "end_ts", "n_logs")
+    runs = neighbour(runs, ["fiber_id"], F.floor(F.col("run") / BLOCK), ["run"], F.col("start_ts"), "after", behind=True)
+    return runs.withColumn("end_ts", F.greatest(F.coalesce("after", "last_ts"), F.col("start_ts"))).select("fiber_id", F.col("run").cast("long").alias("run"), "source_id", "start_ts", "end_ts", "n_logs")
 
 
 def _clusters(segments: DataFrame) -> DataFrame:
@@ -268,24 +266,44 @@ def _clusters(segments: DataFrame) -> DataFrame:
     return running(rows, ["source_id"], block, order, new, "cluster", F.max).drop("reach")
 
 
+class Tracks:
+    """Tracks of a lane: those in use by their ends, those free by number."""
+
+    def __init__(self):
+        self.ends: list[tuple[int, int]] = []
+        self.free: list[int] = []
+        self.n = 0
+
+    def take(self, start: int, end: int) -> int:
+        """The first free track for a segment; segments come by start, so a track that is free once stays so."""
+        while self.ends and self.ends[0][0] < start:
+            heapq.heappush(self.free, heapq.heappop(self.ends)[1])
+        if self.free:
+            track = heapq.heappop(self.free)
+        else:
+            track, self.n = self.n, self.n + 1
+        heapq.heappush(self.ends, (end, track))
+        return track
+
+
 def assign_tracks(segments: DataFrame) -> DataFrame:
-    """The first free track of each segment in its lane; a track is free again after its segment's end."""
+    """The first free track of each segment in its lane; a track is free again after its segment's end. Where no segment
+    covers a moment all tracks are free, so a lane is dealt stretch by stretch."""
     rows = _clusters(segments).repartition("source_id", "cluster").sortWithinPartitions("source_id", "cluster", "start_ts", F.desc("end_ts"), "fiber_id", "run")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, ends = None, []
-        for pdf in batches:
-            tracks = []
-            for source, cluster, start, end in zip(pdf.source_id, pdf.cluster, pdf.start_ts, pdf.end_ts, strict=True):
+    names = segments.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, lane = None, Tracks()
+        for batch in batches:
+            found = []
+            for source, cluster, start, end in zip(*(batch.column(c).to_pylist() for c in ("source_id", "cluster", "__start", "__end")), strict=True):
                 if (source, cluster) != group:
-                    group, ends = (source, cluster), []
-                k = next((i for i, e in enumerate(ends) if start > e), len(ends))
-                ends[k : k + 1] = [end]
-                tracks.append(k)
-            yield pdf.drop(columns="cluster").assign(track=tracks)
+                    group, lane = (source, cluster), Tracks()
+                found.append(lane.take(start, end))
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(found, pa.int64())], [*names, "track"])
 
-    return rows.mapInPandas(run, f"{schema}, track long")
+    return rows.withColumns({"__start": F.unix_micros("start_ts"), "__end": F.unix_micros("end_ts")}).mapInArrow(run, f"{kinds}, track long")
 
 
 def lane_concurrency(segments: DataFrame) -> DataFrame:
@@ -298,8 +316,7 @@ def lane_concurrency(segments: DataFrame) -> DataFrame:
 
 def source_transitions(points: DataFrame) -> DataFrame:
     """Changes of source in fibers: number and delays in microseconds."""
-    w = _path_window()
-    rows = points.withColumns({"from_source": F.lag("source_id").over(w), "from_ts": F.lag("ts").over(w)})
+    rows = _beside(points, F.struct(F.col("source_id").alias("from_source"), F.col("ts").alias("from_ts")), "from").select(*points.columns, "from.*")
     rows = rows.filter(F.col("from_source") != F.col("source_id"))
     delay = F.unix_micros("ts") - F.unix_micros("from_ts")
     return rows.groupBy("from_source", F.col("source_id").alias("to_source")).agg(F.count(F.lit(1)).alias("n"), F.min(delay).alias("min_delay_us"), F.max(delay).alias("max_delay_us"), F.sum(delay).alias("sum_delay_us"))

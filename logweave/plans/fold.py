@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+#: A key's value and the number of its incarnation.
+Token = tuple[str, int]
+
 
 @dataclass
 class Fiber:
     first_seq: int
+    first_log: str
     first: int
     last: int
-    keys: dict[str, str] = field(default_factory=dict)
+    keys: dict[str, Token] = field(default_factory=dict)
+    #: Last value of each attribute and the place that it was set at.
+    values: dict[str, tuple[str, int]] = field(default_factory=dict)
+    #: Fibers merged into it: first place and first log.
+    lost: list[tuple[int, str]] = field(default_factory=list)
     open: bool = True
 
 
@@ -21,23 +28,36 @@ class Row:
     """A log as the fold sees it; times in microseconds."""
 
     seq: int
+    log: str
     ts: int
     clock: int | None
-    keys: dict[str, str]
-    #: Key and value pairs that a peer release frees before the match.
-    peer: list[tuple[str, str]]
+    keys: dict[str, Token]
+    values: dict[str, str]
     own: list[str]
     close: bool
-    #: Of a fiber that was open before (a row of its own, with the keys it holds): its first activity; ``ts`` is its last.
+    #: Of a fiber that was open before (a row of its own, with the keys and values it holds): its first activity, and where
+    #: its values were set; ``ts`` is its last activity.
     born: int | None = None
+    value_seq: dict[str, int] | None = None
+
+
+@dataclass
+class Events:
+    """What came of logs: (seq, fiber); merges as (seq, log, loser, survivor); conflicts as (seq, attribute, old, new, at a
+    merge); fibers that ended or are open still."""
+
+    joined: list[tuple[int, Fiber]] = field(default_factory=list)
+    merged: list[tuple[int, str, Fiber, Fiber]] = field(default_factory=list)
+    conflicts: list[tuple[int, str, str, str, bool]] = field(default_factory=list)
+    told: list[Fiber] = field(default_factory=list)
 
 
 class Island:
-    """Open fibers of one type. ``joined`` and ``events`` tell what came of each log."""
+    """Open fibers of one type; what comes of each log is added to ``events``."""
 
-    def __init__(self, gap: int | None, from_start: bool):
-        self.gap, self.from_start = gap, from_start
-        self.index: dict[tuple[str, str], Fiber] = {}
+    def __init__(self, gap: int | None, from_start: bool, events: Events):
+        self.gap, self.from_start, self.events = gap, from_start, events
+        self.index: dict[tuple[str, Token], Fiber] = {}
         self.due: list[tuple[int, int, Fiber]] = []
         self.alive: dict[int, Fiber] = {}
 
@@ -45,18 +65,20 @@ class Island:
         return f.first if self.from_start else f.last
 
     def _born(self, f: Fiber) -> Fiber:
-        heapq.heappush(self.due, (self._reference(f), f.first_seq, f))
+        if self.gap is not None:
+            heapq.heappush(self.due, (self._reference(f), f.first_seq, f))
         self.alive[f.first_seq] = f
         return f
 
     def _shut(self, f: Fiber) -> None:
         f.open = False
         del self.alive[f.first_seq]
-        for k, v in f.keys.items():
-            if self.index.get((k, v)) is f:
-                del self.index[(k, v)]
+        for token in f.keys.items():
+            if self.index.get(token) is f:
+                del self.index[token]
+        self.events.told.append(f)
 
-    def _expire(self, clock: int | None) -> Iterator[tuple[Fiber, str]]:
+    def _expire(self, clock: int | None) -> None:
         while self.gap is not None and clock is not None and self.due and clock - self.due[0][0] > self.gap:
             at, _, f = heapq.heappop(self.due)
             if not f.open:
@@ -65,56 +87,67 @@ class Island:
                 heapq.heappush(self.due, (self._reference(f), f.first_seq, f))
                 continue
             self._shut(f)
-            yield f, "timeout"
 
-    def step(self, row: Row) -> tuple[Fiber, list[tuple[Fiber, str]], list[Fiber]]:
-        """The fiber that the log joins, fibers closed with reasons, fibers merged away."""
+    def forget(self, key: str, token: Token) -> None:
+        """A key that a log of any island has freed before it matched."""
+        if f := self.index.pop((key, token), None):
+            f.keys.pop(key, None)
+
+    def step(self, row: Row) -> None:
         if row.born is not None:
-            f = self._born(Fiber(row.seq, row.born, row.ts))
-            for k, v in row.keys.items():
-                self._set(f, k, v)
-            return f, [], []
-        closed = list(self._expire(row.clock))
-        for token in row.peer:
-            if f := self.index.pop(token, None):
-                f.keys.pop(token[0], None)
+            f = self._born(Fiber(row.seq, row.log, row.born, row.ts))
+            f.values = {n: (v, row.value_seq.get(n, row.seq)) for n, v in row.values.items()}
+            for k, token in row.keys.items():
+                self._set(f, k, token)
+            self.events.joined.append((row.seq, f))
+            return
+        self._expire(row.clock)
         met = {id(f): f for t in row.keys.items() if (f := self.index.get(t))}
         hits = sorted(met.values(), key=lambda f: (f.first, f.first_seq))
         if not hits:
-            f = self._born(Fiber(row.seq, row.ts, row.ts))
+            f = self._born(Fiber(row.seq, row.log, row.ts, row.ts))
         else:
             f = hits[0]
             for loser in hits[1:]:
-                for k, v in loser.keys.items():
-                    self._set(f, k, v)
-                f.last = max(f.last, loser.last)
-                loser.open = False
-                del self.alive[loser.first_seq]
+                self._merge(f, loser, row)
         f.last = row.ts
-        for k, v in row.keys.items():
-            self._set(f, k, v)
+        for name, value in row.values.items():
+            if (old := f.values.get(name)) and old[0] != value:
+                self.events.conflicts.append((row.seq, name, old[0], value, False))
+            f.values[name] = (value, row.seq)
+        for k, token in row.keys.items():
+            self._set(f, k, token)
         for k in row.own:
             if k in f.keys and self.index.get((k, f.keys[k])) is f:
                 del self.index[(k, f.keys.pop(k))]
         if row.close:
             self._shut(f)
-            closed.append((f, "pattern"))
-        return f, closed, hits[1:]
-
-    def _set(self, f: Fiber, k: str, v: str) -> None:
-        if (old := f.keys.get(k)) is not None and old != v and self.index.get((k, old)) is f:
+        self.events.joined.append((row.seq, f))
+
+    def _merge(self, f: Fiber, loser: Fiber, row: Row) -> None:
+        """All of ``loser`` goes to ``f``; of values that differ, that of the fiber with the later activity stays."""
+        for k, token in loser.keys.items():
+            self._set(f, k, token)
+        for name, theirs in loser.values.items():
+            mine = f.values.get(name)
+            if mine is None:
+                f.values[name] = theirs
+            elif mine[0] != theirs[0]:
+                old, new = (mine, theirs) if loser.last > f.last else (theirs, mine)
+                self.events.conflicts.append((row.seq, name, old[0], new[0], True))
+                f.values[name] = new
+        f.last = max(f.last, loser.last)
+        f.lost += [(loser.first_seq, loser.first_log), *loser.lost]
+        loser.open, loser.lost = False, []
+        del self.alive[loser.first_seq]
+        self.events.merged.append((row.seq, row.log, loser, f))
+
+    def _set(self, f: Fiber, k: str, token: Token) -> None:
+        if (old := f.keys.get(k)) is not None and old != token and self.index.get((k, old)) is f:
             del self.index[(k, old)]
-        f.keys[k] = v
-        self.index[(k, v)] = f
-
-
-def fold(rows: Iterable[Row], gap: int | None, from_start: bool):
-    """Of the rows of one island in order, fibers by first seq: (seq, own fiber), (loser, survivor, seq), {fiber: reason},
-    and the keys that fibers still open hold."""
-    island, joined, merges, reasons = Island(gap, from_start), [], [], {}
-    for row in rows:
-        f, closed, lost = island.step(row)
-        joined.append((row.seq, f.first_seq))
-        merges += [(x.first_seq, f.first_seq, row.seq) for x in lost]
-        reasons |= {x.first_seq: why for x, why in closed}
-    return joined, merges, reasons, {k: f.keys for k, f in island.alive.items()}
+        f.keys[k] = token
+        self.index[(k, token)] = f
+
+    def end(self) -> None:
+        """The fibers that are open still."""
+        self.events.told += self.alive.values()

@@ -311,7 +311,14 @@ def merged_components(spark, d):
     return comp.groupBy("c").agg(F.count(F.lit(1)).alias("n_logs")).groupBy("n_logs").agg(F.count(F.lit(1)).alias("n_fibers"))
 
 
-@query()
+@query(
+    """WITH i AS (SELECT 'o' || o_orderkey AS log_id, o_orderdate::TIMESTAMP AS ts, 'orders' AS source_id, o_orderkey AS o, o_custkey AS c FROM orders
+UNION ALL SELECT 'l' || l_orderkey, max(l_shipdate)::TIMESTAMP, 'lineitem', l_orderkey, NULL FROM lineitem GROUP BY l_orderkey),
+s AS (SELECT *, row_number() OVER (ORDER BY ts, source_id, log_id) AS seq FROM i),
+n AS (SELECT o, c AS cust, lead(seq) OVER (PARTITION BY c ORDER BY seq) AS later FROM s WHERE source_id = 'orders'),
+m AS (SELECT s.*, CASE WHEN cust IS NULL OR (source_id = 'lineitem' AND seq > coalesce(later, seq)) THEN 'x' || o ELSE 'c' || cust END AS fiber FROM s LEFT JOIN n USING (o))
+SELECT arg_min(log_id, seq) AS first_log_id, min(ts) AS first_activity, max(ts) AS last_activity, count(*) AS n_logs, 'flush' AS close_reason FROM m GROUP BY fiber"""
+)
 def correlate_general(spark, d):
     """Two keys over linked logs through the ordered fold."""
     found = C.correlate_type(linked_logs(spark, d), LINKED)
@@ -540,6 +547,19 @@ def track_counts(spark, d):
     return T.assign_tracks(_segments(spark, d)).groupBy("source_id").agg((F.max("track") + 1).alias("tracks"))
 
 
+@query(
+    _SEG.replace("WITH l AS", "WITH RECURSIVE l AS")
+    + """, nth AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_ts, end_ts DESC, fiber_id, run) AS i FROM g),
+taken AS (SELECT source_id, i, 0::BIGINT AS track, [end_ts] AS ends FROM nth WHERE i = 1
+UNION ALL SELECT source_id, i, k, CASE WHEN k < len(ends) THEN ends[:k] || [end_ts] || ends[k + 2:] ELSE ends || [end_ts] END
+FROM (SELECT nth.source_id, nth.i, nth.end_ts, ends, coalesce(list_position(list_transform(ends, e -> e < nth.start_ts), true), len(ends) + 1)::BIGINT - 1 AS k FROM taken JOIN nth ON nth.source_id = taken.source_id AND nth.i = taken.i + 1))
+SELECT fiber_id, run, source_id, track FROM taken JOIN nth USING (source_id, i)"""
+)
+def track_assignments(spark, d):
+    """The track of every segment, against the rule told segment by segment."""
+    return T.assign_tracks(_segments(spark, d)).select("fiber_id", "run", "source_id", "track")
+
+
 @query(_PTS + ", u AS (SELECT *, lag(ts) OVER (PARTITION BY fiber_id ORDER BY ts, log_id) AS bts FROM t) SELECT before AS from_source, source_id AS to_source, count(*) AS n, min(epoch_us(ts) - epoch_us(bts)) AS min_delay_us, max(epoch_us(ts) - epoch_us(bts)) AS max_delay_us, sum(epoch_us(ts) - epoch_us(bts))::BIGINT AS sum_delay_us FROM u WHERE before <> source_id GROUP BY 1, 2")
 def source_transitions(spark, d):
     logs, _, m = session_tables(spark, d)

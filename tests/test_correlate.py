@@ -1,6 +1,7 @@
 """The plans against a sequential model written for these tests, cuts in the input, and the cases of single rules."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +211,87 @@ def test_three_keys(spark, gap, rows, want):
     assert len(_groups(C.correlate_type(logs, t))) == want
 
 
+class Valued(Model):
+    """The model with values: of a log the last one counts, of fibers that merge that of the one active later."""
+
+    def __init__(self, gap, from_start):
+        super().__init__(gap, from_start)
+        self.conflicts = []
+
+    def log(self, name, at, keys, peer=(), own=(), close=False, values=None):
+        known = len(self.fibers)
+        before = [(f, f["last"], dict(f["values"])) for f in self.fibers if f["end"] is None]
+        super().log(name, at, keys, peer, own, close)
+        for f in self.fibers[known:]:
+            f["values"] = {}
+        target = next(f for f in self.fibers if name in f["logs"] and f["end"] != "merged")
+        last = next((t for f, t, _ in before if f is target), None)
+        for f, t, held in sorted((x for x in before if x[0]["end"] == "merged"), key=lambda x: (x[0]["first"], x[0]["nth"])):
+            for n, theirs in sorted(held.items()):
+                mine = target["values"].get(n, theirs)
+                if mine != theirs:
+                    self.conflicts.append((name, n, *((mine, theirs) if t > last else (theirs, mine)), True))
+                if n not in target["values"] or t > last:
+                    target["values"][n] = theirs
+            last = max(last, t)
+        for n, v in (values or {}).items():
+            if target["values"].get(n, v) != v:
+                self.conflicts.append((name, n, target["values"][n], v, False))
+            target["values"][n] = v
+
+
+#: Peer releases, self releases and closes of some keys, as the end of a log tells them.
+FLAGS = ["", "", "", "", "", "Pa", "Pb", "Pac", "Sa", "Sb", "Sabc", "PaSa", "PbSc", "X", "PaX"]
+
+
+def _flagged(text):
+    return tuple(re.sub("[SX].*|P", "", text)), tuple(re.sub("P[abc]*|[SX]", "", text)), "X" in text
+
+
+def _valued_type(gap, mode):
+    base = r"a=(?P<a>\w+)?;b=(?P<b>\w+)?;c=(?P<c>\w+)?;v=(?P<v>\d+)?;"
+    patterns = tuple(Pattern(base + f + "$", *_flagged(f)) for f in sorted(set(FLAGS)))
+    return FiberType("t", (*ABC, Attribute("v", "int")), {"s": patterns}, gap, mode)
+
+
+@pytest.mark.parametrize(("gap", "mode"), [("6s", "session"), ("infinite", "session"), ("6s", "from_start")])
+def test_values_and_incarnations(spark, gap, mode):
+    """Three keys with releases and closes: groups, last values and conflicts are those of the model."""
+    rng, rows, at = random.Random(gap + mode), [], 0
+    for _ in range(1500):
+        at += rng.choice([0, 0, 1, 1, 1, 2, 9])
+        a, b, c = (rng.choice(["", "", "1", "2", "3", "4"]) for _ in "abc")
+        rows.append((at, f"a={a};b={b};c={c};v={rng.choice(['', '1', '2', '3'])};{rng.choice(FLAGS)}"))
+    model = Valued(6_000_000 if gap == "6s" else None, mode == "from_start")
+    for i, (sec, text) in enumerate(rows):
+        parts = dict(p.split("=") for p in text.split(";")[:-1])
+        keys = {k: parts[k] for k in "abc" if parts[k]}
+        model.log(f"l{i:04d}", sec * 1_000_000, keys, *_flagged(text.split(";")[-1]), values={n: v for n, v in parts.items() if v})
+    logs = _logs(spark, rows)
+    found = C.correlate_type(logs, _valued_type(gap, mode))
+    names = {r.seq: r.log_id for r in logs.collect()}
+    assert _groups(found) == model.groups()
+    want = sorted((f["logs"][0], sorted(f["values"].items())) for f in model.fibers if f["end"] != "merged")
+    assert sorted((r.first_log_id, sorted(r.attributes.items())) for r in found.fibers.collect()) == want
+    assert sorted((names[r.seq], r.attribute, r.old_value, r.new_value, r.at_merge) for r in found.conflicts.collect()) == sorted(model.conflicts)
+
+
+def test_value_of_the_later_fiber_stays(spark):
+    t = FiberType("t", (*KEYS, Attribute("x")), {"s": (Pattern(r"a=(?P<a>\w+)?;b=(?P<b>\w+)?;x=(?P<x>\w+)?;"),)})
+    found = C.correlate_type(_logs(spark, [(0, "a=1;b=;x=one;"), (1, "a=;b=2;x=two;"), (2, "a=1;b=;x=;"), (3, "a=1;b=2;x=;")]), t)
+    assert [r.attributes for r in found.fibers.collect()] == [{"a": "1", "b": "2", "x": "one"}]
+    assert [(r.attribute, r.old_value, r.new_value, r.seq, r.at_merge) for r in found.conflicts.collect()] == [("x", "two", "one", 3, True)]
+
+
+def test_releases_bound_islands(spark):
+    """A key that is freed again and again does not make one island of all its logs."""
+    rows = [(i, f"a=1;b={i // 5};" + ("PEER" if i % 5 == 0 else "")) for i in range(100)]
+    t = _type(gap="infinite")
+    logs = C._rows(_logs(spark, rows), t, False, None)
+    sizes = C._islands(logs, t).filter("gone IS NULL").groupBy("island").count().collect()
+    assert max(r["count"] for r in sizes) == 5 and len(sizes) == 20
+
+
 def test_normalized_keys(spark):
     t = FiberType("t", (Attribute("ip", "ip", key=True),), {"s": (Pattern(r"from (?P<ip>\S+)"),)})
     logs = _logs(spark, [(0, "from 192.168.001.001"), (1, "from 192.168.1.1"), (2, "from nowhere")])
