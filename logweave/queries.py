@@ -552,7 +552,7 @@ def track_counts(spark, d):
     + """, nth AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_ts, end_ts DESC, fiber_id, run) AS i FROM g),
 taken AS (SELECT source_id, i, 0::BIGINT AS track, [end_ts] AS ends FROM nth WHERE i = 1
 UNION ALL SELECT source_id, i, k, CASE WHEN k < len(ends) THEN ends[:k] || [end_ts] || ends[k + 2:] ELSE ends || [end_ts] END
-FROM (SELECT nth.source_id, nth.i, nth.end_ts, ends, coalesce(list_position(list_transform(ends, e -> e < nth.start_ts), true), len(ends) + 1)::BIGINT - 1 AS k FROM taken JOIN nth ON nth.source_id = taken.source_id AND nth.i = taken.i + 1))
+FROM (SELECT nth.source_id, nth.i, nth.end_ts, ends, coalesce(list_position(list_transform(ends, lambda e: e < nth.start_ts), true), len(ends) + 1)::BIGINT - 1 AS k FROM taken JOIN nth ON nth.source_id = taken.source_id AND nth.i = taken.i + 1))
 SELECT fiber_id, run, source_id, track FROM taken JOIN nth USING (source_id, i)"""
 )
 def track_assignments(spark, d):
