@@ -358,16 +358,16 @@ def log_sink(spark, d):
     logs, path = logs_of(spark, d), _folder(spark, "sink")
     for part in ("log_id % 3 < 2", "log_id % 3 > 0", "log_id % 3 > 0"):
         sinks.write_logs(logs.filter(part), path)
-    return spark.read.parquet(path).select("log_id", "source_id")
+    return sinks.read(spark, path).select("log_id", "source_id")
 
 
-@query(_FM + " SELECT log_id, fiber_id FROM m WHERE fiber_type = 'user_session'")
+@query(_FM + " SELECT log_id, fiber_id FROM m")
 def membership_sink(spark, d):
-    m = session_tables(spark, d)[2].filter("fiber_type = 'user_session'").withColumn("ruleset_version", F.lit("1"))
+    m = session_tables(spark, d)[2].withColumn("ruleset_version", F.lit("1"))
     path = _folder(spark, "sink")
     for part in ("log_id % 3 < 2", "log_id % 3 > 0"):
         sinks.write_memberships(m.filter(part), path)
-    return spark.read.parquet(path).select("log_id", "fiber_id")
+    return sinks.read(spark, path).select("log_id", "fiber_id")
 
 
 @query(_L + " SELECT min(log_id) AS first_log_id, count(*) AS n_logs, max(ts) AS last_activity FROM l GROUP BY user_id")
@@ -376,14 +376,14 @@ def fiber_sink(spark, d):
     logs, path = ordered_logs(spark, d), _folder(spark, "sink")
     for rows in (logs.filter("ts < TIMESTAMP '2024-01-20'"), logs):
         sinks.upsert_fibers(C.correlate_type(rows, _type("user_forever")).fibers, path)
-    return spark.read.parquet(path).select("first_log_id", "n_logs", "last_activity")
+    return sinks.read_fibers(spark, path).select("first_log_id", "n_logs", "last_activity")
 
 
 @query(_L + " SELECT 'all' AS sink, count(*) AS n FROM l UNION ALL SELECT 'errors', count(*) FROM l WHERE source_id = 'error'")
 def fan_out_sinks(spark, d):
     paths = {k: _folder(spark, k) for k in ("all", "errors")}
     sinks.fan_out(ordered_logs(spark, d), lambda x: sinks.write_logs(x, paths["all"]), lambda x: sinks.write_logs(x.filter("source_id = 'error'"), paths["errors"]))
-    rows = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("sink"), "n") for k, p in paths.items()]
+    rows = [sinks.read(spark, p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("sink"), "n") for k, p in paths.items()]
     return rows[0].unionByName(rows[1])
 
 
@@ -437,9 +437,32 @@ def stream_fibers(spark, d):
     """General fibers over micro-batches with the state carried: those closed by the end, each written once."""
     out = _folder(spark, "fibers")
     streams.stream_correlate(_stream_files(spark, d), Rules((BOTH,)), out).awaitTermination()
-    return spark.read.parquet(f"{out}/fibers").select("first_log_id", "first_activity", "last_activity", "n_logs")
+    return sinks.read_fibers(spark, f"{out}/fibers").select("first_log_id", "first_activity", "last_activity", "n_logs")
 
 
+@query(
+    _fibers(_CUT).split("SELECT first_log_id, first_activity")[0] + "SELECT log_id, first_log_id FROM f JOIN (SELECT user_id, n, min(log_id) AS first_log_id FROM f GROUP BY user_id, n) USING (user_id, n)"
+)
+def stream_fiber_logs(spark, d):
+    """Every log's fiber, as the micro-batches told it, those still open among them."""
+    out, logs = _folder(spark, "fibers"), _stream_files(spark, d)
+    streams.stream_correlate(logs, Rules((BOTH,)), out).awaitTermination()
+    names = logs_of(spark, d).select(C.fiber_id_of("1", "user_both", F.col("log_id")).alias("fiber_id"), F.col("log_id").alias("first_log_id"))
+    return streams.stream_memberships(spark, out).join(names, "fiber_id").select("log_id", "first_log_id")
+
+
+@query(_L + " SELECT min(log_id) AS first_log_id, count(*) AS n_logs, 1 AS n_rows, 3 AS n_writes FROM l GROUP BY user_id")
+def repeated_writes(spark, d):
+    """A write that is repeated under its number, and one that died before it was finished, leave no trace."""
+    logs, path = ordered_logs(spark, d), _folder(spark, "sink")
+    for number, until in ((0, "2024-01-10"), (1, "2024-01-20"), (0, "2024-01-10"), (2, "2034-01-01"), (2, "2024-01-10")):
+        sinks.upsert_fibers(C.correlate_type(logs.filter(F.col("ts") < F.lit(until).cast("timestamp")), _type("user_forever")).fibers, path, number)
+    dead = C.correlate_type(logs, _type("user_forever"), version="2").fibers.withColumn("dt", F.to_date("first_activity"))
+    dead.write.partitionBy("ruleset_version", "fiber_type", "dt").parquet(f"{path}/{sinks.BATCH}=3/attempt=dead")
+    n = len(sinks.commits(spark, path))
+    rows = sinks.read_fibers(spark, path)
+    return rows.groupBy("first_log_id").agg(F.max("n_logs").alias("n_logs"), F.count(F.lit(1)).alias("n_rows")).withColumn("n_writes", F.lit(n))
+
 @query(_F + " SELECT source_id, count(*) AS n_records FROM t GROUP BY source_id")
 def stream_lines(spark, d):
     """Lines of files that are followed, with their times."""

@@ -29,7 +29,7 @@ from ..plans.components import connected_components
 from ..plans.fold import Events, Island, Row
 from ..plans.rules import FiberType, Rules
 from ..plans.storage import stage
-from .extract import cast_attributes, extract
+from .extract import cast_attributes, extract, key_tokens
 from .ordering import BLOCK, neighbour, running, running_max
 
 #: Column of the log order and of the clock before each log.
@@ -436,6 +436,37 @@ def resume(state: DataFrame, logs: DataFrame, rules: Rules, **settings) -> Corre
     return correlate(logs, rules, state=state, **settings)
 
 
+def touched(state: DataFrame, logs: DataFrame, rules: Rules) -> DataFrame:
+    """The open fibers that hold a key of one of the logs: no other one joins, merges or loses a key."""
+    tokens = _union([key_tokens(extract(logs, t), t).select(F.lit(t.name).alias("fiber_type"), "key", "value") for t in rules.types]).distinct()
+    held = state.select("fiber_type", "fiber_id", F.explode("keys").alias("key", "value")).join(tokens, ["fiber_type", "key", "value"], "left_semi")
+    return state.join(held.select("fiber_type", "fiber_id").distinct(), ["fiber_type", "fiber_id"], "left_semi")
+
+
+def timed_out(state: DataFrame, rules: Rules, end: Column) -> DataFrame:
+    """Of open fibers those that the clock ``end`` has passed the gap of, as records."""
+    parts = []
+    for t in rules.types:
+        since = F.col("first_activity") if t.gap_mode == "from_start" else F.col("last_activity")
+        late = F.unix_micros(end) - F.unix_micros(since) > t.gap if t.gap is not None else F.lit(False)
+        rows = state.filter((F.col("fiber_type") == t.name) & late)
+        typed_values = F.struct(*[typed(F.col("attributes")[a.name], a.type).alias(a.name) for a in t.attributes])
+        parts.append(rows.select("fiber_id", "fiber_type", "ruleset_version", "attributes", F.to_json(typed_values).alias("attributes_json"), "first_activity", "last_activity", "n_logs", F.lit(True).alias("closed"), F.lit("timeout").alias("close_reason"), "first_log_id"))
+    return _union(parts)
+
+
+def last_survivors(survivors: DataFrame) -> DataFrame:
+    """``fiber_type, loser_id, survivor_id`` where survivors of one run may be merged away in a later one: the last ones.
+    Each turn doubles the steps that are taken."""
+    rows, turned = stage(survivors.select("fiber_type", "loser_id", "survivor_id").distinct(), "survivors"), True
+    while turned:
+        on = rows.select("fiber_type", F.col("loser_id").alias("survivor_id"), F.col("survivor_id").alias("further"))
+        rows = stage(rows.join(on, ["fiber_type", "survivor_id"], "left").select("fiber_type", "loser_id", F.coalesce("further", "survivor_id").alias("survivor_id"), F.col("further").isNotNull().alias("turned")), "survivors")
+        turned = not rows.filter("turned").isEmpty()
+        rows = rows.drop("turned")
+    return rows
+
+
 def correlate_versioned(logs: DataFrame, schedule: list[tuple[str | None, Rules]], **settings) -> Correlation:
     """Rules by time: ``(effective from, rules)``, the first from None. Open fibers are flushed at each cut-over."""
     each = []
