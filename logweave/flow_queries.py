@@ -88,10 +88,10 @@ def text_offsets(spark, d):
     return found.select("source_id", F.regexp_extract("file_path", r"day=([\d-]+)", 1).cast("date").alias("day"), "end_offset")
 
 
-@query(_F + " , n AS (SELECT *, row_number() OVER (PARTITION BY source_id, ts::DATE ORDER BY ts) AS i FROM t WHERE source_id NOT IN ('error', 'signup')) SELECT source_id, ts::DATE AS day, count(*) AS n_lines FROM n WHERE i > 3 GROUP BY ALL")
+@query(_F + " , n AS (SELECT source_id, ts::DATE AS day, sum(CASE WHEN source_id IN ('error', 'signup') THEN 2 ELSE 1 END)::BIGINT - 3 AS n_lines FROM t GROUP BY ALL) SELECT * FROM n WHERE n_lines > 0")
 def text_from_stored_offset(spark, d):
     """Reading goes on behind the third line of every file."""
-    lines = stage(S.read_lines(spark, [s for s in text_files(spark, d) if s.source_id not in ("error", "signup")]), "lines")
+    lines = stage(S.read_lines(spark, text_files(spark, d)), "lines")
     rest = S.from_position(lines, "stored_offset", S.source_offsets(lines.filter("line_ord < 3")))
     return rest.groupBy("source_id", F.regexp_extract("file_path", r"day=([\d-]+)", 1).cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n_lines"))
 
@@ -133,9 +133,9 @@ def epoch_watermarks(spark, d):
     return O.epochs(logs, 6 * 3600, watermark=F.lit(last), with_logs=False).select("sequence_num", "watermark")
 
 
-def _collected(spark, d) -> DataFrame:
-    """The logs as two collectors hand them on: JSON files of nested batches, read back. The second one was rewound: it
-    sent its first batches again under a new generation."""
+def _batches(spark, d) -> DataFrame:
+    """The logs as two collectors hand them on, in nested batches. The second one was rewound: it sent its first batches
+    again under a new generation."""
     logs = logs_of(spark, d).withColumn("log_id", F.col("log_id").cast("string")).withColumns({"file_path": F.lit("f"), "line_ord": F.col("log_id").cast("long"), "file_offset": F.lit(0).cast("long")})
     logs = logs.select("log_id", "ts", "source_id", "raw_text", "file_path", "line_ord", "file_offset")
     ours = F.col("source_id").isin("click", "error")
@@ -143,11 +143,25 @@ def _collected(spark, d) -> DataFrame:
     both = batches[0].withColumn("generation", F.lit(0).cast("long")).unionByName(batches[1].withColumn("generation", F.lit(0).cast("long")))
     both = both.unionByName(batches[1].filter("sequence_num < 5").withColumn("generation", F.lit(1).cast("long")))
     epoch = F.struct(F.col("epoch_start").alias("start"), F.col("epoch_end").alias("end"), "watermark", "generation")
+    return both.select(F.concat_ws("-", "collector_id", "generation", "sequence_num").alias("batch_id"), "collector_id", epoch.alias("epoch"), "logs", F.lit(1).cast("long").alias("config_version"), "sequence_num")
+
+
+def _collected(spark, d) -> DataFrame:
     path = _folder(spark, "batches")
-    both.select(F.concat_ws("-", "collector_id", "generation", "sequence_num").alias("batch_id"), "collector_id", epoch.alias("epoch"), "logs", F.lit(1).cast("long").alias("config_version"), "sequence_num").write.json(path)
+    S.write_batches(_batches(spark, d), path)
     return S.read_batches(spark, path)
 
 
+def _batch_files(spark, d, collector: str | None = None) -> str:
+    """Batches as files that came one after another, each of some epochs; those of the rewound collector last."""
+    path, rows = _folder(spark, "batches"), stage(_batches(spark, d), "batches")
+    if collector:
+        rows = rows.filter(F.col("collector_id") == collector)
+    for part in ("epoch.generation = 0 AND sequence_num < 10", "epoch.generation = 0 AND sequence_num >= 10", "epoch.generation = 1"):
+        S.write_batches(rows.filter(part).coalesce(1).sortWithinPartitions("sequence_num"), path)
+    return path
+
+
 @query(_P + " SELECT log_id::VARCHAR AS log_id, source_id, CASE WHEN source_id IN ('click', 'error') THEN 'c1' ELSE 'c2' END AS collector_id, seq FROM p")
 def collected_logs(spark, d):
     """Batches of several collectors, some sent twice, as one ordered stream."""
@@ -155,19 +169,19 @@ def collected_logs(spark, d):
     return O.sequence(logs, ["ts", "source_id", F.col("log_id").cast("long")]).select("log_id", "source_id", "collector_id", "seq")
 
 
-_C = _L + ", c AS (SELECT 'c2' AS collector_id, date_trunc('day', ts) AS s FROM l WHERE source_id NOT IN ('click', 'error') GROUP BY ALL), b AS (SELECT *, row_number() OVER (ORDER BY s) - 1 AS sequence_num FROM c), r AS (SELECT 0 AS g, * FROM b UNION ALL SELECT 1, * FROM b WHERE s < (SELECT min(s) + INTERVAL 5 DAY FROM b))"
+_C = _L + ", c AS (SELECT CASE WHEN source_id IN ('click', 'error') THEN 'c1' ELSE 'c2' END AS collector_id, date_trunc('day', ts) AS s FROM l GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY collector_id ORDER BY s) - 1 AS sequence_num FROM c), r AS (SELECT 0 AS g, * FROM b UNION ALL SELECT 1, * FROM b WHERE collector_id = 'c2' AND sequence_num < 5)"
 
 
-@query(_C + " SELECT g AS generation, sequence_num, s + INTERVAL 1 DAY AS watermark, false AS moved_backward FROM r")
+@query(_C + " SELECT collector_id, g AS generation, sequence_num, s + INTERVAL 1 DAY AS watermark, false AS moved_backward FROM r")
 def generation_watermarks(spark, d):
     """A higher generation comes after all of a lower one, whatever its times."""
-    rows = O.batch_watermarks(_collected(spark, d).filter("collector_id = 'c2'"))
-    return rows.select(F.col("mark.generation").alias("generation"), "sequence_num", F.col("mark.watermark").alias("watermark"), "moved_backward")
+    rows = O.batch_watermarks(_collected(spark, d))
+    return rows.select("collector_id", F.col("mark.generation").alias("generation"), "sequence_num", F.col("mark.watermark").alias("watermark"), "moved_backward")
 
 
-@query(_C + " SELECT collector_id, 1 AS generation, max(s) + INTERVAL 1 DAY AS watermark FROM r WHERE g = 1 GROUP BY collector_id")
+@query(_C + " SELECT collector_id, max(g) AS generation, arg_max(s, (g, s)) + INTERVAL 1 DAY AS watermark FROM r GROUP BY collector_id")
 def latest_watermarks(spark, d):
-    rows = O.latest_watermark(_collected(spark, d)).filter("collector_id = 'c2'")
+    rows = O.latest_watermark(_collected(spark, d))
     return rows.select("collector_id", F.col("mark.generation").alias("generation"), F.col("mark.watermark").alias("watermark"))
 
 
@@ -463,8 +477,24 @@ def repeated_writes(spark, d):
     rows = sinks.read_fibers(spark, path)
     return rows.groupBy("first_log_id").agg(F.max("n_logs").alias("n_logs"), F.count(F.lit(1)).alias("n_rows")).withColumn("n_writes", F.lit(n))
 
-@query(_F + " SELECT source_id, count(*) AS n_records FROM t GROUP BY source_id")
+@query(_L + " SELECT log_id::VARCHAR AS log_id, source_id, ts, CASE WHEN source_id IN ('click', 'error') THEN 'c1' ELSE 'c2' END AS collector_id FROM l")
+def stream_collected_logs(spark, d):
+    """Batches of collectors as a stream: what is sent again comes once."""
+    logs = streams.stream_collected(S.stream_batches(spark, _batch_files(spark, d), files=1))
+    return _run(logs.select("log_id", "source_id", "ts", "collector_id"), spark)
+
+
+@query(
+    _EPOCHS + " , w AS (SELECT min(m) AS w FROM (SELECT max(ts) AS m FROM l GROUP BY source_id IN ('click', 'error'))) SELECT epoch_start, epoch_end, n_logs, first_ts, last_ts FROM b, w WHERE epoch_end <= w - INTERVAL 1 SECOND"
+)
+def stream_collector_epochs(spark, d):
+    """Epochs over two collectors, emitted when the slower one is past them; re-sent logs count once."""
+    parts = [S.flatten_batches(S.stream_batches(spark, _batch_files(spark, d, k), files=1).drop("arrival")) for k in ("c1", "c2")]
+    return _run(streams.tumbling(streams.merge_collectors(parts), 6 * 3600), spark)
+
+
+@query(_F + " SELECT source_id, ts, line AS value FROM t")
 def stream_lines(spark, d):
     """Lines of files that are followed, with their times."""
     rows = streams.stream_lines(spark, text_files(spark, d)).filter("ts IS NOT NULL").select("source_id", "ts", "value")
-    return _run(rows, spark).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_records"))
+    return _run(rows, spark)

@@ -140,11 +140,21 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BATCH).json(path)
 
 
-def stream_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(BATCH).json(path)
+def write_batches(batches: DataFrame, path: str, mode: str = "append") -> None:
+    """Puts batches down for :func:`read_batches`, times to the microsecond."""
+    batches.write.mode(mode).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+
+
+def stream_batches(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Batches as collectors put them down, with their files' times as ``arrival``; ``files``: most of a micro-batch."""
+    reader = spark.readStream.schema(BATCH)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.json(path).withColumn("arrival", F.col("_metadata.file_modification_time"))
 
 
 def flatten_batches(batches: DataFrame) -> DataFrame:
-    """Logs of nested batches, with the batch's collector, sequence number and generation."""
-    rows = batches.select("collector_id", "sequence_num", F.col("epoch.generation").alias("generation"), F.explode("logs").alias("l"))
-    return rows.select("l.*", "collector_id", "sequence_num", "generation")
+    """Logs of nested batches, with the batch's collector, sequence number and generation (and ``arrival``, if known)."""
+    known = ["arrival"] if "arrival" in batches.columns else []
+    rows = batches.select("collector_id", "sequence_num", F.col("epoch.generation").alias("generation"), *known, F.explode("logs").alias("l"))
+    return rows.select("l.*", "collector_id", "sequence_num", "generation", *known)

@@ -13,7 +13,7 @@ from ..operators import correlate as c
 from ..operators import ordering, sinks
 from ..plans.rules import Rules, Source
 from ..plans.storage import stage
-from ..sources.lines import with_timestamp
+from ..sources.lines import flatten_batches, with_timestamp
 
 
 def stream_lines(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
@@ -25,11 +25,32 @@ def stream_lines(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     return with_timestamp(lines, sources)
 
 
+def stream_collected(batches: DataFrame, kept: str = "7 days") -> DataFrame:
+    """Logs of collectors' batches, each once: one that is sent again is dropped if its first copy came no longer than
+    ``kept`` before. The state goes by arrival, so that what a rewound collector sends for the first time is not late."""
+    return flatten_batches(batches).withWatermark("arrival", kept).dropDuplicatesWithinWatermark(["log_id"])
+
+
+def merge_collectors(streams: Sequence[DataFrame], delay: str = "1 second") -> DataFrame:
+    """Logs of collectors that are read one by one (flattened, with ``ts``): each has a watermark of its own, and what
+    follows waits for the least of them (``spark.sql.streaming.multipleWatermarkPolicy``, which is ``min`` by default).
+    A log that is sent again counts once; behind the watermark none does."""
+    marked = [s.withWatermark("ts", delay) for s in streams]
+    both = marked[0]
+    for s in marked[1:]:
+        both = both.unionByName(s)
+    return both.dropDuplicatesWithinWatermark(["log_id"])
+
+
+def tumbling(logs: DataFrame, seconds: int) -> DataFrame:
+    """Epochs of logs that have a watermark, emitted when it has passed them."""
+    found = logs.groupBy(F.window("ts", f"{seconds} seconds")).agg(F.count(F.lit(1)).alias("n_logs"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return found.select(F.col("window.start").alias("epoch_start"), F.col("window.end").alias("epoch_end"), "n_logs", "first_ts", "last_ts")
+
+
 def stream_epochs(logs: DataFrame, seconds: int, delay: str = "1 second") -> DataFrame:
     """Tumbling epochs, emitted when the watermark has passed them."""
-    w = F.window("ts", f"{seconds} seconds")
-    found = logs.withWatermark("ts", delay).groupBy(w).agg(F.count(F.lit(1)).alias("n_logs"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return found.select(F.col("window.start").alias("epoch_start"), F.col("window.end").alias("epoch_end"), "n_logs", "first_ts", "last_ts")
+    return tumbling(logs.withWatermark("ts", delay), seconds)
 
 
 def stream_sessions(extracted: DataFrame, key: str, gap_seconds: int, delay: str = "1 second") -> DataFrame:
