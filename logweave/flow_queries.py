@@ -21,7 +21,7 @@ from .plans.rules import Attribute, FiberType, Pattern, Rules, Source
 from .plans.storage import shared_dir, stage
 from .queries import _BOTH, _EPOCHS, _FM, _L, _P, _READY, _SET, _USER, ERROR, SESSION, SOURCES, _fibers, _type, _versions, _wanted, logs_of, ordered_logs, query, session_tables, table
 from .sources import lines as S
-from .streaming import streams
+from .streaming import keyed, streams
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -477,6 +477,31 @@ def repeated_writes(spark, d):
     rows = sinks.read_fibers(spark, path)
     return rows.groupBy("first_log_id").agg(F.max("n_logs").alias("n_logs"), F.count(F.lit(1)).alias("n_rows")).withColumn("n_writes", F.lit(n))
 
+_KEYED = _P + """, s AS (SELECT *, CASE WHEN lag(source_id) OVER w = 'error' OR coalesce(ts - lag(ts) OVER w > INTERVAL 4 HOUR, true) THEN 1 ELSE 0 END AS st FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, log_id)),
+n AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, log_id) AS n FROM s), e AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 SECOND AS mark FROM l),
+f AS (SELECT user_id, n, arg_min(log_id, ts) AS first_log_id, min(ts) AS first_activity, max(ts) AS last_activity, count(*) AS n_logs FROM n GROUP BY user_id, n)"""
+
+
+def _keyed(spark, d) -> DataFrame:
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.PROVIDER)
+    try:
+        return _run(keyed.stream_keyed_fibers(_stream_files(spark, d), BOTH), spark)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+@query(_KEYED + " SELECT first_log_id::VARCHAR AS first_log_id, first_activity, last_activity, n_logs, 'timeout' AS close_reason FROM f, e WHERE last_activity + INTERVAL 4 HOUR < mark")
+def stream_keyed_fibers(spark, d):
+    """Fibers of one key from the state store: those that ended by the watermark."""
+    return _keyed(spark, d).filter("close_reason IS NOT NULL").select("first_log_id", "first_activity", "last_activity", "n_logs", "close_reason")
+
+
+@query(_KEYED + " SELECT log_id::VARCHAR AS log_id, first_log_id::VARCHAR AS first_log_id FROM n JOIN f USING (user_id, n), e WHERE ts <= mark")
+def stream_keyed_memberships(spark, d):
+    return _keyed(spark, d).filter("log_id IS NOT NULL").select("log_id", "first_log_id")
+
+
 @query(_L + " SELECT log_id::VARCHAR AS log_id, source_id, ts, CASE WHEN source_id IN ('click', 'error') THEN 'c1' ELSE 'c2' END AS collector_id FROM l")
 def stream_collected_logs(spark, d):
     """Batches of collectors as a stream: what is sent again comes once."""
