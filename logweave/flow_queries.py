@@ -78,6 +78,28 @@ def text_rejects(spark, d):
     return rows.groupBy("source_id", F.trim("value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_F + " SELECT source_id, source_id = 'signup' AS failed FROM t GROUP BY source_id")
+def text_failures(spark, d):
+    """Reading that fails at the first unusable line: whether it does, source by source."""
+    told = []
+    for s in text_files(spark, d):
+        try:
+            S.logs_from(spark, [s], on_error="fail").write.format("noop").mode("overwrite").save()
+            told.append((s.source_id, False))
+        except Exception as e:  # noqa: BLE001  the engine wraps what the query raises
+            if "unusable line" not in str(e):
+                raise
+            told.append((s.source_id, True))
+    return spark.createDataFrame(told, "source_id string, failed boolean")
+
+
+@query(_EPOCHS + ", n AS (SELECT *, ceil(n_logs / 7.0)::INT AS n_parts FROM b), p AS (SELECT epoch_start, n_parts, n_logs, unnest(range(n_parts)) AS part FROM n) SELECT epoch_start, part::INT AS part, n_parts, least(7, n_logs - 7 * part) AS n_logs, row_number() OVER (ORDER BY epoch_start, part) - 1 AS sequence_num FROM p")
+def epoch_parts(spark, d):
+    """Nested epochs of more logs than a batch may hold, in parts."""
+    found = O.epochs(logs_of(spark, d), 6 * 3600, max_logs=7)
+    return found.select("epoch_start", "part", "n_parts", F.size("logs").cast("long").alias("n_logs"), "sequence_num")
+
+
 _BYTES = "strlen(line) + 1 + strlen(more) + CASE source_id WHEN 'signup' THEN 6 ELSE 0 END"
 
 
@@ -229,11 +251,18 @@ def version_is_ancestor(spark, d):
     return V.is_ancestor(_versions(spark, d), "2", "9")
 
 
-@query(_FM + " SELECT fiber_id FROM f WHERE fiber_type = 'user_session' AND fiber_id IN (SELECT fiber_id FROM m WHERE ts < TIMESTAMP '2024-01-05' OR ts > TIMESTAMP '2024-01-15')")
+@query(_FM + " SELECT fiber_id FROM f WHERE fiber_id IN (SELECT fiber_id FROM m WHERE ts < TIMESTAMP '2024-01-05' OR ts > TIMESTAMP '2024-01-15')")
 def fibers_after_clearing(spark, d):
     logs, fibers, m = session_tables(spark, d)
     kept = V.clear_results(m, logs, "2024-01-05", "2024-01-15")
-    return V.cleared_fibers(fibers, kept).filter("fiber_type = 'user_session'").select("fiber_id")
+    return V.cleared_fibers(fibers, kept).select("fiber_id")
+
+
+@query(_FM + " SELECT fiber_id FROM f WHERE fiber_type <> 'user_session'")
+def fibers_after_reprocessing(spark, d):
+    """All fibers of the version that is reprocessed go, whatever memberships stay."""
+    fibers = session_tables(spark, d)[1].drop("ruleset_version").withColumn("ruleset_version", F.when(F.col("fiber_type") == "user_session", "1").otherwise("2"))
+    return V.cleared_fibers(fibers, version="1").select("fiber_id")
 
 
 @query(_FM + " SELECT fiber_id FROM f WHERE usr = '7' AND regexp_matches(usr, '^[0-9]$')")

@@ -29,7 +29,7 @@ from ..plans.components import connected_components
 from ..plans.fold import Events, Island, Row
 from ..plans.rules import FiberType, Rules
 from ..plans.storage import stage
-from .extract import cast_attributes, extract, key_tokens
+from .extract import cast_attributes, extract, key_tokens, match_types, matched
 from .ordering import BLOCK, neighbour, running, running_max
 
 #: Column of the log order and of the clock before each log.
@@ -73,10 +73,10 @@ def is_constant(t: FiberType) -> bool:
     return bool(key and key.derived is not None and not key.inputs and t.gap is None and quiet)
 
 
-def _rows(logs: DataFrame, t: FiberType, normalize_keys: bool, state: DataFrame | None) -> DataFrame:
+def _rows(logs: DataFrame, t: FiberType, normalize_keys: bool, state: DataFrame | None, found: DataFrame | None = None) -> DataFrame:
     """Logs of the type and, before them, its open fibers: key values ``kv``, typed ``values``, and for each of these the
     place it was set at (``at``); ``n`` logs since ``born``."""
-    rows = cast_attributes(extract(logs, t), t)
+    rows = cast_attributes(extract(logs, t) if found is None else matched(found, t), t)
     kinds = {a.name: a.type for a in t.attributes}
 
     def key(k: str) -> Column:
@@ -330,13 +330,14 @@ def _conflicts_in_chains(known: DataFrame, names: list[str]) -> DataFrame:
     return changed.withColumn("at_merge", F.lit(False))
 
 
-def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: bool = True, timeout_clock: str = "sequenced", membership: str = "survivor", end: Column | None = None, normalize_keys: bool = False, state: DataFrame | None = None) -> Correlation:
+def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: bool = True, timeout_clock: str = "sequenced", membership: str = "survivor", end: Column | None = None, normalize_keys: bool = False, state: DataFrame | None = None, found: DataFrame | None = None) -> Correlation:
     """One type. ``logs``: log_id, ts, source_id, raw_text, seq, prev_clock. ``end``: the clock at the end of the input.
 
     ``state``: fibers that were open before the first log (``seq`` goes on from theirs, ``prev_clock`` of the first log is
-    the clock they were left at). ``normalize_keys`` compares keys by their typed values.
+    the clock they were left at). ``normalize_keys`` compares keys by their typed values. ``found``: what the patterns of
+    several types tell of the logs (:func:`match_types`).
     """
-    rows = _rows(logs, t, normalize_keys, state)
+    rows = _rows(logs, t, normalize_keys, state, found)
     event = timeout_clock == "event"
     if is_chain(t):
         own, folded = _chains(rows, t, event), None
@@ -416,7 +417,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def correlate(logs: DataFrame, rules: Rules, **settings) -> Correlation:
-    """All types; a log may be in fibers of several. Settings as in :func:`correlate_type`."""
+    """All types; a log may be in fibers of several. Settings as in :func:`correlate_type`. The patterns of several types
+    are tried in one pass over the logs."""
+    if len(rules.types) > 1:
+        settings["found"] = stage(match_types(logs, rules), "matched")
+        if settings.get("end") is None:
+            settings["end"] = F.lit(logs.agg(F.max("ts")).first()[0]).cast("timestamp")
     each = [correlate_type(logs, t, rules.version, **settings) for t in rules.types]
     return Correlation(*(_union([getattr(c, n) for c in each]) for n in PARTS))
 

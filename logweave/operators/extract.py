@@ -33,8 +33,8 @@ def _captures(regex: Regex, names: list[str]) -> Column:
     return F.struct(*[F.get(values, F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-def extract(logs: DataFrame, fiber_type: FiberType) -> DataFrame:
-    """Logs of the type: adds ``pattern_idx, attrs`` (raw strings by name), ``release_peer, release_self, close``."""
+def _match(fiber_type: FiberType) -> Column:
+    """What the first matching pattern of a log's source tells: number, captures and flags; null where none matches."""
     names = [a.name for a in fiber_type.attributes if a.derived is None]
     case: Column | None = None
     for source_id, patterns in fiber_type.sources.items():
@@ -44,15 +44,46 @@ def extract(logs: DataFrame, fiber_type: FiberType) -> DataFrame:
             value = F.struct(F.lit(i).alias("pattern_idx"), _captures(regex, names).alias("raw") if names else F.struct(F.lit(0).alias("_")).alias("raw"), flags[0].alias("release_peer"), flags[1].alias("release_self"), F.lit(p.close).alias("close"))
             hit = (F.col("source_id") == source_id) & F.col("raw_text").rlike(regex.jvm)
             case = F.when(hit, value) if case is None else case.when(hit, value)
-    rows = logs.filter(F.col("source_id").isin(*fiber_type.sources)).withColumn("__m", case).filter("__m IS NOT NULL")
-    values = {n: F.col(f"__m.raw.{n}") for n in names}
+    return case
+
+
+def _attributes(rows: DataFrame, fiber_type: FiberType, columns: list[str]) -> DataFrame:
+    """Attributes of rows that match (``__m``), derived ones among them."""
+    values = {a.name: F.col("__m.raw")[a.name] for a in fiber_type.attributes if a.derived is None}
     for a in fiber_type.derived_order():
         parts = [values[text] if is_attribute else F.lit(text) for is_attribute, text in a.parts()]
         values[a.name] = F.concat(*parts) if parts else F.lit("")
         rows = rows.withColumn(f"__d_{a.name}", values[a.name])
         values[a.name] = F.col(f"__d_{a.name}")
     attrs = F.struct(*[values[a.name].alias(a.name) for a in fiber_type.attributes])
-    return rows.select(*logs.columns, F.lit(fiber_type.name).alias("fiber_type"), F.col("__m.pattern_idx").alias("pattern_idx"), attrs.alias("attrs"), F.col("__m.release_peer").alias("release_peer"), F.col("__m.release_self").alias("release_self"), F.col("__m.close").alias("close"))
+    flags = [F.col(f"__m.{n}").alias(n) for n in ("release_peer", "release_self", "close")]
+    return rows.select(*columns, F.lit(fiber_type.name).alias("fiber_type"), F.col("__m.pattern_idx").alias("pattern_idx"), attrs.alias("attrs"), *flags)
+
+
+def extract(logs: DataFrame, fiber_type: FiberType) -> DataFrame:
+    """Logs of the type: adds ``pattern_idx, attrs`` (raw strings by name), ``release_peer, release_self, close``."""
+    rows = logs.filter(F.col("source_id").isin(*fiber_type.sources)).withColumn("__m", _match(fiber_type)).filter("__m IS NOT NULL")
+    return _attributes(rows, fiber_type, logs.columns)
+
+
+def match_types(logs: DataFrame, rules: Rules) -> DataFrame:
+    """The logs once for each type that they match, in one pass over them: ``__type`` and what the pattern tells
+    (``__m``, captures by name). :func:`matched` gives a type's rows as :func:`extract` does."""
+    rows, found = logs, []
+    for i, t in enumerate(rules.types):
+        rows = rows.withColumn(f"__m{i}", F.when(F.col("source_id").isin(*t.sources), _match(t)))
+        told = F.col(f"__m{i}")
+        captures = [x for a in t.attributes if a.derived is None for x in (F.lit(a.name), told["raw"][a.name])]
+        raw = F.create_map(*captures) if captures else F.create_map().cast("map<string,string>")
+        one = F.struct(told["pattern_idx"].alias("pattern_idx"), raw.alias("raw"), *[told[n].alias(n) for n in ("release_peer", "release_self", "close")])
+        found.append(F.when(told.isNotNull(), F.struct(F.lit(t.name).alias("__type"), one.alias("__m"))))
+    return rows.select(*logs.columns, F.inline(F.array_compact(F.array(*found))))
+
+
+def matched(rows: DataFrame, fiber_type: FiberType) -> DataFrame:
+    """The rows of one type of :func:`match_types`."""
+    columns = [c for c in rows.columns if c not in ("__type", "__m")]
+    return _attributes(rows.filter(F.col("__type") == fiber_type.name), fiber_type, columns)
 
 
 def cast_attributes(extracted: DataFrame, fiber_type: FiberType) -> DataFrame:

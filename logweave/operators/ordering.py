@@ -11,8 +11,8 @@ from ..plans.storage import stage
 
 #: The total order of logs; ties of time are broken by source and place.
 ORDER = ("ts", "source_id", "file_path", "line_ord")
-#: What a batch that is fetched may hold at most.
-MAX_FETCH = 100
+#: What a fetch may hold at most, and how many logs a batch.
+MAX_FETCH, MAX_LOGS = 100, 10_000
 
 
 def sequence(logs: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
@@ -138,11 +138,12 @@ def flag_late(logs: DataFrame, arrival: str = "arrival", margin_us: int = 1_000_
     return rows.withColumn("is_late", F.coalesce(late, F.lit(False))).drop("__seen")
 
 
-def epochs(logs: DataFrame, seconds: int, collector_id: str = "collector", watermark: Column | None = None, late: str = "own", arrival: str = "seq", with_logs: bool = True) -> DataFrame:
+def epochs(logs: DataFrame, seconds: int, collector_id: str = "collector", watermark: Column | None = None, late: str = "own", arrival: str = "seq", with_logs: bool = True, max_logs: int = MAX_LOGS) -> DataFrame:
     """Tumbling epochs aligned to the Unix epoch, empty ones left out, numbered from 0.
 
     With ``late="current"`` a log that comes after a later epoch has begun falls into that one. The last epoch's
-    watermark is ``watermark`` (its end by default), the others' their end.
+    watermark is ``watermark`` (its end by default), the others' their end. With their logs, epochs of more than
+    ``max_logs`` come in parts of so many (``part`` of ``n_parts``), each a batch with a number of its own.
     """
     if seconds < 1:
         raise ValueError("epochs last a second or more")
@@ -150,17 +151,23 @@ def epochs(logs: DataFrame, seconds: int, collector_id: str = "collector", water
     rows = logs.withColumn("epoch_start", start)
     if late == "current":
         rows = running_max(rows, "epoch_start", arrival, "epoch_start_now").withColumn("epoch_start", F.col("epoch_start_now")).drop("epoch_start_now")
-    aggs = [F.count(F.lit(1)).alias("n_logs"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")]
+    aggs, keys = [F.count(F.lit(1)).alias("n_logs"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")], ["epoch_start"]
     if with_logs:
-        aggs.append(F.array_sort(F.collect_list(F.struct(*logs.columns))).alias("logs"))
-    found = rows.groupBy("epoch_start").agg(*aggs)
-    order = Window.orderBy("epoch_start")  # a row for each epoch, without its logs
+        minute = F.floor(F.unix_micros("ts") / 60_000_000)
+        rows = running(rows.withColumn("__log", F.struct(*logs.columns)), keys, minute, ["ts", "__log"], F.lit(1).cast("long"), "nth")
+        rows = rows.withColumn("part", F.floor((F.col("nth") - 1) / max_logs).cast("int"))
+        aggs.append(F.array_sort(F.collect_list("__log")).alias("logs"))
+        keys = ["epoch_start", "part"]
+    found = rows.groupBy(*keys).agg(*aggs)
+    order = Window.orderBy(*keys)  # a row for each epoch or part, without its logs
     end = F.timestamp_seconds(F.unix_seconds("epoch_start") + seconds)
-    is_last = F.lead("epoch_start").over(order).isNull()
-    mark = F.when(is_last, F.coalesce(watermark, end) if watermark is not None else end).otherwise(end)
-    starts = rows.select("epoch_start").distinct()
+    starts = rows.select(*keys).distinct()
+    last = F.max("epoch_start").over(Window.partitionBy())
+    mark = F.when(F.col("epoch_start") == last, F.coalesce(watermark, end) if watermark is not None else end).otherwise(end)
     starts = starts.withColumns({"epoch_end": end, "watermark": mark, "sequence_num": (F.row_number().over(order) - 1).cast("long"), "collector_id": F.lit(collector_id)})
-    return found.join(starts, "epoch_start")
+    if with_logs:
+        starts = starts.withColumn("n_parts", F.count(F.lit(1)).over(Window.partitionBy("epoch_start")).cast("int"))
+    return found.join(starts, keys)
 
 
 def batches_after(batches: DataFrame, after: int | None = None, limit: int = 10) -> DataFrame:

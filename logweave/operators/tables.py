@@ -171,10 +171,13 @@ def fiber_points(memberships: DataFrame, logs: DataFrame, fiber_ids: DataFrame |
     return rows.select("fiber_id", "log_id").join(logs, "log_id").select("fiber_id", "ts", "source_id", "log_id")
 
 
-def related_fibers(memberships: DataFrame, exclude_types: Sequence[str] = ()) -> DataFrame:
-    """Fibers of other types that share logs, with their number; types that hold whole sources are left to the caller."""
-    rows = memberships.filter(~F.col("fiber_type").isin(*exclude_types)) if exclude_types else memberships
-    a = rows.select("log_id", F.col("fiber_id").alias("fiber_a"))
+def related_fibers(memberships: DataFrame, rules: Rules, fiber_ids: DataFrame | None = None, with_sources: bool = False) -> DataFrame:
+    """Fibers that share logs, with their number: of all, or of those in ``fiber_ids`` with all. Types that hold whole
+    sources, which meet every fiber of theirs, are left out unless asked for."""
+    sources = [t.name for t in rules.types if t.is_source]
+    rows = memberships if with_sources or not sources else memberships.filter(~F.col("fiber_type").isin(*sources))
+    a = rows if fiber_ids is None else rows.join(fiber_ids.select("fiber_id").distinct(), "fiber_id", "left_semi")
+    a = a.select("log_id", F.col("fiber_id").alias("fiber_a"))
     b = rows.select("log_id", F.col("fiber_id").alias("fiber_b"))
     return a.join(b, "log_id").filter(F.col("fiber_a") != F.col("fiber_b")).groupBy("fiber_a", "fiber_b").agg(F.count(F.lit(1)).alias("shared_logs"))
 

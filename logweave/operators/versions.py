@@ -22,9 +22,12 @@ def clear_results(memberships: DataFrame, logs: DataFrame, start: str | None = N
     return memberships.join(logs_range(logs, start, end).select("log_id"), "log_id", "left_anti")
 
 
-def cleared_fibers(fibers: DataFrame, kept: DataFrame) -> DataFrame:
-    """Fibers that stay when memberships were cleared: those that still have one of ``kept``."""
-    return fibers.join(kept.select("fiber_id").distinct(), "fiber_id", "left_semi")
+def cleared_fibers(fibers: DataFrame, kept: DataFrame | None = None, version: str | None = None) -> DataFrame:
+    """Fibers that stay when results are cleared for reprocessing: none, or none of the ``version``. With ``kept``, the
+    memberships that stay, those are spared that still have one."""
+    if kept is not None:
+        return fibers.join(kept.select("fiber_id").distinct(), "fiber_id", "left_semi")
+    return fibers.filter(F.lit(False) if version is None else ~F.col("ruleset_version").eqNullSafe(F.lit(version)))
 
 
 def compare_versions(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -82,9 +85,48 @@ def lineage(versions: DataFrame) -> DataFrame:
         known, jumps = stage(known.unionByName(longer), "lineage"), longer.filter(F.col("depth") == reach)
 
 
+def jumps(versions: DataFrame) -> DataFrame:
+    """``version_hash, level, ancestor, steps``: the ancestor 2 ** level steps up (null above the root) and the steps taken
+    to get there or to the root. A row for each version and level, where lineage has one for each pair."""
+    level, n = 0, max(versions.count(), 1)
+    parent = F.col("parent_hash")
+    rows = stage(versions.select("version_hash", F.lit(0).alias("level"), parent.alias("ancestor"), parent.isNotNull().cast("long").alias("steps")).dropDuplicates(["version_hash"]), "jumps")
+    table = rows
+    while 2**level < n:
+        up = rows.select(F.col("version_hash").alias("__up"), F.col("ancestor").alias("further"), F.col("steps").alias("more"))
+        level += 1
+        rows = rows.join(up, F.col("ancestor") == F.col("__up"), "left")
+        rows = stage(rows.select("version_hash", F.lit(level).alias("level"), F.col("further").alias("ancestor"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "jumps")
+        table = table.unionByName(rows)
+    return table
+
+
+def are_ancestors(versions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``ancestor, version_hash, is_ancestor`` of pairs: the version is taken up by the difference of their depths, a jump for
+    each of its bits. Versions that run into a cycle of parents are followed by :func:`lineage`."""
+    table = jumps(versions)
+    top = table.agg(F.max("level")).first()[0] or 0
+    whole = table.filter(F.col("level") == top)
+    depth = whole.filter("ancestor IS NULL").select(F.col("version_hash").alias("v"), "steps")
+    looped = whole.filter("ancestor IS NOT NULL").select("version_hash")
+    rows = pairs.select("ancestor", "version_hash").distinct()
+    rows = rows.join(depth.select(F.col("v").alias("version_hash"), F.col("steps").alias("deep")), "version_hash", "left")
+    rows = rows.join(depth.select(F.col("v").alias("ancestor"), F.col("steps").alias("high")), "ancestor", "left")
+    rows = rows.withColumns({"up": F.col("deep") - F.col("high"), "at": F.col("version_hash")})
+    for level in range(top + 1):
+        step = table.filter(F.col("level") == level).select(F.col("version_hash").alias("__at"), F.col("ancestor").alias("to"))
+        rows = rows.join(step, F.col("at") == F.col("__at"), "left").drop("__at")
+        rows = rows.withColumn("at", F.when((F.col("up") > 0) & F.shiftright("up", level).bitwiseAND(F.lit(1)).cast("boolean"), F.col("to")).otherwise(F.col("at"))).drop("to")
+    found = rows.select("ancestor", "version_hash", F.coalesce((F.col("up") > 0) & (F.col("at") == F.col("ancestor")), F.lit(False)).alias("is_ancestor"))
+    if looped.isEmpty():
+        return found
+    met = lineage(versions.join(looped, "version_hash", "left_semi")).select("version_hash", "ancestor", F.lit(True).alias("met"))
+    return found.join(met, ["version_hash", "ancestor"], "left").select("ancestor", "version_hash", (F.col("is_ancestor") | F.coalesce("met", F.lit(False))).alias("is_ancestor"))
+
+
 def is_ancestor(versions: DataFrame, ancestor: str, version_hash: str) -> DataFrame:
-    found = lineage(versions).filter((F.col("version_hash") == version_hash) & (F.col("ancestor") == ancestor))
-    return found.agg((F.count(F.lit(1)) > 0).alias("is_ancestor"))
+    pair = versions.sparkSession.range(1).select(F.lit(ancestor).alias("ancestor"), F.lit(version_hash).alias("version_hash"))
+    return are_ancestors(versions, pair).select("is_ancestor")
 
 
 def working_set_window(logs: DataFrame, ids: DataFrame, gap_us: int | None, margin: bool = True) -> DataFrame:

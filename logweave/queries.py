@@ -16,7 +16,7 @@ from .operators import extract as E
 from .operators import ordering as O
 from .operators import tables as T
 from .operators import versions as V
-from .plans.rules import Attribute, FiberType, Pattern, Rules
+from .plans.rules import Attribute, FiberType, Pattern, Rules, with_source_types
 from .plans.storage import stage
 
 SOURCES = ("click", "error", "purchase", "signup", "view")
@@ -345,8 +345,6 @@ def attr_conflicts(spark, d):
 
 @query(_L + " SELECT source_id AS fiber_type, count(*) AS n_logs, min(ts) AS first_activity, max(ts) AS last_activity FROM l GROUP BY source_id")
 def source_fibers(spark, d):
-    from .plans.rules import with_source_types
-
     logs = ordered_logs(spark, d)
     rules = with_source_types(Rules(()), [r[0] for r in logs.select("source_id").distinct().collect()])
     return C.correlate(logs, rules).fibers.select("fiber_type", "n_logs", "first_activity", "last_activity")
@@ -473,7 +471,10 @@ def logs_with_fibers(spark, d):
 
 @query(_FM + " SELECT a.fiber_id AS fiber_a, b.fiber_id AS fiber_b, count(*) AS shared_logs FROM m a JOIN m b USING (log_id) WHERE a.fiber_id <> b.fiber_id GROUP BY 1, 2")
 def related_fibers(spark, d):
-    return T.related_fibers(session_tables(spark, d)[2])
+    logs, _, m = session_tables(spark, d)
+    whole = logs.select("log_id", F.col("source_id").alias("fiber_id"), F.col("source_id").alias("fiber_type"))
+    rules = with_source_types(Rules((SESSION, DAY)), list(SOURCES))
+    return T.related_fibers(m.select("log_id", "fiber_id", "fiber_type").unionByName(whole), rules)
 
 
 @query(_FM + " SELECT fiber_id, closed FROM (SELECT fiber_id, ((SELECT max(ts) FROM l) - last_activity > INTERVAL 4 HOUR) OR n_logs % 2 = 1 AS closed FROM f WHERE fiber_type = 'user_session')")
@@ -606,6 +607,15 @@ def version_lineage(spark, d):
     return V.lineage(_versions(spark, d))
 
 
+@query("WITH v AS (SELECT c_custkey AS n FROM customer WHERE c_custkey > 0), p AS (SELECT n, n // 8 AS a FROM v UNION SELECT n, n // 8 + 1 FROM v) SELECT a::VARCHAR AS ancestor, n::VARCHAR AS version_hash, a IN (SELECT n >> k FROM generate_series(1, 40) AS s(k)) AND a > 0 AS is_ancestor FROM p")
+def version_ancestors(spark, d):
+    """Ancestor tests by jumps of powers of two: every version with two others."""
+    versions = _versions(spark, d)
+    n = F.col("version_hash").cast("long")
+    pairs = versions.select(F.explode(F.array(*[(F.floor(n / 8) + i).cast("string") for i in (0, 1)])).alias("ancestor"), "version_hash")
+    return V.are_ancestors(versions, pairs)
+
+
 @query("SELECT c_custkey::VARCHAR AS version_hash, c_custkey = 5 AS is_active FROM customer WHERE c_custkey > 0")
 def activate_version(spark, d):
     return V.activate(_versions(spark, d), "5").select("version_hash", "is_active")
