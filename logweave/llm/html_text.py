@@ -42,13 +42,19 @@ _MARK = re.compile(
 _CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _SPACES = re.compile(r"\s+")
+#: Headings of what readers wrote.
+_READERS = re.compile(r"\b(?:repl(?:y|ies)|comments?|responses?|discussion)\b", re.I)
+#: Headings of lists that lead elsewhere.
+_AROUND_TITLE = re.compile(r"\b(?:related|recommended|share|more|popular|latest|trending|tags|menu|navigation)\b", re.I)
+#: Numbers and versions in names say nothing.
+_NUMBERS = re.compile(r"(?:\bv|(?<=[-_])v)?\d+", re.I)
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 #: Elements nested deeper than this are taken as if they lay beside each other.
 DEPTH = 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title".split())
+RAW = frozenset("script style noscript template svg iframe object canvas textarea select title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
     " h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -115,7 +121,7 @@ def _is_around(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     around = False
     for m in _CLASS.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
-            words = {x.lower() for x in _NAME_PARTS.findall(name)}
+            words = {x.lower() for x in _NAME_PARTS.findall(_NUMBERS.sub("", name))}
             if words & listed and words <= listed | PLAIN_NAMES:
                 if words & COMMENT_WORDS:
                     return True, False
@@ -279,30 +285,80 @@ def main_subtree(root: Node) -> Node:
             found, path = path[at[-1]], path[at[-1] :]
             break
     threshold = min(x.density for x in path)
+    named = found.tag in ("article", "main")
     if 2 * found.link_chars <= found.chars:  # a page of links is all lists
-        for x in _inside(found):
-            if x is not found and _is_list(x, threshold):
-                x.around = True
+        _drop_lists(found, threshold, named)
     size = _plain(found) / max(sum(x.tag in BLOCKS and x.chars > 0 for x in _inside(found)), 1)
     body_share = root.link_chars / max(root.chars, 1)
     for child, up in zip(path, path[1:], strict=False):
-        before = True
-        for i, x in enumerate(up.items):
-            if x is child:
-                before = False
-            elif isinstance(x, str):
-                n = len(" ".join(x.split()))
-                if n and (n < size or _density(n, 0, 0, 0, body_share) < threshold):
-                    up.items[i] = "\n"
-            elif not x.around and not _stays(x, threshold, size, before):
-                x.around = True
-            elif not x.around:
-                for y in _inside(x):
-                    if _is_list(y, threshold):
-                        y.around = True
+        _beside(up, child, named, threshold, size, body_share)
     return root
 
 
+def _drop_lists(found: Node, threshold: float, named: bool) -> None:
+    """Marks lists of links in the main subtree; in an element that is ``named`` an article those under a heading, and
+    paragraphs, are its own."""
+    stack = [found]
+    while stack:
+        x = stack.pop()
+        before = None
+        for y in x.items:
+            if isinstance(y, str) or y.around:
+                continue
+            if _is_list(y, threshold):
+                titled = before is not None and before.tag in HEADINGS and not _AROUND_TITLE.search("".join(blocks(before)))
+                if not (named and (titled or y.tag in PARAGRAPHS)):
+                    y.around = True
+            else:
+                stack.append(y)
+            before = y if y.chars else before
+
+
+def _beside(up: Node, child: Node, named: bool, threshold: float, size: float, body_share: float) -> None:
+    """Marks what is around the article among the nodes beside ``child``, which holds it. What stays by itself is dense text
+    or a section; what lies between two of these stays with them, and so does a heading that one of them follows. Behind
+    an element that is ``named`` an article nothing is."""
+    middle = next(i for i, x in enumerate(up.items) if x is child)
+
+    def kept(i: int, x: Node | str) -> bool:
+        if x is child:
+            return True
+        if named and i > middle and (isinstance(x, str) or x.tag not in ("article", "main")):
+            return False
+        if isinstance(x, str):
+            n = len(" ".join(x.split()))
+            return n >= max(size, 1) and _density(n, 0, 0, 0, body_share) >= threshold
+        return not x.around and (_stays(x, threshold, size) or _is_section(x, child))
+
+    stay = [i for i, x in enumerate(up.items) if kept(i, x)]
+    first, last = stay[0], stay[-1]
+    for i, x in enumerate(up.items):
+        inner = first <= i <= last
+        if isinstance(x, str):
+            if not inner:
+                up.items[i] = "\n"
+        elif x is child or x.around:
+            continue
+        elif inner or (x.tag in HEADINGS and i < first and 2 * x.link_chars <= x.chars):
+            if i not in stay and _is_list(x, threshold):
+                x.around = True
+            for y in _inside(x):
+                if _is_list(y, threshold):
+                    y.around = True
+        else:
+            x.around = True
+
+
+def _is_section(x: Node, child: Node) -> bool:
+    """A heading and plain paragraphs under it, built as ``child`` is, and not the readers' part."""
+    if x.tag != child.tag or x.link_chars:
+        return False
+    inner = [y for y in x.items if not isinstance(y, str) and y.chars]
+    if len(inner) < 2 or inner[0].tag not in HEADINGS or any(y.around or y.tag not in PARAGRAPHS | HEADINGS for y in inner):
+        return False
+    return not _READERS.search("".join(blocks(inner[0])))
+
+
 def _narrower(node: Node) -> Node | None:
     """The child that holds most of the node's text, in blocks of its own."""
     children = [x for x in node.items if not isinstance(x, str) and not x.around]
@@ -325,12 +381,10 @@ def _is_list(x: Node, threshold: float) -> bool:
     return x.tag in BLOCKS and x.links >= LIST_LINKS and 2 * x.link_chars > x.chars and x.density < threshold
 
 
-def _stays(x: Node, threshold: float, size: float, before: bool) -> bool:
-    """A node beside the main subtree's path is text of the article."""
-    if 2 * x.link_chars > x.chars:
+def _stays(x: Node, threshold: float, size: float) -> bool:
+    """A node beside the main subtree's path is text of the article by itself."""
+    if 2 * x.link_chars > x.chars or x.tag in HEADINGS:
         return False
-    if x.tag in HEADINGS:
-        return before
     return x.density >= threshold and (x.tag in PARAGRAPHS or _plain(x) >= size)
 
 

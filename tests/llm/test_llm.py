@@ -302,6 +302,28 @@ def test_html_boilerplate_without_names():
     assert html_text.main_text(listed) == f"{want}\n\none\n\ntwo"
 
 
+def test_html_keeps_what_belongs_to_the_article():
+    """Lists, tables, code, short sections, references and formulas beside or inside the main text; not what readers say."""
+    text = "A paragraph of ordinary words, that says something about a matter and goes on for about a hundred characters or so."
+    p, refs = f"<p>{text}</p>", "".join(f"<li><a href=/{i}>Ref {i}</a></li>" for i in range(5))
+    cases = [
+        (f"<div>{p * 4}</div><ol><li>Mix the flour.</li><li>Add water.</li></ol><div>{p}</div>", [text] * 4 + ["Mix the flour.", "Add water.", text]),
+        (f"<div>{p * 4}</div><table><tr><td>One</td><td>Two</td></tr></table><div>{p}</div>", [text] * 4 + ["One", "Two", text]),
+        (f"<div>{p * 4}</div><div><code>x = 1</code></div><div>{p}</div>", [text] * 4 + ["x = 1", text]),
+        (f"<div>{p * 5}</div><div><h2>Two</h2><p>A short closing section.</p></div>", [text] * 5 + ["Two", "A short closing section."]),
+        (f"<div>{p * 4}</div><h2>Next</h2><div>{p * 2}</div>", [text] * 4 + ["Next", text, text]),
+        (f"<article>{p * 4}<h2>References</h2><ul>{refs}</ul></article>", [text] * 4 + ["References"] + [f"Ref {i}" for i in range(5)]),
+        (f"<article>{p * 4}<p><a href=a>one link here</a>, <a href=b>another link there</a> and <a href=c>the third</a></p></article>", [text] * 4 + ["one link here, another link there and the third"]),
+        (f"<div>{p * 4}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given.</p></div>", [text] * 4 + ["Let x=2 be given."]),
+        (f"<article>{p * 5}</article><div id=c>{p}<p>Me too, I think so.</p></div>", [text] * 5),
+        (f"<div>{p * 5}</div><div><h3>Replies</h3><p>Me too, I think so.</p></div>", [text] * 5),
+        (f"<div>{p * 4}</div><div class='newsletter-signup-box-v2'>{p}</div>", [text] * 4),
+        (f"<div>{p * 4}</div><div>Copyright 2020 <a href=/x>Terms</a></div>", [text] * 4),
+    ]
+    for page, want in cases:
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == "\n\n".join(want)
+
+
 PARAGRAPHS = [f"Paragraph number {i} with some words that make up a sentence of ordinary length, so it counts." for i in range(6)]
 
 
