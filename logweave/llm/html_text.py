@@ -7,12 +7,13 @@ density is its characters per tag, adjusted for links (text inside links counts
 and of the body's text). A node's density sum is the sum of its children's densities, without those that surround an
 article by tag, class or role. The main subtree is the node of the largest density sum, narrowed to the child that holds
 most of its text and has blocks of its own, and widened to an ``article`` or ``main`` around it. The threshold is the
-smallest density on the path from there to the body. Beside that path only what reaches the threshold stays: paragraphs
-and texts as long as the main subtree's mean block; and headings before it. Lists of
-links below the threshold go everywhere. The blocks are printed in page order, without navigation, headers, footers,
-sidebars, notices, adverts, forms and comments. Names in class, id or role mark surroundings only where all of their words
-do, and neither they nor a form where they hold the page's article or most of its text outside of links (readers'
-comments: nearly all).
+smallest density on the path from there to the body. Beside that path stay paragraphs and texts that reach the threshold
+and are as long as the main subtree's mean block, sections built like the main one (a heading over plain paragraphs), all
+that lies between two of these, and headings before them; behind an ``article`` or ``main`` nothing does. Lists of links
+below the threshold go, except those under a heading of an article. The blocks are printed in page order, without
+navigation, headers, footers, sidebars, notices, adverts, forms and comments. Names in class, id or role mark surroundings
+only where all of their words do, and neither they nor a form where they hold the page's article or most of its text
+outside of links (readers' comments: nearly all).
 
 Defined results: null, empty or tagless html gives an empty text or its plain text; unclosed and stray tags never fail;
 repeated rows give a row each; an empty table gives an empty result; further columns are ignored.

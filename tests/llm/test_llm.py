@@ -1,5 +1,6 @@
 """The training-data operators against plain versions on small tables, and on odd input."""
 
+import random
 import re
 import time
 import zlib
@@ -302,6 +303,27 @@ def test_html_boilerplate_without_names():
     assert html_text.main_text(listed) == f"{want}\n\none\n\ntwo"
 
 
+@pytest.mark.parametrize("held", [30, 46, 50])
+def test_passages_that_the_smallest_document_holds_in_part(spark, held):
+    """Passages of 51 words in twenty documents each, of which the smallest has the first words only: none is lost."""
+    rng = random.Random(held)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows, where = [], {}
+    for p in range(12):
+        passage = [word() for _ in range(51)]
+        for k in range(20):
+            lead, tail = [word() for _ in range(rng.randrange(60, 90))], [word() for _ in range(rng.randrange(60, 90))]
+            rows.append((100 * p + k, " ".join(lead + passage[: held if k == 0 else 51] + tail)))
+            if k:
+                where[100 * p + k] = len(lead)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for r in substring_dedup.repeated_passages(df).collect():
+        found.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    lost = [d for d, at in where.items() if not any(a <= at and b >= at + 51 for a, b in found.get(d, []))]
+    assert lost == [] and all(r % 100 for r in found)
+
+
 def test_html_keeps_what_belongs_to_the_article():
     """Lists, tables, code, short sections, references and formulas beside or inside the main text; not what readers say."""
     text = "A paragraph of ordinary words, that says something about a matter and goes on for about a hundred characters or so."
