@@ -2,7 +2,9 @@
 
 Three aggregations, each grouping by digest *and* full text: inside each map task, over (digest, salt), then over the
 winners of all salts. However many copies a text has, a salt group receives at most one row per map task and the last
-step at most one row per salt. Only DataFrame functions are used.
+step at most one row per salt. The winners then tell of every digest how many texts it stands for. A digest of one text
+(compared in full) is enough to find the winner of a document; where texts share a digest, documents find it by their
+full text. Only DataFrame functions are used.
 
 Defined results: a null text counts as empty; the largest ``doc_id`` of equal texts stays (null ids lose to any id);
 of rows that repeat both id and text exactly one stays; an empty table gives an empty result; further columns, also
@@ -11,6 +13,8 @@ ones named like this module's, are carried by :func:`drop_exact_copies` and igno
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,61 +30,78 @@ def normalised(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def _winners(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    rows = rows.withColumn("sha", F.unhex(F.sha2("text", 256)))
-    local = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    salted = local.groupBy("sha", "text", "salt").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    merged = salted.groupBy("sha", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return merged.select("sha", F.xxhash64("text").alias("check"), "keep_id", "group_size")
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    groups = _winners(docs, id_col, text_col, salts).filter("group_size > 1")
+def _winners(rows: DataFrame, salts: int) -> DataFrame:
+    """``digest, keep_id, group_size, same`` of texts with copies or with another text's digest (then ``same``: the text)."""
+    local = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    salted = local.groupBy("digest", "text", "salt").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    merged = salted.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    counted = common.stage(merged.drop("text"), "winners")
+    shared = common.stage(counted.groupBy("digest").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "shared")
+    copied = counted.filter("group_size > 1").withColumn("same", F.lit(None).cast("string"))
+    if shared.isEmpty():
+        return copied
+    alone = copied.join(shared, "digest", "left_anti")
+    return alone.unionByName(merged.join(shared, "digest", "left_semi").withColumnRenamed("text", "same"))
+
+
+def _decided(rows: DataFrame, salts: int) -> DataFrame:
+    """``doc_id, digest, same, keep_id, group_size, kept, text_sha256`` of ``doc_id, digest, text``."""
+    groups = common.stage(_winners(rows, salts), "groups")
+    texts = not groups.filter("same IS NOT NULL").isEmpty()
     groups = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    text = normalised(F.col(text_col))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.unhex(F.sha2(text, 256)).alias("sha"),
-        F.xxhash64(text).alias("check"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("part"),
-    )
-    joined = rows.join(groups, ["sha", "check", "part"], "left")
-    known = joined.select(
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).withColumn("text_sha256", F.sha2("text", 256))
+    rows = rows if texts else rows.drop("text")
+    on = [rows["digest"] == groups["digest"], rows["part"] == groups["part"]]
+    if texts:
+        on.append(groups["same"].isNull() | (groups["same"] == rows["text"]))
+    known = rows.join(groups, on, "left").select(
         "doc_id",
+        rows["digest"],
+        "same",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
-    # rows that repeat id and text: one of them stays
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("group_size"))
-    return known.withColumn("nth", nth).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
         "text_sha256",
     )
+    # rows that repeat id and text: one of them stays
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text_sha256", "same").orderBy("group_size"))
+    return known.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (nth == 1))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    text = normalised(F.col(text_col))
+    return docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("digest"), text.alias("text"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    decided = _decided(_rows(docs, id_col, text_col, digest), salts)
+    return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The documents that stay, with all their columns."""
-    groups = exact_groups(docs, id_col, text_col, salts)
+    # own names, so that columns of the documents cannot clash with those made here
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    id_name, text = names[docs.columns.index(id_col)], normalised(F.col(names[docs.columns.index(text_col)]))
     # what goes, per id and text: all rows of it, or all but one
-    lost = groups.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("k"))
-    lost = lost.filter("n > k").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("k").alias("__k"))
-    lost = common.stage(lost, "lost")
+    groups = _decided(_rows(docs, id_col, text_col, digest), salts)
+    lost = groups.groupBy(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"), "same").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("k"))
+    lost = common.stage(lost.filter("n > k").drop("n"), "lost")
     if lost.count() <= BROADCAST_IDS:
         lost = F.broadcast(lost)
-    marked = docs.withColumn("__s", F.sha2(normalised(F.col(text_col)), 256))
-    marked = marked.join(lost, marked[id_col].eqNullSafe(lost["__id"]) & (marked["__s"] == lost["__sha"]), "left")
-    gone = F.col("__k").isNotNull()
-    whole = marked.filter(~gone).select(*[marked[c] for c in docs.columns])
-    if lost.filter("__k > 0").isEmpty():
-        return whole
-    repeated = marked.filter(gone & (F.col("__k") > 0)).dropDuplicates(["__s", "__id"]).select(*docs.columns)
-    return whole.unionByName(repeated)
+    marked = own.withColumn("digest", digest(text))
+    on = marked[id_name].eqNullSafe(lost["of_id"]) & (marked["digest"] == lost["of_digest"]) & (lost["same"].isNull() | (lost["same"] == text))
+    marked = marked.join(lost, on, "left")
+    whole = marked.filter("k IS NULL").select(*names)
+    if not lost.filter("k > 0").isEmpty():
+        repeated = marked.filter("k > 0").dropDuplicates(["digest", "same", id_name]).select(*names)
+        whole = whole.unionByName(repeated)
+    return whole.toDF(*docs.columns)
 
 
 EXACT_SQL = """
