@@ -233,10 +233,10 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
     dealt = common.deal(docs, "chunk", n_chunks).sortWithinPartitions("chunk", "doc_id", F.xxhash64("text"))
     words = _number_words(dealt, folder)
-    of_word = Window.partitionBy("word")
-    words = words.withColumn("total", F.sum("n").over(of_word)).withColumn("first", F.row_number().over(of_word.orderBy("chunk")) == 1)
-    words = common.stage(words.drop("n"), "words")
-    distinct = words.filter("first AND total > 0")
+    words = common.stage(words, "words")
+    # summed in part before the shuffle; both sides of the join are read, so that adaptive execution splits a word of many chunks
+    totals = common.stage(words.groupBy("word").agg(F.sum("n").alias("total")), "totals")
+    distinct = totals.filter("total > 0")
 
     size = distinct.agg(F.sum("total"), F.count(F.lit(1)), F.sum((F.col("total") == 1).cast("long")), F.sum((F.col("total") == 2).cast("long"))).first()
     total, n_distinct, once, twice = (int(x or 0) for x in size)
@@ -248,6 +248,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     bands = {int(k): (int(t), int(n)) for k, t, n in rest.groupBy(band).agg(F.sum("total"), F.count(F.lit(1))).collect()}
     counts = Counts(total, n_distinct, [r["n"] for r in ranks.orderBy("rank").collect()], bands, once, twice)
 
+    words = words.drop("n").join(totals.hint("merge"), "word")
     back = words.join(F.broadcast(ranks), "word", "left").select("chunk", "file", "number", "total", F.coalesce("rank", F.lit(-1)).cast("int").alias("rank"))
     back = common.deal(back, "chunk", n_chunks).sortWithinPartitions("chunk", "number")
     chunks = common.stage(_symbols(back.select("chunk", "file", "number", "total", "rank"), folder, counts), "chunks")
