@@ -246,9 +246,12 @@ def _lists(index: DataFrame, percent: int) -> DataFrame:
 
 def _picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Documents whose id is (not) among ``ids``: broadcast up to BROADCAST_IDS, else a join by key."""
-    ids = ids.select(F.col("id").alias("__id"))
+    ids = ids.select(F.col("id").alias("picked"))
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == F.col("__id"), how)
+    # own names, so that columns of the documents cannot clash with the one made here
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    on = F.col(names[docs.columns.index("doc_id")]) == F.col("picked")
+    return docs.toDF(*names).join(F.broadcast(ids) if few else ids, on, how).toDF(*docs.columns)
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

@@ -163,16 +163,18 @@ def mix_plan(
 def mix_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix as documents: each whole pass is a row, and the parts of a further pass are one row with those words."""
     plan = mix_plan(docs, **settings).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__h"), F.col("n_copy").alias("__n"), F.col("passes").alias("__passes"), F.col("parts").alias("__parts"))
-    text = F.coalesce("text", F.lit(""))
-    marked = docs.withColumn("__hash", F.xxhash64(text, F.coalesce("source", F.lit(""))))
-    marked = marked.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("text")))
-    joined = marked.join(plan, marked["doc_id"].eqNullSafe(plan["__id"]) & (marked["__hash"] == plan["__h"]) & (marked["__nth"] == plan["__n"]))
-    words = F.regexp_extract_all("text", F.lit(common.WORD + common.SPACE + "*"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(words, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))), "")
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("__passes").cast("int")), F.when(F.size("__parts") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    rows = joined.withColumn("__text", F.explode(texts))
-    return rows.select(*[F.col("__text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    plan = plan.select(F.col("doc_id").alias("of_id"), F.col("hash").alias("of_hash"), F.col("n_copy").alias("of_copy"), "passes", "parts")
+    # own names, so that columns of the documents cannot clash with those made here
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, source, text = (names[docs.columns.index(c)] for c in ("doc_id", "source", "text"))
+    marked = docs.toDF(*names).withColumn("hash", F.xxhash64(F.coalesce(text, F.lit("")), F.coalesce(source, F.lit(""))))
+    marked = marked.withColumn("nth", F.row_number().over(Window.partitionBy(doc_id, "hash").orderBy(text)))
+    joined = marked.join(plan, marked[doc_id].eqNullSafe(plan["of_id"]) & (marked["hash"] == plan["of_hash"]) & (marked["nth"] == plan["of_copy"]))
+    words = F.regexp_extract_all(text, F.lit(common.WORD + common.SPACE + "*"), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))), "")
+    texts = F.concat(F.array_repeat(F.col(text), F.col("passes").cast("int")), F.when(F.size("parts") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
+    rows = joined.withColumn("mixed", F.explode(texts))
+    return rows.select(*[F.col("mixed").alias(c) if c == text else F.col(c) for c in names]).toDF(*docs.columns)
 
 
 MIX_SQL = f"""

@@ -61,6 +61,32 @@ def test_exact_groups(spark, texts):
     assert exact_dedup.exact_groups(twice).filter("kept").count() == 1 and exact_dedup.drop_exact_copies(twice).count() == 1
 
 
+def test_exact_groups_where_texts_share_a_digest(spark, texts):
+    # the length is a digest that many texts share: they are told apart by their full texts
+    docs = _docs(spark, texts)
+    plain, weak = (sorted(map(str, exact_dedup.exact_groups(docs, **kw).collect())) for kw in ({}, {"digest": F.length}))
+    assert weak == plain
+    plain, weak = (sorted(r.doc_id for r in exact_dedup.drop_exact_copies(docs, **kw).collect()) for kw in ({}, {"digest": F.length}))
+    assert weak == plain
+    # two texts of one id and one digest, each twice: one row of each stays
+    rows = _docs(spark, ["ab", "cd", "ab", "cd"]).withColumn("doc_id", F.lit(1).cast("long"))
+    assert sorted(r.text for r in exact_dedup.drop_exact_copies(rows, digest=F.length).collect()) == ["ab", "cd"]
+
+
+INNER = ["__id", "__sha", "__s", "__k", "__hash", "__nth", "__n", "__h", "__spans", "__text", "__parts", "c0", "digest", "same", "k", "part", "hash", "nth", "passes", "parts", "mixed", "spans", "of_id", "text_sha256"]
+
+
+@pytest.mark.parametrize("run", [exact_dedup.drop_exact_copies, mixing.mix_documents, substring_dedup.cut_repeats, jaccard_join.drop_near_copies, quality.keep_quality])
+def test_columns_named_like_inner_ones(spark, run):
+    passage = _text(60)
+    docs = _docs(spark, [None, "", *[f"{_text(30)} {passage}" for _ in range(3)], *[_text(70)] * 2], extra=False)
+    marked = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id")) for c in INNER})
+    rows, plain = run(marked).collect(), run(docs).collect()
+    assert sorted(str(r[:5]) for r in rows) == sorted(str(r[:5]) for r in plain)
+    assert all(r[c] == f"{c} {r.doc_id}" for r in rows for c in INNER)
+    assert run(marked).columns == marked.columns
+
+
 def test_jaccard_components(spark, texts):
     sets = _sets(texts)
     comp = list(range(len(texts)))
