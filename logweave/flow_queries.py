@@ -191,7 +191,8 @@ def collected_logs(spark, d):
     return O.sequence(logs, ["ts", "source_id", F.col("log_id").cast("long")]).select("log_id", "source_id", "collector_id", "seq")
 
 
-_C = _L + ", c AS (SELECT CASE WHEN source_id IN ('click', 'error') THEN 'c1' ELSE 'c2' END AS collector_id, date_trunc('day', ts) AS s FROM l GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY collector_id ORDER BY s) - 1 AS sequence_num FROM c), r AS (SELECT 0 AS g, * FROM b UNION ALL SELECT 1, * FROM b WHERE collector_id = 'c2' AND sequence_num < 5)"
+#: An epoch of more than 10,000 logs comes in parts, each a batch with a number of its own.
+_C = _L + ", c AS (SELECT CASE WHEN source_id IN ('click', 'error') THEN 'c1' ELSE 'c2' END AS collector_id, date_trunc('day', ts) AS s, unnest(range((count(*) + 9999) // 10000)) AS part FROM l GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY collector_id ORDER BY s, part) - 1 AS sequence_num FROM c), r AS (SELECT 0 AS g, * FROM b UNION ALL SELECT 1, * FROM b WHERE collector_id = 'c2' AND sequence_num < 5)"
 
 
 @query(_C + " SELECT collector_id, g AS generation, sequence_num, s + INTERVAL 1 DAY AS watermark, false AS moved_backward FROM r")
