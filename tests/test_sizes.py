@@ -31,7 +31,7 @@ def events(spark, folder, n, seconds, users=50):
     rows.write.parquet(f"{folder}/events.parquet")
 
 
-@pytest.mark.parametrize("name", ["generation_watermarks"])
+@pytest.mark.parametrize("name", ["generation_watermarks", "latest_watermarks"])
 def test_epochs_in_parts_have_numbers_of_their_own(spark, tmp_path, name):
     """A day of one collector's with more than 10,000 logs is several batches."""
     events(spark, tmp_path, 100_000, 4)
