@@ -6,8 +6,8 @@ key, so windows over the key suffice; a gap from the start jumps from start to s
 *Islands* (everything else): a key with a value is a token, and a release or close ends its incarnation; logs that share
 incarnations, however indirectly, form an island, and a stretch in which the clock passes the gap closes everything, so
 an island is cut there. Islands are spread over the cluster and run through the ordered fold, one after another, sorted
-by Spark. Fiber records are plain aggregations in both cases; values and conflicts are so in chains, while the fold keeps
-them for islands, as a merge lets the value of the fiber with the later activity stay.
+by Spark. In chains fiber records, values and conflicts are aggregations and windows; for islands the fold tells them, as a
+merge lets the value of the fiber with the later activity stay.
 
 Fibers that are open when the input ends can be carried on (``Correlation.state``): as rows of their own, with the keys
 they still hold, they come before the logs that follow.
@@ -15,9 +15,11 @@ they still hold, they come before the logs that follow.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import typed
 from ..plans.components import connected_components
-from ..plans.fold import Events, Island, Row
+from ..plans.fold import Events, Island
 from ..plans.rules import FiberType, Rules
 from ..plans.storage import stage
 from .extract import cast_attributes, extract, key_tokens, match_types, matched
@@ -76,6 +78,10 @@ def is_constant(t: FiberType) -> bool:
 def _rows(logs: DataFrame, t: FiberType, normalize_keys: bool, state: DataFrame | None, found: DataFrame | None = None) -> DataFrame:
     """Logs of the type and, before them, its open fibers: key values ``kv``, typed ``values``, and for each of these the
     place it was set at (``at``); ``n`` logs since ``born``."""
+    if CLOCK not in logs.columns:
+        if t.gap is not None:
+            raise ValueError(f"{t.name}: a gap needs {CLOCK}")
+        logs = logs.withColumn(CLOCK, F.lit(None).cast("timestamp"))
     rows = cast_attributes(extract(logs, t) if found is None else matched(found, t), t)
     kinds = {a.name: a.type for a in t.attributes}
 
@@ -209,16 +215,20 @@ def _incarnations(rows: DataFrame, t: FiberType) -> DataFrame:
     return each.select(SEQ, "key", "value", "inc", (F.col("peer") & F.col("before").isNotNull()).alias("freed"))
 
 
-def _name(token: Column) -> Column:
-    return F.concat_ws("\1", token["key"], token["value"], token["inc"].cast("string"))
+TOKEN = "struct<key:string,value:string,inc:bigint>"
 
 
-TOKEN = "struct<key:string,value:string,inc:bigint>"
+def _id(t: FiberType, token: Column) -> Column:
+    """A number of a token, smaller ones for the first keys. Tokens that should share one only share an island, in which the
+    fold tells them apart."""
+    nth = F.array_position(F.array(*[F.lit(k) for k in t.keys]), token["key"])
+    return F.shiftleft(nth, 56) + F.shiftrightunsigned(F.xxhash64(token["key"], token["value"], token["inc"]), 8)
 
 
 def _islands(rows: DataFrame, t: FiberType) -> DataFrame:
-    """Adds ``tokens`` and ``island``: logs linked by incarnations of keys, cut where the clock passes the gap between
-    neighbours. A peer release is a row of its own besides (``gone``), in the island that knew the key before."""
+    """Adds ``tokens``, ``island`` and ``part``: logs linked by incarnations of keys (``island``), cut where the clock passes
+    the gap between neighbours (``part``). A peer release is a row of its own besides (``gone``), in the island that knew the
+    key before."""
     freed = None
     if _cuts(t):
         each = stage(_incarnations(rows, t), "incarnations")
@@ -229,83 +239,136 @@ def _islands(rows: DataFrame, t: FiberType) -> DataFrame:
         tokens = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"kv.{k}").alias("value"), F.lit(0).cast("long").alias("inc")) for k in t.keys])
         rows = rows.withColumn("tokens", F.filter(tokens, lambda x: x["value"].isNotNull()))
     rows = rows.withColumns({"tokens": F.coalesce("tokens", F.array().cast(f"array<{TOKEN}>")), "gone": F.lit(None).cast(TOKEN)})
-    first = _name(F.get("tokens", F.lit(0)))
-    links = rows.filter(F.size("tokens") > 1).select(first.alias("a"), F.explode(F.transform("tokens", _name)).alias("b"))
-    labels = connected_components(links)
-    token = F.when(F.size("tokens") > 0, first)
     if freed is not None:
         rows = rows.unionByName(freed, allowMissingColumns=True)
-        token = F.coalesce(F.when(F.col("gone").isNotNull(), _name(F.col("gone"))), token)
+    ids = F.transform("tokens", lambda x: _id(t, x))
+    links = rows.filter(F.size("tokens") > 1).select(ids.alias("ids")).select(F.array_min("ids").alias("a"), F.explode("ids").alias("b"))
+    labels = connected_components(links)
+    token = F.when(F.col("gone").isNotNull(), _id(t, F.col("gone"))).when(F.size("tokens") > 0, _id(t, F.get("tokens", F.lit(0))))
     joined = rows.withColumn("t0", token).join(labels, F.col("t0") == F.col("id"), "left")
-    joined = joined.withColumn("island", F.coalesce("component", "t0", F.concat(F.lit("\2"), F.col(SEQ).cast("string")))).drop("id", "component", "t0")
-    if t.gap is not None:
-        block, order = F.floor(F.col(SEQ) / BLOCK), [SEQ, F.col("gone").isNull()]
-        # open fibers are not in order of their last activity
-        joined = running(joined, ["island"], block, order, F.col("ts"), "last", F.max, current=False)
-        quiet = F.unix_micros(CLOCK) - F.unix_micros("last") > t.gap
-        joined = running(joined, ["island"], block, order, F.coalesce(quiet, F.lit(False)).cast("long"), "part")
-        joined = joined.withColumn("island", F.concat_ws("\3", "island", F.col("part").cast("string"))).drop("part", "last")
-    return joined
+    joined = joined.withColumn("island", F.coalesce("component", "t0", -1 - F.col(SEQ))).drop("id", "component", "t0")
+    if t.gap is None:
+        return joined.withColumn("part", F.lit(0).cast("long"))
+    block, order = F.floor(F.col(SEQ) / BLOCK), [SEQ, F.col("gone").isNull()]
+    # open fibers are not in order of their last activity
+    joined = running(joined, ["island"], block, order, F.col("ts"), "last", F.max, current=False)
+    quiet = F.unix_micros(CLOCK) - F.unix_micros("last") > t.gap
+    return running(joined, ["island"], block, order, F.coalesce(quiet, F.lit(False)).cast("long"), "part").drop("last")
+
+
+FOLDED = (
+    "kind int, seq long, fiber long, fiber_log string, other long, other_log string, log string, name string, old string, new string, open boolean,"
+    " low long, high long, n long, closed boolean, told array<string>, places array<long>, held array<string>"
+)
+#: Rows of one kind that a task hands on at once.
+EVENTS = 20_000
 
 
-FOLDED = "kind int, seq long, fiber long, fiber_log string, other long, other_log string, log string, name string, old string, new string"
-#: Events that a task holds before it hands them on.
-EVENTS = 20_000
+def _told(events: Events, names: list[str], plain: Callable[[str], str]) -> Iterator[pa.RecordBatch]:
+    """kind 1: merge (fiber: loser, other: survivor); 2: fiber merged away and its last survivor; 3: conflict (fiber: that of
+    the log, other: 1 at a merge); 4: fiber that is not merged away, with its logs' times and number, its values, where they
+    were set, and the keys that an open one holds."""
+    yield from _rows_of(1, [(s, x.first_seq, x.first_log, f.first_seq, f.first_log, log) for s, log, x, f in events.merged], "seq fiber fiber_log other other_log log")
+    yield from _rows_of(3, [(s, f.first_seq, f.first_log, int(merged), names[i], old, new) for s, i, old, new, merged, f in events.conflicts], "seq fiber fiber_log other name old new")
+    for at in range(0, len(events.told), EVENTS):
+        part = events.told[at : at + EVENTS]
+        yield from _rows_of(2, [(seq, log, f.first_seq, f.first_log) for f in part for seq, log in f.merged_away()], "fiber fiber_log other other_log")
+        held = ([None if k is None else plain(k) for k in f.keys] if f.open else None for f in part)
+        rows = [(f.first_seq, f.first_log, f.low, f.high, f.n, f.closed, f.values, f.at, h) for f, h in zip(part, held, strict=True)]
+        yield from _rows_of(4, rows, "fiber fiber_log low high n closed told places held")
+    events.merged, events.conflicts, events.told = [], [], []
 
 
-def _told(events: Events) -> pa.RecordBatch:
-    """kind 0: log and its own fiber; 1: merge (fiber: loser, other: survivor); 2: fiber merged away and its last survivor;
-    3: conflict (other: 1 at a merge); 4: fiber that is not merged away, with its values and where they were set, as JSON;
-    5: the keys that an open one holds."""
-    rows = [(0, s, f.first_seq, f.first_log, None, None, None, None, None, None) for s, f in events.joined]
-    rows += [(1, s, x.first_seq, x.first_log, f.first_seq, f.first_log, log, None, None, None) for s, log, x, f in events.merged]
-    rows += [(3, s, None, None, int(merged), None, None, name, old, new) for s, name, old, new, merged in events.conflicts]
-    for f in events.told:
-        rows += [(2, None, seq, log, f.first_seq, f.first_log, None, None, None, None) for seq, log in f.lost]
-        values, places = ({n: v[i] for n, v in f.values.items()} for i in (0, 1))
-        rows.append((4, None, f.first_seq, f.first_log, None, None, None, None, json.dumps(values), json.dumps(places)))
-        if f.open:
-            rows.append((5, None, f.first_seq, None, None, None, None, None, json.dumps({k: v for k, (v, _) in f.keys.items()}), None))
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 5]
-    names = [c.split()[0] for c in FOLDED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-
-def _folded(rows: DataFrame, t: FiberType) -> DataFrame:
-    """What the fold tells of the islands, as FOLDED; a task holds the open fibers of one island."""
-    gap, from_start = t.gap, t.gap_mode == "from_start"
-    names = [a.name for a in t.attributes]
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+
+
+def _batch(kind: int, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    columns = {"kind": pa.array(np.full(n, kind, np.int32))} | columns
+    fields = [x.split() for x in FOLDED.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[c].cast(_KINDS[k]) if c in columns else pa.nulls(n, _KINDS[k]) for c, k in fields], [c for c, _ in fields])
+
+
+def _rows_of(kind: int, rows: list[tuple], columns: str) -> Iterator[pa.RecordBatch]:
+    kinds = dict(x.split() for x in FOLDED.split(", "))
+    for at in range(0, len(rows), EVENTS):
+        part = rows[at : at + EVENTS]
+        yield _batch(kind, len(part), {c: pa.array(v, _KINDS[kinds[c]]) for c, v in zip(columns.split(), zip(*part, strict=True), strict=True)})
+
+
+def _listed(column: pa.Array) -> list:
+    """The values of a flat column, null as None."""
+    found = column.to_numpy(zero_copy_only=False) if not column.null_count or pa.types.is_string(column.type) else None
+    return column.to_pylist() if found is None else found.tolist()
+
+
+def _folded(rows: DataFrame, t: FiberType, seeded: bool) -> DataFrame:
+    """What the fold tells of the islands, as FOLDED (kind 0: a log or open fiber and its own fiber); a task holds the open
+    fibers of one island."""
+    gap, from_start, cuts = t.gap, t.gap_mode == "from_start", _cuts(t)
+    names, n_keys = [a.name for a in t.attributes], len(t.keys)
+
+    def plain(token: str) -> str:
+        return token.rsplit("\1", 1)[0] if cuts else token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, events, island = None, Events(), None
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["island"] != current:
+            if not batch.num_rows:
+                continue
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            col = lambda c: _listed(column[c])  # noqa: B023, E731  called at once
+            keys = list(zip(*(col(f"k{i}") for i in range(n_keys)), strict=True))
+            values = list(zip(*(col(f"v{i}") for i in range(len(names))), strict=True))
+            gone = col("gone_key") if cuts else None
+            freed = col("gone_token") if cuts else None
+            opened = col("open") if seeded else None
+            born, many = (col("born"), col("n")) if seeded else (None, None)
+            places = list(zip(*(col(f"p{i}") for i in range(len(names))), strict=True)) if seeded else None
+            clocks = col("clock") if gap is not None else repeat(None)
+            own = col("own") if cuts else repeat(0)
+            close = col("close") if cuts else repeat(False)
+            places_of = zip(col("island"), col("part"), strict=True) if gap is not None else col("island")
+            for i, (where, seq, log, us, clock, mine, shut) in enumerate(zip(places_of, col("seq"), col("log"), col("us"), clocks, own, close)):  # noqa: B905  some go on for ever
+                if where != current:
                     if island is not None:
                         island.end()
-                    current, island = r["island"], Island(gap, from_start, events)
-                if r["gone"]:
-                    island.forget(r["gone"]["key"], (r["gone"]["value"], r["gone"]["inc"]))
-                    continue
-                keys = {x["key"]: (x["value"], x["inc"]) for x in r["tokens"]}
-                values = {n: v for n, v in zip(names, r["told"], strict=True) if v is not None}
-                row = Row(r["seq"], r["log"], r["us"], r["clock"], keys, values, r["release_self"], r["close"])
-                if r["open"]:
-                    row.born, row.value_seq = r["born"], {n: p for n, p in zip(names, r["places"], strict=True) if p is not None}
-                island.step(row)
-                if len(events.joined) >= EVENTS:
-                    yield _told(events)
-                    events.joined, events.merged, events.conflicts, events.told = [], [], [], []
+                    current, island = where, Island(n_keys, len(names), gap, from_start, events)
+                if gone is not None and gone[i] is not None:
+                    island.forget(gone[i], freed[i])
+                elif opened is not None and opened[i]:
+                    island.seed(seq, log, us, born[i], many[i], keys[i], values[i], places[i])
+                else:
+                    island.step(seq, log, us, clock, keys[i], values[i], mine, shut)
+            kept = batch.filter(column["gone_key"].is_null()) if cuts else batch
+            if kept.num_rows:
+                own_fiber = {"fiber": pa.array([f.first_seq for f in events.joined], pa.int64()), "fiber_log": pa.array([f.first_log for f in events.joined], pa.string())}
+                same = {c: kept.column(c) for c in ("seq", "log", "open")} if seeded else {c: kept.column(c) for c in ("seq", "log")} | {"open": pa.array(np.zeros(kept.num_rows, bool))}
+                events.joined = []
+                yield _batch(0, kept.num_rows, same | own_fiber)
+            yield from _told(events, names, plain)
         if island is not None:
             island.end()
-            if events.joined or events.told:
-                yield _told(events)
-
-    times = [F.unix_micros(c).alias(n) for c, n in (("ts", "us"), (CLOCK, "clock"), ("born", "born"))]
-    told = F.array(*[F.col(f"values.{n}").cast("string") for n in names]).cast("array<string>").alias("told")
-    places = F.array(*[F.col(f"at.{n}") for n in names]).cast("array<bigint>").alias("places")
-    small = rows.select("island", F.col(SEQ).alias("seq"), F.col("log_id").cast("string").alias("log"), *times, "tokens", told, places, "release_self", "close", "open", "gone")
-    return small.repartition("island").sortWithinPartitions("island", "seq", F.col("gone").isNull()).mapInArrow(run, FOLDED)
+            yield from _told(events, names, plain)
+
+    def token(k: str, i: int) -> Column:
+        if not cuts:
+            return F.col(f"kv.{k}").alias(f"k{i}")
+        inc = F.filter("tokens", lambda x: x["key"] == k)[0]["inc"]
+        return F.concat(F.col(f"kv.{k}"), F.lit("\1"), inc.cast("string")).alias(f"k{i}")
+
+    columns = [F.col("island"), F.col("part"), F.col(SEQ).alias("seq"), F.col("log_id").cast("string").alias("log"), F.unix_micros("ts").alias("us")]
+    columns += [token(k, i) for i, k in enumerate(t.keys)] + [F.col(f"values.{n}").cast("string").alias(f"v{i}") for i, n in enumerate(names)]
+    if gap is not None:
+        columns.append(F.unix_micros(CLOCK).alias("clock"))
+    if cuts:
+        bits = [F.when(F.array_contains("release_self", k), 1 << i).otherwise(0) for i, k in enumerate(t.keys)]
+        columns += [F.coalesce(reduce(add, bits), F.lit(0)).cast("long").alias("own"), F.coalesce("close", F.lit(False)).alias("close")]
+        nth = F.array_position(F.array(*[F.lit(k) for k in t.keys]), F.col("gone.key")) - 1
+        columns += [nth.alias("gone_key"), F.concat("gone.value", F.lit("\1"), F.col("gone.inc").cast("string")).alias("gone_token")]
+    if seeded:
+        columns += [F.coalesce("open", F.lit(False)).alias("open"), F.unix_micros("born").alias("born"), "n", *[F.col(f"at.{n}").alias(f"p{i}") for i, n in enumerate(names)]]
+    small, by, first = rows.select(*columns), ["island", "part"], [F.col("gone_key").isNull()] if cuts else []
+    return small.repartition(*by).sortWithinPartitions(*by, "seq", *first).mapInArrow(run, FOLDED)
 
 
 def fiber_id_of(version: str, name: str, log_id: Column) -> Column:
@@ -330,43 +393,55 @@ def _conflicts_in_chains(known: DataFrame, names: list[str]) -> DataFrame:
     return changed.withColumn("at_merge", F.lit(False))
 
 
-def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: bool = True, timeout_clock: str = "sequenced", membership: str = "survivor", end: Column | None = None, normalize_keys: bool = False, state: DataFrame | None = None, found: DataFrame | None = None) -> Correlation:
-    """One type. ``logs``: log_id, ts, source_id, raw_text, seq, prev_clock. ``end``: the clock at the end of the input.
+def _map_of(names: list[str], values: str) -> Column:
+    """A map of the names to the values of an array column, without null ones."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("key"), F.col(values)[i].alias("value")) for i, n in enumerate(names)])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+
+def _with_survivors(rows: DataFrame, survivors: DataFrame, kind) -> DataFrame:
+    """Adds ``survivor_log``, the first log of the fiber that ``owner`` is part of in the end."""
+    last = survivors.select("fiber", F.col("other_log").cast(kind).alias("last_log"))
+    rows = rows.join(last, F.col("owner") == F.col("fiber"), "left")
+    return rows.withColumn("survivor_log", F.coalesce("last_log", "owner_log")).drop("fiber", "last_log")
+
+
+def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: bool = True, timeout_clock: str = "sequenced", membership: str = "survivor", end: Column | None = None, normalize_keys: bool = False, state: DataFrame | None = None, found: DataFrame | None = None, named: bool = False) -> Correlation:
+    """One type. ``logs``: log_id, ts, source_id, raw_text, seq, prev_clock (which a type without a gap does not need).
+    ``end``: the clock at the end of the input.
 
     ``state``: fibers that were open before the first log (``seq`` goes on from theirs, ``prev_clock`` of the first log is
     the clock they were left at). ``normalize_keys`` compares keys by their typed values. ``found``: what the patterns of
-    several types tell of the logs (:func:`match_types`).
+    several types tell of the logs (:func:`match_types`). ``named``: memberships and merges tell the fibers' first logs
+    besides, as ``first_log_id``, ``loser_log`` and ``survivor_log``.
     """
     rows = _rows(logs, t, normalize_keys, state, found)
     event = timeout_clock == "event"
+    names = [a.name for a in t.attributes]
     if is_chain(t):
         own, folded = _chains(rows, t, event), None
         held = _held_in_chains(own, t)
         known = own.withColumns({"first_seq": F.col("owner"), "survivor_log": F.col("owner_log")})
+        known = known.withColumn("fiber_id", fiber_id_of(version, t.name, F.col("survivor_log")))
+        aggs = [F.min("born").alias("first_activity"), F.max("ts").alias("last_activity"), F.sum("n").alias("n_logs"), F.max_by("close", SEQ).alias("by_pattern")]
+        aggs += [F.max_by(F.col(f"values.{n}"), F.col(f"at.{n}")).alias(f"a_{i}") for i, n in enumerate(names)]
+        aggs += [F.max(F.col(f"at.{n}")).alias(f"s_{i}") for i, n in enumerate(names)]
+        fibers = known.groupBy("first_seq", "survivor_log").agg(*aggs).withColumn("fiber_id", fiber_id_of(version, t.name, F.col("survivor_log")))
     else:
-        rows = stage(_islands(rows.withColumn(CLOCK, F.when(~F.col("open"), F.col("ts"))) if event else rows, t), "islands")
-        folded = stage(_folded(rows, t), "folded")
-        rows = rows.filter("gone IS NULL")
+        rows = stage(rows.withColumn(CLOCK, F.when(~F.col("open"), F.col("ts"))) if event else rows, "rows")
+        folded = stage(_folded(_islands(rows, t), t, state is not None), "folded")
         kind = logs.schema["log_id"].dataType
-        held = folded.filter("kind = 5").select(F.col("fiber").alias("f"), F.from_json("old", "map<string,string>").alias("keys"))
-        own = folded.filter("kind = 0").select(F.col("seq").alias("__seq"), F.col("fiber").alias("owner"), F.col("fiber_log").cast(kind).alias("owner_log"))
-        own = rows.join(own, F.col(SEQ) == F.col("__seq")).drop("__seq")
         survivors = folded.filter("kind = 2")
-        last = survivors.select("fiber", F.col("other").alias("survivor"), F.col("other_log").cast(kind).alias("last_log"))
-        known = own.join(last, F.col("owner") == F.col("fiber"), "left").drop("fiber")
-        known = known.withColumns({"first_seq": F.coalesce("survivor", "owner"), "survivor_log": F.coalesce("last_log", "owner_log")})
-    known = known.withColumn("fiber_id", fiber_id_of(version, t.name, F.col("survivor_log")))
-
-    names = [a.name for a in t.attributes]
-    aggs = [F.min("born").alias("first_activity"), F.max("ts").alias("last_activity"), F.sum("n").alias("n_logs"), F.max_by("close", SEQ).alias("by_pattern")]
-    if folded is None:
-        aggs += [F.max_by(F.col(f"values.{n}"), F.col(f"at.{n}")).alias(f"a_{i}") for i, n in enumerate(names)]
-        aggs += [F.max(F.col(f"at.{n}")).alias(f"s_{i}") for i, n in enumerate(names)]
-    fibers = known.groupBy("fiber_id", "first_seq", "survivor_log").agg(*aggs)
-    if folded is not None:  # at merges the value of the fiber with the later activity stays, so the last log does not tell
-        told = folded.filter("kind = 4").select("fiber", F.from_json("old", "map<string,string>").alias("told"), F.from_json("new", "map<string,bigint>").alias("places"))
-        fibers = fibers.join(told, F.col("first_seq") == F.col("fiber")).drop("fiber")
-        fibers = fibers.withColumns({f"a_{i}": typed(F.col("told")[a.name], a.type) for i, a in enumerate(t.attributes)} | {f"s_{i}": F.col("places")[n] for i, n in enumerate(names)}).drop("told", "places")
+        own = folded.filter("kind = 0").select("seq", F.col("log").cast(kind).alias("log_id"), "open", F.col("fiber").alias("owner"), F.col("fiber_log").cast(kind).alias("owner_log"))
+        known = _with_survivors(own, survivors, kind) if membership == "survivor" else own.withColumn("survivor_log", F.col("owner_log"))
+        known = known.withColumn("fiber_id", fiber_id_of(version, t.name, F.col("survivor_log")))
+        # at merges the value of the fiber with the later activity stays, so the fold tells the values, and all of the record
+        last = folded.filter("kind = 4")
+        held = last.filter("held IS NOT NULL").select(F.col("fiber").alias("f"), _map_of(t.keys, "held").alias("keys"))
+        values = {f"a_{i}": typed(F.col("told")[i], a.type) for i, a in enumerate(t.attributes)} | {f"s_{i}": F.col("places")[i] for i in range(len(names))}
+        times = {"first_activity": F.timestamp_micros("low"), "last_activity": F.timestamp_micros("high"), "n_logs": F.col("n"), "by_pattern": F.col("closed")}
+        fibers = last.withColumns({"first_seq": F.col("fiber"), "survivor_log": F.col("fiber_log").cast(kind)} | times | values)
+        fibers = fibers.select("first_seq", "survivor_log", *times, *values).withColumn("fiber_id", fiber_id_of(version, t.name, F.col("survivor_log")))
     if end is None:
         fibers = fibers.crossJoin(F.broadcast(logs.agg(F.max("ts").alias("end_clock"))))  # one row
     else:
@@ -392,19 +467,21 @@ def correlate_type(logs: DataFrame, t: FiberType, version: str = "1", flush: boo
         "first_activity", "last_activity", "n_logs", reason.isNotNull().alias("closed"), reason.alias("close_reason"),
         F.col("survivor_log").alias("first_log_id"),
     )
-    by = F.col("fiber_id") if membership == "survivor" else fiber_id_of(version, t.name, F.col("owner_log"))
-    memberships = known.filter("NOT open").select("log_id", by.alias("fiber_id"), F.lit(t.name).alias("fiber_type"), F.lit(version).alias("ruleset_version"))
+    first = [F.col("survivor_log").alias("first_log_id")] if named else []
+    memberships = known.filter("NOT open").select("log_id", "fiber_id", F.lit(t.name).alias("fiber_type"), F.lit(version).alias("ruleset_version"), *first)
     if folded is None:
         none = memberships.filter(F.lit(False))
-        merged = none.select("fiber_type", F.col("fiber_id").alias("loser_id"), F.col("fiber_id").alias("survivor_id"), "log_id")
+        logs_of_both = [F.col("first_log_id").alias(c) for c in ("loser_log", "survivor_log")] if named else []
+        merged = none.select("fiber_type", F.col("fiber_id").alias("loser_id"), F.col("fiber_id").alias("survivor_id"), "log_id", *logs_of_both)
         final = merged.select("fiber_type", "loser_id", "survivor_id")
         conflicts = _conflicts_in_chains(known, names)
     else:
         ids = [F.lit(t.name).alias("fiber_type"), fiber_id_of(version, t.name, F.col("fiber_log")).alias("loser_id"), fiber_id_of(version, t.name, F.col("other_log")).alias("survivor_id")]
-        merged = folded.filter("kind = 1").select(*ids, F.col("log").cast(kind).alias("log_id"))
+        logs_of_both = [F.col(a).cast(kind).alias(c) for a, c in (("fiber_log", "loser_log"), ("other_log", "survivor_log"))] if named else []
+        merged = folded.filter("kind = 1").select(*ids, F.col("log").cast(kind).alias("log_id"), *logs_of_both)
         final = survivors.select(*ids)
-        conflicts = folded.filter("kind = 3").select(F.col("seq").alias("__seq"), F.col("name").alias("attribute"), F.col("old").alias("old_value"), F.col("new").alias("new_value"), (F.col("other") == 1).alias("at_merge"))
-        conflicts = conflicts.join(known.select(SEQ, "fiber_id"), F.col("__seq") == F.col(SEQ))
+        told = folded.filter("kind = 3").select(SEQ, F.col("name").alias("attribute"), F.col("old").alias("old_value"), F.col("new").alias("new_value"), (F.col("other") == 1).alias("at_merge"), F.col("fiber").alias("owner"), F.col("fiber_log").cast(kind).alias("owner_log"))
+        conflicts = _with_survivors(told, survivors, kind).withColumn("fiber_id", fiber_id_of(version, t.name, F.col("survivor_log")))
     conflicts = conflicts.select(F.lit(t.name).alias("fiber_type"), "fiber_id", "attribute", "old_value", "new_value", SEQ, "at_merge")
     return Correlation(fibers, memberships, merged, conflicts, still, final)
 

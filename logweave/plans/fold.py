@@ -1,63 +1,53 @@
-"""The ordered rule fold over one island of logs: what happens to open fibers, log by log."""
+"""The ordered rule fold over one island of logs: what happens to open fibers, log by log.
+
+Keys and attributes are taken by their place in the type, so that a log costs no more than a few lookups.
+"""
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-#: A key's value and the number of its incarnation.
-Token = tuple[str, int]
-
 
-@dataclass
 class Fiber:
-    first_seq: int
-    first_log: str
-    first: int
-    last: int
-    keys: dict[str, Token] = field(default_factory=dict)
-    #: Last value of each attribute and the place that it was set at.
-    values: dict[str, tuple[str, int]] = field(default_factory=dict)
-    #: Fibers merged into it: first place and first log.
-    lost: list[tuple[int, str]] = field(default_factory=list)
-    open: bool = True
+    """An open fiber: the tokens that it holds, its last values and the places that they were set at, and what it has
+    taken up: first and last moment, number of logs, whether its last log closed it, fibers merged into it."""
 
+    __slots__ = ("first_seq", "first_log", "first", "last", "keys", "values", "at", "low", "high", "n", "closed", "lost", "open")
 
-@dataclass
-class Row:
-    """A log as the fold sees it; times in microseconds."""
-
-    seq: int
-    log: str
-    ts: int
-    clock: int | None
-    keys: dict[str, Token]
-    values: dict[str, str]
-    own: list[str]
-    close: bool
-    #: Of a fiber that was open before (a row of its own, with the keys and values it holds): its first activity, and where
-    #: its values were set; ``ts`` is its last activity.
-    born: int | None = None
-    value_seq: dict[str, int] | None = None
+    def __init__(self, first_seq: int, first_log: str, first: int, n_keys: int, n_values: int):
+        self.first_seq, self.first_log, self.first, self.last = first_seq, first_log, first, first
+        self.keys, self.values, self.at = [None] * n_keys, [None] * n_values, [None] * n_values
+        self.low, self.high, self.n, self.closed, self.lost, self.open = first, first, 0, False, None, True
+
+    def merged_away(self) -> Iterator[tuple[int, str]]:
+        """First place and first log of all fibers that are part of it."""
+        left = [self.lost] if self.lost else []
+        while left:
+            for seq, log, lost in left.pop():
+                yield seq, log
+                if lost:
+                    left.append(lost)
 
 
 @dataclass
 class Events:
-    """What came of logs: (seq, fiber); merges as (seq, log, loser, survivor); conflicts as (seq, attribute, old, new, at a
-    merge); fibers that ended or are open still."""
+    """What came of logs: the fiber of each; merges as (seq, log, loser, survivor); conflicts as (seq, number of the
+    attribute, old, new, at a merge, fiber); fibers that ended or are open still."""
 
-    joined: list[tuple[int, Fiber]] = field(default_factory=list)
+    joined: list[Fiber] = field(default_factory=list)
     merged: list[tuple[int, str, Fiber, Fiber]] = field(default_factory=list)
-    conflicts: list[tuple[int, str, str, str, bool]] = field(default_factory=list)
+    conflicts: list[tuple[int, int, str, str, bool, Fiber]] = field(default_factory=list)
     told: list[Fiber] = field(default_factory=list)
 
 
 class Island:
-    """Open fibers of one type; what comes of each log is added to ``events``."""
+    """Open fibers of one type; what comes of each log is added to ``events``. Times in microseconds."""
 
-    def __init__(self, gap: int | None, from_start: bool, events: Events):
-        self.gap, self.from_start, self.events = gap, from_start, events
-        self.index: dict[tuple[str, Token], Fiber] = {}
+    def __init__(self, n_keys: int, n_values: int, gap: int | None, from_start: bool, events: Events):
+        self.n_keys, self.n_values, self.gap, self.from_start, self.events = n_keys, n_values, gap, from_start, events
+        self.index: list[dict[str, Fiber]] = [{} for _ in range(n_keys)]
         self.due: list[tuple[int, int, Fiber]] = []
         self.alive: dict[int, Fiber] = {}
 
@@ -73,13 +63,13 @@ class Island:
     def _shut(self, f: Fiber) -> None:
         f.open = False
         del self.alive[f.first_seq]
-        for token in f.keys.items():
-            if self.index.get(token) is f:
-                del self.index[token]
+        for index, token in zip(self.index, f.keys, strict=True):
+            if token is not None and index.get(token) is f:
+                del index[token]
         self.events.told.append(f)
 
-    def _expire(self, clock: int | None) -> None:
-        while self.gap is not None and clock is not None and self.due and clock - self.due[0][0] > self.gap:
+    def _expire(self, clock: int) -> None:
+        while self.due and clock - self.due[0][0] > self.gap:
             at, _, f = heapq.heappop(self.due)
             if not f.open:
                 continue
@@ -88,65 +78,98 @@ class Island:
                 continue
             self._shut(f)
 
-    def forget(self, key: str, token: Token) -> None:
+    def forget(self, key: int, token: str) -> None:
         """A key that a log of any island has freed before it matched."""
-        if f := self.index.pop((key, token), None):
-            f.keys.pop(key, None)
-
-    def step(self, row: Row) -> None:
-        if row.born is not None:
-            f = self._born(Fiber(row.seq, row.log, row.born, row.ts))
-            f.values = {n: (v, row.value_seq.get(n, row.seq)) for n, v in row.values.items()}
-            for k, token in row.keys.items():
-                self._set(f, k, token)
-            self.events.joined.append((row.seq, f))
-            return
-        self._expire(row.clock)
-        met = {id(f): f for t in row.keys.items() if (f := self.index.get(t))}
-        hits = sorted(met.values(), key=lambda f: (f.first, f.first_seq))
-        if not hits:
-            f = self._born(Fiber(row.seq, row.log, row.ts, row.ts))
-        else:
-            f = hits[0]
-            for loser in hits[1:]:
-                self._merge(f, loser, row)
-        f.last = row.ts
-        for name, value in row.values.items():
-            if (old := f.values.get(name)) and old[0] != value:
-                self.events.conflicts.append((row.seq, name, old[0], value, False))
-            f.values[name] = (value, row.seq)
-        for k, token in row.keys.items():
-            self._set(f, k, token)
-        for k in row.own:
-            if k in f.keys and self.index.get((k, f.keys[k])) is f:
-                del self.index[(k, f.keys.pop(k))]
-        if row.close:
+        if f := self.index[key].pop(token, None):
+            f.keys[key] = None
+
+    def seed(self, seq: int, log: str, ts: int, born: int, n: int, keys: Sequence, values: Sequence, places: Sequence) -> None:
+        """A fiber that was open before, with the keys and values it holds; ``ts`` is its last activity."""
+        f = Fiber(seq, log, born, self.n_keys, self.n_values)
+        f.last, f.high, f.n = ts, ts, n
+        self._born(f)
+        for i, v in enumerate(values):
+            if v is not None:
+                f.values[i], f.at[i] = v, seq if places[i] is None else places[i]
+        for i, token in enumerate(keys):
+            if token is not None:
+                self._set(f, i, token)
+        self.events.joined.append(f)
+
+    def step(self, seq: int, log: str, ts: int, clock: int | None, keys: Sequence, values: Sequence, own: int, close: bool) -> None:
+        """``own``: the keys that the log releases itself, a bit each."""
+        if self.gap is not None and clock is not None:
+            self._expire(clock)
+        f, more = None, None
+        for index, token in zip(self.index, keys, strict=True):
+            if token is not None and (g := index.get(token)) is not None and g is not f:
+                if f is None:
+                    f = g
+                elif more is None:
+                    more = [f, g]
+                elif g not in more:
+                    more.append(g)
+        if f is None:
+            f = self._born(Fiber(seq, log, ts, self.n_keys, self.n_values))
+        elif more:
+            more.sort(key=lambda f: (f.first, f.first_seq))
+            f = more[0]
+            for loser in more[1:]:
+                self._merge(f, loser, seq, log)
+        f.last, f.closed = ts, close
+        f.n += 1
+        if ts > f.high:
+            f.high = ts
+        if ts < f.low:
+            f.low = ts
+        held = f.values
+        for i, v in enumerate(values):
+            if v is not None:
+                if (old := held[i]) is not None and old != v:
+                    self.events.conflicts.append((seq, i, old, v, False, f))
+                held[i], f.at[i] = v, seq
+        for i, token in enumerate(keys):
+            if token is not None:
+                self._set(f, i, token)
+        if own:
+            for i, token in enumerate(f.keys):
+                if own >> i & 1 and token is not None and self.index[i].get(token) is f:
+                    del self.index[i][token]
+                    f.keys[i] = None
+        if close:
             self._shut(f)
-        self.events.joined.append((row.seq, f))
+        self.events.joined.append(f)
 
-    def _merge(self, f: Fiber, loser: Fiber, row: Row) -> None:
+    def _merge(self, f: Fiber, loser: Fiber, seq: int, log: str) -> None:
         """All of ``loser`` goes to ``f``; of values that differ, that of the fiber with the later activity stays."""
-        for k, token in loser.keys.items():
-            self._set(f, k, token)
-        for name, theirs in loser.values.items():
-            mine = f.values.get(name)
+        for i, token in enumerate(loser.keys):
+            if token is not None:
+                self._set(f, i, token)
+        for i, theirs in enumerate(loser.values):
+            if theirs is None:
+                continue
+            mine = f.values[i]
             if mine is None:
-                f.values[name] = theirs
-            elif mine[0] != theirs[0]:
-                old, new = (mine, theirs) if loser.last > f.last else (theirs, mine)
-                self.events.conflicts.append((row.seq, name, old[0], new[0], True))
-                f.values[name] = new
-        f.last = max(f.last, loser.last)
-        f.lost += [(loser.first_seq, loser.first_log), *loser.lost]
-        loser.open, loser.lost = False, []
+                f.values[i], f.at[i] = theirs, loser.at[i]
+            elif mine != theirs:
+                later = loser.last > f.last
+                self.events.conflicts.append((seq, i, *((mine, theirs) if later else (theirs, mine)), True, f))
+                if later:
+                    f.values[i], f.at[i] = theirs, loser.at[i]
+        f.last, f.low, f.high, f.n = max(f.last, loser.last), min(f.low, loser.low), max(f.high, loser.high), f.n + loser.n
+        if f.lost is None:
+            f.lost = []
+        f.lost.append((loser.first_seq, loser.first_log, loser.lost))  # its own ones stay a list of theirs, whatever their number
+        loser.open, loser.lost = False, None
         del self.alive[loser.first_seq]
-        self.events.merged.append((row.seq, row.log, loser, f))
-
-    def _set(self, f: Fiber, k: str, token: Token) -> None:
-        if (old := f.keys.get(k)) is not None and old != token and self.index.get((k, old)) is f:
-            del self.index[(k, old)]
-        f.keys[k] = token
-        self.index[(k, token)] = f
+        self.events.merged.append((seq, log, loser, f))
+
+    def _set(self, f: Fiber, i: int, token: str) -> None:
+        old = f.keys[i]
+        if old is not None and old != token and self.index[i].get(old) is f:
+            del self.index[i][old]
+        f.keys[i] = token
+        self.index[i][token] = f
 
     def end(self) -> None:
         """The fibers that are open still."""
