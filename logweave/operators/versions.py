@@ -87,15 +87,17 @@ def lineage(versions: DataFrame) -> DataFrame:
 
 def jumps(versions: DataFrame) -> DataFrame:
     """``version_hash, level, ancestor, steps``: the ancestor 2 ** level steps up (null above the root) and the steps taken
-    to get there or to the root. A row for each version and level, where lineage has one for each pair."""
+    to get there or to the root. A row for each version and level, where lineage has one for each pair. Levels end where all
+    are at the root, or with the number of versions where parents form a cycle. Tables of all versions are sorted and
+    merged: compressed ones look small enough to be sent to every executor by way of the driver."""
     level, n = 0, max(versions.count(), 1)
     parent = F.col("parent_hash")
     rows = stage(versions.select("version_hash", F.lit(0).alias("level"), parent.alias("ancestor"), parent.isNotNull().cast("long").alias("steps")).dropDuplicates(["version_hash"]), "jumps")
     table = rows
-    while 2**level < n:
+    while 2**level < n and not rows.filter("ancestor IS NOT NULL").isEmpty():
         up = rows.select(F.col("version_hash").alias("__up"), F.col("ancestor").alias("further"), F.col("steps").alias("more"))
         level += 1
-        rows = rows.join(up, F.col("ancestor") == F.col("__up"), "left")
+        rows = rows.join(up.hint("merge"), F.col("ancestor") == F.col("__up"), "left")
         rows = stage(rows.select("version_hash", F.lit(level).alias("level"), F.col("further").alias("ancestor"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "jumps")
         table = table.unionByName(rows)
     return table
@@ -110,12 +112,12 @@ def are_ancestors(versions: DataFrame, pairs: DataFrame) -> DataFrame:
     depth = whole.filter("ancestor IS NULL").select(F.col("version_hash").alias("v"), "steps")
     looped = whole.filter("ancestor IS NOT NULL").select("version_hash")
     rows = pairs.select("ancestor", "version_hash").distinct()
-    rows = rows.join(depth.select(F.col("v").alias("version_hash"), F.col("steps").alias("deep")), "version_hash", "left")
-    rows = rows.join(depth.select(F.col("v").alias("ancestor"), F.col("steps").alias("high")), "ancestor", "left")
+    rows = rows.join(depth.select(F.col("v").alias("version_hash"), F.col("steps").alias("deep")).hint("merge"), "version_hash", "left")
+    rows = rows.join(depth.select(F.col("v").alias("ancestor"), F.col("steps").alias("high")).hint("merge"), "ancestor", "left")
     rows = rows.withColumns({"up": F.col("deep") - F.col("high"), "at": F.col("version_hash")})
     for level in range(top + 1):
         step = table.filter(F.col("level") == level).select(F.col("version_hash").alias("__at"), F.col("ancestor").alias("to"))
-        rows = rows.join(step, F.col("at") == F.col("__at"), "left").drop("__at")
+        rows = rows.join(step.hint("merge"), F.col("at") == F.col("__at"), "left").drop("__at")
         rows = rows.withColumn("at", F.when((F.col("up") > 0) & F.shiftright("up", level).bitwiseAND(F.lit(1)).cast("boolean"), F.col("to")).otherwise(F.col("at"))).drop("to")
     found = rows.select("ancestor", "version_hash", F.coalesce((F.col("up") > 0) & (F.col("at") == F.col("ancestor")), F.lit(False)).alias("is_ancestor"))
     if looped.isEmpty():

@@ -37,3 +37,63 @@ def test_epochs_in_parts_have_numbers_of_their_own(spark, tmp_path, name):
     events(spark, tmp_path, 100_000, 4)
     got = same_as_sql(spark, name, tmp_path)
     assert len(got) == {"generation_watermarks": 19, "latest_watermarks": 2}[name]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fibers_of_islands_are_what_the_fold_tells(spark):
+    """No join of all logs with what the fold tells of them, and merges tell first logs without a join of names."""
+    from logweave.flow_queries import RECEIPTS
+    from logweave.operators import correlate as C
+
+    rows = [("a1", "a", "cust=7"), ("b1", "b", "order=1"), ("c1", "c", "cust=7 order=1"), ("b2", "b", "order=2"), ("c2", "c", "cust=7 order=2")]
+    logs = spark.createDataFrame([(g, s, t, i) for i, (g, s, t) in enumerate(rows)], "log_id string, source_id string, raw_text string, i long")
+    logs = logs.select("log_id", F.timestamp_seconds("i").alias("ts"), "source_id", "raw_text", F.col("i").alias("seq"))  # a type without a gap needs no clock
+    found = C.correlate_type(logs, RECEIPTS, named=True)
+    assert "SortMergeJoin" not in plan(found.fibers) and "HashJoin" not in plan(found.fibers)
+    assert "Join" not in plan(found.merges)
+    assert [(r.first_log_id, r.n_logs, r.attributes) for r in found.fibers.collect()] == [("a1", 5, {"cust": "7", "order": "2"})]
+    assert sorted((r.loser_log, r.survivor_log, r.log_id) for r in found.merges.collect()) == [("b1", "a1", "c1"), ("b2", "a1", "c2")]
+    told = C.correlate_type(logs, RECEIPTS, membership="as_written", named=True).memberships
+    assert "Join" not in plan(told) and sorted(r.first_log_id for r in told.collect()) == ["a1", "a1", "a1", "b1", "b2"]
+
+
+def test_merged_fibers_are_kept_as_lists_of_lists():
+    """A fiber that takes up one with many merged ones does not copy them, and tells all of them."""
+    from logweave.plans.fold import Events, Island
+
+    island, n = Island(2, 2, None, False, Events()), 3000
+    for i in range(n):  # the elder fiber always takes up the one that has taken up all the younger ones
+        island.step(i, f"a{i}", i, None, (None, f"{i}"), (None, None), 0, False)
+    for i in range(n - 1, 0, -1):
+        island.step(2 * n - i, f"m{i}", 2 * n - i, None, ("x", f"{i - 1}"), (None, None), 0, False)
+    assert max(len(f.lost or ()) for f in island.alive.values()) == 1
+    island.end()
+    assert max(len(list(f.merged_away())) for f in island.events.told) == n - 2
+
+
+@pytest.mark.parametrize("points", [1 << 20, 3])
+def test_lanes_with_and_without_blocks(spark, tmp_path, monkeypatch, points):
+    """Fibers that one window can hold are shuffled once; longer ones are taken hour by hour, with the same rows."""
+    from logweave.operators import tables as T
+
+    events(spark, tmp_path, 600, 900, users=5)
+    monkeypatch.setattr(T, "BLOCK", points)
+    for name in ("lane_segments", "fiber_path", "source_transitions", "lane_concurrency", "track_counts", "track_assignments"):
+        same_as_sql(spark, name, tmp_path)
+    shuffles = plan(Q.lane_segments(spark, str(tmp_path))).count("Exchange hashpartitioning")
+    assert shuffles == 1 if points > 3 else shuffles > 1
+
+
+def test_jumps_end_at_the_root_and_pass_the_driver_by(spark):
+    from logweave.operators import versions as V
+
+    rows = [(str(n), str(n // 2) if n > 1 else None) for n in range(1, 200)]
+    versions = spark.createDataFrame(rows, "version_hash string, parent_hash string")
+    assert V.jumps(versions).agg(F.max("level")).first()[0] == 3  # 2 ** 3 steps pass the root from a depth of 7; 8 levels before
+    pairs = spark.createDataFrame([("3", "27"), ("5", "27"), ("27", "3"), ("1", "199")], "ancestor string, version_hash string")
+    found = V.are_ancestors(versions, pairs)
+    assert "Broadcast" not in plan(found)
+    assert {(r.ancestor, r.version_hash): r.is_ancestor for r in found.collect()} == {("3", "27"): True, ("5", "27"): False, ("27", "3"): False, ("1", "199"): True}
