@@ -303,16 +303,13 @@ def _receipts(spark, d) -> DataFrame:
     hours = lambda c, n: F.timestamp_seconds(F.unix_seconds(c) + 3600 * n)
     log = lambda s, t, *text: F.struct(F.concat(F.lit(s), "o").alias("log_id"), t.alias("ts"), F.lit(s).alias("source_id"), F.concat(*text).alias("raw_text"))
     logs = x.select(F.inline(F.array(log("a", F.col("t"), F.lit("cust="), "c"), log("b", hours(F.greatest("s", "t"), 1), F.lit("order="), "o"), log("c", hours(F.greatest("r", "t"), 2), F.lit("cust="), "c", F.lit(" order="), "o"))))
-    return stage(O.with_prev_clock(O.sequence(logs, ["ts", "source_id", "log_id"])), "receipts")
+    return O.sequence(logs, ["ts", "source_id", "log_id"])  # without a gap there is no need of the clock
 
 
 @query(_R + " SELECT 'b' || o AS loser, first_log AS survivor, 'c' || o AS log_id FROM y")
 def merges_of_receipts(spark, d):
-    logs = _receipts(spark, d)
-    names = stage(logs.select(C.fiber_id_of("1", "receipts", F.col("log_id")).alias("id"), F.col("log_id").alias("name")), "names")
-    found = C.correlate_type(logs, RECEIPTS).merges
-    found = found.join(names.select(F.col("id").alias("loser_id"), F.col("name").alias("loser")), "loser_id")
-    return found.join(names.select(F.col("id").alias("survivor_id"), F.col("name").alias("survivor")), "survivor_id").select("loser", "survivor", "log_id")
+    found = C.correlate_type(_receipts(spark, d), RECEIPTS, named=True).merges
+    return found.select(F.col("loser_log").alias("loser"), F.col("survivor_log").alias("survivor"), "log_id")
 
 
 @query(_R + " SELECT first_log AS first_log_id, 3 * count(*) AS n_logs, min(t) AS first_activity, max(r) AS last_activity, any_value(c)::VARCHAR AS cust, arg_max(o, (r, 'c' || o))::VARCHAR AS last_order FROM y GROUP BY first_log")
@@ -326,9 +323,8 @@ def merged_fibers(spark, d):
 @query(_R + " SELECT 'a' || o AS log_id, first_log AS fiber FROM y UNION ALL SELECT 'b' || o, 'b' || o FROM y UNION ALL SELECT 'c' || o, first_log FROM y")
 def memberships_as_written(spark, d):
     """Memberships that stay as they were when written, merges aside."""
-    logs = _receipts(spark, d)
-    names = logs.select(C.fiber_id_of("1", "receipts", F.col("log_id")).alias("fiber_id"), F.col("log_id").alias("fiber"))
-    return C.correlate_type(logs, RECEIPTS, membership="as_written").memberships.join(names, "fiber_id").select("log_id", "fiber")
+    found = C.correlate_type(_receipts(spark, d), RECEIPTS, membership="as_written", named=True).memberships
+    return found.select("log_id", F.col("first_log_id").alias("fiber"))
 
 
 # values at merges: orders and line items have a mark of their own, which may differ when a receipt links both
