@@ -174,13 +174,21 @@ def _collected(spark, d) -> DataFrame:
     return S.read_batches(spark, path)
 
 
+#: Logs of batches that a task sorts into one file.
+BATCH_LOGS = 500_000
+
+
 def _batch_files(spark, d, collector: str | None = None) -> str:
-    """Batches as files that came one after another, each of some epochs; those of the rewound collector last."""
+    """Batches as files that came one after another, each of some epochs; those of the rewound collector last. With all
+    collectors these are several files each where they hold many logs, of whole batches."""
     path, rows = _folder(spark, "batches"), stage(_batches(spark, d), "batches")
     if collector:
         rows = rows.filter(F.col("collector_id") == collector)
     for part in ("epoch.generation = 0 AND sequence_num < 10", "epoch.generation = 0 AND sequence_num >= 10", "epoch.generation = 1"):
-        S.write_batches(rows.filter(part).coalesce(1).sortWithinPartitions("sequence_num"), path)
+        rows_of = rows.filter(part)
+        files = 1 if collector else -(-(rows_of.agg(F.sum(F.size("logs"))).first()[0] or 1) // BATCH_LOGS)
+        spread = rows_of.coalesce(1) if files == 1 else rows_of.repartition(files, "collector_id", "sequence_num")
+        S.write_batches(spread.sortWithinPartitions("sequence_num"), path)
     return path
 
 
@@ -430,16 +438,24 @@ def fan_out_sinks(spark, d):
 # streams over files that the tables were written to
 
 
+#: Logs of a file of a micro-batch; the most files of one.
+FILE_LOGS, FILES = 100_000, 32
+
+
 def _stream_files(spark, d, parts: int = 3) -> DataFrame:
-    """The logs as files of consecutive times, read as a stream file by file."""
+    """The logs as files of consecutive times, read as a stream part by part: each micro-batch is as many files, which grow
+    in number with the logs, so that no task writes or reads a whole one."""
     logs = ordered_logs(spark, d).select("log_id", "ts", "source_id", "raw_text")
     path = _folder(spark, "stream")
     ends = logs.agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("z")).first()
-    for k in range(parts):  # one after another, so that their ages tell their order
-        low, high = (ends["a"] + (ends["z"] - ends["a"]) * i // parts for i in (k, k + 1))
-        inside = (F.unix_micros("ts") >= low) & ((F.unix_micros("ts") < high) | F.lit(k == parts - 1))
-        logs.filter(inside).coalesce(1).write.mode("append").parquet(path)  # a micro-batch
-    return spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    bounds = [ends["a"] + (ends["z"] - ends["a"]) * k // parts for k in range(parts + 1)] if ends["a"] is not None else [0] * (parts + 1)
+    inside = [(F.unix_micros("ts") >= bounds[k]) & ((F.unix_micros("ts") < bounds[k + 1]) | F.lit(k == parts - 1)) for k in range(parts)]
+    counts = logs.agg(*[F.count_if(x) for x in inside]).first()
+    files = max(1, min(FILES, min(counts) // FILE_LOGS))  # of so many logs none stays empty
+    for x in inside:  # one after another, so that their ages tell their order
+        rows = logs.filter(x)
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(path)  # a micro-batch
+    return spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(_READY + " SELECT log_id, ts FROM l, w WHERE ts < w - INTERVAL 1 SECOND")
@@ -508,15 +524,20 @@ n AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, log_id) AS n FRO
 f AS (SELECT user_id, n, arg_min(log_id, ts) AS first_log_id, min(ts) AS first_activity, max(ts) AS last_activity, count(*) AS n_logs FROM n GROUP BY user_id, n)"""
 
 
-def _keyed(spark, d) -> DataFrame:
+def _run_on_disk(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Runs with a state that is kept on disk, not in the executors' heaps."""
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.PROVIDER)
     try:
-        return _run(keyed.stream_keyed_fibers(_stream_files(spark, d), BOTH), spark)
+        return _run(df, spark)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
+def _keyed(spark, d) -> DataFrame:
+    return _run_on_disk(keyed.stream_keyed_fibers(_stream_files(spark, d), BOTH), spark)
+
+
 @query(_KEYED + " SELECT first_log_id::VARCHAR AS first_log_id, first_activity, last_activity, n_logs, 'timeout' AS close_reason FROM f, e WHERE last_activity + INTERVAL 4 HOUR < mark")
 def stream_keyed_fibers(spark, d):
     """Fibers of one key from the state store: those that ended by the watermark."""
@@ -531,8 +552,8 @@ def stream_keyed_memberships(spark, d):
 @query(_L + " SELECT log_id::VARCHAR AS log_id, source_id, ts, CASE WHEN source_id IN ('click', 'error') THEN 'c1' ELSE 'c2' END AS collector_id FROM l")
 def stream_collected_logs(spark, d):
     """Batches of collectors as a stream: what is sent again comes once."""
-    logs = streams.stream_collected(S.stream_batches(spark, _batch_files(spark, d), files=1))
-    return _run(logs.select("log_id", "source_id", "ts", "collector_id"), spark)
+    logs = streams.stream_collected(S.stream_batches(spark, _batch_files(spark, d), files=FILES))
+    return _run_on_disk(logs.select("log_id", "source_id", "ts", "collector_id"), spark)
 
 
 @query(

@@ -97,3 +97,18 @@ def test_jumps_end_at_the_root_and_pass_the_driver_by(spark):
     found = V.are_ancestors(versions, pairs)
     assert "Broadcast" not in plan(found)
     assert {(r.ancestor, r.version_hash): r.is_ancestor for r in found.collect()} == {("3", "27"): True, ("5", "27"): False, ("27", "3"): False, ("1", "199"): True}
+
+
+def test_micro_batches_are_several_files_of_equal_number(spark, tmp_path, monkeypatch):
+    """No task writes a whole micro-batch, and the batches are those of the parts."""
+    from logweave import flow_queries as Q2
+
+    events(spark, tmp_path, 3000, 300, users=20)
+    monkeypatch.setattr(Q2, "FILE_LOGS", 200)
+    stream = Q2._stream_files(spark, str(tmp_path))
+    seen = []
+    stream.writeStream.foreachBatch(lambda b, i: seen.append((b.count(), len(b.select(F.input_file_name()).distinct().collect()), b.agg(F.min("ts"), F.max("ts")).first()))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and sum(n for n, _, _ in seen) == 3000 and {f for _, f, _ in seen} == {5}  # 1,000 logs each
+    assert seen[0][2][1] < seen[1][2][0] and seen[1][2][1] < seen[2][2][0]
+    monkeypatch.setattr(Q2, "BATCH_LOGS", 300)
+    same_as_sql(spark, "stream_collected_logs", tmp_path)
