@@ -2,13 +2,15 @@
 
 Trained here, with Spark ML's multinomial logistic regression. Its labelled rows are the names of the families' licences in
 common phrases, sentences of their long forms, names and talk of no listed family (``unknown``), and ordinary uses of such
-words (``none``): some fixed sentences and at most NEGATIVES paragraphs and lines of the corpus, of distinct texts, that hold
-words of the notices without being licence talk (a documented bound); the fixed ones under seeded changes (words other than
+words (``none``): some fixed sentences and all paragraphs and lines of the corpus, of distinct texts, that hold
+words of the notices without being licence talk; the fixed ones under seeded changes (words other than
 names dropped, words around them). Features are n-grams of one to three lower-case words with a telling word in them. Telling
-words come from the data: words of the notices that at most a share RARE of the sampled paragraphs without TALK has (of a
+words come from the data: words of the notices that at most a share RARE of the corpus's distinct lines without TALK has (of a
 long form the LONG_WORDS rarest), and of every notice its rarest, so that each notice can be found. A paragraph without a
-telling word has no feature and is ``none`` without being scored. The model is a table of n-gram weights whose size is
-bounded by the labelled rows.
+telling word has no feature and is ``none`` without being scored. The corpus's rows with the same
+n-grams are one weighted row, and together they weigh no more than NEGATIVES fixed ones, so that a large corpus does not
+outweigh the notices. The model is a table of weights of the n-grams that the fixed rows or a share COMMON of the corpus's
+rows have, so its size is bounded, whatever the corpus.
 
 ``unknown`` is calibrated by cross-validation: in each of FOLDS folds a third of the phrases (with all names in them), of the
 changes to long forms and of the unlisted licences' names, and all notices of some families are left out of training. A name
@@ -174,9 +176,12 @@ ORDINARY = (
     "The affero and lesser roads of the project see general traffic, and documentation is provided in later versions.",
 )
 NONE, UNKNOWN = "none", "unknown"
+#: What the corpus's ordinary texts weigh together at most, in fixed rows; all of them count.
 NEGATIVES = 2_000
-#: Paragraphs and lines that the sample of the corpus is drawn from: about so many documents' ones.
-SAMPLE_DOCS = 8_000
+#: N-grams of the corpus that are features besides those of the fixed rows: what this share of its ordinary texts has.
+COMMON = 0.001
+#: Labelled rows that a task takes in training.
+FIT_ROWS = 50_000
 #: Variants of a sentence that names a licence, and of any other text.
 VARIANTS = (3, 18)
 FOLDS = 3
@@ -256,22 +261,21 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "paragraph", F.inline(pieces)).filter(F.col("text").rlike(common.WORD))
 
 
-def _sample(docs: DataFrame) -> DataFrame:
-    """Distinct paragraphs and lines of a bounded sample of documents picked by hash."""
-    share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
-    return common.stage(paragraphs(picked).select("text").distinct(), "sampled")
+def ordinary_use(docs: DataFrame, words: list[str]) -> DataFrame:
+    """``word, n``: the distinct lines of the corpus without TALK that have each of the words; of '' all these lines."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("text")).filter(F.col("text").rlike(common.WORD) & ~F.col("text").rlike(TALK))
+    held = F.array_sort(F.array_distinct(F.filter(_words(F.col("text")), lambda w: w.isin(words))))
+    distinct = lines.select(F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(SEED), "text").alias("d2"), held.alias("held")).distinct()
+    return distinct.select(F.explode(F.concat(F.array(F.lit("")), F.col("held"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def telling_words(sample: DataFrame) -> list[str]:
-    """Words of the notices that few of the sampled ordinary paragraphs have, and of each notice its rarest."""
-    spark = sample.sparkSession
+def telling_words(docs: DataFrame) -> list[str]:
+    """Words of the notices that few of the corpus's ordinary lines have, and of each notice its rarest."""
+    spark = docs.sparkSession
     words = _rows(spark).filter(F.col("family") != NONE).select("template", "name", F.explode(F.array_distinct(_words(F.replace("text", F.lit("{}"), F.col("name"))))).alias("word"))
     words = words.filter(F.length("word") > 1)
-    sample = sample.filter(~F.col("text").rlike(TALK))
-    total = max(sample.count(), 1)
-    of_notices = F.broadcast(words.select("word").distinct())  # bounded by the fixed rows
-    used = sample.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).join(of_notices, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    used = common.stage(ordinary_use(docs, [r["word"] for r in words.select("word").distinct().collect()]), "ordinary")  # bounded by the fixed rows
+    total = max(sum(r["n"] for r in used.filter("word = ''").collect()), 1)
     words = words.join(F.broadcast(used), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("template").orderBy("n", F.desc(F.length("word")), "word"))
     few = (F.col("n") <= RARE * total) & ((F.col("name") != "") | (F.col("rank") <= LONG_WORDS))
@@ -287,12 +291,24 @@ def _tells(words: list[str]) -> Column:
     return F.exists(_words(F.col("text")), lambda w: w.isin(words))
 
 
-def _negatives(sample: DataFrame, words: list[str]) -> DataFrame:
-    """At most NEGATIVES sampled texts that use telling words without being licence talk."""
-    named = sample.filter(_tells(words) & ~F.col("text").rlike(TALK))
-    notices = _notices(sample.sparkSession).select(F.explode("notices").alias("pairs")).filter(F.get("pairs", F.lit(0)).contains(" ")).agg(F.collect_list("pairs").alias("notices"))
-    named = named.crossJoin(F.broadcast(notices)).filter(_overlap(F.col("text"), F.col("notices")) < APART).select("text")  # one row of notices
-    return named.orderBy(F.xxhash64("text"), "text").limit(NEGATIVES)
+def _named(docs: DataFrame, words: list[str]) -> DataFrame:
+    """Paragraphs and lines with telling words, with their n-grams."""
+    return common.stage(_features(paragraphs(docs).filter(_tells(words)), words), "named")
+
+
+def _negatives(named: DataFrame, fixed: DataFrame) -> DataFrame:
+    """``grams, texts``: the n-grams that the fixed rows or enough of the corpus have, of all distinct texts that use telling
+    words without being licence talk, and the number of texts that have the same ones."""
+    texts = named.filter(~F.col("text").rlike(TALK)).groupBy("text").agg(F.first("grams").alias("grams"))  # of the text alone
+    notices = _notices(named.sparkSession).select(F.explode("notices").alias("pairs")).filter(F.get("pairs", F.lit(0)).contains(" ")).agg(F.collect_list("pairs").alias("notices"))
+    texts = texts.crossJoin(F.broadcast(notices)).filter(_overlap(F.col("text"), F.col("notices")) < APART)  # one row of notices
+    texts = common.stage(texts.select(F.monotonically_increasing_id().alias("id"), "grams"), "ordinary-texts")
+    grams = common.stage(texts.select("id", F.explode("grams").alias("gram")), "ordinary-grams")
+    few = math.ceil(COMMON * texts.count())
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= few).select("gram")
+    kept = common.stage(often.unionByName(fixed.select(F.explode("grams").alias("gram"))).distinct(), "features")
+    sets = grams.join(F.broadcast(kept), "gram").groupBy("id").agg(F.array_sort(F.collect_list("gram")).alias("grams"))  # bounded by the share
+    return sets.groupBy("grams").agg(F.count(F.lit(1)).alias("texts"))
 
 
 def _features(rows: DataFrame, words: list[str]) -> DataFrame:
@@ -315,10 +331,13 @@ def _features(rows: DataFrame, words: list[str]) -> DataFrame:
 
 
 def labelled(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows to learn from, ``family, template, nth, grams``, and the telling words."""
-    spark = docs.sparkSession
-    sample = _sample(docs)
-    words = telling_words(sample)
+    """Rows to learn from, ``family, template, nth, grams, texts, weight``, and the telling words."""
+    words = telling_words(docs)
+    return _labelled(_named(docs, words), words), words
+
+
+def _labelled(named: DataFrame, words: list[str]) -> DataFrame:
+    spark = named.sparkSession
     # variants: a text with words dropped by a seeded hash, between scraps of ordinary sentences
     last = F.when(F.col("name") != "", VARIANTS[0]).otherwise(VARIANTS[1]) - 1
     varied = _rows(spark).withColumn("v", F.explode(F.sequence(F.lit(0), last)))
@@ -327,8 +346,12 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     scrap = F.transform(F.sequence(F.lit(1), F.pmod(F.col("v"), F.lit(7)) + 1), lambda i: F.element_at(fill, (F.pmod(F.xxhash64("template", "v", i), F.size(fill)) + 1).cast("int")))
     text = F.concat_ws(" ", F.when(F.col("v") % 2 == 1, F.array_join(scrap, " ")), F.replace(F.array_join(kept, " "), F.lit("{}"), F.col("name")), F.when(F.col("v") % 3 == 2, F.array_join(scrap, " ")))
     varied = varied.select("family", "template", F.coalesce("nth", "v").alias("nth"), text.alias("text"))
-    negatives = _negatives(sample, words).select(F.lit(NONE).alias("family"), F.lit(-1).alias("template"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("nth"), "text")
-    return common.stage(_features(varied.unionByName(negatives), words).drop("text"), "labelled"), words
+    fixed = common.stage(_features(varied, words).select("family", "template", "nth", "grams", F.lit(1).cast("long").alias("texts"), F.lit(1.0).alias("weight")), "fixed")
+    negatives = common.stage(_negatives(named, fixed), "negatives")
+    weight = F.lit(min(1.0, NEGATIVES / max(negatives.agg(F.sum("texts")).first()[0] or 0, 1)))
+    fold = F.pmod(F.xxhash64("grams"), F.lit(FOLDS)).cast("int")
+    negatives = negatives.select(F.lit(NONE).alias("family"), F.lit(-1).alias("template"), fold.alias("nth"), "grams", "texts", (F.col("texts") * weight).alias("weight"))
+    return common.stage(fixed.unionByName(negatives), "labelled")
 
 
 def _fit(rows: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -337,16 +360,17 @@ def _fit(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     from pyspark.ml.feature import CountVectorizer, StringIndexer
 
     index = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-    grams = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2).fit(rows)
-    ready = common.stage(grams.transform(index.transform(rows)).select("features", "label"), "features").coalesce(1)  # bounded rows
-    lr = LogisticRegression(maxIter=ROUNDS, regParam=2e-3, family="multinomial").fit(ready)
+    grams = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2, vocabSize=(1 << 31) - 1).fit(rows)
+    ready = common.stage(grams.transform(index.transform(rows)).select("features", "label", "weight"), "features")
+    ready = ready.coalesce(1 + ready.count() // FIT_ROWS)
+    lr = LogisticRegression(maxIter=ROUNDS, regParam=2e-3, family="multinomial", weightCol="weight").fit(ready)
     matrix = lr.coefficientMatrix.toArray().T.tolist()
     weights = [("", lr.interceptVector.toArray().tolist()), *zip(grams.vocabulary, matrix, strict=True)]
     return common.stage(rows.sparkSession.createDataFrame(weights, "gram string, weights array<double>"), "weights"), list(index.labels)
 
 
 def left_out(rows: DataFrame) -> DataFrame:
-    """Predictions of texts left out of training: ``family, known`` (to that fold's model), ``predicted, probability``."""
+    """Predictions of texts left out of training: ``family, weight, known`` (to that fold's model), ``predicted, probability``."""
     order = {f: k for k, f in enumerate(NAMES)}
     family = F.element_at(F.create_map(*[F.lit(x) for f in order.items() for x in f]), F.col("family"))
     rows = rows.withColumn("hidden", F.coalesce(family % (2 * FOLDS), F.lit(-1))).withColumn("id", F.monotonically_increasing_id())
@@ -356,8 +380,8 @@ def left_out(rows: DataFrame) -> DataFrame:
         hidden, out = F.col("hidden") == k, F.col("nth") % FOLDS == k
         model, names = _fit(rows.filter(~hidden & ~out))
         known = ~hidden & F.col("family").isin(*names)
-        tested = rows.filter(hidden | out).select("id", "family", known.alias("known"), "grams")
-        found.append(_scored(tested, model, names, ["id", "family", "known"]))
+        tested = rows.filter(hidden | out).select("id", "family", "weight", known.alias("known"), "grams")
+        found.append(_scored(tested, model, names, ["id", "family", "weight", "known"]))
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
@@ -380,23 +404,22 @@ def calibrated(predictions: DataFrame) -> tuple[float, float, float]:
 def by_family(predictions: DataFrame, limit: float) -> DataFrame:
     """Of texts left out: ``family, texts, recall, precision`` of the predictions that the limit accepts."""
     accepted = F.when(~F.col("predicted").isin(NONE, UNKNOWN) & (F.col("probability") >= limit), F.col("predicted"))
-    rows = predictions.select("family", "known", accepted.alias("named"))
+    rows = predictions.select("family", "weight", "known", accepted.alias("named"))
     given = rows.filter("known").groupBy("family").agg(F.count(F.lit(1)).alias("texts"), F.avg((F.coalesce("named", F.lit("")) == F.col("family")).cast("double")).alias("recall"))
-    named = rows.filter("named IS NOT NULL").groupBy("named").agg(F.avg((F.col("family") == F.col("named")).cast("double")).alias("precision"))
+    named = rows.filter("named IS NOT NULL").groupBy("named").agg((F.sum(F.when(F.col("family") == F.col("named"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("precision"))
     return given.join(named, given["family"] == named["named"]).drop("named")
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, list[str], float, list[str]]:
-    """The model, its classes, the limit below which a prediction is unknown, and the telling words."""
-    rows, words = labelled(docs)
+def train(rows: DataFrame) -> tuple[DataFrame, list[str], float]:
+    """The model of labelled rows, its classes, and the limit below which a prediction is unknown."""
     limit = calibrated(left_out(rows))[0]
     model, names = _fit(rows)
-    return model, names, limit, words
+    return model, names, limit
 
 
 def _scored(rows: DataFrame, model: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     """``keys, predicted, probability`` of rows with ``grams``: softmax of the summed weights."""
-    table = model.select("gram", "weights")  # bounded by the notices, whatever the corpus
+    table = model.select("gram", "weights")  # bounded by the notices and the share COMMON, whatever the corpus
     used = rows.select(*keys, F.explode(F.concat(F.array(F.lit("")), F.col("grams"))).alias("gram"))
     used = used.join(F.broadcast(table), "gram")
     sums = [F.sum(F.get("weights", F.lit(i))).alias(f"s{i}") for i in range(len(names))]
@@ -411,9 +434,9 @@ def licence_paragraphs(docs: DataFrame) -> DataFrame:
     """Paragraphs with licence words: ``doc_id, paragraph, whole, line, text, family, probability,
     overlap, confirmed``; of a paragraph of several lines the whole and its lines."""
     spark = docs.sparkSession
-    model, names, limit, words = train(docs)
-    named = paragraphs(docs).filter(_tells(words))
-    named = _features(named, words)
+    words = telling_words(docs)
+    named = _named(docs, words)
+    model, names, limit = train(_labelled(named, words))
     scored = _scored(named, model, names, ["doc_id", "paragraph", "whole", "line", "text"])
     family = F.when(F.col("predicted").isin(NONE, UNKNOWN), F.col("predicted")).when(F.col("probability") < limit, F.lit(UNKNOWN)).otherwise(F.col("predicted"))
     scored = scored.withColumn("family", family)

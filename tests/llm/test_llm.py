@@ -546,6 +546,18 @@ def test_license_unseen_families(spark):
     assert got[0].line == 0 and got[0].n_paragraphs == 2
 
 
+def test_license_learns_from_all_texts(spark, monkeypatch):
+    """Every text of the corpus counts, for the telling words and as an ordinary use, whatever its number."""
+    monkeypatch.setattr(license_scan, "SAMPLE_DOCS", 5, raising=False)
+    monkeypatch.setattr(license_scan, "NEGATIVES", 4)
+    uses = [f"The expat number {i} of the town met {chr(97 + i)} friends." for i in range(20)]
+    docs = _docs(spark, [*uses, *uses[:3], *(f"Mozilla meeting {i}." for i in range(40)), "\n".join(f"line {i}" for i in range(45_000))])
+    rows, words = license_scan.labelled(docs)
+    assert "expat" in words and "mozilla" not in words  # 20 and 40 of 45,060 distinct lines; the share is 0.0005
+    of_corpus = rows.filter("template = -1").agg(F.sum("texts"), F.sum("weight")).first()
+    assert of_corpus[0] == 20 and of_corpus[1] == pytest.approx(4)
+
+
 def test_license_in_other_words(spark):
     """Notices that are not in the module's words; licences that are of no listed family."""
     named = {
