@@ -141,3 +141,13 @@ def test_components_of_logs_need_no_order(spark, monkeypatch):
     monkeypatch.setattr(Q, "table", lambda spark, d, name: tables[name])
     monkeypatch.setattr(Q.O, "sequence", lambda *a: pytest.fail("sorted"))
     assert {(r.n_logs, r.n_fibers) for r in Q.merged_components(spark, "").collect()} == {(3, 1), (1, 2)}
+
+
+def test_patterns_are_tried_once(spark):
+    """However often keys, values and their places name what a pattern tells."""
+    from logweave.flow_queries import MARKED
+    from logweave.operators import correlate as C
+
+    logs = spark.createDataFrame([("a1", "a", "cust=7 mark=1", 0)], "log_id string, source_id string, raw_text string, seq long").withColumn("ts", F.timestamp_seconds("seq"))
+    tried = C._rows(logs, MARKED, False, None)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract")
+    assert tried == 6  # two captures in each of three patterns
