@@ -1,13 +1,14 @@
-"""Fibers of types with one key, kept in Spark's state store by key, with timers on the watermark."""
+"""Fibers of types with one key, kept in Spark's state store by key, with timeouts on the watermark."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import correlate as c
 from ..operators.extract import cast_attributes, extract
@@ -15,41 +16,57 @@ from ..plans.rules import FiberType
 
 #: A log's membership (``log_id``, without reason) or a fiber that ended (with reason, without ``log_id``).
 TOLD = "key string, first_log_id string, log_id string, first_activity timestamp, last_activity timestamp, n_logs long, close_reason string"
-_FIBER = "first long, last long, log string, n long"
-_LOG = "us long, log string, before boolean, after boolean, close boolean"
+_TOLD = TOLD.replace("timestamp", "long")  # times in microseconds
+_NAMES = [x.split()[0] for x in _TOLD.split(", ")]
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class KeyedFibers(StatefulProcessor):
+#: Groups that the keys are dealt to: a call and a write to the state store cost much more than a key's rows.
+BUCKETS = 4096
+
+
+class KeyedFibers:
     """Logs of a key wait in the state until the watermark has passed them, so that they are taken in order whatever
     batches they came in; then they join the fiber that holds the key, or begin one. A fiber whose key was released waits
-    for its gap as well. One timer a key stands at the next moment at which something is due."""
+    for its gap as well.
+
+    The state of a bucket of keys is one value: for each key that has anything open the next moment at which something is
+    due, the fiber that holds it, those that were released and the waiting logs. One timeout a bucket stands at the first
+    of these moments."""
 
     def __init__(self, gap: int | None, from_start: bool):
         self.gap, self.from_start = gap, from_start
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", _FIBER)
-        self.freed = handle.getListState("freed", _FIBER)
-        self.waiting = handle.getListState("waiting", _LOG)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for pdf in rows for r in pdf[["us", "log", "before", "after", "close"]].itertuples(index=False)]
-        if new:
-            self.waiting.appendList([(int(u), str(g), bool(b), bool(a), bool(x)) for u, g, b, a, x in new])
-            self._wake(min(int(r[0]) for r in new))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(r) for r in self.waiting.get())
+    def __call__(self, bucket: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys = pickle.loads(state.get[0]) if state.exists else {}
+        new: dict[str, list[tuple]] = {}
+        if not state.hasTimedOut:
+            for pdf in rows:
+                for key, *log in zip(*(pdf[n].tolist() for n in ("key", "us", "log", "before", "after", "close")), strict=True):
+                    new.setdefault(key, []).append(tuple(log))
+        ms, out = state.getCurrentWatermarkMs(), []
+        for key in [*new, *(k for k, kept in keys.items() if k not in new and kept[0] is not None and kept[0] <= ms * 1000)]:
+            _, held, freed, waiting = keys.pop(key, (None, None, [], []))
+            kept = self._go_on(key, held, freed, waiting + new.get(key, []), ms * 1000, out)
+            if kept is not None:
+                keys[key] = kept
+        if keys:
+            state.update((pickle.dumps(keys),))
+        elif state.exists:
+            state.remove()
+        moments = [kept[0] for kept in keys.values() if kept[0] is not None]
+        if moments:  # times out once the watermark has passed it
+            state.setTimeoutTimestamp(max(-(-min(moments) // 1000) - 1, ms, 1))
+        if out:
+            yield pd.DataFrame(out, columns=_NAMES, dtype=object)
+
+    def _go_on(self, key: str, held: tuple | None, freed: list[tuple], waiting: list[tuple], now: int, out: list[tuple]) -> tuple | None:
+        """What is kept of a key after the logs until ``now``; ``out`` takes what came of them."""
+        waiting.sort()
         due, later = [r for r in waiting if r[0] <= now], [r for r in waiting if r[0] > now]
-        held = tuple(self.held.get()) if self.held.exists() else None
-        freed, out = [tuple(r) for r in self.freed.get()], []
 
         def ended(f: tuple, why: str) -> None:
-            out.append((key[0], f[2], None, f[0], f[1], f[3], why))
+            out.append((key, f[2], None, f[0], f[1], f[3], why))
 
         for us, log, before, after, close in due:
             if held and self._over(held, us):
@@ -60,7 +77,7 @@ class KeyedFibers(StatefulProcessor):
                 held = None
             first, _, name, n = held or (us, us, log, 0)
             held = (first, us, name, n + 1)
-            out.append((key[0], name, log, None, None, None, None))
+            out.append((key, name, log, None, None, None, None))
             if close:
                 ended(held, "pattern")
                 held = None
@@ -73,12 +90,10 @@ class KeyedFibers(StatefulProcessor):
         if held and self._over(held, now):
             ended(held, "timeout")
             held = None
-        self._keep(held, freed, later)
-        if out:
-            pdf = pd.DataFrame(out, columns=[x.split()[0] for x in TOLD.split(", ")])
-            for name in ("first_activity", "last_activity"):
-                pdf[name] = pd.to_datetime(pdf[name].astype("Int64"), unit="us")
-            yield pdf.astype({"n_logs": "Int64"})
+        moments = [r[0] for r in later[:1]]
+        if self.gap is not None:
+            moments += [self._since(f) + self.gap + 1 for f in (freed + ([held] if held else []))]
+        return (min(moments, default=None), held, freed, later) if held or freed or later else None
 
     def _since(self, f: tuple) -> int:
         return f[0] if self.from_start else f[1]
@@ -86,33 +101,11 @@ class KeyedFibers(StatefulProcessor):
     def _over(self, f: tuple, now: int) -> bool:
         return self.gap is not None and now - self._since(f) > self.gap
 
-    def _keep(self, held: tuple | None, freed: list[tuple], later: list[tuple]) -> None:
-        if held:
-            self.held.update(held)
-        elif self.held.exists():
-            self.held.clear()
-        for state, rows in ((self.freed, freed), (self.waiting, later)):
-            if rows:
-                state.put(rows)
-            elif state.exists():
-                state.clear()
-        moments = [r[0] for r in later]
-        if self.gap is not None:
-            moments += [self._since(f) + self.gap + 1 for f in (freed + ([held] if held else []))]
-        if moments:
-            self._wake(min(moments))
-
-    def _wake(self, us: int) -> None:
-        self.handle.registerTimer(-(-us // 1000))
-
-    def close(self) -> None:
-        pass
-
 
 def stream_keyed_fibers(logs: DataFrame, fiber_type: FiberType, delay: str = "1 second") -> DataFrame:
     """Memberships and ended fibers (TOLD) of a type with one key, by the clock of its own logs and the watermark of all
-    logs. What a batch writes is the state of the keys that it or the watermark touches. Logs without the key are left out;
-    logs behind the watermark are late. Needs the RocksDB state store (PROVIDER)."""
+    logs. What a batch writes is the state of the buckets of keys that it or the watermark touches. Logs without the key are left out;
+    logs behind the watermark are late. PROVIDER keeps the state on disk."""
     if not c.is_chain(fiber_type) or not fiber_type.keys:
         raise ValueError(f"{fiber_type.name}: not a type with one key")
     rows = cast_attributes(extract(logs.withWatermark("ts", delay), fiber_type), fiber_type)
@@ -124,4 +117,6 @@ def stream_keyed_fibers(logs: DataFrame, fiber_type: FiberType, delay: str = "1
         before.alias("before"), F.array_contains("release_self", key).alias("after"), "close",
     )
     found = KeyedFibers(fiber_type.gap, fiber_type.gap_mode == "from_start")
-    return rows.filter("key IS NOT NULL").groupBy("key").transformWithStateInPandas(found, TOLD, "Append", "EventTime")
+    rows = rows.filter("key IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    told = rows.groupBy("bucket").applyInPandasWithState(found.__call__, _TOLD, "kept binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.withColumns({n: F.timestamp_micros(n) for n in ("first_activity", "last_activity")})

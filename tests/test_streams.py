@@ -64,6 +64,37 @@ def test_keyed_fibers(spark, tmp_path, gap, mode):
     assert sorted((r.first_log_id, r.n_logs, r.close_reason) for r in told if r.close_reason) == ended
 
 
+def test_keys_of_a_bucket_share_a_state():
+    """Several keys are one call and one value of the state; only those with logs or something due are told of."""
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, get, ms, at = False, False, None, 0, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+        def getCurrentWatermarkMs(self):
+            return self.ms
+
+        def setTimeoutTimestamp(self, ms):
+            self.at = ms
+
+    state, fold = State(), keyed.KeyedFibers(6_000_000, False)
+    told = lambda rows: sorted((tuple(r) for pdf in fold((3,), iter(rows), state) for r in pdf[["key", "first_log_id", "log_id", "n_logs", "close_reason"]].itertuples(index=False)), key=str)
+    logs = pd.DataFrame([("a", 2_000_000, "l2", False, False, False), ("b", 9_000_000, "l9", False, False, False), ("a", 1_000_000, "l1", False, False, False)], columns="key us log before after close".split())
+    assert told([logs]) == [] and state.at == 999  # out once the watermark is at the first log
+    state.ms, state.hasTimedOut = 5_000, True
+    assert told([]) == [("a", "l1", "l1", None, None), ("a", "l1", "l2", None, None)] and state.at == 8_000
+    state.ms = 9_000
+    assert told([]) == [("a", "l1", None, 2, "timeout"), ("b", "l9", "l9", None, None)] and state.at == 15_000
+    state.ms = 16_000
+    assert told([]) == [("b", "l9", None, 1, "timeout")] and not state.exists
+
+
 def test_sent_again(spark, tmp_path):
     """What a rewound collector sends again comes once; what it sends late for the first time comes too."""
     log = lambda i, at: (f"l{i}", at, "s", "x", "f", i, 0)
