@@ -350,6 +350,14 @@ def test_passages_that_the_smallest_document_holds_in_part(spark, held):
     assert lost == [] and all(r % 100 for r in found)
 
 
+def test_contexts_tell_every_place(spark):
+    """Equal words around a minimum at several places of a document count at each of them."""
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words + [f"m{i}" for i in range(40)] + words))], "doc_id long, text string")
+    lists = spark.createDataFrame([(4, 1, 30), (4, 1, 130)], "key long, a long, ca int")
+    assert sorted((r.a, low) for r in substring_dedup._contexts(lists, docs).collect() for low in r.lows) == [(1, low) for low in (7, 30, 107, 130)]
+
+
 def test_html_keeps_what_belongs_to_the_article():
     """Lists, tables, code, short sections, references and formulas beside or inside the main text; not what readers say."""
     text = "A paragraph of ordinary words, that says something about a matter and goes on for about a hundred characters or so."
