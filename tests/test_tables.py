@@ -81,3 +81,32 @@ def test_epochs_in_parts(spark):
     assert sorted(x.log_id for r in found for x in r.logs) == list(range(50))
     assert all(r.epoch_start <= x.ts < r.epoch_end for r in found for x in r.logs)
     assert O.batches_after(O.epochs(logs, 10, max_logs=4), 3, 2).select("sequence_num", "has_more").collect() == [(4, True), (5, True)]
+
+
+def _lives(spark, rows):
+    df = spark.createDataFrame(rows, "fiber_type string, fiber_id string, a long, b long")
+    return df.select("fiber_type", "fiber_id", F.timestamp_micros("a").alias("first_activity"), F.timestamp_micros("b").alias("last_activity"))
+
+
+def test_lives_that_meet(spark):
+    """Points, ends on borders of buckets, lives of seconds to years, also before 1970, and moments that several share."""
+    rng, leaf = random.Random(8), 1 << T.MIN_LEVEL
+    rows = []
+    for i in range(400):
+        start = rng.choice([rng.randrange(-40, 40) * leaf, rng.randrange(-40 * leaf, 40 * leaf), rng.randrange(-9, 9) * leaf - 1])
+        rows.append(("st"[i % 5 == 0], f"f{i}", start, start + rng.choice([0, 1, leaf - 1, leaf, rng.randrange(3 * leaf), rng.randrange(90 * leaf), rng.randrange(1 << 20) * leaf if i % 20 == 0 else 7])))
+    rows.append(("s", "none", None, None))
+    known = [r for r in rows if r[2] is not None]
+    expected = sorted((t, i, j, max(a, c), min(b, d)) for t, i, a, b in known for u, j, c, d in known if t == u and i < j and a <= d and c <= b)
+    found = T.overlapping_fibers(_lives(spark, rows)).select("fiber_type", "fiber_id", "other_id", F.unix_micros("from_ts"), F.unix_micros("to_ts"))
+    assert sorted(map(tuple, found.collect())) == expected
+    assert T.overlapping_fibers(_lives(spark, rows[:0])).count() == 0
+
+
+def test_lives_meet_in_tasks_by_pairs(spark, monkeypatch):
+    """A small table with many pairs is neither broadcast nor joined in as many tasks as its few rows need."""
+    monkeypatch.setattr(T, "PAIRS_OF_TASK", 10_000, raising=False)
+    found = T.overlapping_fibers(_lives(spark, [("s", f"f{i:03}", i, 3_600_000_000 + i) for i in range(300)]))
+    assert found.count() == 300 * 299 // 2 and found.rdd.getNumPartitions() == 8
+    found.write.format("noop").mode("overwrite").save()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
