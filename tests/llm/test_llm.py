@@ -110,6 +110,30 @@ def test_jaccard_hot_group(spark):
     test_jaccard_components(spark, texts)
 
 
+def test_many_ids_pick_documents_without_moving_them(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 20)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in [None, *range(-500, 500)]], "doc_id long, text string")
+    wanted = {i for i in range(-500, 500) if i % 3 and i != 64}
+    ids = spark.createDataFrame([(i,) for i in sorted(wanted)], "id long")
+    for how, expected in (("left_semi", wanted), ("left_anti", {None, *range(-500, 500)} - wanted)):
+        picked = jaccard_join._picked(docs, ids, how)
+        assert {r[0] for r in picked.collect()} == expected and picked.columns == docs.columns
+        assert "SortMergeJoin" not in picked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_of_the_same_documents_are_told_once(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join([f"first{i}", *words, f"last{i}"])) for i in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    hot = jaccard_join._hot(jaccard_join._prefix_tokens(docs, 5, 75), None)
+    found = jaccard_join._lists(jaccard_join._index(docs, hot, 5, 75), 75)
+    assert found.filter("kind = 2").count() > 50 and found.filter("kind = 1").isEmpty()
+    lists = [(r.is_hot, frozenset(r.docs)) for r in found.filter("kind = 2").collect()]
+    whole = jaccard_join._whole_lists(found, 75).toPandas()
+    assert len(whole[whole.kind == 1]) == sum(len(docs) for _, docs in set(lists)) < sum(len(docs) for _, docs in lists) / 10
+    assert {r.component_id for r in jaccard_join.near_duplicate_classes(docs).collect()} == {0}
+
+
 def test_shingles():
     a, b = shingles.word_hashes(["One two\x0bthree", "x one TWO three y"])
     assert list(a) == list(b[1:4])
