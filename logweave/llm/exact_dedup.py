@@ -22,8 +22,10 @@ from . import common
 
 #: Ids of copies that are broadcast; more are joined by key.
 BROADCAST_IDS = 500_000
-#: Salts of the middle step, and parts over which the documents of one large group look up their winner.
+#: Salts of the middle step.
 SALTS = 32
+#: Documents of one group that look up their winner in one task.
+ROWS_A_GROUP = 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -48,13 +50,27 @@ def _winners(rows: DataFrame, salts: int) -> DataFrame:
     return alone.unionByName(merged.join(shared, "digest", "left_semi").withColumnRenamed("text", "same"))
 
 
+def _dealt(rows: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``part``: the rows of a large group are dealt over parts, each of which has a copy of the group."""
+    large = groups.groupBy("digest").agg(F.ceil(F.sum("group_size") / ROWS_A_GROUP).alias("parts")).filter("parts > 1")
+    large = common.stage(large, "large")
+    rows = common.lookup_join(rows, large, ["digest"], F.col("doc_id"))
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0).cast("long"))).drop("parts")
+    groups = common.lookup_join(groups, large, ["digest"], F.col("keep_id"))
+    groups = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)))
+    return rows, groups.drop("parts").hint("merge")
+
+
 def _decided(rows: DataFrame, salts: int) -> DataFrame:
     """``doc_id, digest, same, keep_id, group_size, kept, text_sha256`` of ``doc_id, digest, text``."""
     groups = common.stage(_winners(rows, salts), "groups")
     texts = not groups.filter("same IS NOT NULL").isEmpty()
-    groups = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).withColumn("text_sha256", F.sha2("text", 256))
+    rows = rows.withColumn("text_sha256", F.sha2("text", 256))
     rows = rows if texts else rows.drop("text")
+    if groups.count() <= common.BROADCAST_ROWS and not texts:
+        rows, groups = rows.withColumn("part", F.lit(0)), F.broadcast(groups.withColumn("part", F.lit(0)))
+    else:
+        rows, groups = _dealt(rows, groups)
     on = [rows["digest"] == groups["digest"], rows["part"] == groups["part"]]
     if texts:
         on.append(groups["same"].isNull() | (groups["same"] == rows["text"]))

@@ -76,6 +76,23 @@ def test_exact_groups_where_texts_share_a_digest(spark, texts):
 INNER = ["__id", "__sha", "__s", "__k", "__hash", "__nth", "__n", "__h", "__spans", "__text", "__parts", "c0", "digest", "same", "k", "part", "hash", "nth", "passes", "parts", "mixed", "spans", "of_id", "text_sha256"]
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda text: F.substring(exact_dedup.sha256(text), 1, 1)])
+def test_exact_groups_copy_only_large_ones(spark, monkeypatch, digest):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(exact_dedup, "ROWS_A_GROUP", 50)
+    texts = [f"text {i % 100}" for i in range(200)] + ["of many"] * 300 + ["", None, "alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = exact_dedup._rows(docs, "doc_id", "text", exact_dedup.sha256)
+    dealt, groups = exact_dedup._dealt(rows, exact_dedup._winners(rows, 4))
+    assert groups.count() == 101 + 6 and dealt.select("part").distinct().count() == 6
+    last, sizes = {t or "": i for i, t in enumerate(texts)}, Counter(t or "" for t in texts)
+    found = exact_dedup.exact_groups(docs, digest=digest).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in found} == {(i, last[t or ""], sizes[t or ""], i == last[t or ""]) for i, t in enumerate(texts)}
+    assert len(found) == len(texts)
+    kept = exact_dedup.drop_exact_copies(docs, digest=digest)
+    assert {r.doc_id for r in kept.collect()} == set(last.values()) and kept.count() == len(last)
+
+
 @pytest.mark.parametrize("run", [exact_dedup.drop_exact_copies, mixing.mix_documents, substring_dedup.cut_repeats, jaccard_join.drop_near_copies, quality.keep_quality])
 def test_columns_named_like_inner_ones(spark, run):
     passage = _text(60)
