@@ -8,7 +8,7 @@ import re
 import zlib
 
 import pytest
-from logweave.llm import alignment, conversations, secrets
+from logweave.llm import alignment, common, conversations, secrets
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -85,6 +85,21 @@ def test_alignment(spark, monkeypatch):
     assert alignment.aligned_documents(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("chars", [1, 300])
+def test_alignment_by_parts_of_shards(spark, monkeypatch, chars):
+    monkeypatch.setattr(alignment, "SHARD_CHARS", 2_000)
+    monkeypatch.setattr(alignment, "PART_CHARS", chars)
+    monkeypatch.setattr(alignment, "SHARDS_A_TASK", 2)
+    rng = random.Random(3)
+    rows = TEXTS + [(100 + i, "".join(rng.choice([" ", "a", "the", "é", "\n", "1", "Zug"]) for _ in range(100))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = alignment.aligned_documents(docs)
+    assert _sorted(found.collect()) == _sorted(_aligned(rows))
+    # the counts come to tasks of a few shards, whatever the number of shuffle partitions
+    shards = alignment.shards(docs, common.tokenizer_path("byte_bpe_50k.json"), common.tokenizer_path("piece_bpe_32k.model")).count()
+    assert shards > 8 and found.rdd.getNumPartitions() == -(-shards // 2)
+
+
 # conversations
 
 WHITE = " \t\n\x0b\x0c\r"
